@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradespark.operators import logs, matrix
+from gradespark.functions import rtf, text
+from gradespark.operators import attempts, chat, configs, logs, matrix, metrics, tasks
 from gradespark.plans import views
+from gradespark.sources import datasets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +62,208 @@ def heatmap_rows(spark, folder):
 @query
 def base_vs_chain(spark, folder):
     return matrix.base_vs_chain(matrix.method_totals(_matrix(spark, folder)))
+
+
+# --- tasks and prompts -------------------------------------------------------
+
+
+@query
+def tasks_normalized(spark, folder):
+    tasks_ = tasks.preprocess(views.tasks_raw(spark, folder), "humaneval")
+    return tasks.with_example_index(tasks_)
+
+
+@query
+def mbpp_normalized(spark, folder):
+    return tasks.normalize_mbpp(views.mbpp_raw(spark, folder)).drop("entry_point")
+
+
+@query
+def custom_split(spark, folder):
+    """A suite with unknown columns, all splits kept apart."""
+    raw = views.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("prompt"),
+        F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("test_code"),
+        F.when(F.col("p_size") > 25, "test").otherwise("train").alias("split"),
+    )
+    return tasks.normalize_generic(datasets.only_split(raw, "test"), "id").select("task_id", "prompt", "test_code")
+
+
+@query
+def tasks_sorted_limit(spark, folder):
+    return tasks.sort_and_limit(tasks.normalize_humaneval(views.tasks_raw(spark, folder)), 50).select(
+        "task_id", "prompt", "entry_point"
+    )
+
+
+@query
+def task_lookup(spark, folder):
+    requests = views.table(spark, folder, "orders").select(
+        F.concat(F.lit("HumanEval/"), F.col("o_orderkey").cast("string")).alias("task_id")
+    )
+    found = tasks.lookup_tasks(requests, views.tasks_raw(spark, folder))
+    return found.select("task_id", tasks.single_prompt(F.col("prompt")).alias("prompt"), "error")
+
+
+@query
+def prompts_full_run(spark, folder):
+    return views.tasks_raw(spark, folder).select("task_id", tasks.run_prompt(F.col("prompt")).alias("prompt"))
+
+
+@query
+def repair_prompts(spark, folder):
+    failed = views.attempts(spark, folder).where(~F.col("ok") & F.col("produced"))
+    return failed.join(views.tasks_raw(spark, folder).select("task_id", "prompt"), "task_id").select(
+        "task_id", F.col("attempt.o_orderkey").alias("o_orderkey"),
+        tasks.repair_prompt(tasks.run_prompt(F.col("prompt")), F.col("code"), F.col("error")).alias("prompt"),
+    )
+
+
+# --- completions -------------------------------------------------------------
+
+
+@query
+def clean_completions(spark, folder):
+    return views.completions(spark, folder).select("doc_id", text.clean_completion(F.col("code")).alias("code"))
+
+
+@query
+def extract_functions(spark, folder):
+    rows = views.completions(spark, folder).select(
+        "doc_id", F.lit("").alias("prompt"), F.col("code").alias("completion"),
+        F.when(F.col("doc_id") % 10 == 9, "generation failed").alias("error"),
+    )
+    return tasks.testable_code(rows).select("doc_id", "code", "error")
+
+
+@query
+def special_token_scrub(spark, folder):
+    code = F.col("code")
+    return views.completions(spark, folder).select(
+        "doc_id", text.drop_special_tokens(code).alias("code"),
+        text.count_token(code, "<|im_end|>").cast("bigint").alias("ends"),
+        text.count_token(code, "<tool_call>").cast("bigint").alias("tool_calls"),
+    )
+
+
+@query
+def termination_ratio(spark, folder):
+    return metrics.termination(views.completions(spark, folder), "source")
+
+
+@query
+def rtf_clean(spark, folder):
+    """documents written as RTF, then read back."""
+    escaped = F.replace(F.translate("text", "{}\\", "   "), F.lit("\n"), F.lit("\\par \n"))
+    units = F.array_join(
+        F.transform(
+            F.split(escaped, ""),
+            lambda c: F.when(
+                (F.ascii(c) > 127) & (F.ascii(c) < 32768),
+                F.concat(F.lit("\\u"), F.ascii(c).cast("string"), F.lit("?")),
+            ).otherwise(c),
+        ),
+        "",
+    )
+    written = F.concat(F.lit("{\\rtf1{\\fonttbl f0}\\fs24 "), units, F.lit("}"))
+    return views.table(spark, folder, "documents").select("doc_id", rtf.rtf_to_text(written).alias("text"))
+
+
+# --- conversations -----------------------------------------------------------
+
+
+@query
+def chat_render(spark, folder):
+    return chat.render(views.table(spark, folder, "conversations"), generation_prompt=True)
+
+
+@query
+def chat_render_tools(spark, folder):
+    tools = F.array(F.lit('{"name": "fn_1"}'), F.lit('{"name": "next"}'))
+    return chat.render(views.tool_messages(spark, folder), tools=tools)
+
+
+# --- attempts and scores -----------------------------------------------------
+
+
+@query
+def chain_resolution(spark, folder):
+    return attempts.resolve_chains(views.attempts(spark, folder))
+
+
+@query
+def pass_at_k(spark, folder):
+    return attempts.pass_at_k(views.attempts(spark, folder))
+
+
+@query
+def dataset_eval(spark, folder):
+    first = views.attempts(spark, folder).groupBy("task_id", "method").agg(
+        F.min_by("ok", "attempt").alias("passed")
+    )
+    tests = views.tasks_raw(spark, folder).select("task_id", "test")
+    matched = attempts.match_tests(first, tests, "task_id")
+    return attempts.evaluate(matched.withColumn("passed", F.col("passed") & F.col("test").isNotNull()), "method")
+
+
+@query
+def run_summary(spark, folder):
+    month = F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz")
+    runs = (
+        views.table(spark, folder, "orders")
+        .withColumn("benchmark", views.method_of("o_orderkey"))
+        .groupBy("benchmark", month.alias("month"))
+        .agg(
+            F.count_if(F.col("o_orderstatus") == "F").alias("passed_examples"),
+            F.count("*").alias("total_examples"),
+            F.max("o_orderdate").alias("timestamp"),
+            F.round(F.sum("o_totalprice"), 2).alias("total_time"),
+            F.round(F.avg("o_totalprice"), 4).alias("avg_time_per_problem"),
+        )
+        .drop("month")
+    )
+    return metrics.latest_runs(runs)
+
+
+@query
+def run_timing(spark, folder):
+    rows = views.table(spark, folder, "orders").withColumn("method", views.method_of("o_orderkey"))
+    timed = metrics.run_timing(rows, "method", seconds="o_totalprice")
+    return timed.select(
+        "method", F.round("total_time", 2).alias("total_time"),
+        F.round("avg_time_per_problem", 4).alias("avg_time_per_problem"),
+    )
+
+
+@query
+def run_config_normalized(spark, folder):
+    """Settings from customer; the greedy form for every second market segment."""
+    config = F.create_map(
+        F.lit("temperature"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey").cast("string")),
+        F.lit("top_k"), F.col("c_nationkey").cast("string"),
+        F.lit("pad_token_id"), F.lit(None).cast("string"),
+        F.when(F.col("c_nationkey") % 2 == 0, "num_beams").otherwise("seed"), F.lit("5"),
+    )
+    chosen = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), configs.greedy_config(config)).otherwise(config)
+    return views.table(spark, folder, "customer").select(
+        "c_custkey", F.explode(configs.effective_config(chosen, F.length("c_name"))).alias("setting", "value")
+    )
+
+
+@query
+def bleu_pairs(spark, folder):
+    scores = metrics.bleu(views.pairs(spark, folder), views.references(spark, folder))
+    return scores.select("pair_id", F.round("bleu", 9).alias("bleu"))
+
+
+@query
+def exact_match(spark, folder):
+    rows = views.pairs(spark, folder).join(views.references(spark, folder), "reference_id")
+    reference = F.when(
+        F.col("pair_id") % 2 == 0, F.concat(F.lit(" \t"), F.col("candidate"), F.lit("\n"))
+    ).otherwise(F.col("reference"))
+    return (
+        rows.withColumn("exact_match", metrics.exact_match(reference, F.col("candidate")))
+        .groupBy("source")
+        .agg(F.count("*").alias("pairs"), F.avg("exact_match").alias("exact_match"))
+    )

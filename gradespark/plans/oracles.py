@@ -117,3 +117,188 @@ select b.method, b.passed base_passed, c.passed chain_passed, b.total,
   {label('b.passed', 'b.total')} as base_label, {label('c.passed', 'b.total')} as chain_label
 from v_totals b join v_totals c on c.method = concat(b.method, '_CHAIN')
 where b.method in ('AST', 'DFG', 'CFG', 'PDG')"""
+
+
+# --- tasks and prompts -------------------------------------------------------
+
+ORACLES["tasks_normalized"] = f"""with {V_TASKS}
+select task_id, prompt, [test] test_code, entry_point, row_number() over (order by task_id) - 1 example_index from v_tasks"""
+
+ORACLES["mbpp_normalized"] = f"""with {V_MBPP}
+select coalesce(task_id, concat('mbpp_', row_number() over (order by id) - 1)) task_id, text prompt,
+  code canonical_solution, test_list test_code from v_mbpp"""
+
+ORACLES["custom_split"] = """select concat('generic_', row_number() over (order by p_partkey) - 1) task_id,
+  p_name prompt, [case when p_partkey % 3 <> 0 then p_type else '' end] test_code from part where p_size > 25"""
+
+ORACLES["tasks_sorted_limit"] = f"""with {V_TASKS}
+select task_id, prompt, entry_point from v_tasks order by task_id limit 50"""
+
+ORACLES["task_lookup"] = f"""with {V_TASKS}, r as (select concat('HumanEval/', o_orderkey) task_id from orders)
+select r.task_id, '<prompt>' || prompt || '<prompt><setting>code generation without docstring</setting>' prompt,
+  case when t.task_id is null then 'Task ID ' || r.task_id || ' not found' end error
+from r left join v_tasks t using (task_id)"""
+
+RUN_PROMPT = (
+    "'<setting>code generation without docstring</setting><setting>don''t use List, use list</setting><prompt>'"
+    " || prompt || '<prompt>'"
+)
+ORACLES["prompts_full_run"] = f"with {V_TASKS} select task_id, {RUN_PROMPT} prompt from v_tasks"
+
+ORACLES["repair_prompts"] = f"""with {V_TASKS}, {V_ATTEMPTS}
+select task_id, o_orderkey, concat({RUN_PROMPT}, chr(10), chr(10), 'Previous solution:', chr(10), code, chr(10), chr(10),
+ 'The last attempt failed during automatic checking with the following error (exact text):', chr(10), '```', chr(10),
+ error, chr(10), '```', chr(10), chr(10),
+ 'Analyze the code carefully and return a corrected, fully functional, syntactically correct Python function.', chr(10),
+ 'Keep the same function name and parameters. Fix all indentation and syntax errors and any runtime error reported above. ',
+ 'Do not include any explanations, comments or additional text — return only the updated code.', chr(10)) prompt
+from v_attempts join v_tasks using (task_id) where not ok and produced"""
+
+# --- completions -------------------------------------------------------------
+
+V_COMPLETIONS = """v_completions as (select doc_id, source, case doc_id % 7
+ when 0 then concat('```python', chr(10), 'def fn_', doc_id, '(x):', chr(10), '    return ', n_chars, chr(10), '```')
+ when 1 then concat('  ```PY', chr(10), 'x = 1', chr(10), '```  ')
+ when 2 then 'def f(x):\\n\\treturn x'
+ when 3 then concat('    def f(x):', chr(10), '        return x', chr(10), chr(10), 'if __name__ == ''__main__'':', chr(10), '    print(f(1))')
+ when 4 then concat('<|im_start|>', text, '<|im_end|><tool_call><|endoftext|>')
+ when 5 then concat('note = ''''''', translate(text, '''\\', '  '), '''''''', chr(10), chr(10), 'import doctest', chr(10), chr(10), '  doctest.testmod()', chr(10))
+ else '   ' end code from documents)"""
+
+
+def fences(x: str) -> str:
+    opened = f"regexp_replace({x}, '^{WS}*```(?:py(?:thon)?)?{WS}*\\n', '', 'i')"
+    return f"regexp_replace({opened}, '\\n{WS}*```{WS}*$', '')"
+
+
+ORACLES["clean_completions"] = f"""with {V_COMPLETIONS},
+ a as (select doc_id, {fences(strip('code'))} t from v_completions),
+ b as (select doc_id, list_transform(string_split(t, chr(10)), lambda l: regexp_replace(l, '^[ \\t]+$', '')) ls from a),
+ c as (select doc_id, ls, list_transform(list_filter(ls, lambda l: l <> ''), lambda l: regexp_extract(l, '^[ \\t]*')) ind from b),
+ d as (select doc_id, ls, coalesce(list_max(list_filter(range(0, len(list_min(ind)) + 1),
+   lambda i: left(list_min(ind), i) = left(list_max(ind), i))), 0) margin from c),
+ e as (select doc_id, array_to_string(list_transform(ls, lambda l: substring(l, margin + 1)), chr(10)) t from d)
+select doc_id, replace(replace({strip('t')}, '\\n', chr(10)), '\\t', chr(9)) code from e"""
+
+ORACLES["extract_functions"] = f"""with {V_COMPLETIONS},
+ a as (select doc_id, case when doc_id % 10 = 9 then 'generation failed' end err, replace(code, '\\n', chr(10)) t from v_completions),
+ b as (select doc_id, err, regexp_replace(t, '(?s:if{WS}+__name__{WS}*=={WS}*[''"]__main__[''"]{WS}*:.*)', '') t from a),
+ c as (select doc_id, err, regexp_replace(t, 'import{WS}+doctest{WS}*\\n{WS}*doctest\\.testmod\\(\\)', '', 'g') t from b),
+ d as (select doc_id, err, {strip(fences('t'))} t from c)
+select doc_id, case when err is null then t else '' end code,
+  case when err is not null then err when t = '' then 'Could not extract executable code' end error from d"""
+
+DROPPED = (
+    r"<\|(endoftext|im_start|im_end|object_ref_start|object_ref_end|box_start|box_end|quad_start|quad_end|"
+    r"vision_start|vision_end|vision_pad|image_pad|video_pad)\|>"
+)
+ORACLES["special_token_scrub"] = f"""with {V_COMPLETIONS}
+select doc_id, regexp_replace(code, '{DROPPED}', '', 'g') code,
+  cast((length(code) - length(replace(code, '<|im_end|>', ''))) // 10 as bigint) ends,
+  cast((length(code) - length(replace(code, '<tool_call>', ''))) // 11 as bigint) tool_calls from v_completions"""
+
+ORACLES["termination_ratio"] = f"""with {V_COMPLETIONS},
+ a as (select source, {strip("string_split(" + strip('code') + ", chr(10))[-1]")} l from v_completions)
+select source, count(*) completions, 1.0e0 termination_ratio,
+  cast(count(*) filter (where l = '' or starts_with(l, 'return ') or starts_with(l, '\"\"\"')) as double) / count(*) ends_cleanly
+from a group by source"""
+
+ORACLES["rtf_clean"] = """select doc_id, replace(translate(text, '{}\\', '   '), chr(10), chr(10)) text from documents"""
+
+# --- conversations -----------------------------------------------------------
+
+ORACLES["chat_render"] = """with m as (select conv_id, turn, role,
+  case when turn = 0 and role = 'system' then '' else concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) end piece,
+  case when turn = 0 then concat('<|im_start|>system', chr(10), case when role = 'system' then text else 'You are a helpful assistant.' end, '<|im_end|>', chr(10)) else '' end opening
+  from conversations)
+select conv_id, cast(0 as bigint) part, concat(string_agg(opening || piece, '' order by turn), '<|im_start|>assistant', chr(10)) as text
+from m group by conv_id"""
+
+ORACLES["chat_render_tools"] = """with a as (select conv_id, turn, text,
+   case when role <> 'system' and turn > 0 and (turn + conv_id) % 5 < 2 then 'tool' else role end role from conversations),
+ b as (select *, role = 'assistant' and conv_id % 3 = 1 calls from a),
+ c as (select conv_id, turn, role, calls, case when calls and conv_id % 6 = 1 then '' else text end as text,
+   lag(role) over w before, lead(role) over w after from b window w as (partition by conv_id order by turn)),
+ p as (select conv_id, turn, case
+   when turn = 0 and role = 'system' then ''
+   when role = 'tool' then concat(case when before = 'tool' then '' else '<|im_start|>user' end, chr(10), '<tool_response>', chr(10), text,
+     chr(10), '</tool_response>', case when coalesce(after, '') = 'tool' then '' else '<|im_end|>' || chr(10) end)
+   when calls then concat('<|im_start|>assistant', case when text <> '' then chr(10) || text else '' end,
+     chr(10), '<tool_call>', chr(10), '{"name": "fn_', turn, '", "arguments": {"x": ', conv_id, '}}', chr(10), '</tool_call>',
+     chr(10), '<tool_call>', chr(10), '{"name": "next", "arguments": {}}', chr(10), '</tool_call>', '<|im_end|>', chr(10))
+   else concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) end piece,
+   case when turn = 0 then concat('<|im_start|>system', chr(10), case when role = 'system' then text else 'You are a helpful assistant.' end,
+     chr(10), chr(10), '# Tools', chr(10), chr(10), 'You may call one or more functions to assist with the user query.', chr(10), chr(10),
+     'You are provided with function signatures within <tools></tools> XML tags:', chr(10), '<tools>', chr(10), '{"name": "fn_1"}', chr(10), '{"name": "next"}',
+     chr(10), '</tools>', chr(10), chr(10), 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:',
+     chr(10), '<tool_call>', chr(10), '{"name": <function-name>, "arguments": <args-json-object>}', chr(10), '</tool_call><|im_end|>', chr(10)) else '' end opening
+   from c)
+select conv_id, cast(0 as bigint) part, string_agg(opening || piece, '' order by turn) as text from p group by conv_id"""
+
+# --- attempts and scores -----------------------------------------------------
+
+ORACLES["chain_resolution"] = f"""with {V_ATTEMPTS},
+ r as (select *, row_number() over (partition by task_id, method order by o_orderdate, o_orderkey) rn from v_attempts),
+ g as (select task_id, method, count(*) attempts, min(case when ok and produced then rn end) won, max(case when produced then rn end) made
+   from r group by task_id, method)
+select g.task_id, g.method, won is not null solved, attempts, coalesce(trim(r.code, chr(10) || ' '), '') code
+from g left join r on r.task_id = g.task_id and r.method = g.method and r.rn = coalesce(won, made)"""
+
+ORACLES["pass_at_k"] = f"""with {V_ATTEMPTS},
+ t as (select task_id, count(*) n, min(case when ok then rn_task end) hit from v_attempts group by task_id)
+select cast(k as int) k, count(*) tasks, count(*) filter (where n >= k and hit <= k) passed,
+  cast(count(*) filter (where n >= k and hit <= k) as double) / count(*) * 100 pass_at_k
+from t cross join (values (1), (5), (10)) v(k) group by k"""
+
+ORACLES["dataset_eval"] = f"""with {V_TASKS}, {V_ATTEMPTS},
+ f as (select task_id, method, ok from v_attempts
+   qualify row_number() over (partition by task_id, method order by o_orderdate, o_orderkey) = 1)
+select method, count(*) total_examples, count(*) filter (where ok and t.task_id is not null) passed_examples,
+  cast(count(*) filter (where ok and t.task_id is not null) as double) / count(*) * 100 pass_rate
+from f left join v_tasks t using (task_id) group by method"""
+
+ORACLES["run_summary"] = f"""with runs as (select {method_of('o_orderkey')} benchmark, date_trunc('month', o_orderdate) m,
+   count(*) filter (where o_orderstatus = 'F') passed_examples, count(*) total_examples, max(o_orderdate) as "timestamp",
+   round(sum(o_totalprice), 2) total_time, round(avg(o_totalprice), 4) avg_time_per_problem from orders group by 1, 2)
+select benchmark, passed_examples, total_examples, "timestamp", total_time, avg_time_per_problem,
+  concat(benchmark, ': ', passed_examples, '/', total_examples) report
+from runs qualify row_number() over (partition by benchmark order by "timestamp" desc) = 1"""
+
+ORACLES["run_timing"] = f"""select {method_of('o_orderkey')} as method, round(sum(o_totalprice), 2) total_time,
+  round(sum(o_totalprice) / count(*), 4) avg_time_per_problem from orders group by 1"""
+
+ORACLES["run_config_normalized"] = """with c as (select c_custkey, c_name, cast(c_nationkey as varchar) nk, c_nationkey % 2 = 0 even,
+   c_acctbal > 0 pos, c_mktsegment in ('BUILDING', 'MACHINERY') greedy from customer)
+select c_custkey, setting, value from (
+ select c_custkey, 'max_new_tokens' setting, '400' as value from c
+ union all select c_custkey, 'do_sample', case when greedy then 'false' else 'true' end from c
+ union all select c_custkey, 'temperature', case when greedy then '0.0' when pos then nk else '0.6' end from c
+ union all select c_custkey, 'top_k', case when greedy then '1' else nk end from c
+ union all select c_custkey, 'top_p', '1.0' from c where greedy
+ union all select c_custkey, 'pad_token_id', '151643' from c
+ union all select c_custkey, 'eos_token_id', '151643' from c
+ union all select c_custkey, case when even then 'num_beams' else 'seed' end, case when even and greedy then '1' else '5' end from c
+ union all select c_custkey, 'max_length', cast(length(c_name) + 400 as varchar) from c) x"""
+
+ORACLES["bleu_pairs"] = f"""with p as (select doc_id, doc_id % (select count(*) from benchmark) item_id,
+   list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '') w from documents),
+ b as (select item_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '') w from benchmark),
+ n as (select unnest([1, 2, 3, 4]) n),
+ cg as (select doc_id, item_id, n, g, count(*) c from (
+   select doc_id, item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) g
+   from p cross join n) x group by all),
+ rg as (select item_id, n, g, count(*) r from (
+   select item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) g
+   from b cross join n) x group by all),
+ m as (select doc_id, n, sum(least(c, r)) hits from cg join rg using (item_id, n, g) group by doc_id, n),
+ s as (select p.doc_id, len(p.w) h, len(b.w) r, n.n, coalesce(m.hits, 0) hits
+   from p join b using (item_id) cross join n left join m on m.doc_id = p.doc_id and m.n = n.n)
+select doc_id pair_id, round(case when max(case when n = 1 then hits end) = 0 then 0.0e0
+  else exp(sum(0.25e0 * ln(case when hits = 0 then 0.1e0 else hits end / greatest(h - n + 1, 1)))
+    + case when max(h) > max(r) then 0.0e0 else 1 - max(r) / cast(max(h) as double) end) end, 9) bleu
+from s group by doc_id"""
+
+ORACLES["exact_match"] = f"""with p as (select source, d.text cand,
+   case when doc_id % 2 = 0 then concat(' ', chr(9), d.text, chr(10)) else b.text end ref
+   from documents d join (select item_id, text from benchmark) b on b.item_id = d.doc_id % (select count(*) from benchmark))
+select source, count(*) pairs, avg(cast({strip('ref')} = {strip('cand')} as int)) exact_match from p group by source"""

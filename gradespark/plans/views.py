@@ -128,15 +128,40 @@ def completions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "source", code.alias("code"))
 
 
+def references(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("reference_id"), F.col("text").alias("reference")
+    )
+
+
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each document as a candidate for one benchmark text."""
-    bench = table(spark, folder, "benchmark")
-    n = bench.agg(F.count("*").alias("n")).scalar()
-    docs = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("pair_id"), (F.col("doc_id") % n).alias("item_id"),
-        F.col("source"), F.col("text").alias("candidate"),
+    n = table(spark, folder, "benchmark").agg(F.count("*").alias("n")).scalar()
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("pair_id"), (F.col("doc_id") % n).alias("reference_id"),
+        "source", F.col("text").alias("candidate"),
+    )
+
+
+def tool_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """conversations with some turns as tool answers and some as tool calls."""
+    turn, conv, role = F.col("turn"), F.col("conv_id"), F.col("role")
+    new_role = F.when(
+        (role != "system") & (turn > 0) & ((turn + conv) % 5 < 2), F.lit("tool")
+    ).otherwise(role)
+    calls = F.array(
+        F.struct(
+            F.concat(F.lit("fn_"), turn.cast("string")).alias("name"),
+            F.concat(F.lit('{"x": '), conv.cast("string"), F.lit("}")).alias("arguments"),
+        ),
+        F.struct(F.lit("next").alias("name"), F.lit("{}").alias("arguments")),
+    )
+    return (
+        table(spark, folder, "conversations")
+        .withColumn("role", new_role)
+        .withColumn("tool_calls", F.when((F.col("role") == "assistant") & (conv % 3 == 1), calls))
+        .withColumn("text", F.when((conv % 6 == 1) & F.col("tool_calls").isNotNull(), "").otherwise(F.col("text")))
     )
-    return docs.join(bench.select("item_id", F.col("text").alias("reference")), "item_id")
 
 
 def bags(spark: SparkSession, folder: str) -> DataFrame:
