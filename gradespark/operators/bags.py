@@ -24,19 +24,22 @@ def pool(
     *,
     key: str = "bag_id",
     weight: Column | None = None,
+    offset: Column | None = None,
     mean: bool = False,
 ) -> DataFrame:
     """(key, pooled ARRAY<DOUBLE>) over rows that carry their vector.
 
+    ``offset`` is one number per row that is added to every dimension.
     ``mean`` divides by the number of elements, not by the sum of weights.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
+    o = F.lit(0.0) if offset is None else offset.cast("double")
     blocks = -(-block_size // BLOCK)
     width = min(block_size, BLOCK)
-    elements = rows.select(F.col(key), w.alias("_w"), vector.alias("_v"))
+    elements = rows.select(F.col(key), w.alias("_w"), o.alias("_o"), vector.alias("_v"))
     if blocks > 1:
         elements = elements.select(
-            key, "_w", F.posexplode(
+            key, "_w", "_o", F.posexplode(
                 F.array(*[F.slice("_v", b * BLOCK + 1, BLOCK) for b in range(blocks)])
             ).alias("_block", "_v"),
         )
@@ -44,18 +47,20 @@ def pool(
     sums = [
         F.sum(F.col("_w") * F.get("_v", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(width)
     ]
-    summed = elements.groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
+    summed = elements.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_o").alias("_o"), *sums)
     values = F.array(*[F.col(f"_s{i}") for i in range(width)])
     if blocks > 1:
         # At most block_size / 64 rows per bag.
         values = F.filter(values, lambda x: x.isNotNull())
         parts = F.sort_array(F.collect_list(F.struct("_block", values.alias("v"))))
         summed = summed.groupBy(key).agg(
-            F.max("_n").alias("_n"), F.flatten(F.transform(parts, lambda p: p["v"])).alias("_sum")
+            F.max("_n").alias("_n"), F.max("_o").alias("_o"), F.flatten(F.transform(parts, lambda p: p["v"])).alias("_sum")
         )
     else:
-        summed = summed.select(key, "_n", values.alias("_sum"))
+        summed = summed.select(key, "_n", "_o", values.alias("_sum"))
     total = F.col("_sum")
+    if offset is not None:
+        total = F.transform(total, lambda x: x + F.col("_o"))
     if mean:
         total = F.transform(total, lambda x: x / F.col("_n"))
     return summed.select(key, total.alias("pooled"))
@@ -101,11 +106,9 @@ def quantized_bag(
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     joined = elements.join(table, "vec_id").withColumn("_weight", w)
-    with_bias = F.concat(F.col("q").cast("array<double>"), F.array(F.col("bias") / F.col("scale")))
-    sums = pool(joined, with_bias, block_size + 1, weight=F.col("_weight") * F.col("scale"), mean=mean)
-    bias = F.element_at("pooled", block_size + 1)
-    return sums.withColumn(
-        "pooled", F.transform(F.slice("pooled", 1, block_size), lambda x: x + bias)
+    return pool(
+        joined, F.col("q"), block_size, mean=mean,
+        weight=F.col("_weight") * F.col("scale"), offset=F.col("_weight") * F.col("bias"),
     )
 
 

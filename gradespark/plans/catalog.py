@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradespark.functions import rtf, text
-from gradespark.operators import attempts, chat, configs, logs, matrix, metrics, tasks
+from gradespark.functions import bits, rtf, text
+from gradespark.operators import (
+    attempts, bags, chat, configs, linalg, logs, matrix, metrics, reduce, scatter, tasks,
+)
+from gradespark.operators.ordering import with_group_position, with_running_sum
 from gradespark.plans import views
 from gradespark.sources import datasets
 
@@ -267,3 +271,196 @@ def exact_match(spark, folder):
         .groupBy("source")
         .agg(F.count("*").alias("pairs"), F.avg("exact_match").alias("exact_match"))
     )
+
+
+# --- embedding bags ----------------------------------------------------------
+
+DIM = 64
+
+
+def _long(pooled, places=4):
+    rounded = F.transform("pooled", lambda x: F.round(x, places))
+    return pooled.select("bag_id", F.posexplode(rounded).alias("d", "x"))
+
+
+@query
+def bag_sum(spark, folder):
+    listed = views.table(spark, folder, "customer").select(F.col("c_custkey").alias("bag_id"))
+    return _long(bags.embedding_bag(views.bags(spark, folder), views.embeddings(spark, folder), DIM, bags=listed))
+
+
+@query
+def bag_weighted(spark, folder):
+    elements = views.bags(spark, folder)
+    return _long(bags.embedding_bag(elements, views.embeddings(spark, folder), DIM, weight=F.col("weight")))
+
+
+@query
+def bag_positional(spark, folder):
+    elements = with_group_position(views.bags(spark, folder).drop("weight"), ["bag_id"], "element")
+    weights = views.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("pos"), (F.col("o_totalprice") / 100000).alias("weight")
+    )
+    weighted = bags.positional_weights(elements, weights)
+    return _long(bags.embedding_bag(weighted, views.embeddings(spark, folder), DIM, weight=F.col("weight")))
+
+
+@query
+def bag_mean(spark, folder):
+    return _long(bags.embedding_bag(views.bags(spark, folder), views.embeddings(spark, folder), DIM, mean=True))
+
+
+@query
+def bag_quantized(spark, folder):
+    elements, codes = views.bags(spark, folder), views.quantized(spark, folder)
+    return _long(bags.quantized_bag(elements, codes, DIM, weight=F.col("weight")))
+
+
+def _decoded(rows, decode):
+    return rows.select("vec_id", F.transform("bits", decode).alias("embedding"))
+
+
+@query
+def bag_half(spark, folder):
+    rows = _decoded(views.half_rows(spark, folder), bits.decode_half)
+    return _long(bags.embedding_bag(views.bags(spark, folder), rows, DIM))
+
+
+@query
+def bag_bfloat16(spark, folder):
+    rows = _decoded(views.bfloat16_rows(spark, folder), bits.decode_bfloat16)
+    return _long(bags.embedding_bag(views.bags(spark, folder), rows, DIM))
+
+
+@query
+def bag_lengths(spark, folder):
+    ranges = bags.ranges_from_lengths(views.bag_lengths(spark, folder))
+    elements = bags.bag_elements(ranges, views.flat_ids(spark, folder))
+    return _long(bags.embedding_bag(elements, views.embeddings(spark, folder), DIM))
+
+
+@query
+def bag_offsets(spark, folder):
+    """Offsets from 100 on, with a closing entry; ids cut into bags."""
+    running = with_running_sum(views.bag_lengths(spark, folder), "length", "bag_id", name="end")
+    starts = running.select((F.col("bag_id") + 1).alias("bag_no"), (F.col("end") + 100).alias("offset"))
+    first = spark.range(1).select(F.lit(0).cast("bigint").alias("bag_no"), F.lit(100).cast("bigint").alias("offset"))
+    ranges = bags.ranges_from_offsets(first.unionByName(starts))
+    return bags.bag_elements(ranges, views.flat_ids(spark, folder))
+
+
+@query
+def bag_call_check(spark, folder):
+    ranges = views.bag_lengths(spark, folder)
+    return bags.check_ranges(ranges, views.flat_ids(spark, folder), views.embeddings(spark, folder))
+
+
+@query
+def bag_bad_ids(spark, folder):
+    n = views.embeddings(spark, folder).agg(F.count("*").alias("n")).scalar()
+    planted = views.table(spark, folder, "events").select(
+        F.col("user_id").alias("bag_id"), "event_id", (F.col("event_id") % (n + 3) - 1).alias("vec_id")
+    )
+    return bags.bad_ids(planted, views.embeddings(spark, folder))
+
+
+# --- products ----------------------------------------------------------------
+
+
+@query
+def vec_dot(spark, folder):
+    vectors = views.embeddings(spark, folder)
+    n = vectors.agg(F.count("*").alias("n")).scalar()
+    ids = views.table(spark, folder, "events").select(
+        "event_id", (F.col("event_id") % n).alias("a"), ((F.col("event_id") * 7 + 3) % n).alias("b")
+    )
+    left = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
+    right = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    both = ids.join(left, "a").join(right, "b")
+    return both.select("event_id", F.round(linalg.vecdot(F.col("va"), F.col("vb")), 6).alias("dot"))
+
+
+@query
+def mat_vec(spark, folder):
+    rows = views.embeddings(spark, folder)
+    total = bags.pool(rows.withColumn("bag_id", F.lit(0)), F.col("embedding"), DIM)
+    product = linalg.matvec(rows, total.select(F.col("pooled").alias("v")))
+    return product.select("vec_id", F.round("value", 4).alias("value"))
+
+
+@query
+def vec_mat(spark, folder):
+    rows = views.embeddings(spark, folder)
+    vector = rows.select("vec_id", F.col("label").alias("x"))
+    return linalg.vecmat(vector, rows, DIM).select("j", F.round("value", 4).alias("value"))
+
+
+@query
+def mat_mul(spark, folder):
+    rows = views.embeddings(spark, folder)
+    left = rows.select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v"))
+    right = rows.select(F.col("vec_id").alias("k"), F.col("embedding").alias("row"))
+    return linalg.matmul(left, right, DIM).select("i", "j", F.round("value", 4).alias("value"))
+
+
+# --- reductions and scatter updates ------------------------------------------
+
+
+@query
+def reduce_all(spark, folder):
+    rows = views.table(spark, folder, "lineitem").withColumn("growth", 1 + F.col("l_tax") / 1000)
+    one = lambda name, column: reduce.reduction(name, column).alias(name)
+    return rows.groupBy("l_returnflag").agg(
+        F.round(reduce.reduction("add", "l_extendedprice"), 2).alias("add"),
+        F.round(reduce.reduction("multiply", "growth"), 6).alias("multiply"),
+        one("bitwise_and", "l_orderkey"), one("bitwise_or", "l_orderkey"), one("bitwise_xor", "l_orderkey"),
+        one("logical_and", "l_linenumber"), one("logical_or", "l_tax"), one("logical_xor", "l_discount"),
+        one("maximum", "l_quantity"), one("minimum", "l_quantity"),
+        one("fmax", "l_extendedprice"), one("fmin", "l_extendedprice"),
+        F.round(reduce.reduction("hypot", "l_quantity"), 4).alias("hypot"),
+    )
+
+
+@query
+def reduce_logaddexp(spark, folder):
+    rows = views.table(spark, folder, "lineitem")
+    natural = reduce.logaddexp_reduce(rows, "l_quantity", "l_returnflag", "l_linestatus")
+    binary = reduce.logaddexp_reduce(rows, "l_quantity", "l_returnflag", "l_linestatus", base2=True)
+    return natural.join(binary.withColumnRenamed("value", "value2"), ["l_returnflag", "l_linestatus"]).select(
+        "l_returnflag", "l_linestatus", F.round("value", 6).alias("logaddexp"), F.round("value2", 6).alias("logaddexp2")
+    )
+
+
+@query
+def reduce_gcd(spark, folder):
+    rows = views.table(spark, folder, "lineitem").withColumn("n", (F.col("l_quantity") * 6).cast("bigint"))
+    return reduce.gcd_reduce(rows, "l_suppkey", "n").withColumnRenamed("value", "gcd")
+
+
+@query
+def scatter_update(spark, folder):
+    target = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value"))
+    lines = views.table(spark, folder, "lineitem").where(F.col("l_returnflag") != "A")
+    sums = lines.select(F.col("l_partkey").alias("idx"), F.col("l_quantity").alias("u"))
+    factors = lines.select(F.col("l_partkey").alias("idx"), (1 + F.col("l_tax")).alias("u"))
+    limits = lines.select(F.col("l_partkey").alias("idx"), (F.col("l_extendedprice") / 40).alias("u"))
+    updates = {
+        "add": sums, "subtract": sums, "multiply": factors, "divide": factors,
+        "maximum": limits, "minimum": limits, "fmax": limits, "fmin": limits,
+    }
+    parts = [
+        scatter.scatter(target, rows, op).select(F.lit(op).alias("op"), "idx", F.round("value", 6).alias("value"))
+        for op, rows in updates.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query
+def scatter_floor_divide(spark, folder):
+    target = views.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("idx"), (F.col("p_partkey") * 1000003 - 900000000).alias("value")
+    )
+    updates = views.table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("idx"), F.when(F.col("l_linenumber") > 5, 2).otherwise(1).alias("u")
+    )
+    return scatter.scatter(target, updates, "floor_divide")

@@ -302,3 +302,106 @@ ORACLES["exact_match"] = f"""with p as (select source, d.text cand,
    case when doc_id % 2 = 0 then concat(' ', chr(9), d.text, chr(10)) else b.text end ref
    from documents d join (select item_id, text from benchmark) b on b.item_id = d.doc_id % (select count(*) from benchmark))
 select source, count(*) pairs, avg(cast({strip('ref')} = {strip('cand')} as int)) exact_match from p group by source"""
+
+
+# --- embedding bags ----------------------------------------------------------
+
+
+def rnd(x: str, places: int) -> str:
+    # DuckDB rounds to -0.0 where Spark gives 0.0.
+    return f"case when round({x}, {places}) = 0 then 0.0e0 else round({x}, {places}) end"
+
+
+V_EMB = """v_emb as (select vec_id, cast(unnest(range(0, len(embedding))) as int) d, cast(unnest(embedding) as double) x from embeddings)"""
+
+V_BAGS = """v_bags as (select user_id bag_id, event_id element, event_id * 7 % (select count(*) from embeddings) vec_id,
+  value weight, row_number() over (partition by user_id order by event_id) - 1 pos from events)"""
+
+ORACLES["bag_sum"] = f"""with {V_EMB}, {V_BAGS},
+ s as (select bag_id, d, sum(x) x from v_bags join v_emb using (vec_id) group by bag_id, d),
+ g as (select c_custkey bag_id, cast(d as int) d from customer cross join (select unnest(range(0, 64)) d) r)
+select bag_id, d, {rnd('coalesce(x, 0.0e0)', 4)} x from g left join s using (bag_id, d)"""
+
+ORACLES["bag_weighted"] = f"""with {V_EMB}, {V_BAGS}
+select bag_id, d, {rnd('sum(weight * x)', 4)} x from v_bags join v_emb using (vec_id) group by bag_id, d"""
+
+ORACLES["bag_positional"] = f"""with {V_EMB}, {V_BAGS}
+select bag_id, d, {rnd('sum(o_totalprice / 100000 * x)', 4)} x from v_bags join orders on o_orderkey = pos
+join v_emb using (vec_id) group by bag_id, d"""
+
+ORACLES["bag_mean"] = f"""with {V_EMB}, {V_BAGS}
+select bag_id, d, {rnd('sum(x) / count(*)', 4)} x from v_bags join v_emb using (vec_id) group by bag_id, d"""
+
+ORACLES["bag_quantized"] = f"""with {V_EMB}, {V_BAGS},
+ l as (select vec_id, d, x, min(x) over (partition by vec_id) lo, max(x) over (partition by vec_id) hi from v_emb),
+ q as (select vec_id, d, lo, (hi - lo) / 255.0e0 scale, round((x - lo) / ((hi - lo) / 255.0e0)) q from l)
+select bag_id, d, {rnd('sum(weight * (scale * q + lo))', 4)} x from v_bags join q using (vec_id) group by bag_id, d"""
+
+V_CUT = """v_cut as (select vec_id, d, sign(x) * case when x = 0 then 0
+  when floor(log2(abs(x))) < {low} then floor(abs(x) * pow(2.0e0, {mant} - ({low}))) / pow(2.0e0, {mant} - ({low}))
+  else floor(abs(x) / pow(2.0e0, floor(log2(abs(x))) - {mant})) * pow(2.0e0, floor(log2(abs(x))) - {mant}) end x
+  from v_emb where x <> 0 union all select vec_id, d, 0.0e0 from v_emb where x = 0)"""
+
+for _name, _low, _mant in (("bag_half", -14, 10), ("bag_bfloat16", -126, 7)):
+    ORACLES[_name] = f"""with {V_EMB}, {V_CUT.format(low=_low, mant=_mant)}, {V_BAGS}
+select bag_id, d, {rnd('sum(x)', 4)} x from v_bags join v_cut using (vec_id) group by bag_id, d"""
+
+V_RANGES = """v_len as (select user_id bag_id, count(*) length from events group by user_id),
+ v_ranges as (select bag_id, length, sum(length) over (order by bag_id) - length start from v_len),
+ v_cutbags as (select bag_id, cast(event_id - start as bigint) pos, event_id * 7 % (select count(*) from embeddings) vec_id
+  from v_ranges join events on event_id >= start and event_id < start + length)"""
+
+ORACLES["bag_lengths"] = f"""with {V_EMB}, {V_RANGES}
+select bag_id, d, {rnd('sum(x)', 4)} x from v_cutbags join v_emb using (vec_id) group by bag_id, d"""
+
+ORACLES["bag_offsets"] = f"with {V_RANGES} select bag_id, pos, vec_id from v_cutbags"
+
+ORACLES["bag_call_check"] = """select cast(sum(length) as bigint) listed, min(length) shortest, (select count(*) from events) ids,
+ cast(0 as bigint) bad_ids, sum(length) = (select count(*) from events) and min(length) >= 0 valid
+from (select count(*) length from events group by user_id)"""
+
+ORACLES["bag_bad_ids"] = """with p as (select user_id bag_id, event_id, event_id % ((select count(*) from embeddings) + 3) - 1 vec_id from events)
+select * from p where vec_id not in (select vec_id from embeddings)"""
+
+# --- products ----------------------------------------------------------------
+
+ORACLES["vec_dot"] = f"""with {V_EMB}, n as (select count(*) n from embeddings),
+ e as (select event_id, event_id % n a, (event_id * 7 + 3) % n b from events cross join n)
+select event_id, {rnd('sum(x.x * y.x)', 6)} dot from e join v_emb x on x.vec_id = a join v_emb y on y.vec_id = b and y.d = x.d group by event_id"""
+
+ORACLES["mat_vec"] = f"""with {V_EMB}, v as (select d, sum(x) s from v_emb group by d)
+select vec_id, {rnd('sum(x * s)', 4)} as value from v_emb join v using (d) group by vec_id"""
+
+ORACLES["vec_mat"] = f"""with {V_EMB}
+select d j, {rnd('sum(x * label)', 4)} as value from v_emb join embeddings using (vec_id) group by d"""
+
+ORACLES["mat_mul"] = f"""with {V_EMB}
+select a.d i, b.d j, {rnd('sum(a.x * b.x)', 4)} as value from v_emb a join v_emb b using (vec_id) group by a.d, b.d"""
+
+# --- reductions and scatter updates ------------------------------------------
+
+ORACLES["reduce_all"] = """select l_returnflag, round(sum(l_extendedprice), 2) add, round(product(1 + l_tax / 1000), 6) multiply,
+ bit_and(l_orderkey) bitwise_and, bit_or(l_orderkey) bitwise_or, bit_xor(l_orderkey) bitwise_xor,
+ bool_and(l_linenumber <> 0) logical_and, bool_or(l_tax <> 0) logical_or,
+ count(*) filter (where l_discount <> 0) % 2 = 1 logical_xor,
+ max(l_quantity) maximum, min(l_quantity) minimum, max(l_extendedprice) fmax, min(l_extendedprice) fmin,
+ round(sqrt(sum(l_quantity * l_quantity)), 4) hypot from lineitem group by l_returnflag"""
+
+ORACLES["reduce_logaddexp"] = """select l_returnflag, l_linestatus, round(ln(sum(exp(l_quantity))), 6) logaddexp,
+ round(log2(sum(pow(2.0e0, l_quantity))), 6) logaddexp2 from lineitem group by 1, 2"""
+
+ORACLES["reduce_gcd"] = """select l_suppkey, list_reduce(list(cast(l_quantity * 6 as bigint)), lambda x, y: greatest_common_divisor(x, y)) gcd
+from lineitem group by l_suppkey"""
+
+ORACLES["scatter_update"] = f"""with u as (select l_partkey idx, sum(l_quantity) s, product(1 + l_tax) f,
+   max(l_extendedprice / 40) hi, min(l_extendedprice / 40) lo from lineitem where l_returnflag <> 'A' group by l_partkey),
+ t as (select p_partkey idx, p_retailprice v, s, f, hi, lo from part left join u on idx = p_partkey),
+ r as (select 'add' op, idx, coalesce(v + s, v) x from t union all select 'subtract', idx, coalesce(v - s, v) from t
+   union all select 'multiply', idx, coalesce(v * f, v) from t union all select 'divide', idx, coalesce(v / f, v) from t
+   union all select 'maximum', idx, greatest(v, hi) from t union all select 'minimum', idx, least(v, lo) from t
+   union all select 'fmax', idx, greatest(v, hi) from t union all select 'fmin', idx, least(v, lo) from t)
+select op, idx, {rnd('x', 6)} as value from r"""
+
+ORACLES["scatter_floor_divide"] = """with u as (select l_partkey idx, count(*) filter (where l_linenumber > 5) n from lineitem group by l_partkey)
+select p_partkey idx, cast(floor((p_partkey * 1000003 - 900000000) / pow(2.0e0, coalesce(n, 0))) as bigint) as value
+from part left join u on idx = p_partkey"""

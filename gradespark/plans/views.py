@@ -171,3 +171,58 @@ def bags(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("bag_id"), F.col("event_id").alias("element"),
         (F.col("event_id") * 7 % n).alias("vec_id"), F.col("value").alias("weight"),
     )
+
+
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings")
+
+
+def quantized(spark: SparkSession, folder: str) -> DataFrame:
+    """embeddings as 8-bit codes with a scale and bias per row."""
+    x = F.col("embedding").cast("array<double>")
+    low, high = F.array_min("x"), F.array_max("x")
+    coded = embeddings(spark, folder).select("vec_id", x.alias("x")).select(
+        "vec_id", "x", low.alias("bias"), ((high - low) / 255).alias("scale")
+    )
+    return coded.select(
+        "vec_id", "bias", "scale",
+        F.transform("x", lambda v: F.round((v - F.col("bias")) / F.col("scale")).cast("int")).alias("q"),
+    )
+
+
+def _bits(x, mantissa: int, bias: int, lowest: int):
+    """Pattern of |x| cut off after ``mantissa`` bits, as SMALLINT."""
+    size = F.abs(x)
+    exponent = F.floor(F.log2(F.when(size > 0, size))).cast("int")
+    unit = float(1 << mantissa)
+    normal = (exponent + bias) * int(unit) + F.floor(
+        (size / F.pow(F.lit(2.0), exponent.cast("double")) - 1) * unit
+    )
+    tiny = F.floor(size * (2.0 ** (mantissa - lowest)))
+    bits = F.when(size == 0, F.lit(0)).when(exponent < lowest, tiny).otherwise(normal)
+    return F.when(x < 0, bits - 32768).otherwise(bits).cast("smallint")
+
+
+def half_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings(spark, folder).select(
+        "vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: _bits(x, 10, 15, -14)).alias("bits")
+    )
+
+
+def bfloat16_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings(spark, folder).select(
+        "vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: _bits(x, 7, 127, -126)).alias("bits")
+    )
+
+
+def flat_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """events as one flat list of ids."""
+    n = embeddings(spark, folder).agg(F.count("*").alias("n")).scalar()
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("flat"), (F.col("event_id") * 7 % n).alias("vec_id")
+    )
+
+
+def bag_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The event count of each user as the length of a bag."""
+    return table(spark, folder, "events").groupBy(F.col("user_id").alias("bag_id")).agg(F.count("*").alias("length"))
