@@ -8,7 +8,8 @@ semantics. NULL stands for a missing value and stays NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window  # noqa: F401
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -24,6 +25,457 @@ def _guard(x: Column, value: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == INF), x).otherwise(value)
 
 
+def _nan_if(condition: Column, value: Column) -> Column:
+    return F.when(condition, NAN).otherwise(value)
+
+
+def _either_nan(x: Column, y: Column) -> Column:
+    return F.isnan(_d(x)) | F.isnan(_d(y))
+
+
+# --- arithmetic --------------------------------------------------------------
+
+
+def add(x, y):
+    return x + y
+
+
+def subtract(x, y):
+    return x - y
+
+
+def multiply(x, y):
+    return x * y
+
+
+def divide(x, y):
+    """True division; by zero it gives an infinity or NaN."""
+    x, y = _d(x), _d(y)
+    return F.when(y == 0, x * F.when(signbit(y), -INF).otherwise(INF)).otherwise(F.try_divide(x, y))
+
+
+def fmod(x, y):
+    """Remainder with the sign of the dividend."""
+    x, y = _d(x), _d(y)
+    return F.when(y == 0, NAN).otherwise(F.try_mod(x, y))
+
+
+def remainder(x, y):
+    """Remainder with the sign of the divisor."""
+    y, rest = _d(y), fmod(x, y)
+    return F.when((rest != 0) & (signbit(rest) != signbit(y)), rest + y).otherwise(rest)
+
+
+def floor_divide(x, y):
+    x, y = _d(x), _d(y)
+    rest = fmod(x, y)
+    below = (rest != 0) & (signbit(rest) != signbit(y))
+    quotient = F.try_divide(x - rest, y) - below.cast("double")
+    return F.when(y == 0, divide(x, y)).otherwise(_guard(quotient, F.rint(quotient)))
+
+
+def floor_divide_int(x, y):
+    """Exact floor division of integers; by zero it gives 0."""
+    y = F.when(y != 0, y)
+    rest = x % y
+    rest = F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
+    return F.coalesce(F.call_function("div", x - rest, y), F.lit(0).cast("bigint"))
+
+
+def divmod(x, y):  # noqa: A001
+    return F.struct(floor_divide(x, y).alias("quotient"), remainder(x, y).alias("remainder"))
+
+
+def absolute(x):
+    return F.abs(x)
+
+
+def fabs(x):
+    return F.abs(_d(x))
+
+
+def negative(x):
+    return -x
+
+
+def positive(x):
+    return x
+
+
+def reciprocal(x):
+    return divide(F.lit(1.0), x)
+
+
+def square(x):
+    return x * x
+
+
+def sqrt(x):
+    return F.sqrt(_d(x))
+
+
+def cbrt(x):
+    return F.cbrt(_d(x))
+
+
+def power(x, y):
+    """1 to any power is 1, and so is -1 to an infinite one."""
+    x, y = _d(x), _d(y)
+    one = (x == 1) & y.isNotNull() | (x == -1) & (F.abs(y) == INF)
+    return F.when(one, 1.0).otherwise(F.pow(x, y))
+
+
+float_power = power
+
+
+def hypot(x, y):
+    return F.hypot(x, y)
+
+
+def ones_like(x, dtype: str = "double"):
+    """1 for every value that is there."""
+    return F.when(x.isNotNull(), F.lit(1).cast(dtype))
+
+
+# --- exponentials and logarithms ---------------------------------------------
+
+
+def exp(x):
+    return F.exp(x)
+
+
+def exp2(x):
+    return F.pow(F.lit(2.0), _d(x))
+
+
+def expm1(x):
+    return F.expm1(x)
+
+
+def _log(x, value, edge: float):
+    return F.when(x > edge, value).when(x == edge, -INF).when(x.isNotNull(), NAN)
+
+
+def log(x):
+    x = _d(x)
+    return _log(x, F.when(F.isnan(x), NAN).otherwise(F.ln(x)), 0.0)
+
+
+def log2(x):
+    x = _d(x)
+    return _log(x, F.when(F.isnan(x), NAN).otherwise(F.log2(x)), 0.0)
+
+
+def log10(x):
+    x = _d(x)
+    return _log(x, F.when(F.isnan(x), NAN).otherwise(F.log10(x)), 0.0)
+
+
+def log1p(x):
+    x = _d(x)
+    return _log(x, F.when(F.isnan(x), NAN).otherwise(F.log1p(x)), -1.0)
+
+
+def logaddexp(x, y):
+    """log(exp(x) + exp(y)); equal arguments, infinities too, add ln 2."""
+    x, y = _d(x), _d(y)
+    far = F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
+    return _nan_if(_either_nan(x, y), F.when(x == y, x + F.lit(0.6931471805599453)).otherwise(far))
+
+
+def logaddexp2(x, y):
+    """log2(2**x + 2**y)."""
+    x, y = _d(x), _d(y)
+    far = F.greatest(x, y) + F.log1p(exp2(-F.abs(x - y))) / F.lit(0.6931471805599453)
+    return _nan_if(_either_nan(x, y), F.when(x == y, x + 1).otherwise(far))
+
+
+# --- trigonometry ------------------------------------------------------------
+
+
+def sin(x):
+    return F.sin(x)
+
+
+def cos(x):
+    return F.cos(x)
+
+
+def tan(x):
+    return F.tan(x)
+
+
+def arcsin(x):
+    return F.asin(x)
+
+
+def arccos(x):
+    return F.acos(x)
+
+
+def arctan(x):
+    return F.atan(x)
+
+
+def arctan2(y, x):
+    """Spark's own function takes -0.0 for 0.0."""
+    y, x = _d(y), _d(x)
+    flat = copysign(F.when(signbit(x), F.pi()).otherwise(0.0), y)
+    return F.when((y == 0) & ~F.isnan(x), flat).otherwise(F.atan2(y, x))
+
+
+def sinh(x):
+    return F.sinh(x)
+
+
+def cosh(x):
+    return F.cosh(x)
+
+
+def tanh(x):
+    return F.tanh(x)
+
+
+def arcsinh(x):
+    return F.asinh(x)
+
+
+def arccosh(x):
+    return F.acosh(x)
+
+
+def arctanh(x):
+    return F.atanh(x)
+
+
+def degrees(x):
+    return F.degrees(x)
+
+
+def radians(x):
+    return F.radians(x)
+
+
+rad2deg = degrees
+deg2rad = radians
+
+
+# --- rounding ----------------------------------------------------------------
+
+
+def ceil(x):
+    x = _d(x)
+    return _guard(x, _wide(x, F.ceil(x)))
+
+
+def floor(x):
+    x = _d(x)
+    return _guard(x, _wide(x, F.floor(x)))
+
+
+def _wide(x, rounded):
+    """The rounded value, but x itself where every double is an integer."""
+    return F.when(F.abs(x) >= float(1 << 52), x).otherwise(rounded.cast("double"))
+
+
+def trunc(x):
+    return F.when(_d(x) < 0, ceil(x)).otherwise(floor(x))
+
+
+def rint(x):
+    return F.rint(_d(x))
+
+
+def modf(x):
+    """(fraction, integral); an infinity has the fraction 0."""
+    x = _d(x)
+    whole = trunc(x)
+    fraction = F.when(F.abs(x) == INF, copysign(F.lit(0.0), x)).otherwise(x - whole)
+    return F.struct(fraction.alias("fraction"), whole.alias("integral"))
+
+
+def clip(x, low, high):
+    return minimum(maximum(x, low), high)
+
+
+# --- comparison --------------------------------------------------------------
+
+
+def equal(x, y):
+    return (x == y) & ~_either_nan(x, y)
+
+
+def not_equal(x, y):
+    return (x != y) | _either_nan(x, y)
+
+
+def greater(x, y):
+    return (x > y) & ~_either_nan(x, y)
+
+
+def greater_equal(x, y):
+    return (x >= y) & ~_either_nan(x, y)
+
+
+def less(x, y):
+    return (x < y) & ~_either_nan(x, y)
+
+
+def less_equal(x, y):
+    return (x <= y) & ~_either_nan(x, y)
+
+
+def maximum(x, y):
+    """The larger one; NaN if either is NaN, NULL if either is missing."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y))
+
+
+def minimum(x, y):
+    return F.when(x.isNotNull() & y.isNotNull(), _nan_if(_either_nan(x, y), F.least(x, y)))
+
+
+def fmax(x, y):
+    """The larger one; NaN only if both are NaN."""
+    x, y = _d(x), _d(y)
+    return F.greatest(F.nanvl(x, y), F.nanvl(y, x))
+
+
+def fmin(x, y):
+    x, y = _d(x), _d(y)
+    return F.least(F.nanvl(x, y), F.nanvl(y, x))
+
+
+def heaviside(x, y):
+    x, y = _d(x), _d(y)
+    return F.when(F.isnan(x), NAN).when(x < 0, 0.0).when(x == 0, y).when(x > 0, 1.0)
+
+
+def sign(x):
+    return F.signum(_d(x))
+
+
+# --- logic and bits ----------------------------------------------------------
+
+
+def _truth(x):
+    return _d(x) != 0
+
+
+def logical_and(x, y):
+    return _truth(x) & _truth(y)
+
+
+def logical_or(x, y):
+    return _truth(x) | _truth(y)
+
+
+def logical_xor(x, y):
+    return _truth(x) != _truth(y)
+
+
+def logical_not(x):
+    return ~_truth(x)
+
+
+def bitwise_and(x, y):
+    return x.bitwiseAND(y)
+
+
+def bitwise_or(x, y):
+    return x.bitwiseOR(y)
+
+
+def bitwise_xor(x, y):
+    return x.bitwiseXOR(y)
+
+
+def invert(x):
+    return F.bitwise_not(x)
+
+
+def bitwise_count(x):
+    """Bits set in the absolute value."""
+    x = x.cast("bigint")
+    return F.when(x == -(1 << 63), 1).otherwise(F.bit_count(F.abs(F.greatest(x, F.lit(1 - (1 << 63))))))
+
+
+def left_shift(x, n):
+    """Shift as 64-bit number; Spark alone would wrap the count."""
+    return F.when(n >= 64, F.lit(0).cast("bigint")).otherwise(
+        F.call_function("shiftleft", x.cast("bigint"), n.cast("int"))
+    )
+
+
+def right_shift(x, n):
+    return F.call_function("shiftright", x.cast("bigint"), F.least(n, F.lit(63)).cast("int"))
+
+
+def gcd(x, y):
+    """Greatest common divisor, by Arrow batches: Spark has no such function."""
+
+    @F.pandas_udf("bigint")
+    def divisor(a: pd.Series, b: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        there = a.notna() & b.notna()
+        out = pd.Series(pd.NA, index=a.index, dtype="Int64")
+        out[there] = np.gcd(a[there].astype("int64"), b[there].astype("int64"))
+        return out
+
+    return divisor(x.cast("bigint"), y.cast("bigint"))
+
+
+def lcm(x, y):
+    """Least common multiple."""
+
+    @F.pandas_udf("bigint")
+    def multiple(a: pd.Series, b: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        there = a.notna() & b.notna()
+        out = pd.Series(pd.NA, index=a.index, dtype="Int64")
+        out[there] = np.lcm(a[there].astype("int64"), b[there].astype("int64"))
+        return out
+
+    return multiple(x.cast("bigint"), y.cast("bigint"))
+
+
+# --- classes of floats -------------------------------------------------------
+
+
+def isnan(x):
+    return F.isnan(_d(x))
+
+
+def isinf(x):
+    return F.abs(_d(x)) == INF
+
+
+def isfinite(x):
+    return ~isnan(x) & ~isinf(x)
+
+
+def isnat(x):
+    """A missing time is NULL."""
+    return x.isNull()
+
+
+def signbit(x):
+    """True for negative numbers and for -0.0, which only its text tells from 0.0."""
+    x = _d(x)
+    return (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
+
+
+def copysign(x, y):
+    size = F.abs(_d(x))
+    return F.when(signbit(y), -size).otherwise(size)
+
+
+# --- labels ------------------------------------------------------------------
+
+
 def one_decimal(x: Column) -> Column:
     """``'%.1f' % x`` for x >= 0, rounding the exact binary value half to even."""
     tenths = F.floor(x * 10).cast("bigint")

@@ -19,7 +19,8 @@ def matvec(rows: DataFrame, vector: DataFrame, row: str = "vec_id", values: str
 
     The vector has one entry per column of the matrix, so it fits a row.
     """
-    return rows.select(row, vecdot(F.col(values), vector.select("v").scalar()).alias("value"))
+    with_vector = rows.withColumn("_v", vector.select("v").scalar())
+    return with_vector.select(row, vecdot(F.col(values), F.col("_v")).alias("value"))
 
 
 def vecmat(vector: DataFrame, rows: DataFrame, width: int, row: str = "vec_id", values: str = "embedding") -> DataFrame:

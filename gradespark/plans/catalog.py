@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradespark.functions import bits, rtf, text
+from gradespark.functions import numeric as num
+from gradespark.functions import strings as strs
 from gradespark.operators import (
     attempts, bags, chat, configs, linalg, logs, matrix, metrics, reduce, scatter, tasks,
 )
@@ -464,3 +466,213 @@ def scatter_floor_divide(spark, folder):
         F.col("l_partkey").alias("idx"), F.when(F.col("l_linenumber") > 5, 2).otherwise(1).alias("u")
     )
     return scatter.scatter(target, updates, "floor_divide")
+
+
+# --- column functions --------------------------------------------------------
+
+
+def _rounded(**columns):
+    return [F.round(column, 6).alias(name) for name, column in columns.items()]
+
+
+def _named(**columns):
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def _orders(spark, folder):
+    rows = views.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    signed = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    return rows.withColumn("x", signed / 1000).withColumn("y", (F.col("o_custkey") % 7 - 3).cast("double"))
+
+
+@query
+def fn_arith(spark, folder):
+    x, y = F.col("x"), F.col("y")
+    both = num.divmod(x, y)
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_rounded(
+            add_=num.add(x, y), subtract_=num.subtract(x, y), multiply_=num.multiply(x, y), divide_=num.divide(x, y),
+            fmod_=num.fmod(x, y), remainder_=num.remainder(x, y), absolute_=num.absolute(x), fabs_=num.fabs(x),
+            negative_=num.negative(x), positive_=num.positive(x), reciprocal_=num.reciprocal(x), square_=num.square(x),
+            sqrt_=num.sqrt(num.absolute(x)), cbrt_=num.cbrt(x), power_=num.power(x, F.lit(3)),
+            float_power_=num.float_power(num.absolute(x), F.lit(0.5)), hypot_=num.hypot(x, y),
+            floor_divide_=num.floor_divide(x, y), quotient_=both["quotient"], rest_=both["remainder"],
+        ),
+        num.ones_like(x).alias("ones_like_"),
+        num.floor_divide_int(F.col("o_orderkey") - 5000, F.col("o_custkey") % 7 - 3).alias("floor_divide_int_"),
+    )
+
+
+@query
+def fn_exp_log(spark, folder):
+    x, small = F.col("x"), F.col("x") / 100
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_rounded(
+            exp_=num.exp(small), exp2_=num.exp2(small), expm1_=num.expm1(small), log_=num.log(x), log2_=num.log2(x),
+            log10_=num.log10(x), log1p_=num.log1p(x), log_zero_=num.log(x * 0),
+            logaddexp_=num.logaddexp(x, F.col("y")), logaddexp2_=num.logaddexp2(x, F.col("y")),
+        ),
+    )
+
+
+@query
+def fn_trig(spark, folder):
+    x = F.col("x")
+    unit = x / 1000
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_rounded(
+            sin_=num.sin(x), cos_=num.cos(x), tan_=num.tan(unit), arcsin_=num.arcsin(unit), arccos_=num.arccos(unit),
+            arctan_=num.arctan(x), arctan2_=num.arctan2(x, F.col("y")), sinh_=num.sinh(unit), cosh_=num.cosh(unit),
+            tanh_=num.tanh(x), arcsinh_=num.arcsinh(unit), arccosh_=num.arccosh(num.absolute(x) + 1),
+            arctanh_=num.arctanh(unit), degrees_=num.degrees(unit), radians_=num.radians(x),
+            rad2deg_=num.rad2deg(unit), deg2rad_=num.deg2rad(x),
+        ),
+    )
+
+
+@query
+def fn_round(spark, folder):
+    x, half = F.col("x"), F.col("o_orderkey") / 2
+    parts = num.modf(x)
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_rounded(
+            ceil_=num.ceil(x), floor_=num.floor(x), trunc_=num.trunc(x), rint_=num.rint(half),
+            fraction_=parts["fraction"], integral_=parts["integral"], clip_=num.clip(x, F.lit(-50.0), F.lit(80.0)),
+        ),
+    )
+
+
+@query
+def fn_compare(spark, folder):
+    x, y = F.rint("x"), F.col("y") * 20
+    nan = F.when(F.col("o_orderkey") % 10 == 0, F.lit(float("nan"))).otherwise(y)
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_named(
+            equal_=num.equal(x, y), not_equal_=num.not_equal(nan, nan), greater_=num.greater(nan, x),
+            greater_equal_=num.greater_equal(x, y), less_=num.less(x, y), less_equal_=num.less_equal(x, nan),
+        ),
+        *_rounded(
+            maximum_=num.maximum(x, y), minimum_=num.minimum(x, y), fmax_=num.fmax(x, nan), fmin_=num.fmin(nan, x),
+            heaviside_=num.heaviside(F.col("y"), F.lit(0.5)), sign_=num.sign(F.col("y")),
+        ),
+    )
+
+
+@query
+def fn_logic_bits(spark, folder):
+    a, b, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_custkey") % 5
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_named(
+            bitwise_and_=num.bitwise_and(a, b), bitwise_or_=num.bitwise_or(a, b), bitwise_xor_=num.bitwise_xor(a, b),
+            invert_=num.invert(a), bitwise_count_=num.bitwise_count(-a).cast("bigint"), left_shift_=num.left_shift(a, n),
+            right_shift_=num.right_shift(a, n), logical_and_=num.logical_and(n, a % 2), logical_or_=num.logical_or(n, a % 2),
+            logical_xor_=num.logical_xor(n, a % 2), logical_not_=num.logical_not(n),
+        ),
+    )
+
+
+@query
+def fn_float_class(spark, folder):
+    z = num.divide(F.col("x"), F.when(F.col("o_orderkey") % 4 < 2, 0.0).otherwise(1.0))
+    z = F.when(F.col("o_orderkey") % 8 == 0, F.lit(float("nan"))).otherwise(z)
+    return _orders(spark, folder).select(
+        "o_orderkey",
+        *_named(isnan_=num.isnan(z), isinf_=num.isinf(z), isfinite_=num.isfinite(z), signbit_=num.signbit(F.col("x"))),
+        F.round(num.copysign(F.lit(2.5), F.col("x")), 6).alias("copysign_"),
+    )
+
+
+@query
+def fn_datetime(spark, folder):
+    """Dates and intervals through the same functions."""
+    day = F.expr("interval 1 day")
+    start = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
+    gap = num.subtract(F.col("o_orderdate"), start)
+    twice = num.multiply(gap, F.lit(2))
+    rows = views.table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).alias("sometimes"),
+    )
+    return rows.select(
+        "o_orderkey",
+        num.add(F.col("o_orderdate"), day).alias("next_day"),
+        num.subtract(F.col("o_orderdate"), day).alias("day_before"),
+        num.add(start, twice).alias("mirrored"),
+        num.add(start, gap / F.lit(2)).alias("halfway"),
+        (F.col("o_orderdate") > start).alias("later"),
+        F.greatest("o_orderdate", start).alias("latest"),
+        num.isnat(F.col("sometimes")).alias("isnat_"),
+    )
+
+
+@query
+def fn_gcd_lcm(spark, folder):
+    lines = views.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    a, b = F.col("l_orderkey"), F.col("l_partkey")
+    return lines.select("l_orderkey", "l_partkey", num.gcd(a, b).alias("gcd"), num.lcm(a, b).alias("lcm"))
+
+
+@query
+def fn_str_pad_strip(spark, folder):
+    name = F.col("p_name")
+    padded = F.concat(F.lit("\t "), name, F.lit(" \n"))
+    tabbed = F.concat(F.col("p_type"), F.lit("\t"), name, F.lit("\t|"))
+    signed = F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise(""), F.col("p_size").cast("string"))
+    return views.table(spark, folder, "part").select(
+        "p_partkey",
+        *_named(
+            center_=strs.center(name, 15, "*"), ljust_=strs.ljust(name, 15, "-"), rjust_=strs.rjust(name, 15),
+            zfill_=strs.zfill(signed, 5), strip_=strs.strip_whitespace(padded), lstrip_=strs.lstrip_whitespace(padded),
+            rstrip_=strs.rstrip_whitespace(padded), strip_chars_=strs.strip_chars(name, "abcdefr "),
+            lstrip_chars_=strs.lstrip_chars(name, "abcdefr "), rstrip_chars_=strs.rstrip_chars(name, "getdr "),
+            expandtabs_=strs.expandtabs(tabbed, 8), expandtabs_length_=strs.expandtabs_length(tabbed, 8),
+            str_len_=strs.str_len(name),
+        ),
+    )
+
+
+@query
+def fn_str_find_count(spark, folder):
+    body = F.col("text")
+    return views.table(spark, folder, "documents").select(
+        "doc_id",
+        *_named(
+            find_=strs.find(body, "en"), find_from_=strs.find(body, "e", 5, 200), rfind_=strs.rfind(body, "e"),
+            rfind_from_=strs.rfind(body, "en", 10, -10), count_=strs.count(body, "e"), count_from_=strs.count(body, "en", 3, 500),
+            startswith_=strs.startswith(body, "E"), startswith_from_=strs.startswith(body, "a", 1, 9),
+            endswith_=strs.endswith(body, "."), index_=strs.index(F.concat(body, F.lit("#")), "#"),
+            rindex_=strs.rindex(F.concat(F.lit("#"), body), "#"), length_=strs.str_len(body),
+        ),
+    )
+
+
+@query
+def fn_str_split_slice(spark, folder):
+    body = F.col("text")
+    first, last = strs.partition(body, " "), strs.rpartition(body, " ")
+    return views.table(spark, folder, "documents").select(
+        "doc_id", first["head"].alias("head"), first["sep"].alias("sep"), first["tail"].alias("tail"),
+        last["head"].alias("rhead"), last["tail"].alias("rtail"),
+        *_named(
+            slice_=strs.slice(body, 3, 40), slice_end_=strs.slice(body, -12, -2), slice_step_=strs.slice(body, 0, 60, 3),
+            slice_back_=strs.slice(body, None, None, -1), replace_=strs.replace(body, "e", "<e>"),
+            replace_two_=strs.replace(body, "e", "<e>", 2),
+        ),
+    )
+
+
+@query
+def fn_str_class(spark, folder):
+    words = views.table(spark, folder, "documents").select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
+    w = F.col("w")
+    flags = {
+        "alpha": strs.isalpha(w), "decimal": strs.isdecimal(w), "digit": strs.isdigit(w), "numeric": strs.isnumeric(w),
+        "alnum": strs.isalnum(w), "space": strs.isspace(w), "lower": strs.islower(w), "upper": strs.isupper(w), "title": strs.istitle(w),
+    }
+    return words.groupBy("doc_id").agg(F.count("*").alias("words"), *[F.count_if(c).alias(f"is{k}") for k, c in flags.items()])

@@ -405,3 +405,96 @@ select op, idx, {rnd('x', 6)} as value from r"""
 ORACLES["scatter_floor_divide"] = """with u as (select l_partkey idx, count(*) filter (where l_linenumber > 5) n from lineitem group by l_partkey)
 select p_partkey idx, cast(floor((p_partkey * 1000003 - 900000000) / pow(2.0e0, coalesce(n, 0))) as bigint) as value
 from part left join u on idx = p_partkey"""
+
+
+# --- column functions --------------------------------------------------------
+
+V_NUM = """o as (select o_orderkey, o_custkey, o_orderdate, (case when o_orderkey % 2 = 0 then o_totalprice else -o_totalprice end) / 1000 x,
+  cast(o_custkey % 7 - 3 as double) y from orders)"""
+
+
+def rounded(**columns: str) -> str:
+    return ", ".join(f"{rnd(f'({sql})', 6)} as {name}" for name, sql in columns.items())
+
+
+QUOT = "case when y = 0 then (case when x > 0 then 1 else -1 end) * cast('inf' as double) else floor(x / y) end"
+MOD = "case when y = 0 then cast('nan' as double) else x - y * floor(x / y) end"
+
+ORACLES["fn_arith"] = f"""with {V_NUM}, k as (select *, o_orderkey - 5000 a, o_custkey % 7 - 3 b from o)
+select o_orderkey, {rounded(
+    add_='x + y', subtract_='x - y', multiply_='x * y',
+    divide_="case when y = 0 then (case when x > 0 then 1 else -1 end) * cast('inf' as double) else x / y end",
+    fmod_="case when y = 0 then cast('nan' as double) else fmod(x, y) end", remainder_=MOD, absolute_='abs(x)', fabs_='abs(x)',
+    negative_='-x', positive_='x', reciprocal_='1 / x', square_='x * x', sqrt_='sqrt(abs(x))', cbrt_='cbrt(x)',
+    power_='pow(x, 3)', float_power_='sqrt(abs(x))', hypot_='sqrt(x * x + y * y)', floor_divide_=QUOT, quotient_=QUOT, rest_=MOD)},
+  1.0e0 ones_like_, cast(case when b = 0 then 0 else floor(a / cast(b as double)) end as bigint) floor_divide_int_ from k"""
+
+ORACLES["fn_exp_log"] = f"""with {V_NUM}
+select o_orderkey, {rounded(
+    exp_='exp(x / 100)', exp2_='pow(2.0e0, x / 100)', expm1_='exp(x / 100) - 1',
+    log_="case when x > 0 then ln(x) else cast('nan' as double) end", log2_="case when x > 0 then log2(x) else cast('nan' as double) end",
+    log10_="case when x > 0 then log10(x) else cast('nan' as double) end", log1p_="case when x > -1 then ln(1 + x) else cast('nan' as double) end",
+    log_zero_="cast('-inf' as double)",
+    logaddexp_='greatest(x, y) + ln(1 + exp(-abs(x - y)))', logaddexp2_='greatest(x, y) + log2(1 + pow(2.0e0, -abs(x - y)))')} from o"""
+
+ORACLES["fn_trig"] = f"""with {V_NUM}
+select o_orderkey, {rounded(
+    sin_='sin(x)', cos_='cos(x)', tan_='tan(x / 1000)', arcsin_='asin(x / 1000)', arccos_='acos(x / 1000)', arctan_='atan(x)',
+    arctan2_='atan2(x, y)', sinh_='sinh(x / 1000)', cosh_='cosh(x / 1000)', tanh_='tanh(x)', arcsinh_='asinh(x / 1000)',
+    arccosh_='acosh(abs(x) + 1)', arctanh_='atanh(x / 1000)', degrees_='degrees(x / 1000)', radians_='radians(x)',
+    rad2deg_='degrees(x / 1000)', deg2rad_='radians(x)')} from o"""
+
+ORACLES["fn_round"] = f"""with {V_NUM}
+select o_orderkey, {rounded(
+    ceil_='ceil(x)', floor_='floor(x)', trunc_='trunc(x)', rint_='round_even(o_orderkey / 2.0e0, 0)',
+    fraction_='x - trunc(x)', integral_='trunc(x)', clip_='least(greatest(x, -50.0e0), 80.0e0)')} from o"""
+
+ORACLES["fn_compare"] = f"""with {V_NUM}, c as (select o_orderkey, round_even(x, 0) x, y * 20 y, y z, o_orderkey % 10 = 0 isn from o)
+select o_orderkey, x = y equal_, isn not_equal_, not isn and y > x greater_, x >= y greater_equal_, x < y less_, not isn and x <= y less_equal_,
+  {rounded(maximum_='greatest(x, y)', minimum_='least(x, y)', fmax_='case when isn then x else greatest(x, y) end',
+           fmin_='case when isn then x else least(x, y) end',
+           heaviside_='case when z < 0 then 0.0e0 when z = 0 then 0.5e0 else 1.0e0 end', sign_='cast(sign(z) as double)')} from c"""
+
+ORACLES["fn_logic_bits"] = """with o as (select o_orderkey a, o_custkey b, o_custkey % 5 n from orders)
+select a o_orderkey, a & b bitwise_and_, a | b bitwise_or_, xor(a, b) bitwise_xor_, -a - 1 invert_, cast(bit_count(a) as bigint) bitwise_count_,
+ a * cast(pow(2.0e0, n) as bigint) left_shift_, a // cast(pow(2.0e0, n) as bigint) right_shift_, n <> 0 and a % 2 <> 0 logical_and_,
+ n <> 0 or a % 2 <> 0 logical_or_, (n <> 0) <> (a % 2 <> 0) logical_xor_, n = 0 logical_not_ from o"""
+
+ORACLES["fn_float_class"] = f"""with {V_NUM}
+select o_orderkey, o_orderkey % 8 = 0 isnan_, o_orderkey % 8 <> 0 and o_orderkey % 4 < 2 isinf_, o_orderkey % 4 >= 2 isfinite_,
+  x < 0 signbit_, case when x < 0 then -2.5e0 else 2.5e0 end copysign_ from o"""
+
+ORACLES["fn_datetime"] = """with o as (select o_orderkey, o_orderdate d, timestamp '1996-01-01' s, epoch_us(o_orderdate) - epoch_us(timestamp '1996-01-01') g from orders)
+select o_orderkey, d + interval 1 day next_day, d - interval 1 day day_before, make_timestamp(epoch_us(s) + 2 * g) mirrored,
+  make_timestamp(epoch_us(s) + g // 2) halfway, d > s later, greatest(d, s) latest, o_orderkey % 3 <> 0 isnat_ from o"""
+
+ORACLES["fn_gcd_lcm"] = """select l_orderkey, l_partkey, cast(gcd(l_orderkey, l_partkey) as bigint) gcd,
+  cast(lcm(l_orderkey, l_partkey) as bigint) lcm from lineitem"""
+
+ORACLES["fn_str_pad_strip"] = r"""with p as (select p_partkey, p_name n, p_type t, p_size, greatest(15 - length(p_name), 0) pad,
+   cast(p_size as varchar) digits, 8 - length(p_type) % 8 t1 from part)
+select p_partkey, concat(repeat('*', pad // 2 + pad % 2), n, repeat('*', pad - pad // 2 - pad % 2)) center_,
+ concat(n, repeat('-', pad)) ljust_, concat(repeat(' ', pad), n) rjust_,
+ case when p_size % 2 = 0 then concat('-', lpad(digits, 4, '0')) else lpad(digits, 5, '0') end zfill_,
+ n strip_, concat(n, ' ', chr(10)) lstrip_, concat(chr(9), ' ', n) rstrip_, trim(n, 'abcdefr ') strip_chars_, ltrim(n, 'abcdefr ') lstrip_chars_,
+ rtrim(n, 'getdr ') rstrip_chars_, concat(t, repeat(' ', t1), n, repeat(' ', 8 - length(n) % 8), '|') expandtabs_,
+ cast(length(t) + t1 + length(n) + 8 - length(n) % 8 + 1 as int) expandtabs_length_, cast(length(n) as int) str_len_ from p"""
+
+ORACLES["fn_str_find_count"] = """with d as (select doc_id, text t, length(text) n from documents),
+ w as (select *, substring(t, 6, 195) a, substring(t, 11, greatest(n - 20, 0)) b, substring(t, 4, 497) c from d)
+select doc_id, cast(instr(t, 'en') - 1 as int) find_, cast(case when instr(a, 'e') = 0 then -1 else instr(a, 'e') + 4 end as int) find_from_,
+ cast(case when instr(t, 'e') = 0 then -1 else n - instr(reverse(t), 'e') end as int) rfind_,
+ cast(case when instr(b, 'en') = 0 then -1 else 10 + length(b) - instr(reverse(b), 'ne') - 1 end as int) rfind_from_,
+ cast(n - length(replace(t, 'e', '')) as int) count_, cast((length(c) - length(replace(c, 'en', ''))) // 2 as int) count_from_,
+ starts_with(t, 'E') startswith_, starts_with(substring(t, 2, 8), 'a') startswith_from_, ends_with(t, '.') endswith_,
+ cast(case when instr(t, '#') > 0 then instr(t, '#') - 1 else n end as int) index_,
+ cast(case when instr(t, '#') > 0 then n - instr(reverse(t), '#') + 1 else 0 end as int) rindex_, cast(n as int) length_ from w"""
+
+ORACLES["fn_str_split_slice"] = """with d as (select doc_id, text t, length(text) n, instr(text, ' ') p, instr(reverse(text), ' ') r from documents)
+select doc_id, case when p > 0 then left(t, p - 1) else t end head, case when p > 0 then ' ' else '' end sep,
+ case when p > 0 then substring(t, p + 1) else '' end tail, case when r > 0 then left(t, n - r) else '' end rhead,
+ case when r > 0 then substring(t, n - r + 2) else t end rtail, substring(t, 4, 37) slice_,
+ substring(t, greatest(n - 12, 0) + 1, greatest(n - 2, 0) - greatest(n - 12, 0)) slice_end_,
+ array_to_string(list_transform(range(1, least(n, 60) + 1, 3), lambda i: substring(t, i, 1)), '') slice_step_,
+ array_to_string(list_reverse(list_transform(range(1, n + 1), lambda i: array_extract(t, i))), '') slice_back_,
+ replace(t, 'e', '<e>') replace_, regexp_replace(regexp_replace(t, 'e', chr(1)), 'e', '<e>').replace(chr(1), '<e>') replace_two_ from d"""
