@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradespark.functions.text import let
+
 # A code-unit escape, an ignorable group, a control word.
 _UNIT = r"\\u(-?\d+)\??"
 _UNIT_RUN = r"(?:\\u-?\d+\??)+"
@@ -28,29 +30,32 @@ def _decode_run(run: Column) -> Column:
     def low(unit: Column) -> Column:
         return F.coalesce(unit.rlike("^D[CDEF]"), F.lit(False))
 
-    # A surrogate without its partner cannot be decoded and becomes U+FFFD.
-    paired = F.transform(
-        units,
-        lambda u, i: F.when(
-            (high(u) & ~low(F.get(units, i + 1))) | (low(u) & ~high(F.get(units, i - 1))),
-            F.lit(_REPLACEMENT),
-        ).otherwise(u),
-    )
-    return F.decode(F.unhex(F.array_join(paired, "")), "UTF-16BE")
+    def pair(units: Column) -> Column:
+        # A surrogate without its partner cannot be decoded: U+FFFD.
+        return F.transform(
+            units,
+            lambda u, i: F.when(
+                (high(u) & ~low(F.get(units, i + 1))) | (low(u) & ~high(F.get(units, i - 1))),
+                F.lit(_REPLACEMENT),
+            ).otherwise(u),
+        )
+
+    return F.decode(F.unhex(F.array_join(let(units, pair), "")), "UTF-16BE")
 
 
 def rtf_to_text(rtf: Column) -> Column:
     """Decode escapes, then drop groups, control words and braces."""
-    between = F.split(rtf, _UNIT_RUN, -1)
-    runs = F.regexp_extract_all(rtf, F.lit(_UNIT_RUN), F.lit(0))
-    decoded = F.array_join(
-        F.zip_with(
-            between,
-            runs,
-            lambda text, run: F.concat(text, F.coalesce(_decode_run(run), F.lit(""))),
-        ),
-        "",
-    )
+    def decode(raw: Column) -> Column:
+        return F.array_join(
+            F.zip_with(
+                F.split(raw, _UNIT_RUN, -1),
+                F.regexp_extract_all(raw, F.lit(_UNIT_RUN), F.lit(0)),
+                lambda text, run: F.concat(text, F.coalesce(_decode_run(run), F.lit(""))),
+            ),
+            "",
+        )
+
+    decoded = let(rtf, decode)
     text = F.regexp_replace(decoded, _GROUP, "")
     text = F.regexp_replace(text, _CONTROL_WORD, "")
     return F.translate(text, "{}", "")

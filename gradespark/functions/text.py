@@ -51,6 +51,11 @@ KEPT_TOKENS = [
 FIRST_TOKEN_ID = 151643
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated, and written into the plan, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _any_of(tokens: list[str]) -> str:
     return "|".join(t.replace("|", r"\|") for t in tokens)
 
@@ -84,20 +89,29 @@ def strip_code_fences(code: Column) -> Column:
 
 def dedent(text: Column) -> Column:
     """Remove the whitespace prefix that all non-blank lines share."""
+    def cut(lines: Column) -> Column:
+        indents = F.transform(
+            F.filter(lines, lambda line: line != ""),
+            lambda line: F.regexp_extract(line, r"\A[ \t]*", 0),
+        )
+        return let(
+            let(indents, margin),
+            lambda n: F.array_join(
+                F.transform(lines, lambda line: F.substring(line, n + 1, F.length(line))), "\n"
+            ),
+        )
+
+    def margin(indents: Column) -> Column:
+        # The prefix common to all strings is the one common to the smallest
+        # and the largest of them.
+        extremes = F.concat(F.array_min(indents), F.lit("|"), F.array_max(indents))
+        shared = F.regexp_extract(extremes, r"\A([ \t]*)[ \t]*\|\1", 1)
+        return F.length(F.coalesce(shared, F.lit("")))
+
     lines = F.transform(
         F.split(text, "\n", -1), lambda line: F.regexp_replace(line, r"\A[ \t]+\z", "")
     )
-    indents = F.transform(
-        F.filter(lines, lambda line: line != ""),
-        lambda line: F.regexp_extract(line, r"\A[ \t]*", 0),
-    )
-    # The prefix common to all strings is the one common to the smallest and
-    # the largest of them.
-    extremes = F.concat(F.array_min(indents), F.lit("|"), F.array_max(indents))
-    margin = F.length(
-        F.coalesce(F.regexp_extract(extremes, r"\A([ \t]*)[ \t]*\|\1", 1), F.lit(""))
-    )
-    return F.array_join(F.transform(lines, lambda line: F.substring(line, margin + 1, F.length(line))), "\n")
+    return let(lines, cut)
 
 
 def unescape_newlines(text: Column) -> Column:
@@ -124,8 +138,10 @@ def extract_functions(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """``str.splitlines`` as an array of lines."""
-    lines = F.split(text, _LINE_END, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return let(
+        F.split(text, _LINE_END, -1),
+        lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines),
+    )
 
 
 def drop_special_tokens(text: Column) -> Column:

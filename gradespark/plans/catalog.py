@@ -12,7 +12,7 @@ from gradespark.functions import bits, rtf, text
 from gradespark.functions import numeric as num
 from gradespark.functions import strings as strs
 from gradespark.operators import (
-    attempts, bags, chat, configs, linalg, logs, matrix, metrics, reduce, scatter, tasks,
+    attempts, bags, chat, configs, linalg, logs, matrix, metrics, reduce, scatter, suites, tasks,
 )
 from gradespark.operators.ordering import with_group_position, with_running_sum
 from gradespark.plans import views
@@ -495,7 +495,7 @@ def fn_arith(spark, folder):
             add_=num.add(x, y), subtract_=num.subtract(x, y), multiply_=num.multiply(x, y), divide_=num.divide(x, y),
             fmod_=num.fmod(x, y), remainder_=num.remainder(x, y), absolute_=num.absolute(x), fabs_=num.fabs(x),
             negative_=num.negative(x), positive_=num.positive(x), reciprocal_=num.reciprocal(x), square_=num.square(x),
-            sqrt_=num.sqrt(num.absolute(x)), cbrt_=num.cbrt(x), power_=num.power(x, F.lit(3)),
+            sqrt_=num.sqrt(num.absolute(x)), cbrt_=num.cbrt(x), power_=num.power(x / 10, F.lit(3)),
             float_power_=num.float_power(num.absolute(x), F.lit(0.5)), hypot_=num.hypot(x, y),
             floor_divide_=num.floor_divide(x, y), quotient_=both["quotient"], rest_=both["remainder"],
         ),
@@ -676,3 +676,49 @@ def fn_str_class(spark, folder):
         "alnum": strs.isalnum(w), "space": strs.isspace(w), "lower": strs.islower(w), "upper": strs.isupper(w), "title": strs.istitle(w),
     }
     return words.groupBy("doc_id").agg(F.count("*").alias("words"), *[F.count_if(c).alias(f"is{k}") for k, c in flags.items()])
+
+
+# --- syntax and suites -------------------------------------------------------
+
+
+@query
+def syntax_screen(spark, folder):
+    code = F.col("code")
+    texts = views.completions(spark, folder).select(
+        "doc_id", code.alias("raw"), text.clean_completion(code).alias("cleaned"),
+        text.extract_functions(code).alias("extracted"),
+    )
+    return suites.screen_syntax(texts, "raw", "cleaned", "extracted")
+
+
+def _suite_jobs(spark, folder):
+    """Cleaned completions with tests that hold for even documents only."""
+    doc = F.col("doc_id")
+    shape, even = doc % 7, doc % 2 == 0
+    name = F.concat(F.lit("fn_"), doc.cast("string"))
+    wrong = F.when(even, "").otherwise(" + 1")
+    tests = (
+        F.when(shape == 0, F.array(F.concat(F.lit("assert "), name, F.lit("(1) == "), name, F.lit("(2)"), wrong)))
+        .when(shape == 1, F.array(F.lit("assert x == 1"), F.concat(F.lit("assert x == 1"), wrong)))
+        .otherwise(F.array(F.concat(F.lit("assert f(3) == 3"), wrong)))
+    )
+    suite = F.when(shape == 0, "humaneval").when(shape == 1, "mbpp").when(shape == 3, "import").otherwise("generic")
+    return views.completions(spark, folder).select(
+        "doc_id", "source", text.clean_completion(F.col("code")).alias("code"), tests.alias("tests"),
+        suite.alias("suite"), name.alias("entry_point"),
+    )
+
+
+@query
+def suite_verdicts(spark, folder):
+    ran = suites.run_suites(_suite_jobs(spark, folder), ["doc_id"], allow_exec=True)
+    return ran.select("doc_id", "test_type", "passed", "error_type")
+
+
+@query
+def syntax_metrics(spark, folder):
+    jobs = _suite_jobs(spark, folder).withColumn("suite", F.lit("import"))
+    imported = suites.run_suites(jobs, ["source", "doc_id"], allow_exec=True)
+    valid = F.coalesce(F.col("error_type"), F.lit("")).isin("SyntaxError", "EmptyCodeError")
+    rows = imported.select("source", (~valid).alias("valid"), F.col("passed").alias("importable"))
+    return suites.syntax_metrics(rows, "source")

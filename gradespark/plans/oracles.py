@@ -424,9 +424,9 @@ ORACLES["fn_arith"] = f"""with {V_NUM}, k as (select *, o_orderkey - 5000 a, o_c
 select o_orderkey, {rounded(
     add_='x + y', subtract_='x - y', multiply_='x * y',
     divide_="case when y = 0 then (case when x > 0 then 1 else -1 end) * cast('inf' as double) else x / y end",
-    fmod_="case when y = 0 then cast('nan' as double) else fmod(x, y) end", remainder_=MOD, absolute_='abs(x)', fabs_='abs(x)',
+    fmod_="case when y = 0 then cast('nan' as double) else x - y * trunc(x / y) end", remainder_=MOD, absolute_='abs(x)', fabs_='abs(x)',
     negative_='-x', positive_='x', reciprocal_='1 / x', square_='x * x', sqrt_='sqrt(abs(x))', cbrt_='cbrt(x)',
-    power_='pow(x, 3)', float_power_='sqrt(abs(x))', hypot_='sqrt(x * x + y * y)', floor_divide_=QUOT, quotient_=QUOT, rest_=MOD)},
+    power_='pow(x / 10, 3)', float_power_='sqrt(abs(x))', hypot_='sqrt(x * x + y * y)', floor_divide_=QUOT, quotient_=QUOT, rest_=MOD)},
   1.0e0 ones_like_, cast(case when b = 0 then 0 else floor(a / cast(b as double)) end as bigint) floor_divide_int_ from k"""
 
 ORACLES["fn_exp_log"] = f"""with {V_NUM}
@@ -498,3 +498,25 @@ select doc_id, case when p > 0 then left(t, p - 1) else t end head, case when p
  array_to_string(list_transform(range(1, least(n, 60) + 1, 3), lambda i: substring(t, i, 1)), '') slice_step_,
  array_to_string(list_reverse(list_transform(range(1, n + 1), lambda i: array_extract(t, i))), '') slice_back_,
  replace(t, 'e', '<e>') replace_, regexp_replace(regexp_replace(t, 'e', chr(1)), 'e', '<e>').replace(chr(1), '<e>') replace_two_ from d"""
+
+ORACLES["fn_str_class"] = f"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '')) w from documents)
+select doc_id, count(*) words, count(*) filter (where regexp_matches(w, '^\\p{{L}}+$')) isalpha,
+ count(*) filter (where regexp_matches(w, '^\\p{{Nd}}+$')) isdecimal, count(*) filter (where regexp_matches(w, '^[\\p{{Nd}}²³¹]+$')) isdigit,
+ count(*) filter (where regexp_matches(w, '^\\p{{N}}+$')) isnumeric, count(*) filter (where regexp_matches(w, '^[\\p{{L}}\\p{{N}}]+$')) isalnum,
+ cast(0 as bigint) isspace, count(*) filter (where lower(w) = w and upper(w) <> w) islower, count(*) filter (where upper(w) = w and lower(w) <> w) isupper,
+ count(*) filter (where regexp_matches(w, '\\p{{Lu}}') and not regexp_matches(w, '[\\p{{Lu}}\\p{{Ll}}]\\p{{Lu}}')
+   and not regexp_matches(w, '(?:^|[^\\p{{Lu}}\\p{{Ll}}])\\p{{Ll}}')) istitle
+from w group by doc_id"""
+
+# --- syntax and suites: known by the way the completions are made ------------
+
+ORACLES["syntax_screen"] = """select doc_id, false raw, doc_id % 7 < 4 cleaned, doc_id % 7 in (0, 1, 3, 5) extracted from documents"""
+
+ORACLES["suite_verdicts"] = """select doc_id,
+  case doc_id % 7 when 0 then 'humaneval' when 1 then 'mbpp' when 3 then 'import' else 'generic' end test_type,
+  doc_id % 7 = 3 or (doc_id % 7 < 3 and doc_id % 2 = 0) passed,
+  case when doc_id % 7 > 3 then 'SyntaxError' when doc_id % 7 <> 3 and doc_id % 2 = 1 then 'AssertionError' end error_type
+from documents"""
+
+ORACLES["syntax_metrics"] = """select source, avg(case when doc_id % 7 < 4 then 1.0e0 else 0.0e0 end) "is syntactically_valid",
+  avg(case when doc_id % 7 < 4 then 1.0e0 else 0.0e0 end) is_importable from documents group by source"""
