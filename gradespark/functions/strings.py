@@ -13,8 +13,8 @@ from gradespark.functions import text
 # Digits that are not decimal digits (superscripts, subscripts,
 # circled and other digit forms).
 _OTHER_DIGITS = (
-    r"²³¹፩-፱᧚⁰⁴-⁹₀-₉①-⑨⑴-⑼"
-    r"⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+    r"\u00b2\u00b3\u00b9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468\u2474-\u247c"
+    r"\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792"
     r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 )
 _UPPER = r"[\p{IsUppercase}\p{Lt}]"

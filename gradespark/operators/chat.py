@@ -93,10 +93,12 @@ def render(
     part = F.floor(turn / n).cast("bigint")
     # A message at the edge of a part also goes to the part next to it, where
     # only its role is looked at.
-    targets = (
-        F.when((turn % n == 0) & (turn > 0), F.array(part, part - 1))
-        .when(turn % n == n - 1, F.array(part, part + 1))
-        .otherwise(F.array(part))
+    targets = F.array_compact(
+        F.array(
+            part,
+            F.when((turn % n == 0) & (turn > 0), part - 1),
+            F.when(turn % n == n - 1, part + 1),
+        )
     )
     placed = messages.select("conv_id", "turn", "role", "text", "tool_calls", part.alias("_own"), F.explode(targets).alias("part"))
     inside = F.col("_own") == F.col("part")

@@ -79,7 +79,8 @@ def gcd_reduce(rows: DataFrame, key: str, column: str) -> DataFrame:
         seen: dict = {}
 
         def flush():
-            out = pd.DataFrame({key: list(seen.keys()), "value": list(seen.values())})
+            names = pd.Series(list(seen.keys()), dtype=object)
+            out = pd.DataFrame({key: names, "value": pd.Series(list(seen.values()), dtype="int64")})
             seen.clear()
             return out
 
