@@ -1,7 +1,7 @@
 """Embedding bags: pooled rows of a vector table.
 
 The vectors of a bag are summed by plain ``sum`` aggregates, one per
-dimension, in blocks of 64 dimensions. A bag element therefore stays one row
+dimension, in blocks of 32 dimensions, which the JVM still compiles well. A bag element therefore stays one row
 (or one per block) on its way to the aggregation and map-side combine shrinks
 a hot bag to one partial row per task.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gradespark.operators.ordering import with_running_sum
 
-BLOCK = 64
+BLOCK = 32
 _CHUNK = 1 << 16
 
 
@@ -50,7 +50,7 @@ def pool(
     summed = elements.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_o").alias("_o"), *sums)
     values = F.array(*[F.col(f"_s{i}") for i in range(width)])
     if blocks > 1:
-        # At most block_size / 64 rows per bag.
+        # At most block_size / BLOCK rows per bag.
         values = F.filter(values, lambda x: x.isNotNull())
         parts = F.sort_array(F.collect_list(F.struct("_block", values.alias("v"))))
         summed = summed.groupBy(key).agg(

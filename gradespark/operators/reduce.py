@@ -61,43 +61,45 @@ def logaddexp_reduce(rows: DataFrame, column: str, *keys: str, base2: bool = Fal
     return summed.select(*keys, value.alias("value"))
 
 
-def gcd_reduce(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, value): greatest common divisor of each group.
+def _fold_gcd(key: str, sorted_by_key: bool):
+    """Batches of (key, value) to one number per key.
 
-    Each task first folds its own rows to one number per key; what is
-    aggregated after the shuffle is at most one row per key and task (or per
-    100,000 keys, so that the running state stays small).
+    Without an order it is one number per key and batch. Sorted batches give
+    one per key: the last key of a batch waits for the next one.
     """
-    key_type = dict(rows.dtypes)[key]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import math
-
         import numpy as np
         import pandas as pd
 
-        seen: dict = {}
-
-        def flush():
-            names = pd.Series(list(seen.keys()), dtype=object)
-            out = pd.DataFrame({key: names, "value": pd.Series(list(seen.values()), dtype="int64")})
-            seen.clear()
-            return out
-
+        waiting = None
         for batch in batches:
-            partial = batch.groupby(key, dropna=False)["value"].agg(np.gcd.reduce)
-            for k, g in partial.items():
-                seen[k] = math.gcd(seen.get(k, 0), int(g))
-            if len(seen) > 100_000:
-                yield flush()
-        yield flush()
-
-    @F.pandas_udf("bigint")
-    def gcd_all(values: pd.Series) -> int:
-        import numpy as np
+            if waiting is not None:
+                batch = pd.concat([waiting, batch], ignore_index=True)
+            if batch.empty:
+                continue
+            codes, _ = pd.factorize(batch[key], use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+            folded = batch.iloc[order[starts]].assign(
+                value=np.gcd.reduceat(batch["value"].to_numpy()[order], starts)
+            )
+            if sorted_by_key:
+                folded, waiting = folded.iloc[:-1], folded.iloc[-1:]
+            yield folded
+        if waiting is not None:
+            yield waiting
+
+    return fold
 
-        return int(np.gcd.reduce(values.to_numpy()))
 
-    numbers = rows.select(key, F.col(column).cast("bigint").alias("value")).where(F.col(column).isNotNull())
-    partial = numbers.mapInPandas(fold, f"`{key}` {key_type}, value bigint")
-    return partial.groupBy(key).agg(gcd_all("value").alias("value"))
+def gcd_reduce(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, value): greatest common divisor of each group.
+
+    Every batch is folded before the shuffle; behind it the sorted remainder
+    streams through, so no group is ever held in memory.
+    """
+    numbers = rows.where(F.col(column).isNotNull()).select(key, F.col(column).cast("bigint").alias("value"))
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, value bigint"
+    partial = numbers.mapInPandas(_fold_gcd(key, False), schema)
+    return partial.repartition(key).sortWithinPartitions(key).mapInPandas(_fold_gcd(key, True), schema)

@@ -171,19 +171,12 @@ def run_suites(
         F.when(importing, cleaned).otherwise(F.col("code")).alias("code"),
         F.when(importing, none).otherwise(F.concat(F.coalesce("tests", none), calls)).alias("tests"),
         "suite",
-        F.when(is_blank(F.col("code")), EMPTY_CODE)
+        # Rows without code get their verdict here and never start a process.
+        F.when(is_blank(F.col("code")), F.when(importing, EMPTY_CODE).otherwise(SYNTAX_ERROR))
         .when(importing & is_blank(cleaned), EMPTY_AFTER_CLEANING)
         .alias("_empty"),
     )
     verdict = [f.split(" ")[0] for f in VERDICT.split(", ")]
-    blank = jobs.where(F.col("_empty").isNotNull()).select(
-        *keys,
-        F.lit(False).alias("passed"),
-        F.when(importing, F.col("_empty")).otherwise(SYNTAX_ERROR).alias("error"),
-        F.when(importing, F.lit("EmptyCodeError")).otherwise("SyntaxError").alias("error_type"),
-        F.lit(None).cast("double").alias("execution_time"),
-        F.col("suite").alias("test_type"),
-    )
     base = {
         "timeout": timeout_s, "memory": memory_mb << 20, "late": TIMEOUT, "syntax_error": SYNTAX_ERROR,
     }
@@ -205,7 +198,13 @@ def run_suites(
             try:
                 for batch in batches:
                     answers = []
-                    for code, tests, suite in zip(batch["code"], batch["tests"], batch["suite"]):
+                    for code, tests, suite, empty in zip(
+                        batch["code"], batch["tests"], batch["suite"], batch["_empty"]
+                    ):
+                        if isinstance(empty, str):
+                            kind = "EmptyCodeError" if suite == "import" else "SyntaxError"
+                            answers.append({"passed": False, "error": empty, "error_type": kind})
+                            continue
                         job = dict(base, code=code, tests=list(tests), suite=suite)
                         process.stdin.write(json.dumps(job).encode() + b"\n")
                         process.stdin.flush()
@@ -221,8 +220,7 @@ def run_suites(
     n = partitions or 2 * rows.sparkSession.sparkContext.defaultParallelism
     types = dict(rows.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [VERDICT])
-    ran = jobs.where(F.col("_empty").isNull()).drop("_empty").repartition(n).mapInPandas(run, schema)
-    return ran.unionByName(blank)
+    return jobs.repartition(n).mapInPandas(run, schema)
 
 
 def syntax_metrics(verdicts: DataFrame, *groups: str) -> DataFrame:

@@ -172,7 +172,7 @@ def rtf_clean(spark, folder):
         "",
     )
     written = F.concat(F.lit("{\\rtf1{\\fonttbl f0}\\fs24 "), units, F.lit("}"))
-    return views.table(spark, folder, "documents").select("doc_id", rtf.rtf_to_text(written).alias("text"))
+    return views.documents(spark, folder).select("doc_id", rtf.rtf_to_text(written).alias("text"))
 
 
 # --- conversations -----------------------------------------------------------
@@ -640,7 +640,7 @@ def fn_str_pad_strip(spark, folder):
 @query
 def fn_str_find_count(spark, folder):
     body = F.col("text")
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id",
         *_named(
             find_=strs.find(body, "en"), find_from_=strs.find(body, "e", 5, 200), rfind_=strs.rfind(body, "e"),
@@ -656,7 +656,7 @@ def fn_str_find_count(spark, folder):
 def fn_str_split_slice(spark, folder):
     body = F.col("text")
     first, last = strs.partition(body, " "), strs.rpartition(body, " ")
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id", first["head"].alias("head"), first["sep"].alias("sep"), first["tail"].alias("tail"),
         last["head"].alias("rhead"), last["tail"].alias("rtail"),
         *_named(
@@ -669,7 +669,7 @@ def fn_str_split_slice(spark, folder):
 
 @query
 def fn_str_class(spark, folder):
-    words = views.table(spark, folder, "documents").select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
+    words = views.documents(spark, folder).select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
     w = F.col("w")
     flags = {
         "alpha": strs.isalpha(w), "decimal": strs.isdecimal(w), "digit": strs.isdigit(w), "numeric": strs.isnumeric(w),

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradespark.operators.logs import METHODS
+from gradespark.parallel import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts, spread out: all work on them is heavy per row."""
+    return spread(table(spark, folder, "documents"))
+
+
 def method_of(key: str):
     return F.element_at(F.array(*map(F.lit, METHODS)), (F.col(key) % 11 + 1).cast("int"))
 
@@ -125,7 +131,7 @@ def completions(spark: SparkSession, folder: str) -> DataFrame:
         )
         .otherwise(F.lit("   "))
     )
-    return table(spark, folder, "documents").select("doc_id", "source", code.alias("code"))
+    return documents(spark, folder).select("doc_id", "source", code.alias("code"))
 
 
 def references(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +143,7 @@ def references(spark: SparkSession, folder: str) -> DataFrame:
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each document as a candidate for one benchmark text."""
     n = table(spark, folder, "benchmark").agg(F.count("*").alias("n")).scalar()
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("pair_id"), (F.col("doc_id") % n).alias("reference_id"),
         "source", F.col("text").alias("candidate"),
     )
