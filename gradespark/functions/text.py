@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The whitespace of Python's str methods is Unicode White_Space
@@ -152,3 +152,10 @@ def drop_special_tokens(text: Column) -> Column:
 def count_token(text: Column, token: str) -> Column:
     """How often one added token occurs."""
     return F.regexp_count(text, F.lit(_any_of([token])))
+
+
+def token_table(spark: SparkSession) -> DataFrame:
+    """(token, id, special): the added tokens, numbered without gaps."""
+    tokens = DROPPED_TOKENS + KEPT_TOKENS
+    rows = [(t, FIRST_TOKEN_ID + i, t in DROPPED_TOKENS) for i, t in enumerate(tokens)]
+    return spark.createDataFrame(rows, "token string, id int, special boolean")

@@ -37,6 +37,20 @@ def log_lines(files: DataFrame, text: str = "text", *, rtf: bool = False) -> Dat
     ).withColumn("line", strip("line"))
 
 
+def emit_line(
+    name: Column, passed: Column, error_type: Column | None = None, message: Column | None = None
+) -> Column:
+    """The log line of a verdict: passed, no valid syntax, or failed while running."""
+    empty = F.lit(None).cast("string")
+    kind = empty if error_type is None else error_type
+    text = F.lit("") if message is None else F.coalesce(message, F.lit(""))
+    return (
+        F.when(passed, F.format_string(PASS_LINE, name))
+        .when(F.coalesce(kind, F.lit("SyntaxError")) == "SyntaxError", F.format_string(SYNTAX_ERROR_LINE, name))
+        .otherwise(F.format_string(EXECUTION_ERROR_LINE, name, kind, text))
+    )
+
+
 def _name(line: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
 

@@ -126,17 +126,19 @@ def run_timing(durations: DataFrame, *groups: str, seconds: str = "seconds") ->
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The last run of each benchmark, with its report line."""
+    """The last run of each benchmark; a later run replaces an earlier one."""
     fields = [c for c in runs.columns if c != "benchmark"]
-    return (
-        runs.groupBy("benchmark")
-        .agg(F.max_by(F.struct(*fields), F.col("timestamp")).alias("_run"))
-        .select("benchmark", "_run.*")
-        .withColumn(
-            "report",
-            F.concat(
-                F.upper("benchmark"), F.lit(": "),
-                F.col("passed_examples").cast("string"), F.lit("/"), F.col("total_examples").cast("string"),
-            ),
-        )
+    latest = runs.groupBy("benchmark").agg(
+        F.max_by(F.struct(*fields), F.col("timestamp")).alias("_run")
+    )
+    return latest.select("benchmark", "_run.*")
+
+
+def report(runs: DataFrame) -> DataFrame:
+    """Add the summary text of each run: rate, passed of total, time."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.format_string(
+        "%s:\n  Pass Rate: %.2f%%\n  Passed: %d/%d\n  Timestamp: %s",
+        F.upper("benchmark"), "pass_rate", "passed_examples", "total_examples", stamp,
     )
+    return runs.withColumn("report", text)

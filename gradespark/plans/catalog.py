@@ -16,7 +16,7 @@ from gradespark.operators import (
 )
 from gradespark.operators.ordering import with_group_position, with_running_sum
 from gradespark.plans import views
-from gradespark.sources import datasets
+from gradespark.sources import datasets, results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,43 @@ def log_verdicts_full(spark, folder):
     return _verdicts(spark, folder, "full")
 
 
+@query
+def log_lines(spark, folder):
+    """Each document as a log file, line by line."""
+    return logs.log_lines(views.documents(spark, folder).select("doc_id", "text"))
+
+
+@query
+def log_methods(spark, folder):
+    """Log lines named by file, through the method table and by the naming rule."""
+    names = F.replace(F.replace(F.col("method"), F.lit("_"), F.lit(" + ")), F.lit("BASE"), F.lit(""))
+    blank = F.when(F.col("line_no") % 2 == 0, F.lit("\u00a0")).otherwise(F.lit(" "))
+    suffix = F.when(F.ltrim(names).startswith("+"), F.concat(blank, F.ltrim(names))).when(
+        names != "", F.concat(blank, F.lit("+ "), names)
+    ).otherwise("")
+    file = F.concat(F.lit("runs/HumanEval on Some-Model"), suffix, F.lit(".rtf"))
+    lines = views.log(spark, folder).withColumn("file", file).drop("method")
+    known = [(f"HumanEval on Some-Model{_tail(m)}.rtf", m) for m in logs.METHODS]
+    table = spark.createDataFrame(known, "file string, method string")
+    by_rule = lines.withColumn("by_rule", logs.method_from_file(F.col("file")))
+    return logs.attach_method(by_rule, table).groupBy("method", "by_rule").agg(F.count("*").alias("lines"))
+
+
+def _tail(method: str) -> str:
+    parts = [p for p in method.split("_") if p != "BASE"]
+    return "".join(f" + {p}" for p in parts)
+
+
+@query
+def log_round_trip(spark, folder):
+    """Verdicts written as log lines and parsed again."""
+    rows = views.attempts(spark, folder).select(
+        F.col("attempt.o_orderkey").alias("line_no"),
+        logs.emit_line(F.col("task_id"), F.col("ok"), F.col("error"), F.lit("no match")).alias("line"),
+    )
+    return logs.parse_verdicts(rows, "full").drop("line")
+
+
 @query
 def method_stats_long(spark, folder):
     return logs.method_stats(_verdicts(spark, folder))
@@ -212,10 +249,10 @@ def dataset_eval(spark, folder):
     return attempts.evaluate(matched.withColumn("passed", F.col("passed") & F.col("test").isNotNull()), "method")
 
 
-@query
-def run_summary(spark, folder):
+def _runs(spark, folder):
+    """A run per method and month."""
     month = F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz")
-    runs = (
+    counted = (
         views.table(spark, folder, "orders")
         .withColumn("benchmark", views.method_of("o_orderkey"))
         .groupBy("benchmark", month.alias("month"))
@@ -223,12 +260,31 @@ def run_summary(spark, folder):
             F.count_if(F.col("o_orderstatus") == "F").alias("passed_examples"),
             F.count("*").alias("total_examples"),
             F.max("o_orderdate").alias("timestamp"),
-            F.round(F.sum("o_totalprice"), 2).alias("total_time"),
-            F.round(F.avg("o_totalprice"), 4).alias("avg_time_per_problem"),
         )
-        .drop("month")
     )
-    return metrics.latest_runs(runs)
+    share = F.col("passed_examples").cast("double") / F.col("total_examples") * 100
+    return counted.withColumn("pass_rate", share)
+
+
+@query
+def run_summary(spark, folder):
+    return metrics.report(metrics.latest_runs(_runs(spark, folder).drop("month")))
+
+
+@query
+def run_documents(spark, folder):
+    """Result documents of each month as JSON text, read back into runs."""
+    config = F.struct(
+        F.lit(3).alias("iterations"), F.create_map(F.lit("top_k"), F.lit("40")).alias("generation_config"),
+        F.lit(None).cast("bigint").alias("limit"),
+    )
+    documents = results.to_documents(_runs(spark, folder).withColumn("config", config), {"model": "m"}, ["month"])
+    written = documents.select("month", F.to_json(F.struct("metadata", "benchmark_results")).alias("document"))
+    runs = results.runs_of(results.parse_results(written))
+    return runs.select(
+        "month", "benchmark", "passed_examples", "total_examples", "timestamp", "pass_rate",
+        F.col("config.iterations").alias("iterations"), F.col("config.generation_config")["top_k"].alias("top_k"),
+    )
 
 
 @query

@@ -257,12 +257,29 @@ select method, count(*) total_examples, count(*) filter (where ok and t.task_id
   cast(count(*) filter (where ok and t.task_id is not null) as double) / count(*) * 100 pass_rate
 from f left join v_tasks t using (task_id) group by method"""
 
-ORACLES["run_summary"] = f"""with runs as (select {method_of('o_orderkey')} benchmark, date_trunc('month', o_orderdate) m,
+V_RUNS = f"""v_runs as (select {method_of('o_orderkey')} benchmark, date_trunc('month', o_orderdate) as "month",
    count(*) filter (where o_orderstatus = 'F') passed_examples, count(*) total_examples, max(o_orderdate) as "timestamp",
-   round(sum(o_totalprice), 2) total_time, round(avg(o_totalprice), 4) avg_time_per_problem from orders group by 1, 2)
-select benchmark, passed_examples, total_examples, "timestamp", total_time, avg_time_per_problem,
-  concat(benchmark, ': ', passed_examples, '/', total_examples) report
-from runs qualify row_number() over (partition by benchmark order by "timestamp" desc) = 1"""
+   cast(count(*) filter (where o_orderstatus = 'F') as double) / count(*) * 100 pass_rate from orders group by 1, 2)"""
+
+ORACLES["run_summary"] = f"""with {V_RUNS}
+select benchmark, passed_examples, total_examples, "timestamp", pass_rate,
+  concat(benchmark, ':', chr(10), '  Pass Rate: ', printf('%.2f', pass_rate), '%', chr(10), '  Passed: ', passed_examples, '/', total_examples, chr(10),
+    '  Timestamp: ', strftime("timestamp", '%Y-%m-%dT%H:%M:%S')) report
+from v_runs qualify row_number() over (partition by benchmark order by "timestamp" desc) = 1"""
+
+ORACLES["run_documents"] = f"""with {V_RUNS}
+select cast("month" as timestamp) as "month", benchmark, passed_examples, total_examples, "timestamp", pass_rate, 3 iterations, '40' top_k from v_runs"""
+
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+ORACLES["log_lines"] = f"""with a as (select doc_id, regexp_split_to_array(text, '{LINE_END}') l from documents),
+ b as (select doc_id, case when l[-1] = '' then l[1:len(l) - 1] else l end l from a)
+select doc_id, cast(unnest(range(0, len(l))) as int) line_no, {strip('unnest(l)')} line from b"""
+
+ORACLES["log_methods"] = f"""with {V_LOG} select method, method by_rule, count(*) as lines from v_log group by method"""
+
+ORACLES["log_round_trip"] = f"""with {V_ATTEMPTS}
+select o_orderkey line_no, task_id test_name, cast(ok as int) passed,
+  case when ok then null when error = 'SyntaxError' then 'SYNTAX ERROR' else error end error_type from v_attempts"""
 
 ORACLES["run_timing"] = f"""select {method_of('o_orderkey')} as method, round(sum(o_totalprice), 2) total_time,
   round(sum(o_totalprice) / count(*), 4) avg_time_per_problem from orders group by 1"""

@@ -20,24 +20,41 @@ MATRIX_SCHEMA = "test_name string, test_id bigint"
 LONG_SCHEMA = "test_name string, method string, passed int, test_id bigint"
 
 
-def save_results(runs: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
-    """Write {metadata, benchmark_results}: one entry per benchmark name.
+def to_documents(runs: DataFrame, metadata: dict[str, str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """{metadata, benchmark_results}: one entry per benchmark name.
 
-    ``runs`` holds the latest run of each benchmark, with the fields of
-    ``RUN_TYPE``; the document has as many entries as there are benchmarks.
+    ``runs`` holds the latest run of each benchmark (per ``by``), with the
+    fields of ``RUN_TYPE``; a document has as many entries as benchmarks.
     """
     pairs = [F.lit(x) for item in (metadata or {}).items() for x in item]
     meta = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     run = F.struct("pass_rate", "passed_examples", "total_examples", "timestamp", "config").cast(RUN_TYPE)
     entries = F.collect_list(F.struct(F.col("benchmark"), run))
-    document = runs.agg(F.map_from_entries(entries).alias("benchmark_results"))
-    document.select(meta.alias("metadata"), "benchmark_results").write.mode("overwrite").json(path)
+    documents = runs.groupBy(*by).agg(F.map_from_entries(entries).alias("benchmark_results"))
+    return documents.select(*by, meta.alias("metadata"), "benchmark_results")
+
+
+def save_results(runs: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """Write the result document of ``runs``."""
+    to_documents(runs, metadata).write.mode("overwrite").json(path)
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """One row per document; a missing part is an empty map."""
-    raw = spark.read.schema(RESULTS_SCHEMA).json(path, multiLine=True)
+    return _filled(spark.read.schema(RESULTS_SCHEMA).json(path, multiLine=True))
+
+
+def parse_results(texts: DataFrame, column: str = "document") -> DataFrame:
+    """The same from a column of JSON texts; the other columns stay."""
+    kept = [c for c in texts.columns if c != column]
+    parsed = texts.select(*kept, F.from_json(column, RESULTS_SCHEMA).alias("_d"))
+    return _filled(parsed.select(*kept, "_d.*"))
+
+
+def _filled(raw: DataFrame) -> DataFrame:
+    kept = [c for c in raw.columns if c not in ("metadata", "benchmark_results")]
     return raw.select(
+        *kept,
         F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
         F.coalesce("benchmark_results", F.create_map().cast(f"map<string,{RUN_TYPE}>")).alias("benchmark_results"),
     )
@@ -45,7 +62,8 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
 
 def runs_of(results: DataFrame) -> DataFrame:
     """The runs of result documents as rows."""
-    return results.select(F.explode("benchmark_results").alias("benchmark", "run")).select("benchmark", "run.*")
+    kept = [c for c in results.columns if c not in ("metadata", "benchmark_results")]
+    return results.select(*kept, F.explode("benchmark_results").alias("benchmark", "run")).select(*kept, "benchmark", "run.*")
 
 
 def save_detailed_run(summary: DataFrame, config: DataFrame, verdicts: DataFrame, path: str) -> None:

@@ -379,6 +379,7 @@ def test_screen_syntax(spark):
 
 
 def test_latest_run(spark):
-    rows = [("m", 1, 2, dt.datetime(2025, 1, 1)), ("m", 2, 2, dt.datetime(2025, 1, 2))]
-    df = spark.createDataFrame(rows, "benchmark string, passed_examples int, total_examples int, timestamp timestamp_ntz")
-    assert metrics.latest_runs(df).first().report == "M: 2/2"
+    rows = [("m", 50.0, 1, 2, dt.datetime(2025, 1, 1)), ("m", 100.0, 2, 2, dt.datetime(2025, 1, 2))]
+    df = spark.createDataFrame(rows, "benchmark string, pass_rate double, passed_examples int, total_examples int, timestamp timestamp_ntz")
+    text = metrics.report(metrics.latest_runs(df)).first().report
+    assert text == "M:\n  Pass Rate: 100.00%\n  Passed: 2/2\n  Timestamp: 2025-01-02T00:00:00"
