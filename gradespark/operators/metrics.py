@@ -20,24 +20,34 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACES, -1), "")
 
 
-def _ngrams(rows: DataFrame, words: str, *keep: str) -> DataFrame:
-    """All 1- to 4-grams of a token array, one row each, as (keep..., gram).
+_WORDS = [f"_t{i}" for i in range(BLEU_ORDER)]
 
-    Tokens hold no blanks, so joining them by one blank is unambiguous and the
-    number of blanks tells the length. Shifting the array by 1, 2 and 3 and
-    zipping gives all windows in linear time. Every text, even an empty one,
-    also gives the n-gram ``""`` once.
+
+def _windows(rows: DataFrame, words: str, *keep: str) -> DataFrame:
+    """A row (keep..., _t0.._t3) for each token and the three behind it.
+
+    Shifting the array by 1, 2 and 3 and zipping gives all windows in linear
+    time. Every text, even an empty one, also gives the window ``""``.
     """
     w = F.col(words)
-    names = [f"_t{i}" for i in range(BLEU_ORDER)]
     shifted = [w] + [F.slice(w, i + 1, F.size(w)) for i in range(1, BLEU_ORDER)]
-    zipped = F.arrays_zip(*[s.alias(n) for s, n in zip(shifted, names)])
-    windows = rows.select(*keep, F.posexplode_outer(zipped).alias("_at", "_w"))
-    grams = [F.when(F.coalesce("_at", F.lit(0)) == 0, F.lit(""))]
+    zipped = F.arrays_zip(*[s.alias(n) for s, n in zip(shifted, _WORDS)])
+    nothing = F.lit(None).cast("string")
+    mark = F.struct(F.lit("").alias("_t0"), *[nothing.alias(n) for n in _WORDS[1:]])
+    return rows.select(*keep, F.inline(F.concat(F.array(mark), zipped)).alias(*_WORDS))
+
+
+def _ngrams(windows: DataFrame, *keep: str) -> DataFrame:
+    """The 1- to 4-gram that starts each window, as (keep..., gram).
+
+    Tokens hold no blanks, so joining them by one blank is unambiguous and the
+    number of blanks tells the length.
+    """
+    grams: list[Column] = []
     parts: list[Column] = []
-    for name in names:
+    for name in _WORDS:
         # concat is NULL where the window runs over the end.
-        parts = [*parts, F.lit(" "), F.col(f"_w.{name}")] if parts else [F.col(f"_w.{name}")]
+        parts = [*parts, F.lit(" "), F.col(name)] if parts else [F.col(name)]
         grams.append(F.concat(*parts))
     return windows.select(*keep, F.explode(F.array(*grams)).alias("gram")).where(F.col("gram").isNotNull())
 
@@ -47,25 +57,27 @@ def bleu(pairs: DataFrame, references: DataFrame) -> DataFrame:
 
     ``pairs``: (pair_id, reference_id, candidate), ``references``:
     (reference_id, reference). Only n-grams that occur in the reference can
-    count, so the candidate's n-grams meet the counted n-grams of the
-    references first and the rest never reaches the aggregation. The n-gram
-    ``""`` of each text brings the two lengths along, which saves a second
-    pass over the candidates.
+    count. So the candidate's windows first meet the tokens of the reference,
+    what is left becomes n-grams, and these meet the counted n-grams of the
+    reference before anything is aggregated. The window ``""`` of each text
+    brings the two lengths along, which saves a second pass over the texts.
     """
     refs = references.select("reference_id", tokens(F.col("reference")).alias("_ref"))
-    refs = refs.withColumn("_r", F.size("_ref"))
+    refs = _windows(refs.withColumn("_r", F.size("_ref")), "_ref", "reference_id", "_r")
     ref_counts = (
-        _ngrams(refs, "_ref", "reference_id", "_r")
+        _ngrams(refs, "reference_id", "_r")
         .groupBy("reference_id", "gram")
         .agg(F.count("*").alias("_in_ref"), F.max("_r").alias("_r"))
     )
+    ref_tokens = refs.select("reference_id", "_t0").distinct()
     cands = pairs.select("pair_id", "reference_id", tokens(F.col("candidate")).alias("_cand"))
-    cands = cands.withColumn("_h", F.size("_cand"))
+    cands = _windows(cands.withColumn("_h", F.size("_cand")), "_cand", "pair_id", "reference_id", "_h")
+    cands = cands.join(ref_tokens, ["reference_id", "_t0"], "left_semi")
     # Each distinct n-gram of a pair once, then its clipped count.
     gram = F.col("gram")
     order = F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1
     counted = (
-        _ngrams(cands, "_cand", "pair_id", "reference_id", "_h")
+        _ngrams(cands, "pair_id", "reference_id", "_h")
         .join(ref_counts, ["reference_id", "gram"])
         .groupBy("pair_id", "gram")
         .agg(
