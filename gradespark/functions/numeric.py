@@ -132,6 +132,33 @@ def hypot(x, y):
     return F.hypot(x, y)
 
 
+def _micros(interval: Column) -> Column:
+    """A day-time interval in microseconds."""
+    return F.unix_micros(F.timestamp_micros(F.lit(0)) + interval)
+
+
+def divide_interval(x, y):
+    """How often an interval fits into another one."""
+    return divide(_micros(x), _micros(y))
+
+
+def floor_divide_interval(x, y):
+    return floor_divide_int(_micros(x), _micros(y))
+
+
+def remainder_interval(x, y):
+    """The interval left by ``floor_divide_interval``; NULL for an empty divisor."""
+    a, b = _micros(x), _micros(y)
+    rest = F.when(b != 0, a - floor_divide_int(a, b) * b)
+    return F.make_dt_interval(secs=(rest / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+
+
+def divmod_interval(x, y):
+    return F.struct(
+        floor_divide_interval(x, y).alias("quotient"), remainder_interval(x, y).alias("remainder")
+    )
+
+
 def ones_like(x, dtype: str = "double"):
     """1 for every value that is there."""
     return F.when(x.isNotNull(), F.lit(1).cast(dtype))

@@ -38,13 +38,17 @@ def resolve_chains(attempts: DataFrame, keys: Sequence[str] = ("task_id", "metho
 
 
 def pass_at_k(
-    attempts: DataFrame, ks: Sequence[int] = (1, 5, 10), order: Column | str = "attempt"
+    attempts: DataFrame,
+    ks: Sequence[int] = (1, 5, 10),
+    order: Column | str = "attempt",
+    tasks: DataFrame | None = None,
 ) -> DataFrame:
     """Share of all tasks with at least k attempts and a success among the first k.
 
     Rows: task_id, ``order`` and ``ok``. Only the first max(k) attempts of a
     task can matter; the rank filter is applied before the shuffle as well, so
-    a task with very many attempts sends few rows.
+    a task with very many attempts sends few rows. With ``tasks`` (task_id)
+    the tasks nobody attempted count as well.
     """
     order = F.col(order) if isinstance(order, str) else order
     first = (
@@ -56,6 +60,8 @@ def pass_at_k(
     )
     sizes = attempts.groupBy("task_id").agg(F.count("*").alias("_n"))
     per_task = sizes.join(first, "task_id")
+    if tasks is not None:
+        per_task = tasks.select("task_id").distinct().join(per_task, "task_id", "left")
     hits = [
         F.count_if((F.col("_n") >= k) & (F.col("_success") <= k)).alias(f"_hits{k}") for k in ks
     ]

@@ -5,40 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradespark.functions.numeric import fmax, fmin, maximum, minimum
+
 # A 64-bit number divided by this many factors of at least 2 is 0 or -1.
 _MAX_FACTORS = 63
 
 
 def scatter(target: DataFrame, updates: DataFrame, op: str) -> DataFrame:
-    """``target(idx, value)`` after all ``updates(idx, u)``; untouched rows stay.
-
-    The updates of an id are combined before they meet the target, so a hot id
-    costs one partial row per task.
-    """
+    """``target(idx, value)`` after all ``updates(idx, u)``; untouched rows stay."""
     if op == "floor_divide":
         return _floor_divide(target, updates)
-    u, value, acc = F.col("u"), F.col("value"), F.col("_acc")
-    nan = F.lit(float("nan"))
-    any_nan = F.bool_or(F.isnan(u.cast("double")))
-    combine: dict[str, Column] = {
-        "add": F.sum(u), "subtract": F.sum(u), "multiply": F.product(u), "divide": F.product(u),
-        "maximum": F.max(u), "minimum": F.when(any_nan, nan).otherwise(F.min(u)),
-        "fmax": F.coalesce(F.max(F.when(~F.isnan(u.cast("double")), u)), F.max(u)), "fmin": F.min(u),
-    }
-    either_nan = F.isnan(value.cast("double")) | F.isnan(acc.cast("double"))
-    apply: dict[str, Column] = {
-        "add": value + acc, "subtract": value - acc, "multiply": value * acc,
-        "divide": _divide(value.cast("double"), acc),
-        "maximum": F.greatest(value, acc), "minimum": F.when(either_nan, nan).otherwise(F.least(value, acc)),
-        "fmax": F.greatest(F.nanvl(value.cast("double"), acc.cast("double")), F.nanvl(acc.cast("double"), value.cast("double"))),
-        "fmin": F.least(value, acc),
-    }
-    summed = updates.groupBy("idx").agg(combine[op].alias("_acc"))
-    return target.join(summed, "idx", "left").select(
-        "idx", F.when(acc.isNull(), value).otherwise(apply[op]).alias("value")
+    return scatter_all(target, updates, {"value": (op, "u")})
+
+
+def scatter_all(target: DataFrame, updates: DataFrame, results: dict[str, tuple[str, str]]) -> DataFrame:
+    """(idx, one column per result) for {name: (op, update column)}.
+
+    All results share one aggregation of the updates, which come combined to
+    the target: a hot id costs one partial row per task.
+    """
+    accumulated = updates.groupBy("idx").agg(
+        *[_combine(op, F.col(column)).alias(f"_acc_{name}") for name, (op, column) in results.items()]
+    )
+    return target.join(accumulated, "idx", "left").select(
+        "idx", *[_apply(op, F.col("value"), F.col(f"_acc_{name}")).alias(name) for name, (op, _) in results.items()]
     )
 
 
+def _combine(op: str, u: Column) -> Column:
+    number = ~F.isnan(u.cast("double"))
+    if op in ("add", "subtract"):
+        return F.sum(u)
+    if op in ("multiply", "divide"):
+        return F.product(u)
+    if op == "maximum":
+        return F.max(u)
+    if op == "minimum":
+        # NaN is Spark's largest value, so min has to look for it.
+        return F.when(F.bool_or(~number), F.lit(float("nan"))).otherwise(F.min(u))
+    if op == "fmax":
+        return F.coalesce(F.max(F.when(number, u)), F.max(u))
+    if op == "fmin":
+        return F.min(u)
+    raise ValueError(f"unknown scatter operation: {op}")
+
+
+def _apply(op: str, value: Column, acc: Column) -> Column:
+    done = {
+        "add": lambda: value + acc,
+        "subtract": lambda: value - acc,
+        "multiply": lambda: value * acc,
+        "divide": lambda: _divide(value.cast("double"), acc),
+        "maximum": lambda: maximum(value, acc),
+        "minimum": lambda: minimum(value, acc),
+        "fmax": lambda: fmax(value, acc),
+        "fmin": lambda: fmin(value, acc),
+    }[op]()
+    return F.when(acc.isNull(), value).otherwise(done)
+
+
 def _divide(x: Column, y: Column) -> Column:
     inf = F.lit(float("inf"))
     return (

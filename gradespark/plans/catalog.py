@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -498,19 +497,16 @@ def reduce_gcd(spark, folder):
 @query
 def scatter_update(spark, folder):
     target = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value"))
-    lines = views.table(spark, folder, "lineitem").where(F.col("l_returnflag") != "A")
-    sums = lines.select(F.col("l_partkey").alias("idx"), F.col("l_quantity").alias("u"))
-    factors = lines.select(F.col("l_partkey").alias("idx"), (1 + F.col("l_tax")).alias("u"))
-    limits = lines.select(F.col("l_partkey").alias("idx"), (F.col("l_extendedprice") / 40).alias("u"))
-    updates = {
-        "add": sums, "subtract": sums, "multiply": factors, "divide": factors,
-        "maximum": limits, "minimum": limits, "fmax": limits, "fmin": limits,
+    updates = views.table(spark, folder, "lineitem").where(F.col("l_returnflag") != "A").select(
+        F.col("l_partkey").alias("idx"), F.col("l_quantity").alias("n"), (1 + F.col("l_tax")).alias("factor"),
+        (F.col("l_extendedprice") / 40).alias("bound"),
+    )
+    columns = {
+        "add": "n", "subtract": "n", "multiply": "factor", "divide": "factor",
+        "maximum": "bound", "minimum": "bound", "fmax": "bound", "fmin": "bound",
     }
-    parts = [
-        scatter.scatter(target, rows, op).select(F.lit(op).alias("op"), "idx", F.round("value", 6).alias("value"))
-        for op, rows in updates.items()
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    done = scatter.scatter_all(target, updates, {op: (op, column) for op, column in columns.items()})
+    return done.select("idx", *[F.round(op, 6).alias(op) for op in columns])
 
 
 @query
@@ -650,6 +646,8 @@ def fn_datetime(spark, folder):
     day = F.expr("interval 1 day")
     start = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
     gap = num.subtract(F.col("o_orderdate"), start)
+    week = F.expr("interval 7 day")
+    parts = num.divmod_interval(gap, week)
     twice = num.multiply(gap, F.lit(2))
     rows = views.table(spark, folder, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
@@ -663,6 +661,9 @@ def fn_datetime(spark, folder):
         num.add(start, gap / F.lit(2)).alias("halfway"),
         (F.col("o_orderdate") > start).alias("later"),
         F.greatest("o_orderdate", start).alias("latest"),
+        F.round(num.divide_interval(gap, week), 6).alias("weeks"),
+        parts["quotient"].alias("whole_weeks"),
+        num.add(start, parts["remainder"]).alias("rest"),
         num.isnat(F.col("sometimes")).alias("isnat_"),
     )
 

@@ -412,15 +412,13 @@ from lineitem group by l_suppkey"""
 
 ORACLES["scatter_update"] = f"""with u as (select l_partkey idx, sum(l_quantity) s, product(1 + l_tax) f,
    max(l_extendedprice / 40) hi, min(l_extendedprice / 40) lo from lineitem where l_returnflag <> 'A' group by l_partkey),
- t as (select p_partkey idx, p_retailprice v, s, f, hi, lo from part left join u on idx = p_partkey),
- r as (select 'add' op, idx, coalesce(v + s, v) x from t union all select 'subtract', idx, coalesce(v - s, v) from t
-   union all select 'multiply', idx, coalesce(v * f, v) from t union all select 'divide', idx, coalesce(v / f, v) from t
-   union all select 'maximum', idx, greatest(v, hi) from t union all select 'minimum', idx, least(v, lo) from t
-   union all select 'fmax', idx, greatest(v, hi) from t union all select 'fmin', idx, least(v, lo) from t)
-select op, idx, {rnd('x', 6)} as value from r"""
+ t as (select p_partkey idx, p_retailprice v, s, f, hi, lo from part left join u on idx = p_partkey)
+select idx, {rnd('coalesce(v + s, v)', 6)} as add, {rnd('coalesce(v - s, v)', 6)} as subtract,
+ {rnd('coalesce(v * f, v)', 6)} as multiply, {rnd('coalesce(v / f, v)', 6)} as divide, {rnd('greatest(v, hi)', 6)} as maximum,
+ {rnd('least(v, lo)', 6)} as minimum, {rnd('greatest(v, hi)', 6)} as fmax, {rnd('least(v, lo)', 6)} as fmin from t"""
 
 ORACLES["scatter_floor_divide"] = """with u as (select l_partkey idx, count(*) filter (where l_linenumber > 5) n from lineitem group by l_partkey)
-select p_partkey idx, cast(floor((p_partkey * 1000003 - 900000000) / pow(2.0e0, coalesce(n, 0))) as bigint) as value
+select p_partkey idx, cast(floor((p_partkey * 1000003 - 900000000) / pow(2.0e0, least(coalesce(n, 0), 64))) as bigint) as value
 from part left join u on idx = p_partkey"""
 
 
@@ -483,7 +481,8 @@ select o_orderkey, o_orderkey % 8 = 0 isnan_, o_orderkey % 8 <> 0 and o_orderkey
 
 ORACLES["fn_datetime"] = """with o as (select o_orderkey, o_orderdate d, timestamp '1996-01-01' s, epoch_us(o_orderdate) - epoch_us(timestamp '1996-01-01') g from orders)
 select o_orderkey, d + interval 1 day next_day, d - interval 1 day day_before, make_timestamp(epoch_us(s) + 2 * g) mirrored,
-  make_timestamp(epoch_us(s) + g // 2) halfway, d > s later, greatest(d, s) latest, o_orderkey % 3 <> 0 isnat_ from o"""
+  make_timestamp(epoch_us(s) + g // 2) halfway, d > s later, greatest(d, s) latest, round(g / 604800000000.0e0, 6) as weeks,
+  cast(floor(g / 604800000000.0e0) as bigint) whole_weeks, make_timestamp(epoch_us(s) + g - cast(floor(g / 604800000000.0e0) as bigint) * 604800000000) as rest, o_orderkey % 3 <> 0 isnat_ from o"""
 
 ORACLES["fn_gcd_lcm"] = """select l_orderkey, l_partkey, cast(gcd(l_orderkey, l_partkey) as bigint) gcd,
   cast(lcm(l_orderkey, l_partkey) as bigint) lcm from lineitem"""

@@ -29,7 +29,7 @@ def connect(folder: str):
 
 def norm(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(round(value, 9) + 0.0)
+        return "nan" if math.isnan(value) else repr(value)
     if isinstance(value, (list, tuple)):
         return tuple(norm(v) for v in value)
     return repr(value)
@@ -76,7 +76,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    folder = f"/root/testdata/sf{sys.argv[1]}"
+    folder = sys.argv[1] if "/" in sys.argv[1] else f"/root/testdata/sf{sys.argv[1]}"
     wanted = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")

@@ -143,3 +143,13 @@ def test_index_raises(spark):
     assert rows.select(s.index(F.col("t"), "c"), s.rindex(F.col("t"), "a")).first() == (2, 0)
     with pytest.raises(Exception, match="substring not found"):
         rows.select(s.index(F.col("t"), "z")).collect()
+
+
+def test_intervals(spark):
+    import datetime as dt
+
+    cases = [(dt.timedelta(days=5, seconds=3), dt.timedelta(hours=7)), (dt.timedelta(days=-5, microseconds=1), dt.timedelta(hours=7)), (dt.timedelta(1), dt.timedelta(hours=-5))]
+    rows = spark.createDataFrame(cases, "x interval day to second, y interval day to second")
+    got = rows.select(n.divide_interval(F.col("x"), F.col("y")), n.divmod_interval(F.col("x"), F.col("y"))).collect()
+    for (x, y), (q, d) in zip(cases, got):
+        assert q == x / y and tuple(d) == divmod(x, y)

@@ -1,6 +1,5 @@
-"""Text cleaning against re, textwrap and str."""
+"""Text cleaning against textwrap, str and written-out results."""
 
-import re
 import textwrap
 
 from pyspark.sql import functions as F
@@ -14,21 +13,38 @@ CASES = [
     "def f(): pass\nif  __name__==\"__main__\" :\n  f()\n\u0085 more", "import doctest\n  doctest.testmod()\nx", "import  doctest \n\n\tdoctest.testmod()\n",
     "a\n \n", "trail\n```   \n\n", "one\n\n\n", "\n  \n   a\n  b  \n", "  \t mixed\n  \tb", "tail\n \n ```", "``````", "```python x\n```",
 ]
-FENCE_OPEN = re.compile(r"^\s*```(?:py(?:thon)?)?\s*\n", re.I)
-FENCE_CLOSE = re.compile(r"\n\s*```\s*$", re.I)
 
 
 def fences(x):
-    return FENCE_CLOSE.sub("", FENCE_OPEN.sub("", x))
-
-
-def extract(x):
-    x = re.sub(r"(if\s+__name__\s*==\s*['\"]__main__['\"]\s*:.*)", "", x.replace("\\n", "\n"), flags=re.S)
-    return fences(re.sub(r"import\s+doctest\s*\n\s*doctest\.testmod\(\)", "", x)).strip()
-
-
-def clean(x):
-    return textwrap.dedent(fences(x.strip())).strip().replace("\\n", "\n").replace("\\t", "\t")
+    """Opening and closing fence taken off by hand."""
+    body = x.lstrip()
+    tags = [t for t in ("```python", "```py", "```") if body.lower().startswith(t)]
+    for tag in tags:
+        rest = body[len(tag) :]
+        blank = rest[: len(rest) - len(rest.lstrip())]
+        if "\n" in blank:
+            x = rest[blank.rindex("\n") + 1 :]
+            break
+    body = x.rstrip()
+    if body.endswith("```"):
+        kept = body[:-3].rstrip()
+        blank = body[len(kept) : -3]
+        if "\n" in blank:
+            x = kept + blank[: blank.index("\n")]
+    return x
+
+
+CLEANED = {
+    "": "", " \n ": "", "x = 1": "x = 1", "```python\n    a\n      b\n```": "a\n  b", "  ```PY\nx\n```  ": "x",
+    "    def f():\n        return 1": "def f():\n        return 1", "def f():\\n\\treturn 1": "def f():\n\treturn 1",
+    "```\n\ta\n\t\tb\n```": "a\n\tb", "```java\nq\n```": "```java\nq",
+}
+EXTRACTED = {
+    "": "", "x": "x", "def f(): pass\nif __name__ == '__main__':\n  f()\nmore": "def f(): pass",
+    'a\nif  __name__=="__main__" :\n  f()': "a", "a\\nb": "a\nb", "import doctest\n  doctest.testmod()\nx": "x",
+    "a\nimport  doctest \n\n\tdoctest.testmod()\nb\nimport doctest\ndoctest.testmod()": "a\n\nb",
+    "```python\nx = 1\n```": "x = 1", "if __name__ == 'other':\n  f()": "if __name__ == 'other':\n  f()", "x\nimport doctest": "x\nimport doctest",
+}
 
 
 def check(spark, mine, theirs):
@@ -54,12 +70,17 @@ def test_dedent(spark):
     check(spark, text.dedent, textwrap.dedent)
 
 
+def literal(spark, function, cases):
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in rows.select(function(F.col("t"))).collect()] == list(cases.values())
+
+
 def test_clean(spark):
-    check(spark, text.clean_completion, clean)
+    literal(spark, text.clean_completion, CLEANED)
 
 
 def test_extract(spark):
-    check(spark, text.extract_functions, extract)
+    literal(spark, text.extract_functions, EXTRACTED)
 
 
 def test_split_lines(spark):
