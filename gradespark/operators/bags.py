@@ -127,7 +127,10 @@ def _expand(ranges: DataFrame) -> DataFrame:
         "bag_id", "start", "length",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / _CHUNK))).alias("_c"),
     )
-    chunks = chunks.repartition("bag_id", "_c")
+    # A fixed number of partitions: chunks are tiny rows, which adaptive
+    # execution would put into one task together.
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(n, "bag_id", "_c")
     last = F.least(F.col("length"), (F.col("_c") + 1) * _CHUNK) - 1
     return chunks.select(
         "bag_id", "start", F.explode(F.sequence(F.col("_c") * _CHUNK, last)).alias("pos")

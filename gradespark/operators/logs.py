@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradespark.functions.numeric import one_decimal
 from gradespark.functions.rtf import rtf_to_text
-from gradespark.functions.text import split_lines, strip
+from gradespark.functions.text import let, split_lines, strip
 from gradespark.operators.ordering import with_row_index
 
 # The methods in report order.
@@ -98,13 +98,24 @@ def method_from_file(file: Column) -> Column:
     The parts behind the model are the method; no part, or a leading CHAIN,
     stands for the base model.
     """
-    parts = F.split(F.upper(file_label(file)), r" ?\+ ?")
-    variant = F.array_join(F.slice(parts, 2, F.size(parts)), "_")
-    return (
-        F.when(variant == "", F.lit("BASE"))
-        .when(variant.startswith("CHAIN"), F.concat(F.lit("BASE_"), variant))
-        .otherwise(variant)
-    )
+    def variant(parts: Column) -> Column:
+        return F.array_join(F.slice(parts, 2, F.size(parts)), "_")
+
+    def method(name: Column) -> Column:
+        chain_only = name.startswith("CHAIN")
+        return (
+            F.when(name == "", F.lit("BASE"))
+            .when(chain_only, F.concat(F.lit("BASE_"), name))
+            .otherwise(name)
+        )
+
+    return let(let(F.split(F.upper(file_label(file)), r" ?\+ ?"), variant), method)
+
+
+def method_table(spark: SparkSession, methods: dict[str, str]) -> DataFrame:
+    """(file, method) from a dictionary."""
+    pairs = F.create_map(*[F.lit(x) for item in methods.items() for x in item])
+    return spark.range(1).select(F.explode(pairs).alias("file", "method"))
 
 
 def attach_method(lines: DataFrame, method_map: DataFrame) -> DataFrame:

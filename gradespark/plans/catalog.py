@@ -65,8 +65,8 @@ def log_methods(spark, folder):
     ).otherwise("")
     file = F.concat(F.lit("runs/HumanEval on Some-Model"), suffix, F.lit(".rtf"))
     lines = views.log(spark, folder).withColumn("file", file).drop("method")
-    known = [(f"HumanEval on Some-Model{_tail(m)}.rtf", m) for m in logs.METHODS]
-    table = spark.createDataFrame(known, "file string, method string")
+    known = {f"HumanEval on Some-Model{_tail(m)}.rtf": m for m in logs.METHODS}
+    table = logs.method_table(spark, known)
     by_rule = lines.withColumn("by_rule", logs.method_from_file(F.col("file")))
     return logs.attach_method(by_rule, table).groupBy("method", "by_rule").agg(F.count("*").alias("lines"))
 

@@ -20,7 +20,8 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     found = []
     for path in paths:
         hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop_path.getFileSystem(conf).exists(hadoop_path):
+        fs = hadoop_path.getFileSystem(conf)
+        if fs.exists(hadoop_path) or fs.globStatus(hadoop_path):
             found.append(path)
         else:
             _log.warning("log file not found: %s", path)
