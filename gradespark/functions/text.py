@@ -56,6 +56,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fill(template: str, *values: Column) -> Column:
+    """``template`` with its ``%s`` filled in, by plain concatenation."""
+    first, *rest = template.split("%s")
+    return F.concat(F.lit(first), *[x for value, part in zip(values, rest) for x in (value, F.lit(part))])
+
+
 def _any_of(tokens: list[str]) -> str:
     return "|".join(t.replace("|", r"\|") for t in tokens)
 

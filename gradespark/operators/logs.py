@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradespark.functions.numeric import one_decimal
 from gradespark.functions.rtf import rtf_to_text
-from gradespark.functions.text import let, split_lines, strip
+from gradespark.functions.text import fill, let, split_lines, strip
 from gradespark.operators.ordering import with_row_index
 
 # The methods in report order.
@@ -45,9 +45,9 @@ def emit_line(
     kind = empty if error_type is None else error_type
     text = F.lit("") if message is None else F.coalesce(message, F.lit(""))
     return (
-        F.when(passed, F.format_string(PASS_LINE, name))
-        .when(F.coalesce(kind, F.lit("SyntaxError")) == "SyntaxError", F.format_string(SYNTAX_ERROR_LINE, name))
-        .otherwise(F.format_string(EXECUTION_ERROR_LINE, name, kind, text))
+        F.when(passed, fill(PASS_LINE, name))
+        .when(F.coalesce(kind, F.lit("SyntaxError")) == "SyntaxError", fill(SYNTAX_ERROR_LINE, name))
+        .otherwise(fill(EXECUTION_ERROR_LINE, name, kind, text))
     )
 
 

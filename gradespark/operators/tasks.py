@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.functions.text import extract_functions, is_blank
+from gradespark.functions.text import extract_functions, fill, is_blank
 from gradespark.operators.ordering import with_row_index
 
 # The prompt markers (the closing marker repeats the opening one).
@@ -109,7 +109,7 @@ def lookup_tasks(requests: DataFrame, tasks: DataFrame) -> DataFrame:
     known = tasks.withColumn("_known", F.lit(True))
     return requests.join(known, "task_id", "left").withColumn(
         "error",
-        F.when(F.col("_known").isNull(), F.format_string(NOT_FOUND_ERROR, F.col("task_id"))),
+        F.when(F.col("_known").isNull(), fill(NOT_FOUND_ERROR, F.col("task_id"))),
     ).drop("_known")
 
 
