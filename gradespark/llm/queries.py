@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import simhash
+from gradespark.llm import packing, simhash, tokencount
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,18 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op4_token_counts(spark, folder):
+    vocabulary = tokencount.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(table(spark, folder, "documents"), vocabulary)
+
+
+@query
+def op8_best_fit_packing(spark, folder):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf8") as file:
+        return packing.pack(packing.token_pieces(table(spark, folder, "documents"), file.read()))
+
+
 @query
 def op9_simhash(spark, folder):
     return simhash.simhash_classes(table(spark, folder, "documents"))
