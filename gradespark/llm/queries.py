@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import packing, simhash, tokencount
+from gradespark.llm import language, packing, quality, simhash, tokencount
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_quality_cotraining(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.score_quality(docs, quality.learn(docs, table(spark, folder, "labels")))
+
+
 @query
 def op4_token_counts(spark, folder):
     vocabulary = tokencount.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
@@ -35,3 +41,9 @@ def op8_best_fit_packing(spark, folder):
 @query
 def op9_simhash(spark, folder):
     return simhash.simhash_classes(table(spark, folder, "documents"))
+
+
+@query
+def op10_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.learn(docs))
