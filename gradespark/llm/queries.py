@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import language, packing, quality, simhash, tokencount
+from gradespark.llm import hilbert, language, packing, quality, simhash, tokencount, topk
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def op4_token_counts(spark, folder):
     return tokencount.count_tokens(table(spark, folder, "documents"), vocabulary)
 
 
+@query
+def op5_exact_top_k(spark, folder):
+    return topk.exact_top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES["op5_exact_top_k"] = topk.ORACLE
+
+
+@query
+def op6_hilbert_neighbours(spark, folder):
+    return hilbert.nearest(table(spark, folder, "embeddings"))
+
+
+ORACLES["op6_hilbert_neighbours"] = hilbert.ORACLE
+
+
 @query
 def op8_best_fit_packing(spark, folder):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf8") as file:
