@@ -9,6 +9,7 @@ asked for: rows carry their length, place and checksum.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,27 +32,74 @@ CHUNK = 20_000
 TIGHT = 0.98
 #: Underfull bins that the local search tries to empty before it gives up.
 TRIES = 12
-#: Words whose ids a task remembers, and their greatest length in bytes.
-REMEMBERED, WORD_BYTES = 300_000, 64
+#: Words whose ids a task remembers, their greatest length in bytes, and how many new ones are encoded at a time.
+REMEMBERED, WORD_BYTES, TOGETHER = 800_000, 64, 1024
+#: ASCII marks that the tokenizer never joins to a letter or digit before them.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _WordIds(dict):
-    """Ids of each word as little-endian 32-bit bytes.
+class _WordIds:
+    """Ids of texts as little-endian 32-bit bytes, put together from those of their words.
 
-    The tokenizer drops white space and never joins tokens across it, so a
-    text's ids are those of its words, one after the other.
+    The tokenizer lower-cases, drops white space, never joins tokens across it,
+    and starts a token where marks follow a letter or digit. So a text's ids are
+    those of its words, one after the other, and a word's are those of its stem
+    and of the marks behind it. Texts with a special token in them are encoded as they are.
     """
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= WORD_BYTES:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __init__(self, tokenizer_json: str) -> None:
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.special = [t["content"].encode().lower() for t in json.loads(tokenizer_json).get("added_tokens", [])]
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Remember the ids of ``words``, which are encoded many at a time and told apart by their places."""
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            text = b" ".join(some).decode()
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            ends = np.array([k for k, c in enumerate(text) if c == " "] + [len(text)])
+            cuts = np.searchsorted(np.array([a for a, _ in found.offsets]), ends).tolist()
+            ids, start = np.array(found.ids, "<u4").tobytes(), 0
+            for word, cut in zip(some, cuts):
+                self.known[word] = ids[4 * start : 4 * cut]
+                start = cut
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        plain, marked = set(), []
+        for word in fresh:
+            if word[-1] in _MARKS:
+                stem = word.rstrip(_MARKS)
+                last = stem[-8:].decode("utf-8", "ignore")[-1:]
+                # Other characters may join the marks, or change when they are lower-cased.
+                if last and last < "\u2000" and (last.isalpha() and len(last.lower()) == 1 or last.isdecimal()):
+                    marked.append((word, stem, word[len(stem) :]))
+                    plain.add(stem)
+                    plain.add(marked[-1][2])
+                    continue
+            plain.add(word)
+        self._encode([*plain.difference(self.known)])
+        for word, stem, marks in marked:
+            self.known[word] = self.known[stem] + self.known[marks]
+
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 32):
+            raws = [(t or "").encode("utf-8", "replace").lower() for t in texts[at : at + 32]]
+            split = [None if any(s in raw for s in self.special) else raw.split() for raw in raws]
+            fresh = set().union(*[w for w in split if w]).difference(self.known)
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+                fresh = set().union(*[w for w in split if w])
+            if fresh:
+                self._learn(fresh)
+            for text, words in zip(texts[at : at + 32], split):
+                if words is None:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(self.known.__getitem__, words))
+            for word in fresh:
+                if len(word) > WORD_BYTES:  # too long to keep
+                    self.known.pop(word, None)
 
 
 def token_pieces(
@@ -60,18 +108,18 @@ def token_pieces(
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: documents cut at ``capacity`` tokens.
 
-    ``tokenizer_json`` is the content of a tokenizer file that drops white
-    space. A document is its ids and ``end_id``; null and empty texts are
+    ``tokenizer_json`` is the content of a tokenizer file that lower-cases, drops
+    white space and keeps marks apart from letters. A document is its ids and ``end_id``; null and empty texts are
     ``end_id`` alone. Only longer documents are cut, and only their last piece
     may be shorter. Repeated rows and null ids are documents like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _WordIds(Tokenizer.from_str(tokenizer_json)), np.array([end_id], "<u4").tobytes()
+        words, end = _WordIds(tokenizer_json), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = b"".join(map(words.__getitem__, (text or "").encode("utf-8", "replace").split())) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1).to_pylist())):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     for column, value in zip(out, (doc, piece, start, len(part) // 4, zlib.crc32(part), part)):

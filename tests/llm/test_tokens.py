@@ -100,3 +100,15 @@ def test_local_search_empties_bins():
         better = packing.local_search(lengths, of, 100)
         assert np.bincount(better, weights=lengths).max() <= 100
         assert len(set(better.tolist())) <= len(set(of.tolist()))
+
+
+shared = packing._WordIds(JSON)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abAZé19'.,%—´≠̸́\n \t<|ΣςİK№²…"), max_size=12), max_size=12))
+def test_word_ids_equal_the_tokenizer(texts):
+    joined = [" ".join(texts), "".join(texts), "<|endoftext|>" + "".join(texts), *texts]
+    shared.known.clear()
+    found = [np.frombuffer(b, "<u4").tolist() for b in shared.texts(joined)]
+    assert found == [shared.tokenizer.encode(t, add_special_tokens=False).ids for t in joined]
