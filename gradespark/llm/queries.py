@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import hilbert, language, packing, quality, simhash, tokencount, topk
+from gradespark.llm import hilbert, language, packing, quality, simhash, tokencount, topk, warc
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_warc(spark, folder):
+    return warc.read_records(warc.write_archives(table(spark, folder, "pages")))
+
+
+ORACLES["op1_warc"] = warc.ORACLE
+
+
 @query
 def op3_quality_cotraining(spark, folder):
     docs = table(spark, folder, "documents")
