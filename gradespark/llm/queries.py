@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import hilbert, language, packing, quality, simhash, tokencount, topk, warc
+from gradespark.llm import hilbert, language, mixing, packing, quality, simhash, tokencount, topk, warc
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op6_hilbert_neighbours(spark, folder):
 ORACLES["op6_hilbert_neighbours"] = hilbert.ORACLE
 
 
+@query
+def op7_temperature_mixing(spark, folder):
+    return mixing.mixture(table(spark, folder, "documents"))
+
+
 @query
 def op8_best_fit_packing(spark, folder):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf8") as file:
