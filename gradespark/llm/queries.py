@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import hilbert, language, mixing, packing, quality, simhash, tokencount, topk, warc
+from gradespark.llm import hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, warc
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op1_warc(spark, folder):
 ORACLES["op1_warc"] = warc.ORACLE
 
 
+@query
+def op2_license_scan(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 @query
 def op3_quality_cotraining(spark, folder):
     docs = table(spark, folder, "documents")
