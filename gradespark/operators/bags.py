@@ -2,7 +2,7 @@
 
 The vectors of a bag are summed by plain ``sum`` aggregates, one per
 dimension, in blocks of 32 dimensions, which the JVM still compiles well. A bag element therefore stays one row
-(or one per block) on its way to the aggregation and map-side combine shrinks
+per block on its way to the aggregation and map-side combine shrinks
 a hot bag to one partial row per task.
 """
 
@@ -17,6 +17,12 @@ BLOCK = 32
 _CHUNK = 1 << 16
 
 
+def _checked(vector: Column, width: int) -> Column:
+    """``vector``, or an error if it has another width; NULL stays NULL."""
+    wrong = F.raise_error(F.concat(F.lit(f"a vector must have {width} dimensions, this one has "), F.size(vector).cast("string")))
+    return F.when(vector.isNull() | (F.size(vector) == width), vector).otherwise(wrong)
+
+
 def pool(
     rows: DataFrame,
     vector: Column,
@@ -26,44 +32,47 @@ def pool(
     weight: Column | None = None,
     offset: Column | None = None,
     mean: bool = False,
+    bad: str = "raise",
 ) -> DataFrame:
     """(key, pooled ARRAY<DOUBLE>) over rows that carry their vector.
 
+    Every vector has ``block_size`` entries, any other width is an error. NULL
+    entries add nothing; a dimension without any entry is NULL, in its place.
     ``offset`` is one number per row that is added to every dimension.
     ``mean`` divides by the number of elements, not by the sum of weights.
+    A row without a vector or weight is an error; with ``bad="report"`` its
+    group is NULL instead, and a column ``bad`` counts such rows.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     o = F.lit(0.0) if offset is None else offset.cast("double")
+    missing = vector.isNull() | w.isNull()
+    given = _checked(vector, block_size)
+    if bad == "raise":
+        given = F.when(missing, F.raise_error(F.concat(F.lit("no vector or weight for an element of group "), F.col(key).cast("string")))).otherwise(given)
     blocks = -(-block_size // BLOCK)
-    width = min(block_size, BLOCK)
-    elements = rows.select(F.col(key), w.alias("_w"), o.alias("_o"), vector.alias("_v"))
-    if blocks > 1:
-        elements = elements.select(
-            key, "_w", "_o", F.posexplode(
-                F.array(*[F.slice("_v", b * BLOCK + 1, BLOCK) for b in range(blocks)])
-            ).alias("_block", "_v"),
-        )
-    keys = [key] if blocks == 1 else [key, "_block"]
-    sums = [
-        F.sum(F.col("_w") * F.get("_v", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(width)
-    ]
-    summed = elements.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_o").alias("_o"), *sums)
-    values = F.array(*[F.col(f"_s{i}") for i in range(width)])
-    if blocks > 1:
-        # At most block_size / BLOCK rows per bag.
-        values = F.filter(values, lambda x: x.isNotNull())
-        parts = F.sort_array(F.collect_list(F.struct("_block", values.alias("v"))))
-        summed = summed.groupBy(key).agg(
-            F.max("_n").alias("_n"), F.max("_o").alias("_o"), F.flatten(F.transform(parts, lambda p: p["v"])).alias("_sum")
-        )
-    else:
-        summed = summed.select(key, "_n", "_o", values.alias("_sum"))
+    elements = rows.select(F.col(key), w.alias("_w"), o.alias("_o"), missing.cast("int").alias("_bad"), given.alias("_v"))
+    elements = elements.select(
+        key, "_w", "_o", "_bad",
+        F.posexplode(F.array(*[F.slice("_v", b * BLOCK + 1, BLOCK) for b in range(blocks)])).alias("_block", "_v"),
+    )
+    sums = [F.sum(F.col("_w") * F.get("_v", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(min(block_size, BLOCK))]
+    summed = elements.groupBy(key, "_block").agg(F.count("*").alias("_n"), F.sum("_o").alias("_o"), F.sum("_bad").alias("bad"), *sums)
+    # Each block has exactly its own width, whatever is NULL in it.
+    width = F.least(F.lit(BLOCK), F.lit(block_size) - F.col("_block") * BLOCK)
+    values = F.slice(F.array(*[F.col(f"_s{i}") for i in range(len(sums))]), F.lit(1), width)
+    # At most block_size / BLOCK rows per group.
+    parts = F.sort_array(F.collect_list(F.struct("_block", values.alias("v"))))
+    summed = summed.groupBy(key).agg(
+        F.max("_n").alias("_n"), F.max("_o").alias("_o"), F.max("bad").alias("bad"), F.flatten(F.transform(parts, lambda p: p["v"])).alias("_sum")
+    )
     total = F.col("_sum")
     if offset is not None:
         total = F.transform(total, lambda x: x + F.col("_o"))
     if mean:
         total = F.transform(total, lambda x: x / F.col("_n"))
-    return summed.select(key, total.alias("pooled"))
+    if bad == "raise":
+        return summed.select(key, total.alias("pooled"))
+    return summed.select(key, F.when(F.col("bad") == 0, total).alias("pooled"), "bad")
 
 
 def embedding_bag(
@@ -74,26 +83,32 @@ def embedding_bag(
     weight: Column | None = None,
     mean: bool = False,
     bags: DataFrame | None = None,
+    bad: str = "raise",
 ) -> DataFrame:
     """Pool ``table.embedding`` over (bag_id, vec_id) elements.
 
     With ``bags`` (bag_id) every listed bag has a row; an empty one is zeros.
+    An id that the table does not have is an error, or reported as ``pool`` says.
     The join is left to Spark, which broadcasts the vector table only where
     its measured size allows it.
     """
-    joined = elements.join(table.select("vec_id", "embedding"), "vec_id")
-    pooled = pool(joined, F.col("embedding"), block_size, weight=weight, mean=mean)
+    joined = elements.join(table.select("vec_id", "embedding"), "vec_id", "left")
+    pooled = pool(joined, F.col("embedding"), block_size, weight=weight, mean=mean, bad=bad)
     if bags is None:
         return pooled
     zeros = F.array_repeat(F.lit(0.0), block_size)
-    return bags.select("bag_id").join(pooled, "bag_id", "left").withColumn(
-        "pooled", F.coalesce("pooled", zeros)
-    )
+    listed = bags.select("bag_id").join(pooled, "bag_id", "left")
+    if bad == "raise":
+        return listed.withColumn("pooled", F.coalesce("pooled", zeros))
+    return listed.withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("pooled", F.when(F.col("bad") == 0, F.coalesce("pooled", zeros)))
 
 
 def positional_weights(elements: DataFrame, weights: DataFrame) -> DataFrame:
-    """Add the weight of each element's position in its bag: weights(pos, weight)."""
-    return elements.join(weights, "pos")
+    """Add the weight of each element's position in its bag: weights(pos, weight).
+
+    A position without a weight has NULL, which ``pool`` refuses or reports.
+    """
+    return elements.join(weights, "pos", "left")
 
 
 def quantized_bag(
@@ -105,7 +120,7 @@ def quantized_bag(
     to every dimension: sum(w*(scale*q + bias)) = sum(w*scale*q) + sum(w*bias).
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    joined = elements.join(table, "vec_id").withColumn("_weight", w)
+    joined = elements.join(table, "vec_id", "left").withColumn("_weight", w)
     return pool(
         joined, F.col("q"), block_size, mean=mean,
         weight=F.col("_weight") * F.col("scale"), offset=F.col("_weight") * F.col("bias"),
@@ -144,24 +159,48 @@ def ranges_from_lengths(lengths: DataFrame) -> DataFrame:
     )
 
 
+def check_offsets(offsets: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row on offsets (bag_no, offset): are the numbers dense from 0, do offsets never fall, do they cover ``ids``?
+
+    ``ids`` (flat) counts from 0; offsets may start anywhere.
+    """
+    following = offsets.select((F.col("bag_no") - 1).alias("bag_no"), F.col("offset").alias("_next"))
+    falls = offsets.join(following, "bag_no").agg(F.coalesce(F.sum((F.col("_next") < F.col("offset")).cast("int")), F.lit(0)).alias("n")).scalar()
+    listed = offsets.agg(
+        F.count("*").alias("entries"), (F.count("*") - F.count_distinct("bag_no")).alias("repeated"),
+        (F.coalesce(F.max("bag_no") + 1, F.lit(0)) - F.count_distinct(F.when(F.col("bag_no") >= 0, F.col("bag_no")))).alias("gaps"),
+        F.coalesce(F.sum((F.col("bag_no") < 0).cast("int")), F.lit(0)).alias("negative"),
+        (F.max_by("offset", "bag_no") - F.min_by("offset", "bag_no")).alias("covered"),
+    )
+    listed = listed.withColumn("falls", falls).withColumn("ids", F.col("covered") if ids is None else ids.agg(F.count("*").alias("n")).scalar())
+    fine = (F.col("repeated") == 0) & (F.col("gaps") == 0) & (F.col("negative") == 0) & (F.col("falls") == 0)
+    return listed.withColumn("valid", fine & F.coalesce(F.col("covered") == F.col("ids"), F.lit(False)))
+
+
 def ranges_from_offsets(offsets: DataFrame) -> DataFrame:
     """(bag_no, offset), numbered from 0 with a closing entry, to ranges.
 
-    Numbers are dense, so the next offset is an equi join away.
+    Numbers are dense, so the next offset is an equi join away. Gaps, repeated
+    numbers and falling offsets are an error.
     """
-    following = offsets.select(
-        (F.col("bag_no") - 1).alias("bag_no"), F.col("offset").alias("_next")
-    )
+    following = offsets.select((F.col("bag_no") - 1).alias("bag_no"), F.col("offset").alias("_next"))
     first = offsets.where(F.col("bag_no") == 0).agg(F.max("offset").alias("o")).scalar()
+    shape = offsets.agg(
+        ((F.min("bag_no") == 0) & (F.max("bag_no") == F.count("*") - 1) & (F.count_distinct("bag_no") == F.count("*"))).alias("dense")
+    ).scalar()
+    length = F.col("_next") - F.col("offset")
     return offsets.join(following, "bag_no").select(
-        F.col("bag_no").alias("bag_id"), (F.col("offset") - first).alias("start"),
-        (F.col("_next") - F.col("offset")).alias("length"),
+        F.when(shape, F.col("bag_no")).otherwise(F.raise_error(F.lit("bag numbers must be dense from 0"))).alias("bag_id"),
+        (F.col("offset") - first).alias("start"),
+        F.when(length >= 0, length).otherwise(F.raise_error(F.lit("offsets must not fall"))).alias("length"),
     )
 
 
 def bag_elements(ranges: DataFrame, indices: DataFrame) -> DataFrame:
-    """Cut the flat ids (flat, vec_id) into (bag_id, pos, vec_id)."""
-    return _expand(ranges).join(indices, "flat").select("bag_id", "pos", "vec_id")
+    """Cut the flat ids (flat, vec_id) into (bag_id, pos, vec_id); a range beyond the ids is an error."""
+    cut = _expand(ranges).join(indices.withColumn("_here", F.lit(True)), "flat", "left")
+    there = F.when(F.col("_here"), F.col("vec_id")).otherwise(F.raise_error(F.concat(F.lit("no id at "), F.col("flat").cast("string"))))
+    return cut.select("bag_id", "pos", there.alias("vec_id"))
 
 
 def check_ranges(ranges: DataFrame, indices: DataFrame, table: DataFrame) -> DataFrame:

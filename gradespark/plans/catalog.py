@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -413,12 +414,38 @@ def bag_call_check(spark, folder):
 
 
 @query
-def bag_bad_ids(spark, folder):
+def bag_checked(spark, folder):
+    """Ids that the table does not have: counted for each bag, whose sum is then NULL."""
+    pooled = bags.embedding_bag(_planted_ids(spark, folder), views.embeddings(spark, folder), DIM, bad="report")
+    return pooled.select("bag_id", "bad", F.posexplode_outer(F.transform("pooled", lambda x: F.round(x, 4))).alias("d", "x"))
+
+
+@query
+def bag_offsets_check(spark, folder):
+    """Offsets as they should be, and with a fault of each kind."""
+    running = with_running_sum(views.bag_lengths(spark, folder), "length", "bag_id", name="end")
+    starts = running.select((F.col("bag_id") + 1).alias("bag_no"), F.col("end").alias("offset"))
+    good = spark.range(1).select(F.col("id").alias("bag_no"), F.col("id").alias("offset")).unionByName(starts)
+    no = F.col("bag_no")
+    kinds = {
+        "none": good, "gap": good.where(no != 5), "repeated": good.withColumn("bag_no", F.when(no == 7, 6).otherwise(no)),
+        "falling": good.withColumn("offset", F.when(no == 3, 0).otherwise(F.col("offset"))), "short": good.withColumn("offset", F.least("offset", F.lit(90).cast("bigint"))),
+    }
+    ids = views.flat_ids(spark, folder)
+    checks = [bags.check_offsets(offsets, ids).select(F.lit(kind).alias("kind"), "*") for kind, offsets in kinds.items()]
+    return functools.reduce(DataFrame.unionByName, checks)
+
+
+def _planted_ids(spark, folder):
     n = views.embeddings(spark, folder).agg(F.count("*").alias("n")).scalar()
-    planted = views.table(spark, folder, "events").select(
+    return views.table(spark, folder, "events").select(
         F.col("user_id").alias("bag_id"), "event_id", (F.col("event_id") % (n + 3) - 1).alias("vec_id")
     )
-    return bags.bad_ids(planted, views.embeddings(spark, folder))
+
+
+@query
+def bag_bad_ids(spark, folder):
+    return bags.bad_ids(_planted_ids(spark, folder), views.embeddings(spark, folder))
 
 
 # --- products ----------------------------------------------------------------

@@ -380,6 +380,23 @@ from (select count(*) length from events group by user_id)"""
 ORACLES["bag_bad_ids"] = """with p as (select user_id bag_id, event_id, event_id % ((select count(*) from embeddings) + 3) - 1 vec_id from events)
 select * from p where vec_id not in (select vec_id from embeddings)"""
 
+ORACLES["bag_checked"] = f"""with {V_EMB},
+ p as (select user_id bag_id, event_id, event_id % ((select count(*) from embeddings) + 3) - 1 vec_id from events),
+ b as (select bag_id, count(*) filter (where vec_id not in (select vec_id from embeddings)) bad from p group by bag_id)
+select bag_id, bad, d, {rnd('sum(x)', 4)} x from b join p using (bag_id) join v_emb using (vec_id) where bad = 0 group by bag_id, bad, d
+union all select bag_id, bad, null, null from b where bad > 0"""
+
+ORACLES["bag_offsets_check"] = """with l as (select user_id bag_id, count(*) length from events group by user_id),
+ g as (select cast(0 as bigint) bag_no, cast(0 as bigint) "offset" union all select bag_id + 1, cast(sum(length) over (order by bag_id) as bigint) from l),
+ k as (select 'none' kind, * from g union all select 'gap', * from g where bag_no <> 5
+  union all select 'repeated', case when bag_no = 7 then 6 else bag_no end, "offset" from g
+  union all select 'falling', bag_no, case when bag_no = 3 then 0 else "offset" end from g
+  union all select 'short', bag_no, least("offset", 90) from g),
+ f as (select a.kind, count(*) filter (where b."offset" < a."offset") falls from k a join k b on a.kind = b.kind and b.bag_no = a.bag_no + 1 group by a.kind),
+ s as (select kind, count(*) entries, count(*) - count(distinct bag_no) repeated, max(bag_no) + 1 - count(distinct bag_no) gaps, cast(0 as bigint) negative,
+  arg_max("offset", bag_no) - arg_min("offset", bag_no) covered, (select count(*) from events) ids from k group by kind)
+select s.*, falls, repeated = 0 and gaps = 0 and falls = 0 and covered = ids valid from s join f using (kind)"""
+
 # --- products ----------------------------------------------------------------
 
 ORACLES["vec_dot"] = f"""with {V_EMB}, n as (select count(*) n from embeddings),

@@ -385,3 +385,34 @@ def test_latest_run(spark):
     df = spark.createDataFrame(rows, "benchmark string, pass_rate double, passed_examples int, total_examples int, timestamp timestamp_ntz")
     text = metrics.report(metrics.latest_runs(df)).first().report
     assert text == "M:\n  Pass Rate: 100.00%\n  Passed: 2/2\n  Timestamp: 2025-01-02T00:00:00"
+
+
+@pytest.mark.parametrize("width", [1, 31, 32, 33, 40, 64, 65])
+def test_pool_keeps_every_dimension_in_place(spark, width):
+    rows = [(1, [float(i) for i in range(width)]), (1, [None if i == 3 else 1.0 for i in range(width)]), (2, [None if i in (0, width - 1) else 2.0 for i in range(width)])]
+    df = spark.createDataFrame(rows, "bag_id long, v array<double>")
+    got = {r.bag_id: r.pooled for r in bags.pool(df, F.col("v"), width).collect()}
+    assert got[1] == [float(i) + (0.0 if i == 3 else 1.0) for i in range(width)]
+    assert got[2] == [None if i in (0, width - 1) else 2.0 for i in range(width)]
+    for wrong in (width + 1, width + 32):
+        with pytest.raises(Exception, match="dimensions"):
+            bags.pool(df, F.col("v"), wrong).collect()
+
+
+def test_bags_report_or_refuse_what_is_missing(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    elements = spark.createDataFrame([(7, 0, 0), (7, 9, 1), (8, 1, 5)], "bag_id long, vec_id long, pos long")
+    with pytest.raises(Exception, match="no vector or weight"):
+        bags.embedding_bag(elements, table, 2, mean=True).collect()
+    listed = spark.createDataFrame([(7,), (8,), (9,)], "bag_id long")
+    got = sorted(map(tuple, bags.embedding_bag(elements, table, 2, mean=True, bad="report", bags=listed).collect()))
+    assert got == [(7, None, 1), (8, [3.0, 4.0], 0), (9, [0.0, 0.0], 0)]
+    weights = spark.createDataFrame([(0, 1.0), (1, 1.0)], "pos long, weight double")
+    weighted = bags.positional_weights(elements.where("bag_id = 8"), weights)
+    with pytest.raises(Exception, match="no vector or weight"):
+        bags.embedding_bag(weighted, table, 2, weight=F.col("weight")).collect()
+    gap = spark.createDataFrame([(0, 0), (1, 2), (3, 4)], "bag_no long, offset long")
+    with pytest.raises(Exception, match="dense"):
+        bags.ranges_from_offsets(gap).collect()
+    with pytest.raises(Exception, match="no id at"):
+        bags.bag_elements(bags.ranges_from_offsets(gap.where("bag_no < 3")), spark.createDataFrame([(0, 5)], "flat long, vec_id long")).collect()
