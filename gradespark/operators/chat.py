@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The markers and texts of the chat format.
@@ -19,28 +19,27 @@ TOOLS_OUTRO = (
     '{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
 )
 
-# Messages per output row. Turns are dense, so a group never holds more than
-# this many messages (and two neighbours), however long a conversation is.
-TURNS_PER_PART = 4096
+# Turn numbers whose messages are put in order together. Only the cost depends
+# on it: what meets at the edges of such ranges is found through their ends.
+TURNS = 4096
 
 CALLS_TYPE = "array<struct<name:string,arguments:string>>"
 
 
 def _call(call: Column) -> Column:
     return F.concat(
-        F.lit('\n<tool_call>\n{"name": "'), call["name"], F.lit('", "arguments": '),
-        call["arguments"], F.lit("}\n</tool_call>"),
+        F.lit('\n<tool_call>\n{"name": "'), F.coalesce(call["name"], F.lit("")), F.lit('", "arguments": '),
+        F.coalesce(call["arguments"], F.lit("")), F.lit("}\n</tool_call>"),
     )
 
 
-def _message(message: Column, before: Column, after: Column) -> Column:
-    """Text of one message, given the roles next to it."""
-    role, text, calls = message["role"], message["text"], message["tool_calls"]
+def _message(first: Column, before: Column, after: Column) -> Column:
+    """Text of one message, given whether it is the first and the roles next to it."""
+    role, text, calls = F.col("role"), F.coalesce("text", F.lit("")), F.col("tool_calls")
     has_calls = F.coalesce(F.size(calls) > 0, F.lit(False))
     plain = F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END))
     calling = F.concat(
-        F.lit(START), role,
-        F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit("\n"), text)).otherwise(""),
+        F.lit(START), role, F.when(text != "", F.concat(F.lit("\n"), text)).otherwise(""),
         F.array_join(F.transform(calls, _call), ""), F.lit(END),
     )
     is_tool = lambda other: F.coalesce(other == "tool", F.lit(False))
@@ -49,9 +48,8 @@ def _message(message: Column, before: Column, after: Column) -> Column:
         F.lit("\n<tool_response>\n"), text, F.lit("\n</tool_response>"),
         F.when(is_tool(after), "").otherwise(END),
     )
-    leading = (message["turn"] == 0) & (role == "system")
     return (
-        F.when(leading, F.lit(""))
+        F.when(first & (role == "system"), F.lit(""))
         .when((role == "user") | (role == "system") | ((role == "assistant") & ~has_calls), plain)
         .when(role == "assistant", calling)
         .when(role == "tool", answer)
@@ -59,9 +57,9 @@ def _message(message: Column, before: Column, after: Column) -> Column:
     )
 
 
-def _opening(first: Column, tools: Column | None) -> Column:
-    """The system block; a leading system message replaces the default one."""
-    system = F.when(first["role"] == "system", first["text"]).otherwise(DEFAULT_SYSTEM)
+def _opening(tools: Column | None) -> Column:
+    """The system block before the first message, which replaces the default if it is a system message."""
+    system = F.when(F.col("role") == "system", F.coalesce("text", F.lit(""))).otherwise(DEFAULT_SYSTEM)
     block = F.concat(F.lit(START + "system\n"), system, F.lit(END))
     if tools is None:
         return block
@@ -78,55 +76,36 @@ def render(
     *,
     tools: Column | None = None,
     generation_prompt: bool = False,
-    turns_per_part: int = TURNS_PER_PART,
+    turns: int = TURNS,
 ) -> DataFrame:
-    """Rows (conv_id, part, text); the parts of a conversation join to its text.
+    """Rows (conv_id, turn, text), one for each message; in order of ``turn`` they join to the conversation's text.
 
-    ``messages``: conv_id, turn (dense from 0), role, text and optionally
-    tool_calls (name, arguments as JSON). ``tools`` is an array of JSON
-    signatures. All but very long conversations have the single part 0.
+    ``messages``: conv_id, turn (unique in its conversation; any numbers, NULL
+    comes first), role, text (NULL is empty) and optionally tool_calls (name, arguments as JSON).
+    ``tools`` is an array of JSON signatures. The first message carries the
+    system block, the last one the generation prompt.
     """
-    n = turns_per_part
     if "tool_calls" not in messages.columns:
         messages = messages.withColumn("tool_calls", F.lit(None).cast(CALLS_TYPE))
-    turn = F.col("turn")
-    part = F.floor(turn / n).cast("bigint")
-    # A message at the edge of a part also goes to the part next to it, where
-    # only its role is looked at.
-    targets = F.array_compact(
-        F.array(
-            part,
-            F.when((turn % n == 0) & (turn > 0), part - 1),
-            F.when(turn % n == n - 1, part + 1),
-        )
+    # Ranges of turns keep a long conversation out of one task. A range learns
+    # the roles next to it from the ends of the conversation's other ranges.
+    ranged = messages.select("conv_id", "turn", "role", "text", "tool_calls", F.coalesce(F.floor(F.col("turn") / turns).cast("bigint"), F.lit(-(1 << 62))).alias("_range"))
+    place = F.struct(F.col("turn").isNotNull(), "turn")
+    ends = ranged.groupBy("conv_id", "_range").agg(F.min_by("role", place).alias("_first"), F.max_by("role", place).alias("_last"))
+    order = Window.partitionBy("conv_id").orderBy("_range")
+    ends = ends.select(
+        F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"), F.lag("_last").over(order).alias("_before"), F.lead("_first").over(order).alias("_after"),
+        (F.row_number().over(order) == 1).alias("_opens"), F.lead("_range").over(order).isNull().alias("_closes"),
     )
-    placed = messages.select("conv_id", "turn", "role", "text", "tool_calls", part.alias("_own"), F.explode(targets).alias("part"))
-    inside = F.col("_own") == F.col("part")
-    grouped = placed.groupBy("conv_id", "part").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "turn", "role",
-                    F.when(inside, F.col("text")).alias("text"),
-                    F.when(inside, F.col("tool_calls")).alias("tool_calls"),
-                    inside.alias("inside"),
-                )
-            )
-        ).alias("m"),
-        F.bool_or(inside).alias("_real"),
-        # The last part is the one whose last message has no successor.
-        F.max("turn").alias("_last_turn"),
-    ).where("_real")
-    m = F.col("m")
-    pieces = F.transform(
-        m,
-        lambda msg, i: F.when(
-            msg["inside"], _message(msg, F.get(m, i - 1)["role"], F.get(m, i + 1)["role"])
-        ).otherwise(""),
+    joined = ranged.join(ends, ranged["conv_id"].eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of")))
+    inside = Window.partitionBy("conv_id", "_range").orderBy("turn")
+    marked = joined.select(
+        "conv_id", "turn", "role", "text", "tool_calls",
+        F.coalesce(F.lag("role").over(inside), "_before").alias("_prev"), F.coalesce(F.lead("role").over(inside), "_after").alias("_next"),
+        ((F.row_number().over(inside) == 1) & F.col("_opens")).alias("_is_first"),
+        (F.lead(F.lit(True)).over(inside).isNull() & F.col("_closes")).alias("_is_last"),
     )
-    text = F.array_join(pieces, "")
-    text = F.concat(F.when(F.col("part") == 0, _opening(F.get(m, F.lit(0)), tools)).otherwise(""), text)
+    text = F.concat(F.when(F.col("_is_first"), _opening(tools)).otherwise(""), _message(F.col("_is_first"), F.col("_prev"), F.col("_next")))
     if generation_prompt:
-        ends = F.floor(F.col("_last_turn") / n) == F.col("part")
-        text = F.concat(text, F.when(ends, START + "assistant\n").otherwise(""))
-    return grouped.select("conv_id", "part", text.alias("text"))
+        text = F.concat(text, F.when(F.col("_is_last"), START + "assistant\n").otherwise(""))
+    return marked.select("conv_id", "turn", text.alias("text"))

@@ -211,8 +211,8 @@ ORACLES["chat_render"] = """with m as (select conv_id, turn, role,
   case when turn = 0 and role = 'system' then '' else concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) end piece,
   case when turn = 0 then concat('<|im_start|>system', chr(10), case when role = 'system' then text else 'You are a helpful assistant.' end, '<|im_end|>', chr(10)) else '' end opening
   from conversations)
-select conv_id, cast(0 as bigint) part, concat(string_agg(opening || piece, '' order by turn), '<|im_start|>assistant', chr(10)) as text
-from m group by conv_id"""
+select conv_id, turn, concat(opening, piece, case when turn = max(turn) over (partition by conv_id) then '<|im_start|>assistant' || chr(10) else '' end) as text
+from m"""
 
 ORACLES["chat_render_tools"] = """with a as (select conv_id, turn, text,
    case when role <> 'system' and turn > 0 and (turn + conv_id) % 5 < 2 then 'tool' else role end role from conversations),
@@ -233,7 +233,7 @@ ORACLES["chat_render_tools"] = """with a as (select conv_id, turn, text,
      chr(10), '</tools>', chr(10), chr(10), 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:',
      chr(10), '<tool_call>', chr(10), '{"name": <function-name>, "arguments": <args-json-object>}', chr(10), '</tool_call><|im_end|>', chr(10)) else '' end opening
    from c)
-select conv_id, cast(0 as bigint) part, string_agg(opening || piece, '' order by turn) as text from p group by conv_id"""
+select conv_id, turn, opening || piece as text from p"""
 
 # --- attempts and scores -----------------------------------------------------
 

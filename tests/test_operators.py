@@ -204,8 +204,9 @@ def render(messages, tools=None, header=False):
     return out + ("<|im_start|>assistant\n" if header else "")
 
 
-@pytest.mark.parametrize("part", [1, 2, 3, 4096])
-def test_chat_parts_join_to_the_whole(spark, part):
+@pytest.mark.parametrize("turns", [1, 2, 3, 4096])
+@pytest.mark.parametrize("numbers", ["dense", "from one", "gaps"])
+def test_chat_messages_join_to_the_whole(spark, turns, numbers):
     rng = random.Random(4)
     convs = {}
     for c in range(40):
@@ -213,16 +214,17 @@ def test_chat_parts_join_to_the_whole(spark, part):
         for i in range(rng.randint(1, 9)):
             role = rng.choice(["user", "assistant", "tool", "tool", "system"])
             calls = [("f", '{"x": 1}'), ("g", "{}")][: rng.randint(0, 2)] if role == "assistant" else None
-            messages.append((role, rng.choice(["", f"m{i}"]), calls))
+            messages.append((role, rng.choice(["", f"m{i}", None]), calls))
         convs[c] = messages
-    rows = [(c, i, *m) for c, ms in convs.items() for i, m in enumerate(ms)]
+    number = {"dense": lambda i: i, "from one": lambda i: i + 1, "gaps": lambda i: i * 5 - 7}[numbers]
+    rows = [(c, number(i), *m) for c, ms in convs.items() for i, m in enumerate(ms)]
     df = spark.createDataFrame(rows, "conv_id int, turn bigint, role string, text string, tool_calls array<struct<name:string,arguments:string>>")
     tools = ['{"name": "f"}']
-    got = chat.render(df, tools=F.array(*map(F.lit, tools)), generation_prompt=True, turns_per_part=part)
+    got = chat.render(df, tools=F.array(*map(F.lit, tools)), generation_prompt=True, turns=turns)
     joined = {}
-    for r in got.orderBy("conv_id", "part").collect():
+    for r in got.orderBy("conv_id", "turn").collect():
         joined[r.conv_id] = joined.get(r.conv_id, "") + r.text
-    assert joined == {c: render(m, tools, True) for c, m in convs.items()}
+    assert joined == {c: render([(r, t or "", k) for r, t, k in m], tools, True) for c, m in convs.items()}
 
 
 @pytest.mark.parametrize("kind,dtype", [("half", np.float16), ("bfloat16", None)])
