@@ -4,6 +4,12 @@ Spark and the array functions differ at the edges: Spark's ANSI division
 raises, its rounding functions return BIGINT, its logarithms give NULL outside
 their domain, and NaN equals itself. Each function below follows the array
 semantics. NULL stands for a missing value and stays NULL.
+
+Comparisons, classes, ``sign``, ``clip`` and the minima and maxima take any
+type: numbers, dates, timestamps, intervals, booleans. A Column does not know
+its type before it is analysed, so arithmetic whose loops differ by type takes it as ``of``:
+"float" (the default), "integer" (exact 64-bit results; division by
+zero gives 0) or "boolean".
 """
 
 from __future__ import annotations
@@ -29,23 +35,45 @@ def _nan_if(condition: Column, value: Column) -> Column:
     return F.when(condition, NAN).otherwise(value)
 
 
+def _is(x: Column, value: float) -> Column:
+    """True where ``x``, of any type, is this floating-point number.
+
+    The hash of one number is one-to-one, and takes every type; the type test
+    is folded away, and with it the hash unless ``x`` is a floating-point column.
+    """
+    kind, hashed = F.typeof(x), F.xxhash64(x)
+    wide, narrow = F.xxhash64(F.lit(value)), F.xxhash64(F.lit(value).cast("float"))
+    same = F.when(kind == "double", hashed == wide).when(kind == "float", hashed == narrow).otherwise(False)
+    return F.when(x.isNotNull(), same)
+
+
 def _either_nan(x: Column, y: Column) -> Column:
-    return F.isnan(_d(x)) | F.isnan(_d(y))
+    return _is(x, NAN) | _is(y, NAN)
+
+
+def _int(x: Column) -> Column:
+    return x.cast("bigint")
+
+
+def _loop(of: str, **loops):
+    if of not in loops:
+        raise ValueError(f"no loop for {of!r}, only for {sorted(loops)}")
+    return loops[of]()
 
 
 # --- arithmetic --------------------------------------------------------------
 
 
-def add(x, y):
-    return x + y
+def add(x, y, of="float"):
+    return _loop(of, float=lambda: x + y, integer=lambda: x + y, boolean=lambda: x | y)
 
 
 def subtract(x, y):
     return x - y
 
 
-def multiply(x, y):
-    return x * y
+def multiply(x, y, of="float"):
+    return _loop(of, float=lambda: x * y, integer=lambda: x * y, boolean=lambda: x & y)
 
 
 def divide(x, y):
@@ -54,19 +82,27 @@ def divide(x, y):
     return F.when(y == 0, x * F.when(signbit(y), -INF).otherwise(INF)).otherwise(F.try_divide(x, y))
 
 
-def fmod(x, y):
+def fmod(x, y, of="float"):
     """Remainder with the sign of the dividend."""
-    x, y = _d(x), _d(y)
-    return F.when(y == 0, NAN).otherwise(F.try_mod(x, y))
+    return _loop(of, float=lambda: F.when(_d(y) == 0, NAN).otherwise(F.try_mod(_d(x), _d(y))), integer=lambda: _int_rest(x, y))
+
 
+def _int_rest(x, y):
+    # NULL only for missing values; by zero it is 0.
+    return F.when(x.isNotNull() & y.isNotNull(), F.coalesce(F.try_mod(_int(x), _int(y)), F.lit(0).cast("bigint")))
 
-def remainder(x, y):
+
+def remainder(x, y, of="float"):
     """Remainder with the sign of the divisor."""
-    y, rest = _d(y), fmod(x, y)
-    return F.when((rest != 0) & (signbit(rest) != signbit(y)), rest + y).otherwise(rest)
+    rest = fmod(x, y, of)
+    y = _int(y) if of == "integer" else _d(y)
+    other_sign = (rest < 0) != (y < 0) if of == "integer" else signbit(rest) != signbit(y)
+    return F.when((rest != 0) & other_sign, rest + y).otherwise(rest)
 
 
-def floor_divide(x, y):
+def floor_divide(x, y, of="float"):
+    if of == "integer":
+        return F.when(x.isNotNull() & y.isNotNull(), floor_divide_int(_int(x), _int(y)))
     x, y = _d(x), _d(y)
     rest = fmod(x, y)
     below = (rest != 0) & (signbit(rest) != signbit(y))
@@ -82,12 +118,12 @@ def floor_divide_int(x, y):
     return F.coalesce(F.call_function("div", x - rest, y), F.lit(0).cast("bigint"))
 
 
-def divmod(x, y):  # noqa: A001
-    return F.struct(floor_divide(x, y).alias("quotient"), remainder(x, y).alias("remainder"))
+def divmod(x, y, of="float"):  # noqa: A001
+    return F.struct(floor_divide(x, y, of).alias("quotient"), remainder(x, y, of).alias("remainder"))
 
 
-def absolute(x):
-    return F.abs(x)
+def absolute(x, of="float"):
+    return _loop(of, float=lambda: F.abs(x), integer=lambda: F.abs(x), boolean=lambda: x)
 
 
 def fabs(x):
@@ -102,8 +138,9 @@ def positive(x):
     return x
 
 
-def reciprocal(x):
-    return divide(F.lit(1.0), x)
+def reciprocal(x, of="float"):
+    """1 / x; of integers it is truncated, and of 0 missing."""
+    return _loop(of, float=lambda: divide(F.lit(1.0), x), integer=lambda: F.when(F.abs(x) == 1, _int(x)).when(x != 0, F.lit(0).cast("bigint")))
 
 
 def square(x):
@@ -118,14 +155,34 @@ def cbrt(x):
     return F.cbrt(_d(x))
 
 
-def power(x, y):
-    """1 to any power is 1, and so is -1 to an infinite one."""
+def power(x, y, of="float"):
+    """1 to any power is 1, and so is -1 to an infinite one.
+
+    Of integers it is exact, an error beyond 64 bits or for a negative exponent.
+    """
+    if of == "integer":
+        return _int_power(_int(x), _int(y))
     x, y = _d(x), _d(y)
     one = (x == 1) & y.isNotNull() | (x == -1) & (F.abs(y) == INF)
     return F.when(one, 1.0).otherwise(F.pow(x, y))
 
 
-float_power = power
+def _int_power(x, y):
+    whole = lambda v: F.lit(v).cast("bigint")
+    # From 2 on, 63 factors are all a 64-bit number can take; one more overflows, as it should.
+    product = F.aggregate(F.array_repeat(x, F.least(y, F.lit(64)).cast("int")), whole(1), lambda a, b: a * b)
+    return (
+        F.when(x.isNull() | y.isNull(), F.lit(None).cast("bigint"))
+        .when(y < 0, F.raise_error(F.lit("integers have no negative powers")).cast("bigint"))
+        .when((y == 0) | (x == 1), whole(1))
+        .when(x == 0, whole(0))
+        .when(x == -1, F.when(y % 2 == 0, whole(1)).otherwise(whole(-1)))
+        .otherwise(product)
+    )
+
+
+def float_power(x, y):
+    return power(x, y)
 
 
 def hypot(x, y):
@@ -290,14 +347,12 @@ deg2rad = radians
 # --- rounding ----------------------------------------------------------------
 
 
-def ceil(x):
-    x = _d(x)
-    return _guard(x, _wide(x, F.ceil(x)))
+def ceil(x, of="float"):
+    return x if of == "integer" else _guard(_d(x), _wide(_d(x), F.ceil(_d(x))))
 
 
-def floor(x):
-    x = _d(x)
-    return _guard(x, _wide(x, F.floor(x)))
+def floor(x, of="float"):
+    return x if of == "integer" else _guard(_d(x), _wide(_d(x), F.floor(_d(x))))
 
 
 def _wide(x, rounded):
@@ -305,8 +360,8 @@ def _wide(x, rounded):
     return F.when(F.abs(x) >= float(1 << 52), x).otherwise(rounded.cast("double"))
 
 
-def trunc(x):
-    return F.when(_d(x) < 0, ceil(x)).otherwise(floor(x))
+def trunc(x, of="float"):
+    return x if of == "integer" else F.when(_d(x) < 0, ceil(x)).otherwise(floor(x))
 
 
 def rint(x):
@@ -358,18 +413,17 @@ def maximum(x, y):
 
 
 def minimum(x, y):
-    return F.when(x.isNotNull() & y.isNotNull(), _nan_if(_either_nan(x, y), F.least(x, y)))
+    smaller = F.when(_is(x, NAN), x).when(_is(y, NAN), y).otherwise(F.least(x, y))
+    return F.when(x.isNotNull() & y.isNotNull(), smaller)
 
 
 def fmax(x, y):
     """The larger one; NaN only if both are NaN."""
-    x, y = _d(x), _d(y)
-    return F.greatest(F.nanvl(x, y), F.nanvl(y, x))
+    return F.when(_is(x, NAN), y).when(_is(y, NAN), x).otherwise(F.greatest(x, y))
 
 
 def fmin(x, y):
-    x, y = _d(x), _d(y)
-    return F.least(F.nanvl(x, y), F.nanvl(y, x))
+    return F.when(_is(x, NAN), y).when(_is(y, NAN), x).otherwise(F.least(x, y))
 
 
 def heaviside(x, y):
@@ -378,7 +432,7 @@ def heaviside(x, y):
 
 
 def sign(x):
-    return F.signum(_d(x))
+    return F.signum(x)
 
 
 # --- logic and bits ----------------------------------------------------------
@@ -404,20 +458,20 @@ def logical_not(x):
     return ~_truth(x)
 
 
-def bitwise_and(x, y):
-    return x.bitwiseAND(y)
+def bitwise_and(x, y, of="integer"):
+    return _loop(of, integer=lambda: x.bitwiseAND(y), boolean=lambda: x & y)
 
 
-def bitwise_or(x, y):
-    return x.bitwiseOR(y)
+def bitwise_or(x, y, of="integer"):
+    return _loop(of, integer=lambda: x.bitwiseOR(y), boolean=lambda: x | y)
 
 
-def bitwise_xor(x, y):
-    return x.bitwiseXOR(y)
+def bitwise_xor(x, y, of="integer"):
+    return _loop(of, integer=lambda: x.bitwiseXOR(y), boolean=lambda: x != y)
 
 
-def invert(x):
-    return F.bitwise_not(x)
+def invert(x, of="integer"):
+    return _loop(of, integer=lambda: F.bitwise_not(x), boolean=lambda: ~x)
 
 
 def bitwise_count(x):
@@ -473,11 +527,11 @@ def lcm(x, y):
 
 
 def isnan(x):
-    return F.isnan(_d(x))
+    return F.coalesce(_is(x, NAN), F.lit(False))
 
 
 def isinf(x):
-    return F.abs(_d(x)) == INF
+    return _is(x, INF) | _is(x, -INF)
 
 
 def isfinite(x):

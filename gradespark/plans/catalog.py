@@ -667,6 +667,36 @@ def fn_float_class(spark, folder):
     )
 
 
+@query
+def fn_int_exact(spark, folder):
+    """64-bit integers that a double cannot hold."""
+    x = (F.col("o_orderkey") * 3 + 9007199254740993) * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    y = F.col("o_custkey") % 15 - 7
+    whole = num.divmod(x, y, of="integer")
+    return views.table(spark, folder, "orders").select(
+        "o_orderkey",
+        *_named(
+            fmod_=num.fmod(x, y, of="integer"), remainder_=num.remainder(x, y, of="integer"), quotient_=whole["quotient"], rest_=whole["remainder"],
+            floor_=num.floor(x, of="integer"), ceil_=num.ceil(x, of="integer"), trunc_=num.trunc(x, of="integer"),
+            power_=num.power(y, F.col("o_orderkey") % 20, of="integer"), reciprocal_=num.reciprocal(y, of="integer"),
+            fmax_=num.fmax(x, x + 1), fmin_=num.fmin(x, x + 1), maximum_=num.maximum(x, y), equal_=num.equal(x, x + 1), absolute_=num.absolute(x, of="integer"),
+        ),
+    )
+
+
+@query
+def fn_bool(spark, folder):
+    a, b = F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 3 == 0
+    return views.table(spark, folder, "orders").select(
+        "o_orderkey",
+        *_named(
+            add_=num.add(a, b, of="boolean"), multiply_=num.multiply(a, b, of="boolean"), absolute_=num.absolute(a, of="boolean"),
+            and_=num.bitwise_and(a, b, of="boolean"), or_=num.bitwise_or(a, b, of="boolean"), xor_=num.bitwise_xor(a, b, of="boolean"),
+            invert_=num.invert(a, of="boolean"), maximum_=num.maximum(a, b), minimum_=num.minimum(a, b), less_=num.less(a, b), equal_=num.equal(a, b),
+        ),
+    )
+
+
 @query
 def fn_datetime(spark, folder):
     """Dates and intervals through the same functions."""
@@ -686,8 +716,15 @@ def fn_datetime(spark, folder):
         num.subtract(F.col("o_orderdate"), day).alias("day_before"),
         num.add(start, twice).alias("mirrored"),
         num.add(start, gap / F.lit(2)).alias("halfway"),
-        (F.col("o_orderdate") > start).alias("later"),
-        F.greatest("o_orderdate", start).alias("latest"),
+        num.greater(F.col("o_orderdate"), start).alias("later"),
+        num.less_equal(F.col("o_orderdate"), start).alias("not_later"),
+        num.equal(F.col("o_orderdate"), F.col("sometimes")).alias("same_day"),
+        num.maximum(F.col("o_orderdate"), start).alias("latest"),
+        num.minimum(F.col("o_orderdate"), start).alias("earliest"),
+        num.fmax(F.col("o_orderdate"), F.col("sometimes")).alias("known"),
+        num.clip(F.col("o_orderdate"), start, start + F.expr("interval 365 day")).alias("clipped"),
+        num.greater(gap, week).alias("long_gap"), num.sign(gap).alias("direction"),
+        num.isfinite(gap).alias("isfinite_"), num.isnan(F.col("o_orderdate")).alias("isnan_"),
         F.round(num.divide_interval(gap, week), 6).alias("weeks"),
         parts["quotient"].alias("whole_weeks"),
         num.add(start, parts["remainder"]).alias("rest"),

@@ -498,9 +498,21 @@ select o_orderkey, o_orderkey % 8 = 0 isnan_, o_orderkey % 8 <> 0 and o_orderkey
 
 ORACLES["fn_datetime"] = """with o as (select o_orderkey, o_orderdate d, timestamp '1996-01-01' s, epoch_us(o_orderdate) - epoch_us(timestamp '1996-01-01') g from orders)
 select o_orderkey, d + interval 1 day next_day, d - interval 1 day day_before, make_timestamp(epoch_us(s) + 2 * g) mirrored,
-  make_timestamp(epoch_us(s) + g // 2) halfway, d > s later, greatest(d, s) latest, round(g / 604800000000.0e0, 6) as weeks,
+  make_timestamp(epoch_us(s) + g // 2) halfway, d > s later, d <= s not_later, case when o_orderkey % 3 = 0 then true end same_day,
+  greatest(d, s) latest, least(d, s) earliest, d known, least(greatest(d, s), s + interval 365 day) clipped, g > 604800000000 long_gap,
+  cast(sign(g) as double) direction, true isfinite_, false isnan_, round(g / 604800000000.0e0, 6) as weeks,
   cast(floor(g / 604800000000.0e0) as bigint) whole_weeks, make_timestamp(epoch_us(s) + g - cast(floor(g / 604800000000.0e0) as bigint) * 604800000000) as rest, o_orderkey % 3 <> 0 isnat_ from o"""
 
+ORACLES["fn_int_exact"] = """with k as (select o_orderkey, (o_orderkey * 3 + 9007199254740993) * case when o_orderkey % 2 = 0 then 1 else -1 end x, o_custkey % 15 - 7 y from orders),
+ m as (select *, case when y = 0 then 0 else x % y end f from k),
+ r as (select *, case when f <> 0 and (f < 0) <> (y < 0) then f + y else f end r from m)
+select o_orderkey, f fmod_, r remainder_, r rest_, cast(case when y = 0 then 0 else (x - r) // y end as bigint) quotient_, x floor_, x ceil_, x trunc_,
+ cast(list_reduce(list_prepend(cast(1 as hugeint), list_transform(range(o_orderkey % 20), lambda i: cast(y as hugeint))), lambda a, b: a * b) as bigint) power_,
+ cast(case when y = 0 then null when abs(y) = 1 then y else 0 end as bigint) reciprocal_, x + 1 fmax_, x fmin_, greatest(x, y) maximum_, false equal_, abs(x) absolute_ from r"""
+
+ORACLES["fn_bool"] = """with k as (select o_orderkey, o_orderkey % 2 = 0 a, o_custkey % 3 = 0 b from orders)
+select o_orderkey, a or b add_, a and b multiply_, a absolute_, a and b and_, a or b or_, a <> b xor_, not a invert_, a or b maximum_, a and b minimum_, not a and b less_, a = b equal_ from k"""
+
 ORACLES["fn_gcd_lcm"] = """select l_orderkey, l_partkey, cast(gcd(l_orderkey, l_partkey) as bigint) gcd,
   cast(lcm(l_orderkey, l_partkey) as bigint) lcm from lineitem"""
 
