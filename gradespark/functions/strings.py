@@ -17,6 +17,11 @@ _OTHER_DIGITS = (
     r"\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792"
     r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 )
+# Letters of Unicode that stand for numbers.
+_IDEOGRAPHIC_NUMBERS = (
+    "㐅㒃㠪㭍一七万三两九二五亖京亿什仟仨伍佰俩倆億兆兩八六十千卄卅卌叁参參叄四壱壹幺廾廿弌弍弎弐拐拾捌柒"
+    "洞漆玖百皕秭肆萬貮貳贰鈎钩阡陆陌陸零參拾兩零六陸什𠀁𠁤𠃢𠄡𠤪𠦃𠦌𠦜𠫪𠫽𠬙𢎐𢦘𣬛𦉭廾"
+)
 _UPPER = r"[\p{IsUppercase}\p{Lt}]"
 _LOWER = r"\p{IsLowercase}"
 _CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
@@ -193,8 +198,22 @@ def rpartition(s, sep: str):
     )
 
 
+def _spread(s, new: str, most: int | None):
+    """``new`` before every character and at the end, ``most`` times from the left."""
+    before = lambda text: F.array_join(F.transform(F.split(text, ""), lambda c: F.concat(F.lit(new), c)), "")
+    spread = F.when(s == "", "").otherwise(before(s))
+    if most is None:
+        return F.concat(spread, F.lit(new))
+    head = F.substring(s, 1, most)
+    head = F.when(head == "", "").otherwise(before(head))
+    end = F.when(F.char_length(s) < most, F.lit(new)).otherwise(F.substring(s, F.lit(most + 1), F.char_length(s)))
+    return F.concat(head, end)
+
+
 def replace(s, old: str, new: str, limit: int | None = None):
     """Replace all, or the first ``limit``, occurrences of a literal text."""
+    if not old:
+        return _spread(s, new, None if limit is None or limit < 0 else limit)
     if limit is None or limit < 0:
         return F.replace(s, F.lit(old), F.lit(new))
     # The last piece of a limited split is the untouched rest.
@@ -236,7 +255,7 @@ def isdigit(s):
 
 
 def isnumeric(s):
-    return s.rlike(r"\A\p{N}+\z")
+    return s.rlike(rf"\A[\p{{N}}{_IDEOGRAPHIC_NUMBERS}]+\z")
 
 
 def isalnum(s):

@@ -153,3 +153,29 @@ def test_intervals(spark):
     got = rows.select(n.divide_interval(F.col("x"), F.col("y")), n.divmod_interval(F.col("x"), F.col("y"))).collect()
     for (x, y), (q, d) in zip(cases, got):
         assert q == x / y and tuple(d) == divmod(x, y)
+
+
+@pytest.mark.parametrize("new", ["-", "$1", "\\\\", ""])
+@pytest.mark.parametrize("limit", [None, -1, 0, 1, 2, 5, 40])
+def test_replace_of_the_empty_text(spark, new, limit):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "s string")
+    got = [r[0] for r in rows.select(s.replace(F.col("s"), "", new, limit)).collect()]
+    assert got == [t.replace("", new, -1 if limit is None else limit) for t in TEXTS]
+
+
+def test_every_character_that_is_numeric(spark):
+    chars = [chr(i) for i in range(0x20, 0x30000) if not 0xD800 <= i < 0xE000 and (chr(i).isnumeric() or i % 97 == 0)]
+    rows = spark.createDataFrame([(c,) for c in chars], "s string")
+    bad = [(hex(ord(r[0])), r[1]) for r in rows.select("s", s.isnumeric(F.col("s"))).collect() if r[1] != r[0].isnumeric()]
+    # The JVM's tables may lack the newest characters.
+    assert [b for b in bad if b[1]] == [] and all(int(b[0], 16) > 0xFFFF for b in bad)
+
+
+def test_any_type_compares(spark):
+    rows = spark.sql("select timestamp_ntz'2020-01-01' a, timestamp_ntz'2021-01-01' b, interval 1 day i, interval -2 day j, true t, false f, cast('nan' as float) n, 1.0f o")
+    got = rows.select(
+        n.less(F.col("a"), F.col("b")), n.minimum(F.col("i"), F.col("j")), n.sign(F.col("j")), n.isfinite(F.col("a")), n.fmax(F.col("t"), F.col("f")),
+        n.isnan(F.col("n")), n.minimum(F.col("o"), F.col("n")), n.fmin(F.col("o"), F.col("n")), n.equal(F.col("n"), F.col("n")), n.isinf(F.col("i")),
+    ).first()
+    assert (got[0], got[1].days, got[2], got[3], got[4], got[5]) == (True, -2, -1.0, True, True, True)
+    assert math.isnan(got[6]) and got[7] == 1.0 and got[8] is False and got[9] is False
