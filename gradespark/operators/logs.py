@@ -119,13 +119,13 @@ def method_table(spark: SparkSession, methods: dict[str, str]) -> DataFrame:
 
 
 def attach_method(lines: DataFrame, method_map: DataFrame) -> DataFrame:
-    """Replace ``file`` by ``method`` through a (file, method) table."""
+    """Replace ``file`` by ``method`` through a (file, method) table.
+
+    The distinct files are labelled, of which there are few; lines meet them by their name as it is.
+    """
     named = method_map.select(file_label(F.col("file")).alias("_label"), "method")
-    return (
-        lines.withColumn("_label", file_label(F.col("file")))
-        .join(named, "_label")
-        .drop("_label", "file")
-    )
+    files = lines.select("file").distinct().withColumn("_label", file_label(F.col("file"))).join(named, "_label").drop("_label")
+    return lines.join(files, "file").drop("file")
 
 
 def number_tests(verdicts: DataFrame) -> DataFrame:

@@ -40,25 +40,37 @@ def reduction(name: str, column: str) -> Column:
     return REDUCTIONS[name](F.col(column))
 
 
-def logaddexp_reduce(rows: DataFrame, column: str, *keys: str, base2: bool = False) -> DataFrame:
-    """(keys..., value): log of the summed exponentials, stable for any size.
+_WIDTH = 512  # exp(512) is still far from overflow
 
-    The maximum of the group is taken out first. An empty table without keys
-    gives minus infinity.
+
+def logaddexp_reduce(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys..., value, value2): log of the summed exponentials, natural and to base 2, stable for any size.
+
+    One pass: exponentials are summed relative to the multiple of 512 below
+    them, so a group shrinks to one row per task and multiple, and the few
+    multiples of a group are combined relative to the largest. NaN and
+    infinities are multiples of their own. An empty table without keys gives minus infinity.
     """
-    scale = 0.6931471805599453 if base2 else 1.0
-    x = F.col(column).cast("double") * scale
-    tops = rows.groupBy(*keys).agg(F.max(x).alias("_top"))
-    if keys:
-        shifted = rows.join(tops, list(keys))
-    else:
-        shifted = rows.withColumn("_top", tops.scalar())
-    top = F.col("_top")
-    # Equal infinities would give NaN as a difference.
-    part = F.when(x == top, 1.0).otherwise(F.exp(x - top))
-    summed = shifted.groupBy(*keys).agg(F.max("_top").alias("_top"), F.sum(part).alias("_sum"))
-    value = F.coalesce((F.col("_top") + F.ln("_sum")) / scale, F.lit(float("-inf")))
-    return summed.select(*keys, value.alias("value"))
+    inf = float("inf")
+    x = F.col(column).cast("double")
+    # Base 2 is the same with every number scaled, so each row counts for both.
+    both = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), (x * scale).alias("x")) for b, scale in ((0, 1.0), (1, 0.6931471805599453))]))
+    each = rows.select(*keys, both.alias("_e")).select(*keys, F.col("_e.base").alias("_base"), F.col("_e.x").alias("_x"))
+    odd = F.isnan("_x") | (F.abs("_x") == inf)
+    part = F.when(odd, F.col("_x")).otherwise((F.floor(F.col("_x") / _WIDTH) * _WIDTH).cast("double"))
+    each = each.withColumn("_part", part).where("_x is not null")
+    sums = each.groupBy(*keys, "_base", "_part").agg(F.sum(F.when(odd, 1.0).otherwise(F.exp(F.col("_x") - F.col("_part")))).alias("_sum"))
+    # NaN and infinity are the largest of all and decide alone.
+    by_base = sums.groupBy(*keys).agg(*[
+        F.collect_list(F.when(F.col("_base") == b, F.struct("_part", "_sum"))).alias(f"_parts{b}") for b in (0, 1)])
+
+    def value(parts: str, scale: float) -> Column:
+        top = F.array_max(F.transform(parts, lambda p: p["_part"]))
+        total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["_sum"] * F.exp(p["_part"] - top))
+        plain = (top + F.ln(total)) / scale
+        return F.when(top.isNull(), -inf).when(F.isnan(top) | (F.abs(top) == inf), top).otherwise(plain)
+
+    return by_base.select(*keys, value("_parts0", 1.0).alias("value"), value("_parts1", 0.6931471805599453).alias("value2"))
 
 
 def _fold_gcd(key: str, sorted_by_key: bool):

@@ -68,8 +68,9 @@ def log_methods(spark, folder):
     lines = views.log(spark, folder).withColumn("file", file).drop("method")
     known = {f"HumanEval on Some-Model{_tail(m)}.rtf": m for m in logs.METHODS}
     table = logs.method_table(spark, known)
-    by_rule = lines.withColumn("by_rule", logs.method_from_file(F.col("file")))
-    return logs.attach_method(by_rule, table).groupBy("method", "by_rule").agg(F.count("*").alias("lines"))
+    # Labels are worked out for each file, not for each line.
+    by_rule = lines.select("file").distinct().withColumn("by_rule", logs.method_from_file(F.col("file")))
+    return logs.attach_method(lines.join(by_rule, "file"), table).groupBy("method", "by_rule").agg(F.count("*").alias("lines"))
 
 
 def _tail(method: str) -> str:
@@ -156,7 +157,7 @@ def prompts_full_run(spark, folder):
 @query
 def repair_prompts(spark, folder):
     failed = views.attempts(spark, folder).where(~F.col("ok") & F.col("produced"))
-    return failed.join(views.tasks_raw(spark, folder).select("task_id", "prompt"), "task_id").select(
+    return failed.join(views.tasks_raw(spark, folder).select("task_id", "prompt"), "task_id", "left").select(
         "task_id", F.col("attempt.o_orderkey").alias("o_orderkey"),
         tasks.repair_prompt(tasks.run_prompt(F.col("prompt")), F.col("code"), F.col("error")).alias("prompt"),
     )
@@ -321,13 +322,12 @@ def bleu_pairs(spark, folder):
 @query
 def exact_match(spark, folder):
     rows = views.pairs(spark, folder).join(views.references(spark, folder), "reference_id")
-    reference = F.when(
-        F.col("pair_id") % 2 == 0, F.concat(F.lit(" \t"), F.col("candidate"), F.lit("\n"))
-    ).otherwise(F.col("reference"))
+    spaced = F.concat(F.lit(" \t"), F.col("candidate"), F.lit("\n"))
     return (
-        rows.withColumn("exact_match", metrics.exact_match(reference, F.col("candidate")))
+        rows.withColumn("exact_match", metrics.exact_match(F.col("reference"), F.col("candidate")))
+        .withColumn("spaced_match", metrics.exact_match(spaced, F.col("candidate")))
         .groupBy("source")
-        .agg(F.count("*").alias("pairs"), F.avg("exact_match").alias("exact_match"))
+        .agg(F.count("*").alias("pairs"), F.avg("exact_match").alias("exact_match"), F.avg("spaced_match").alias("spaced_match"))
     )
 
 
@@ -508,9 +508,7 @@ def reduce_all(spark, folder):
 @query
 def reduce_logaddexp(spark, folder):
     rows = views.table(spark, folder, "lineitem")
-    natural = reduce.logaddexp_reduce(rows, "l_quantity", "l_returnflag", "l_linestatus")
-    binary = reduce.logaddexp_reduce(rows, "l_quantity", "l_returnflag", "l_linestatus", base2=True)
-    return natural.join(binary.withColumnRenamed("value", "value2"), ["l_returnflag", "l_linestatus"]).select(
+    return reduce.logaddexp_reduce(rows, "l_quantity", "l_returnflag", "l_linestatus").select(
         "l_returnflag", "l_linestatus", F.round("value", 6).alias("logaddexp"), F.round("value2", 6).alias("logaddexp2")
     )
 
@@ -523,8 +521,10 @@ def reduce_gcd(spark, folder):
 
 @query
 def scatter_update(spark, folder):
-    target = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value"))
-    updates = views.table(spark, folder, "lineitem").where(F.col("l_returnflag") != "A").select(
+    parts = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value"))
+    # No line has a negative part: these targets stay as they are.
+    target = parts.unionByName(parts.withColumn("idx", -1 - F.col("idx")))
+    updates = views.table(spark, folder, "lineitem").select(
         F.col("l_partkey").alias("idx"), F.col("l_quantity").alias("n"), (1 + F.col("l_tax")).alias("factor"),
         (F.col("l_extendedprice") / 40).alias("bound"),
     )
@@ -790,13 +790,13 @@ def fn_str_split_slice(spark, folder):
 
 @query
 def fn_str_class(spark, folder):
-    words = views.documents(spark, folder).select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
-    w = F.col("w")
+    rows = views.documents(spark, folder).select("doc_id", metrics.tokens(F.col("text")).alias("words"))
     flags = {
-        "alpha": strs.isalpha(w), "decimal": strs.isdecimal(w), "digit": strs.isdigit(w), "numeric": strs.isnumeric(w),
-        "alnum": strs.isalnum(w), "space": strs.isspace(w), "lower": strs.islower(w), "upper": strs.isupper(w), "title": strs.istitle(w),
+        "isalpha": strs.isalpha, "isdecimal": strs.isdecimal, "isdigit": strs.isdigit, "isnumeric": strs.isnumeric,
+        "isalnum": strs.isalnum, "isspace": strs.isspace, "islower": strs.islower, "isupper": strs.isupper, "istitle": strs.istitle,
     }
-    return words.groupBy("doc_id").agg(F.count("*").alias("words"), *[F.count_if(c).alias(f"is{k}") for k, c in flags.items()])
+    counts = [F.size(F.filter("words", flag)).cast("bigint").alias(name) for name, flag in flags.items()]
+    return rows.select("doc_id", F.size("words").cast("bigint").alias("words"), *counts)
 
 
 # --- syntax and suites -------------------------------------------------------

@@ -145,25 +145,27 @@ RUN_PROMPT = (
 )
 ORACLES["prompts_full_run"] = f"with {V_TASKS} select task_id, {RUN_PROMPT} prompt from v_tasks"
 
+# The text of the repair prompt.
 ORACLES["repair_prompts"] = f"""with {V_TASKS}, {V_ATTEMPTS}
-select task_id, o_orderkey, concat({RUN_PROMPT}, chr(10), chr(10), 'Previous solution:', chr(10), code, chr(10), chr(10),
+select task_id, o_orderkey, case when prompt is not null then concat({RUN_PROMPT}, chr(10), chr(10), 'Previous solution:', chr(10), code, chr(10), chr(10),
  'The last attempt failed during automatic checking with the following error (exact text):', chr(10), '```', chr(10),
  error, chr(10), '```', chr(10), chr(10),
  'Analyze the code carefully and return a corrected, fully functional, syntactically correct Python function.', chr(10),
  'Keep the same function name and parameters. Fix all indentation and syntax errors and any runtime error reported above. ',
- 'Do not include any explanations, comments or additional text — return only the updated code.', chr(10)) prompt
-from v_attempts join v_tasks using (task_id) where not ok and produced"""
+ 'Do not include any explanations, comments or additional text — return only the updated code.', chr(10)) end prompt
+from v_attempts left join v_tasks using (task_id) where not ok and produced"""
 
 # --- completions -------------------------------------------------------------
 
-V_COMPLETIONS = """v_completions as (select doc_id, source, case doc_id % 7
- when 0 then concat('```python', chr(10), 'def fn_', doc_id, '(x):', chr(10), '    return ', n_chars, chr(10), '```')
- when 1 then concat('  ```PY', chr(10), 'x = 1', chr(10), '```  ')
- when 2 then 'def f(x):\\n\\treturn x'
- when 3 then concat('    def f(x):', chr(10), '        return x', chr(10), chr(10), 'if __name__ == ''__main__'':', chr(10), '    print(f(1))')
+V_COMPLETIONS = """v_notes as (select *, concat(repeat(chr(39), 3), translate(text, '''"\\`', '    '), repeat(chr(39), 3)) note from documents),
+ v_completions as (select doc_id, source, case doc_id % 7
+ when 0 then concat('```python', chr(10), 'def fn_', doc_id, '(x):', chr(10), '    ', note, chr(10), '    return ', n_chars, chr(10), '```')
+ when 1 then concat('  ```PY', chr(10), 'x = 1', chr(10), 'y = ', note, chr(10), '```  ')
+ when 2 then concat('note = ', note, '\\ndef f(x):\\n\\treturn x')
+ when 3 then concat('    def f(x):', chr(10), '        return x', chr(10), chr(10), 'note = ', note, chr(10), chr(10), 'if __name__ == ''__main__'':', chr(10), '    print(f(1))')
  when 4 then concat('<|im_start|>', text, '<|im_end|><tool_call><|endoftext|>')
- when 5 then concat('note = ''''''', translate(text, '''\\', '  '), '''''''', chr(10), chr(10), 'import doctest', chr(10), chr(10), '  doctest.testmod()', chr(10))
- else '   ' end code from documents)"""
+ when 5 then concat('note = ', note, chr(10), chr(10), 'import doctest', chr(10), chr(10), '  doctest.testmod()', chr(10))
+ else case when doc_id % 70 = 6 then regexp_replace(text, '\\S', '', 'g') else concat('   ', text, ' ?', chr(10), '   ') end end code from v_notes)"""
 
 
 def fences(x: str) -> str:
@@ -315,10 +317,9 @@ select doc_id pair_id, round(case when max(case when n = 1 then hits end) = 0 th
     + case when max(h) > max(r) then 0.0e0 else 1 - max(r) / cast(max(h) as double) end) end, 9) bleu
 from s group by doc_id"""
 
-ORACLES["exact_match"] = f"""with p as (select source, d.text cand,
-   case when doc_id % 2 = 0 then concat(' ', chr(9), d.text, chr(10)) else b.text end ref
+ORACLES["exact_match"] = f"""with p as (select source, d.text cand, b.text ref
    from documents d join (select item_id, text from benchmark) b on b.item_id = d.doc_id % (select count(*) from benchmark))
-select source, count(*) pairs, avg(cast({strip('ref')} = {strip('cand')} as int)) exact_match from p group by source"""
+select source, count(*) pairs, avg(cast({strip('ref')} = {strip('cand')} as int)) exact_match, 1.0e0 spaced_match from p group by source"""
 
 
 # --- embedding bags ----------------------------------------------------------
@@ -428,8 +429,9 @@ ORACLES["reduce_gcd"] = """select l_suppkey, list_reduce(list(cast(l_quantity *
 from lineitem group by l_suppkey"""
 
 ORACLES["scatter_update"] = f"""with u as (select l_partkey idx, sum(l_quantity) s, product(1 + l_tax) f,
-   max(l_extendedprice / 40) hi, min(l_extendedprice / 40) lo from lineitem where l_returnflag <> 'A' group by l_partkey),
- t as (select p_partkey idx, p_retailprice v, s, f, hi, lo from part left join u on idx = p_partkey)
+   max(l_extendedprice / 40) hi, min(l_extendedprice / 40) lo from lineitem group by l_partkey),
+ p as (select p_partkey idx, p_retailprice v from part union all select -1 - p_partkey, p_retailprice from part),
+ t as (select idx, v, s, f, hi, lo from p left join u using (idx))
 select idx, {rnd('coalesce(v + s, v)', 6)} as add, {rnd('coalesce(v - s, v)', 6)} as subtract,
  {rnd('coalesce(v * f, v)', 6)} as multiply, {rnd('coalesce(v / f, v)', 6)} as divide, {rnd('greatest(v, hi)', 6)} as maximum,
  {rnd('least(v, lo)', 6)} as minimum, {rnd('greatest(v, hi)', 6)} as fmax, {rnd('least(v, lo)', 6)} as fmin from t"""
@@ -545,13 +547,13 @@ select doc_id, case when p > 0 then left(t, p - 1) else t end head, case when p
  replace(t, 'e', '<e>') replace_, regexp_replace(regexp_replace(t, 'e', chr(1)), 'e', '<e>').replace(chr(1), '<e>') replace_two_ from d"""
 
 ORACLES["fn_str_class"] = f"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '')) w from documents)
-select doc_id, count(*) words, count(*) filter (where regexp_matches(w, '^\\p{{L}}+$')) isalpha,
+select doc_id, count(w) words, count(*) filter (where regexp_matches(w, '^\\p{{L}}+$')) isalpha,
  count(*) filter (where regexp_matches(w, '^\\p{{Nd}}+$')) isdecimal, count(*) filter (where regexp_matches(w, '^[\\p{{Nd}}²³¹]+$')) isdigit,
  count(*) filter (where regexp_matches(w, '^\\p{{N}}+$')) isnumeric, count(*) filter (where regexp_matches(w, '^[\\p{{L}}\\p{{N}}]+$')) isalnum,
  cast(0 as bigint) isspace, count(*) filter (where lower(w) = w and upper(w) <> w) islower, count(*) filter (where upper(w) = w and lower(w) <> w) isupper,
  count(*) filter (where regexp_matches(w, '\\p{{Lu}}') and not regexp_matches(w, '[\\p{{Lu}}\\p{{Ll}}]\\p{{Lu}}')
    and not regexp_matches(w, '(?:^|[^\\p{{Lu}}\\p{{Ll}}])\\p{{Ll}}')) istitle
-from w group by doc_id"""
+from documents left join w using (doc_id) group by doc_id"""
 
 # --- syntax and suites: known by the way the completions are made ------------
 

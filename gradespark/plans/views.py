@@ -100,36 +100,30 @@ def tests_dim(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
-    """documents as completions, wrapped in the shapes that need cleaning."""
-    doc = F.col("doc_id").cast("string")
+    """documents as completions: every text in one of the shapes that need cleaning."""
+    doc, text = F.col("doc_id").cast("string"), F.col("text")
     shape = F.col("doc_id") % 7
+    # What would end a Python string, or escape in it, is blanked out.
+    note = F.concat(F.lit("'''"), F.translate("text", "'\"\\`", "    "), F.lit("'''"))
     code = (
         F.when(
             shape == 0,
-            F.concat(
-                F.lit("```python\ndef fn_"), doc, F.lit("(x):\n    return "),
-                F.col("n_chars").cast("string"), F.lit("\n```"),
-            ),
+            F.concat(F.lit("```python\ndef fn_"), doc, F.lit("(x):\n    "), note, F.lit("\n    return "), F.col("n_chars").cast("string"), F.lit("\n```")),
         )
-        .when(shape == 1, F.lit("  ```PY\nx = 1\n```  "))
-        .when(shape == 2, F.lit("def f(x):\\n\\treturn x"))
+        .when(shape == 1, F.concat(F.lit("  ```PY\nx = 1\ny = "), note, F.lit("\n```  ")))
+        .when(shape == 2, F.concat(F.lit("note = "), note, F.lit("\\ndef f(x):\\n\\treturn x")))
         .when(
             shape == 3,
-            F.lit("    def f(x):\n        return x\n\nif __name__ == '__main__':\n    print(f(1))"),
+            F.concat(F.lit("    def f(x):\n        return x\n\nnote = "), note, F.lit("\n\nif __name__ == '__main__':\n    print(f(1))")),
         )
         .when(
             shape == 4,
-            F.concat(F.lit("<|im_start|>"), F.col("text"), F.lit("<|im_end|><tool_call><|endoftext|>")),
+            F.concat(F.lit("<|im_start|>"), text, F.lit("<|im_end|><tool_call><|endoftext|>")),
         )
-        .when(
-            shape == 5,
-            F.concat(
-                F.lit("note = '''"),
-                F.translate("text", "'\\", "  "),
-                F.lit("'''\n\nimport doctest\n\n  doctest.testmod()\n"),
-            ),
-        )
-        .otherwise(F.lit("   "))
+        .when(shape == 5, F.concat(F.lit("note = "), note, F.lit("\n\nimport doctest\n\n  doctest.testmod()\n")))
+        # Of some texts only the blanks are left.
+        .when(F.col("doc_id") % 70 == 6, F.regexp_replace("text", r"\S", ""))
+        .otherwise(F.concat(F.lit("   "), text, F.lit(" ?\n   ")))
     )
     return documents(spark, folder).select("doc_id", "source", code.alias("code"))
 

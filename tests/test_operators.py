@@ -315,6 +315,10 @@ def test_reductions(spark):
     big = spark.createDataFrame([(1000.0,), (1001.0,), (float("-inf"),)], "x double")
     assert math.isclose(reduce.logaddexp_reduce(big, "x").first().value, np.logaddexp.reduce([1000.0, 1001.0]))
     assert reduce.logaddexp_reduce(big.limit(0), "x").first().value == float("-inf")
+    inf = float("inf")
+    for values in ([1000.0, 400.0, 511.9, 512.0, -700.0], [-1e6, -1e6 - 1], [-inf, -inf], [inf, 3.0], [inf, float("nan")], [1e9, 1e9, 2.0]):
+        row = reduce.logaddexp_reduce(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()
+        assert np.isclose(row.value, np.logaddexp.reduce(values), equal_nan=True) and np.isclose(row.value2, np.logaddexp2.reduce(values), equal_nan=True)
     ints = spark.createDataFrame([("a", 12), ("a", -18), ("b", 0), ("b", 7), ("c", None), ("c", 5)], "k string, x int")
     assert {r.k: r.value for r in reduce.gcd_reduce(ints, "k", "x").collect()} == {"a": 6, "b": 7, "c": 5}
 
