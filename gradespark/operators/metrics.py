@@ -53,8 +53,9 @@ def _ngrams(windows: DataFrame, *keep: str) -> DataFrame:
 
 
 def bleu(pairs: DataFrame, references: DataFrame) -> DataFrame:
-    """Smoothed sentence BLEU-4 of each pair, as (pair_id, bleu).
+    """Smoothed sentence BLEU-4 of each pair, as (pair_id, bleu); every pair has a row.
 
+    Without a candidate, a known reference or a common word it is 0.0. Ids of pairs are unique.
     ``pairs``: (pair_id, reference_id, candidate), ``references``:
     (reference_id, reference). Only n-grams that occur in the reference can
     count. So the candidate's windows first meet the tokens of the reference,
@@ -102,10 +103,11 @@ def bleu(pairs: DataFrame, references: DataFrame) -> DataFrame:
         hits = F.when(matched == 0, F.lit(BLEU_EPSILON)).otherwise(matched)
         log_precision = log_precision + F.log(hits / F.greatest(h - (n - 1), F.lit(1))) / BLEU_ORDER
     brevity = F.when(h > r, F.lit(0.0)).otherwise(1 - F.try_divide(r.cast("double"), h))
-    return scored.select(
+    scored = scored.select(
         "pair_id",
         F.when(F.col("_m1") == 0, F.lit(0.0)).otherwise(F.exp(log_precision + brevity)).alias("bleu"),
     )
+    return pairs.select("pair_id").join(scored, "pair_id", "left").withColumn("bleu", F.coalesce("bleu", F.lit(0.0)))
 
 
 def exact_match(reference: Column, candidate: Column) -> Column:

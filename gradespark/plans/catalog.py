@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradespark.durable import ensure_checkpoint_dir
 from gradespark.functions import bits, rtf, text
 from gradespark.functions import numeric as num
 from gradespark.functions import strings as strs
@@ -17,6 +19,7 @@ from gradespark.operators import (
 from gradespark.operators.ordering import with_group_position, with_running_sum
 from gradespark.plans import views
 from gradespark.sources import datasets, results
+from gradespark.sources.logs import read_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,11 +198,9 @@ def termination_ratio(spark, folder):
     return metrics.termination(views.completions(spark, folder), "source")
 
 
-@query
-def rtf_clean(spark, folder):
-    """documents written as RTF, then read back."""
-    escaped = F.replace(F.translate("text", "{}\\", "   "), F.lit("\n"), F.lit("\\par \n"))
-    units = F.array_join(
+def _rtf_units(escaped):
+    """Characters beyond ASCII as RTF writes them."""
+    return F.array_join(
         F.transform(
             F.split(escaped, ""),
             lambda c: F.when(
@@ -209,6 +210,13 @@ def rtf_clean(spark, folder):
         ),
         "",
     )
+
+
+@query
+def rtf_clean(spark, folder):
+    """documents written as RTF, then read back."""
+    escaped = F.replace(F.translate("text", "{}\\", "   "), F.lit("\n"), F.lit("\\par \n"))
+    units = _rtf_units(escaped)
     written = F.concat(F.lit("{\\rtf1{\\fonttbl f0}\\fs24 "), units, F.lit("}"))
     return views.documents(spark, folder).select("doc_id", rtf.rtf_to_text(written).alias("text"))
 
@@ -315,7 +323,11 @@ def run_config_normalized(spark, folder):
 
 @query
 def bleu_pairs(spark, folder):
-    scores = metrics.bleu(views.pairs(spark, folder), views.references(spark, folder))
+    # Some pairs have no candidate, some name a reference that is not there.
+    number = F.col("pair_id")
+    pairs = views.pairs(spark, folder).withColumn("candidate", F.when(number % 60 != 59, F.col("candidate")))
+    pairs = pairs.withColumn("reference_id", F.when(number % 50 == 49, -1).otherwise(F.col("reference_id")))
+    scores = metrics.bleu(pairs, views.references(spark, folder))
     return scores.select("pair_id", F.round("bleu", 9).alias("bleu"))
 
 
@@ -331,6 +343,65 @@ def exact_match(spark, folder):
     )
 
 
+# --- files ---------------------------------------------------------------------
+
+
+def _new_folder(spark) -> str:
+    """A new folder in the one that the session shares with its executors."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query
+def matrix_files(spark, folder):
+    """The verdict matrix and the long table as CSV files, and from there the totals of both."""
+    path = _new_folder(spark)
+    results.write_csv(_matrix(spark, folder).select("test_name", "test_id", *logs.METHODS), f"{path}/matrix")
+    results.write_csv(logs.attach_test_ids(_verdicts(spark, folder)).select("test_name", "method", "passed", "test_id"), f"{path}/long")
+    totals = matrix.method_totals(results.read_matrix(spark, f"{path}/matrix"))
+    lines = results.read_long(spark, f"{path}/long").groupBy("method").agg(F.count("*").alias("lines"))
+    return totals.join(lines, "method", "left").select("method", "passed", "lines")
+
+
+@query
+def log_files(spark, folder):
+    """The log of each method as an RTF file, all of them read in one go, and the last verdicts."""
+    path = _new_folder(spark)
+    line = F.concat(F.lit("\\f0\\fs24 "), _rtf_units(F.col("line")))
+    views.log(spark, folder).select("method", line.alias("value")).write.partitionBy("method").text(path)
+    raw = read_logs(spark, [f"{path}/method={m}" for m in [*logs.METHODS, "MISSING"]], rtf=True)
+    verdicts = logs.parse_verdicts(raw.withColumn("method", F.lit("any")), "runtime")
+    return verdicts.groupBy("test_name", "passed").agg(F.count("*").alias("lines"))
+
+
+@query
+def suite_files(spark, folder):
+    """Task suites written by split, one split of each read back."""
+    path, test = _new_folder(spark), F.when(F.col("number") % 4 == 0, "test").otherwise("train").alias("split")
+    number = F.regexp_extract("prompt", r"fn_(\d+)", 1).cast("bigint").alias("number")
+    views.tasks_raw(spark, folder).select("*", number).select("*", test).drop("number").write.partitionBy("split").parquet(f"{path}/humaneval")
+    views.mbpp_raw(spark, folder).withColumnRenamed("id", "number").select("*", test).drop("number").write.partitionBy("split").json(f"{path}/mbpp")
+    first = datasets.load_humaneval(spark, f"{path}/humaneval", "test").select(F.lit("humaneval").alias("suite"), "task_id", "prompt", F.array("test").alias("tests"))
+    second = datasets.load_mbpp(spark, f"{path}/mbpp", "test", "json").select(F.lit("mbpp").alias("suite"), "task_id", F.col("text").alias("prompt"), F.col("test_list").alias("tests"))
+    third = datasets.load_custom(spark, f"{path}/humaneval").groupBy("split").agg(F.count("*").alias("n"))
+    third = third.select(F.lit("custom").alias("suite"), F.col("split").alias("task_id"), F.col("n").cast("string").alias("prompt"), F.array().cast("array<string>").alias("tests"))
+    return first.unionByName(second).unionByName(third)
+
+
+@query
+def run_files(spark, folder):
+    """A detailed run and the results of all benchmarks as files, read back."""
+    path = _new_folder(spark)
+    verdicts = views.attempts(spark, folder).select("task_id", "method", "ok")
+    summary = verdicts.agg(F.count("*").alias("total_examples"), F.count_if("ok").alias("passed_examples"))
+    config = spark.range(1).select(F.lit(3).alias("iterations"), F.lit(None).cast("bigint").alias("limit"))
+    results.save_detailed_run(summary, config, verdicts, path)
+    detail = spark.read.schema("task_id string, method string, ok boolean").json(f"{path}/detailed_results")
+    whole = spark.read.schema("summary struct<total_examples:bigint,passed_examples:bigint>, benchmark_config struct<iterations:int>").json(f"{path}/summary")
+    counts = detail.groupBy("method").agg(F.count("*").alias("total_examples"), F.count_if("ok").alias("passed_examples"))
+    return counts.unionByName(whole.select(F.lit("all").alias("method"), "summary.total_examples", "summary.passed_examples"))
+
+
 # --- embedding bags ----------------------------------------------------------
 
 DIM = 64

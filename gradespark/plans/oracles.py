@@ -299,8 +299,9 @@ select c_custkey, setting, value from (
  union all select c_custkey, case when even then 'num_beams' else 'seed' end, case when even and greedy then '1' else '5' end from c
  union all select c_custkey, 'max_length', cast(length(c_name) + 400 as varchar) from c) x"""
 
-ORACLES["bleu_pairs"] = f"""with p as (select doc_id, doc_id % (select count(*) from benchmark) item_id,
-   list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '') w from documents),
+ORACLES["bleu_pairs"] = f"""with d as (select doc_id, case when doc_id % 50 = 49 then -1 else doc_id % (select count(*) from benchmark) end item_id,
+   case when doc_id % 60 <> 59 then text end text from documents),
+ p as (select doc_id, item_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '') w from d where text is not null),
  b as (select item_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '') w from benchmark),
  n as (select unnest([1, 2, 3, 4]) n),
  cg as (select doc_id, item_id, n, g, count(*) c from (
@@ -311,11 +312,12 @@ ORACLES["bleu_pairs"] = f"""with p as (select doc_id, doc_id % (select count(*)
    from b cross join n) x group by all),
  m as (select doc_id, n, sum(least(c, r)) hits from cg join rg using (item_id, n, g) group by doc_id, n),
  s as (select p.doc_id, len(p.w) h, len(b.w) r, n.n, coalesce(m.hits, 0) hits
-   from p join b using (item_id) cross join n left join m on m.doc_id = p.doc_id and m.n = n.n)
-select doc_id pair_id, round(case when max(case when n = 1 then hits end) = 0 then 0.0e0
+   from p join b using (item_id) cross join n left join m on m.doc_id = p.doc_id and m.n = n.n),
+ f as (select doc_id pair_id, round(case when max(case when n = 1 then hits end) = 0 then 0.0e0
   else exp(sum(0.25e0 * ln(case when hits = 0 then 0.1e0 else hits end / greatest(h - n + 1, 1)))
     + case when max(h) > max(r) then 0.0e0 else 1 - max(r) / cast(max(h) as double) end) end, 9) bleu
-from s group by doc_id"""
+from s group by doc_id)
+select doc_id pair_id, coalesce(bleu, 0.0e0) bleu from documents left join f on pair_id = doc_id"""
 
 ORACLES["exact_match"] = f"""with p as (select source, d.text cand, b.text ref
    from documents d join (select item_id, text from benchmark) b on b.item_id = d.doc_id % (select count(*) from benchmark))
@@ -567,3 +569,21 @@ from documents"""
 
 ORACLES["syntax_metrics"] = """select source, avg(case when doc_id % 7 < 4 then 1.0e0 else 0.0e0 end) "is syntactically_valid",
   avg(case when doc_id % 7 < 4 then 1.0e0 else 0.0e0 end) is_importable from documents group by source"""
+
+# --- files -------------------------------------------------------------------
+
+ORACLES["matrix_files"] = f"""with {V_LOG}, {V_TESTS}, {LAST}, {CELLS},
+ n as (select method, count(*) "lines" from v_verdicts group by method)
+select method, passed, "lines" from v_totals left join n using (method)"""
+
+ORACLES["log_files"] = f"""with {V_LOG}, {LAST} select test_name, cast(passed as int) passed, count(*) "lines" from v_verdicts group by all"""
+
+ORACLES["suite_files"] = f"""with {V_TASKS}, {V_MBPP}
+select 'humaneval' suite, task_id, prompt, [test] tests from v_tasks where cast(substring(prompt, 8, length(prompt) - 11) as bigint) % 4 = 0
+union all select 'mbpp', task_id, text, test_list from v_mbpp where id % 4 = 0
+union all select 'custom', case when p_partkey % 4 = 0 then 'test' else 'train' end, cast(count(*) as varchar), [] from part group by 1, 2"""
+
+ORACLES["run_files"] = """with r as (select *, o_orderstatus = 'F' ok from orders)
+select method, total_examples, passed_examples from (
+ select {0} as method, count(*) total_examples, count(*) filter (where ok) passed_examples from r group by 1
+ union all select 'all', count(*), count(*) filter (where ok) from r)""".format(method_of("o_orderkey"))
