@@ -56,10 +56,10 @@ def pass_at_k(
         .withColumn("_rank", F.row_number().over(Window.partitionBy("task_id").orderBy("_order")))
         .where(F.col("_rank") <= max(ks))
         .groupBy("task_id")
-        .agg(F.min(F.when(F.col("ok"), F.col("_rank"))).alias("_success"))
+        # At most max(k) attempts are left, which is all that has to be known of their number.
+        .agg(F.min(F.when(F.col("ok"), F.col("_rank"))).alias("_success"), F.count("*").alias("_n"))
     )
-    sizes = attempts.groupBy("task_id").agg(F.count("*").alias("_n"))
-    per_task = sizes.join(first, "task_id")
+    per_task = first
     if tasks is not None:
         per_task = tasks.select("task_id").distinct().join(per_task, "task_id", "left")
     hits = [
@@ -84,6 +84,21 @@ def match_tests(codes: DataFrame, tests: DataFrame, key: str = "example_index")
     return codes.join(tests, key, "left")
 
 
+def example_results(verdicts: DataFrame, *keep: str) -> DataFrame:
+    """The rows behind an evaluation: example_index, task_id, entry_point, passed.
+
+    Needs ``example_index`` and ``passed`` (missing: failed); ``task_id`` defaults to
+    ``task_<index>``, ``entry_point`` may be missing altogether.
+    """
+    columns = verdicts.columns
+    index = F.col("example_index")
+    named = F.concat(F.lit("task_"), index.cast("string"))
+    task = F.coalesce("task_id", named) if "task_id" in columns else named
+    entry = F.col("entry_point") if "entry_point" in columns else F.lit(None).cast("string")
+    passed = F.coalesce("passed", F.lit(False))
+    return verdicts.select(*keep, "example_index", task.alias("task_id"), entry.alias("entry_point"), passed.alias("passed"))
+
+
 def evaluate(verdicts: DataFrame, *groups: str) -> DataFrame:
     """Total, passed and pass rate; a row without a verdict counts as failed.
 

@@ -570,6 +570,10 @@ from documents"""
 ORACLES["syntax_metrics"] = """select source, avg(case when doc_id % 7 < 4 then 1.0e0 else 0.0e0 end) "is syntactically_valid",
   avg(case when doc_id % 7 < 4 then 1.0e0 else 0.0e0 end) is_importable from documents group by source"""
 
+ORACLES["example_results"] = f"""with {V_ATTEMPTS}
+select method, o_orderkey example_index, case when o_orderkey % 7 <> 3 then task_id else concat('task_', o_orderkey) end task_id,
+  cast(null as varchar) entry_point, o_orderkey % 5 <> 0 and ok passed from v_attempts"""
+
 # --- files -------------------------------------------------------------------
 
 ORACLES["matrix_files"] = f"""with {V_LOG}, {V_TESTS}, {LAST}, {CELLS},

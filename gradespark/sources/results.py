@@ -35,13 +35,19 @@ def to_documents(runs: DataFrame, metadata: dict[str, str] | None = None, by: Se
 
 
 def save_results(runs: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
-    """Write the result document of ``runs``."""
-    to_documents(runs, metadata).write.mode("overwrite").json(path)
+    """Write a result document per run, one on each line, so that no row holds them all."""
+    pairs = [F.lit(x) for item in (metadata or {}).items() for x in item]
+    meta = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    run = F.struct("pass_rate", "passed_examples", "total_examples", "timestamp", "config").cast(RUN_TYPE)
+    runs.select(meta.alias("metadata"), F.create_map("benchmark", run).alias("benchmark_results")).write.mode("overwrite").json(path)
 
 
-def load_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document; a missing part is an empty map."""
-    return _filled(spark.read.schema(RESULTS_SCHEMA).json(path, multiLine=True))
+def load_results(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One row per document; a missing part is an empty map.
+
+    A document is a line, or with ``whole_files`` a file.
+    """
+    return _filled(spark.read.schema(RESULTS_SCHEMA).json(path, multiLine=whole_files))
 
 
 def parse_results(texts: DataFrame, column: str = "document") -> DataFrame:
