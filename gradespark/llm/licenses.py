@@ -2,14 +2,15 @@
 
 A text becomes its lower-cased words, each between blanks of its own. A rule
 is a priority, a label, a keyword and a regular expression over such words. Its
-expression only runs where its keyword occurs, and none runs on texts without
-any keyword. A detection inside a stronger one (higher priority, or the same
+expression only runs where all words that it needs occur, and none runs on
+texts without any keyword. A detection inside a stronger one (higher priority, or the same
 and longer) is suppressed. Everything is one projection of built-in functions.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -119,14 +120,23 @@ def _keyword(words: str) -> str:
     raise ValueError(f"no keyword in {words!r}")
 
 
+def _needed(words: str) -> list[str]:
+    """The words that every match has, each between its blanks."""
+    return [f" {w} " for w in dict.fromkeys(words.split()) if not w.endswith("?") and "|" not in w]
+
+
 def rules() -> list[dict]:
-    """All rules in their order: a stronger one comes first."""
+    """All rules in their order: a stronger one comes first. What a rule needs is listed with the rarest word first."""
     named = [(label, words) for label, several in NAMES.items() for words in several]
     out = [(GRANT, label, f"{grant} {words}") for grant, (label, words) in product(GRANTS, named)]
     out += [(IDENTIFIER, name, f"spdx license|licence identifier {' '.join(name.replace('.', '-').split('-'))}") for name in IDENTIFIERS]
     out += [(NAME, label, words) for label, words in named]
     out += [(HINT, label, words) for label, several in HINTS.items() for words in several]
-    return [{"rank": p, "label": label, "keyword": _keyword(words), "pattern": _pattern(words)} for p, label, words in out]
+    often = Counter(w for _, _, words in out for w in _needed(words))
+    return [
+        {"rank": p, "label": label, "keyword": _keyword(words), "needs": sorted(_needed(words), key=lambda w: (often[w], w)), "pattern": _pattern(words)}
+        for p, label, words in out
+    ]
 
 
 def _let(value: Column, body) -> Column:
@@ -146,7 +156,7 @@ def _base(words: Column) -> list[Column]:
     return [count.alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), labels.alias("base")]
 
 
-def _detections(words: Column, low: Column, table: Column) -> Column:
+def _detections(words: Column, table: Column) -> Column:
     """Kept detections: labels, and the strongest priority."""
     # Places of a rule: what stands between its matches, and the matches, add up to them.
     spans = lambda r: F.aggregate(
@@ -160,7 +170,7 @@ def _detections(words: Column, low: Column, table: Column) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    found = F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.contains(low, r["keyword"])), spans)))
+    found = F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.forall(r["needs"], lambda w: F.contains(words, w))), spans)))
     # In order of start, then of length, then of priority: an interval can only lie in one that came before.
     ends = F.array(*[F.lit(0)] * len(SURE))
     empty = F.struct(ends.alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(len(SURE)).alias("best"))
@@ -183,14 +193,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a base phrase alone). Ids may be null or repeat.
     """
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<rank:int,label:string,keyword:string,pattern:string>>")
+    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<rank:int,label:string,keyword:string,needs:array<string>,pattern:string>>")
     gap, word = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     keys = sorted({r["keyword"] for r in rules()})
     roots = [k for k in keys if not any(o != k and o in k for o in keys)]
 
     def scanned(low: Column) -> Column:
         words = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(low, gap, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
-        result = lambda w: F.struct(*_base(w), _detections(w, low, table).alias("found"))
+        result = lambda w: F.struct(*_base(w), _detections(w, table).alias("found"))
         gate = F.contains(low, F.lit(roots[0]))
         for root in roots[1:]:
             gate = gate | F.contains(low, F.lit(root))
