@@ -214,3 +214,37 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "n_words", F.coalesce("r.n_base", F.lit(0).cast("bigint")).alias("n_base"), F.col("r.first_word").alias("first_word"),
         F.col("r.last_word").alias("last_word"), F.concat_ws(",", base).alias("base_labels"), F.concat_ws(",", labels).alias("labels"),
         F.when(F.size(base) > 0, F.greatest(sure, F.lit(SURE[NAME]))).otherwise(sure).alias("score"))
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def oracle() -> str:
+    """The scan in DuckDB's SQL, over the same rules."""
+    table = ",\n  ".join(f"({r['rank']}, {_sql(r['label'])}, [{', '.join(map(_sql, r['needs']))}], {_sql(r['pattern'])})" for r in rules())
+    phrases = ", ".join(f"({_sql(p)}, {_sql(label)}, {len(p.split())})" for p, label in BASE.items())
+    sure = f"list_extract([{', '.join(f'{s}e0' for s in SURE)}], min(rank) + 1)"
+    return rf"""with d as (
+  select doc_id, row_number() over () as row, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents
+), t as materialized (select *, ' ' || array_to_string(w, '  ') || ' ' as s from d),
+rules(rank, label, needs, pattern) as (values
+  {table}),
+base(phrase, label, size) as (values {phrases}),
+b as (
+  select row, label, i - 1 as place from (select row, w, unnest(range(1, len(w) + 1)) as i from t where contains(s, ' cc ') or contains(s, ' general ') or contains(s, ' rights ')) x
+  join base on array_to_string(w[i:i + size - 1], ' ') = phrase
+), bases as (
+  select row, count(*) as n, min(place) as first, max(place) as last, string_agg(distinct label, ',' order by label) as labels, list(distinct label) as names from b group by row
+), m as (
+  select row, rank, label, regexp_extract_all(s, pattern) as m, string_split_regex(s, pattern) as p from t join rules on list_bool_and(list_transform(needs, lambda n: contains(s, n)))
+), f as (
+  select row, rank, label, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as s, length(m[i]) as n
+  from (select *, unnest(range(1, len(m) + 1)) as i from m) x
+), k as (
+  select * from f where not exists (select 1 from f e where e.row = f.row and e.s <= f.s and e.s + e.n >= f.s + f.n
+    and (e.rank < f.rank or e.rank = f.rank and ((e.s, e.n) <> (f.s, f.n) or e.label < f.label)))
+), g as (select row, list(distinct label) as names, {sure} as sure from k group by row)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, first as first_word, last as last_word, coalesce(bases.labels, '') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.names, []), coalesce(g.names, [])))), ',') as labels,
+  greatest(coalesce(sure, 0.0e0), case when n > 0 then {SURE[NAME]}e0 else 0.0e0 end) as score
+from t left join bases using (row) left join g using (row)"""

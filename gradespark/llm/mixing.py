@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from gradespark.llm.common import settled
 
-#: Documents of a block, on average.
+#: Documents of a block of the largest source, on average.
 BLOCK = 2048
+#: So many rows on blocks, of some hundred bytes each, are broadcast.
+BROADCAST_BLOCKS = 50_000
 PROBES, ROUNDS = 31, 6
 #: A source may be read so many times more often than the one read least.
 REPEATS = 2.0
@@ -102,9 +104,10 @@ def plan_mixture(
     amount = budget if budget is not None else math.ceil((scale or 1.0) / (rate or 1.0) - 1e-6)
     sources = sources.withColumn("weight", power / F.lit(scale or 1.0)).withColumn("budget", F.round(F.col("weight") * F.lit(float(amount))).cast("bigint"))
     sources = sources.withColumn("full", F.expr("budget div tokens")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
-    sources = settled(sources.withColumn("blocks", F.ceil(F.col("docs") / block)))
-    blocks = rows.join(sources.select("_mix_source", "blocks"), "_mix_source").groupBy("_mix_source", F.pmod("_mix_hash", "blocks").alias("_mix_block"))
-    blocks = blocks.agg(F.sum("_mix_tokens").alias("size"))
+    # As many blocks for every source: a document's block is known without meeting its source.
+    most = sources.agg(F.max("docs")).first()[0] or 1
+    sources = settled(sources.withColumn("blocks", F.lit(-(-most // block))))
+    blocks = rows.groupBy("_mix_source", F.pmod("_mix_hash", F.lit(-(-most // block))).alias("_mix_block")).agg(F.sum("_mix_tokens").alias("size"))
     blocks = blocks.join(sources.select("_mix_source", "tokens", "budget", "full", "rest"), "_mix_source")
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), "full")))
     # Every epoch has its own order of blocks; only one row for each block is put in order.
@@ -132,9 +135,11 @@ def mix(
     any other, and equal rows take each other's place. An empty table gives no rows.
     """
     sources, blocks, _ = plan_mixture(docs, entropy, repeats, budget, block, id_col, text_col, source_col)
-    rows = docs.withColumns(_dealt(docs, id_col, text_col, source_col))
-    rows = rows.join(sources.select("_mix_source", "blocks"), "_mix_source").withColumn("_mix_block", F.pmod("_mix_hash", "blocks")).drop("blocks")
-    taken = rows.join(blocks, ["_mix_source", "_mix_block"])
+    count = sources.agg(F.max("blocks")).first()[0] or 1
+    rows = docs.withColumns(_dealt(docs, id_col, text_col, source_col)).withColumn("_mix_block", F.pmod("_mix_hash", F.lit(count)))
+    # Few blocks go to the documents; many meet them by source and block, which spreads a large source as well.
+    few = blocks.count() <= BROADCAST_BLOCKS
+    taken = rows.join(F.broadcast(blocks) if few else blocks, ["_mix_source", "_mix_block"])
     out = [*docs.columns, "_mix_epoch", "_mix_block", "_mix_at", "_mix_tokens"]
     whole = taken.where("_mix_take = _mix_size").select(*out)
     # At the end of a budget: the documents of one block, in the epoch's order, until it is full.

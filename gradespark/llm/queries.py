@@ -33,6 +33,9 @@ def op2_license_scan(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+ORACLES["op2_license_scan"] = licenses.oracle()
+
+
 @query
 def op3_quality_cotraining(spark, folder):
     docs = table(spark, folder, "documents")
