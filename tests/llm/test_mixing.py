@@ -59,7 +59,7 @@ def check(rows, got, w, budget):
 
 
 @pytest.mark.parametrize("block", [2048, 7])
-def test_repetition_limit(spark, block):
+def test_repetition_limit(spark, block, monkeypatch):
     rows, df = rows_of(), frame(spark, rows_of())
     total = tokens(rows)
     _, _, a = mixing.plan_mixture(df, repeats=3.0, block=block)
@@ -72,6 +72,9 @@ def test_repetition_limit(spark, block):
     assert {(r.doc_id, r.source) for r in got} == {(d, s) for d, _, s in rows}  # nobody is left out
     again = mixing.mixture(df.repartition(2), repeats=3.0, block=block).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    again = mixing.mixture(df, repeats=3.0, block=block).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
 
 
 def test_target_entropy_and_budget(spark):
