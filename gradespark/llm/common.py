@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
@@ -46,6 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``rows`` mapped by ``run`` in Arrow batches that stay small even where texts are long.
+
+    Lowers the session's limit of rows in a batch to ``TEXT_ROWS``: JVM and worker each hold a whole batch.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return rows.mapInArrow(lean(run), schema)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` on small slices of its batches; what the task has allocated goes back to the system at its end.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import lean, narrow, settled
+from gradespark.llm.common import map_texts, narrow, settled
 
 UNKNOWN = "und"
 FEATURES = 4096
@@ -191,7 +191,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
                 [pa.array([d for d, *_ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.string()),
                  pa.array([p.astype(np.float32).tobytes() for *_, p in found], pa.binary())], ["doc_id", "lang", "profile"])
 
-    got = chosen.mapInArrow(lean(run), "doc_id bigint, lang string, profile binary").head(most)
+    got = map_texts(chosen, run, "doc_id bigint, lang string, profile binary").head(most)
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.profile))
     if not got:
         return None
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                                              ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "held_out": held_out(id_col), "text": F.col(text_col).cast("string")})
-    return rows.mapInArrow(lean(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             names, _ = _predicted(model, profile, batch.column(place).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from gradespark.llm.common import lean, narrow, settled
+from gradespark.llm.common import map_texts, narrow, settled
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,7 +33,7 @@ TIGHT = 0.98
 #: Underfull bins that the local search tries to empty before it gives up.
 TRIES = 12
 #: Words whose ids a task remembers, their greatest length in bytes, and how many new ones are encoded at a time.
-REMEMBERED, WORD_BYTES, TOGETHER = 300_000, 64, 1024
+REMEMBERED, WORD_BYTES, TOGETHER = 200_000, 64, 1024
 #: ASCII marks that the tokenizer never joins to a letter or digit before them.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -132,7 +132,7 @@ def token_pieces(
 
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "text": F.col(text_col).cast("string")})
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return rows.mapInArrow(lean(run), schema + ", ids array<bigint>" * with_ids)
+    return map_texts(rows, run, schema + ", ids array<bigint>" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import lean, narrow
+from gradespark.llm.common import map_texts, narrow
 
 #: Labelled and unlabelled documents to fit on.
 LABELLED, POOL = 4000, 4000
@@ -165,7 +165,7 @@ def _vectors(rows: DataFrame, bound: int) -> list:
                     for t, s, g, n in zip(d["text"], d["source"], d["lang"], d["n_chars"])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(both, pa.binary())], ["doc_id", "y", "x"])
 
-    got = rows.select("doc_id", "y", "text", "source", "lang", "n_chars").mapInArrow(lean(run), "doc_id bigint, y double, x binary").head(bound)
+    got = map_texts(rows.select("doc_id", "y", "text", "source", "lang", "n_chars"), run, "doc_id bigint, y double, x binary").head(bound)
     return sorted(got, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.x))
 
 
@@ -221,7 +221,7 @@ def score_quality(docs: DataFrame, model: Model | float, keep: float = KEEP, id_
             columns = [batch.column(0), *(pa.array(out[:, k]) for k in range(3)), pa.array(out[:, 2] >= keep)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return _inputs(docs, id_col).mapInArrow(lean(run), "doc_id bigint, text_score double, meta_score double, score double, keep boolean")
+    return map_texts(_inputs(docs, id_col), run, "doc_id bigint, text_score double, meta_score double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | float, keep: float = KEEP) -> DataFrame:
@@ -234,4 +234,4 @@ def keep_good(docs: DataFrame, model: Model | float, keep: float = KEEP) -> Data
             out = _scores(model, features, *(batch.column(k).to_pylist() for k in places))
             yield batch.filter(pa.array(out[:, 2] >= keep))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return map_texts(docs, run, docs.schema)

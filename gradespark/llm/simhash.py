@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import lean, narrow, settled
+from gradespark.llm.common import map_texts, narrow, settled
 
 WORDS = 3
 RADIUS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "text": F.col(text_col).cast("string")})
-    return rows.mapInArrow(lean(run), "doc_id bigint, fp bigint")
+    return map_texts(rows, run, "doc_id bigint, fp bigint")
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import lean, narrow
+from gradespark.llm.common import map_texts, narrow
 
 #: Fixed values of unigram tokenizers: the mark of a word start, and how much less than the worst piece an unknown character scores.
 WORD_START = "▁"
@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, scores], ["doc_id", "n_tokens", "score"])
 
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "text": F.col(text_col).cast("string")})
-    return rows.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, score double")
+    return map_texts(rows, run, "doc_id bigint, n_tokens bigint, score double")
 
 
 def vocabulary_of(path: str) -> list[tuple[str, float]]:
