@@ -258,13 +258,15 @@ def simhash_classes(
     )
 
 
-def one_of_each_class(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def one_of_each_class(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each class, the document with the smallest id.
 
+    ``classes`` has ``doc_id`` and ``component_id``; without it, they are those of ``simhash_classes``.
     Of repeated rows with that id one stays. Rows without an id cannot be named
     by a class and all stay.
     """
-    stay = simhash_classes(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    classes = simhash_classes(docs) if classes is None else classes
+    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     columns = docs.columns
     named = docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(docs["doc_id"].isNull())).select(*columns)
