@@ -26,6 +26,8 @@ FEATURES = 4096
 SAMPLE, LEAST = 1600, 20
 #: Share of the training documents that set the slopes of the scores and train no machine.
 CALIBRATION = 0.25
+#: The score a text needs to count as identified: so much, or less if more than a share of the calibration documents had none so high.
+NEEDED, MISSED = 0.95, 0.005
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -91,6 +93,8 @@ class Model:
     pairs: list[tuple[int, int]]
     pair_weights: np.ndarray
     pair_slope: float
+    #: Texts below this score are of no learned language.
+    needed: float = 0.0
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language positions and scores of rows of profiles."""
@@ -154,7 +158,10 @@ def fit(x: np.ndarray, languages: list[str]) -> Model | None:
     outer = hx @ family_weights
     family_slope = _slope(outer.ravel(), sign(family_of[hy][:, None] == np.arange(len(families))).ravel())
     slope = _slope(np.concatenate(margins), np.concatenate(truth)) if pairs else 1.0
-    return Model(names, families, family_weights, family_slope, pairs, pair_weights, slope)
+    model = Model(names, families, family_weights, family_slope, pairs, pair_weights, slope)
+    if len(hx):
+        model.needed = min(NEEDED, float(np.quantile(model.predict(hx[:, :-1])[1], MISSED, method="lower")))
+    return model
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -228,13 +235,16 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language could be told, with all their columns."""
+    """The rows of ``docs`` whose language could be told, with all their columns.
+
+    Texts that are ``und`` and texts that score below the model's ``needed`` go.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile = letter_profile()
         for batch in batches:
-            names, _ = _predicted(model, profile, batch.column(place).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            names, scores = _predicted(model, profile, batch.column(place).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= model.needed for n, s in zip(names, scores)], pa.bool_()))
 
     return map_texts(docs, run, docs.schema)

@@ -56,6 +56,17 @@ def test_language_without_examples_and_stage(spark, docs):
     assert language.identify(docs.limit(0), None).collect() == []
 
 
+def test_stage_drops_languages_never_learned(spark, docs):
+    rng = random.Random(6)
+    alphabets = {"cyrillic": "абвгдежзиклмнопрст", "kana": "かきくけこさしすせそたちつてと"}
+    foreign = [(7000 + i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(60)), "aa", "x", 1.0) for i, a in enumerate(list(alphabets.values()) * 50)]
+    model = language.learn(docs)
+    kept = language.keep_identified(docs.unionByName(spark.createDataFrame(foreign, docs.schema)), model)
+    assert kept.where("doc_id >= 7000").count() == 0
+    assert kept.count() == docs.count() - 3
+    assert 0.5 < model.needed <= language.NEEDED
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rng = random.Random(4)
