@@ -259,6 +259,11 @@ select method, count(*) total_examples, count(*) filter (where ok and t.task_id
   cast(count(*) filter (where ok and t.task_id is not null) as double) / count(*) * 100 pass_rate
 from f left join v_tasks t using (task_id) group by method"""
 
+ORACLES["dataset_eval_all"] = f"""with {V_TASKS}, {V_ATTEMPTS}
+select method, count(*) total_examples, count(*) filter (where ok and t.task_id is not null) passed_examples,
+  cast(count(*) filter (where ok and t.task_id is not null) as double) / count(*) * 100 pass_rate
+from v_attempts left join v_tasks t using (task_id) group by method"""
+
 V_RUNS = f"""v_runs as (select {method_of('o_orderkey')} benchmark, date_trunc('month', o_orderdate) as "month",
    count(*) filter (where o_orderstatus = 'F') passed_examples, count(*) total_examples, max(o_orderdate) as "timestamp",
    cast(count(*) filter (where o_orderstatus = 'F') as double) / count(*) * 100 pass_rate from orders group by 1, 2)"""

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from gradespark.plans import views
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = pathlib.Path(entry.__file__).parent / "gradespark"
@@ -57,3 +58,11 @@ def test_package_stays_within_its_rules():
     text = "\n".join(p.read_text(encoding="utf8") for p in PACKAGE.rglob("*.py"))
     for word in ("localCheckpoint", "crossJoin", ".toPandas(", ".collect()", ".sample("):
         assert word not in text, word
+
+
+def test_evaluation_of_all_attempts(spark):
+    folder = "/root/testdata/sf0.001"
+    found = entry.queries()["dataset_eval_all"](spark, folder).collect()
+    assert sum(r.total_examples for r in found) == views.attempts(spark, folder).count()
+    first = entry.queries()["dataset_eval"](spark, folder).collect()
+    assert sum(r.total_examples for r in first) < sum(r.total_examples for r in found)
