@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, warc
+from gradespark.llm import codes, hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, warc
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,11 @@ def op9_simhash(spark, folder):
 def op10_language(spark, folder):
     docs = table(spark, folder, "documents")
     return language.identify(docs, language.learn(docs))
+
+
+@query
+def op11_vector_codes(spark, folder):
+    return codes.compress(table(spark, folder, "embeddings"))
+
+
+ORACLES["op11_vector_codes"] = codes.ORACLE
