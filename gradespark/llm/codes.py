@@ -113,7 +113,7 @@ def _kept(vectors: pa.Array, width: int, scale: int) -> tuple[np.ndarray, np.nda
     wrong = good & (sizes != width)
     if wrong.any():
         raise ValueError(f"vectors have {width} and {sizes[wrong][0]} components; all must have as many")
-    return np.nonzero(good)[0], whole(flat[np.repeat(good, sizes)].reshape(-1, width), width, scale)
+    return np.nonzero(good)[0], whole(flat[np.repeat(good, sizes)].reshape(int(good.sum()), width), width, scale)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], vector: int, width: int, scale: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -11,7 +11,7 @@ from gradespark.llm.codes import Orchard
 def brute(rows, parts, entries, rounds, scale):
     """The contract in plain Python."""
     good = [(i, [int(np.floor(scale * x)) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    good.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+    good.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     if not good:
         return []
     each = len(good[0][1]) // parts
