@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import codes, hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, warc
+from gradespark.llm import codes, hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, urls, warc
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,11 @@ def op11_vector_codes(spark, folder):
 
 
 ORACLES["op11_vector_codes"] = codes.ORACLE
+
+
+@query
+def op12_url_filter(spark, folder):
+    return urls.judge(table(spark, folder, "pages"), urls.learn(urls.examples(spark)))
+
+
+ORACLES["op12_url_filter"] = urls.ORACLE
