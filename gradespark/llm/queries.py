@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradespark.llm import codes, hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, urls, warc
+from gradespark.llm import codes, conversations, hilbert, language, licenses, mixing, packing, quality, simhash, tokencount, topk, urls, warc
 from gradespark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,11 @@ def op12_url_filter(spark, folder):
 
 
 ORACLES["op12_url_filter"] = urls.ORACLE
+
+
+@query
+def op13_conversation_repair(spark, folder):
+    return conversations.digests(conversations.damage(table(spark, folder, "conversations")), gone_col="gone")
+
+
+ORACLES["op13_conversation_repair"] = conversations.ORACLE
