@@ -13,6 +13,8 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,36 @@ CHUNK = 20_000
 TIGHT = 0.98
 #: Underfull bins that the local search tries to empty before it gives up.
 TRIES = 12
-#: Words whose ids a task remembers, their greatest length in bytes, and how many new ones are encoded at a time.
-REMEMBERED, WORD_BYTES, TOGETHER = 200_000, 64, 1024
+#: Words whose ids a worker remembers at least and twice as many at most, their greatest length in bytes, and texts looked at together.
+REMEMBERED, WORD_BYTES, TOGETHER = 100_000, 64, 64
 #: ASCII marks that the tokenizer never joins to a letter or digit before them.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class _Memory(dict):
+    """Ids of words in two generations: when the young one is full it becomes the old one.
+
+    An old word that is asked for is young again. A word in neither gives an
+    empty array of its own, noted in ``fresh``, for its ids to be filled in.
+    """
+
+    def __init__(self) -> None:
+        self.old: dict[bytes, bytes] = {}
+        self.fresh: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        ids = self.old.get(word)
+        if ids is None:
+            return self.fresh.setdefault(word, bytearray())
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class _WordIds:
     """Ids of texts as little-endian 32-bit bytes, put together from those of their words.
 
@@ -45,28 +71,49 @@ class _WordIds:
     and starts a token where marks follow a letter or digit. So a text's ids are
     those of its words, one after the other, and a word's are those of its stem
     and of the marks behind it. Texts with a special token in them are encoded as they are.
+    New words are encoded many at a time with a special token between them, which no word can hold.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.special = [t["content"].encode().lower() for t in json.loads(tokenizer_json).get("added_tokens", [])]
-        self.known: dict[bytes, bytes] = {}
+        content = json.loads(tokenizer_json)
+        added = content.get("added_tokens", [])
+        self.special = [t["content"].encode().lower() for t in added]
+        self.between, self.between_id = (added[0]["content"], added[0]["id"]) if added else (None, None)
+        suffix = content["model"].get("end_of_word_suffix")
+        self.ends = np.array([bool(suffix) and t.endswith(suffix) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda t: t[1])])
+        self.known = _Memory()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode(self, words: list[bytes]) -> None:
-        """Remember the ids of ``words``, which are encoded many at a time and told apart by their places."""
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            text = b" ".join(some).decode()
-            found = self.tokenizer.encode(text, add_special_tokens=False)
-            ends = np.array([k for k, c in enumerate(text) if c == " "] + [len(text)])
-            cuts = np.searchsorted(np.array([a for a, _ in found.offsets]), ends).tolist()
-            ids, start = np.array(found.ids, "<u4").tobytes(), 0
-            for word, cut in zip(some, cuts):
-                self.known[word] = ids[4 * start : 4 * cut]
-                start = cut
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        plain, marked = set(), []
+        """Remember the ids of ``words``."""
+        texts = [w.decode() for w in words]
+        letters = [t.isalpha() for t in texts]
+        plain = [*compress(words, letters)]
+        ids = self._ids(" ".join(compress(texts, letters)))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(plain):  # each of letters alone, and so with one token that ends a word
+            self._keep(plain, ids, cuts, cuts)
+            words, texts = ([*compress(x, [not a for a in letters])] for x in (words, texts))
+        if not words:
+            return
+        if self.between is None:
+            self.known.update((w, self._ids(t).tobytes()) for w, t in zip(words, texts))
+            return
+        ids = self._ids(self.between.join(texts))
+        cuts = np.flatnonzero(ids == self.between_id)
+        self._keep(words, ids, cuts + 1, np.append(cuts, len(ids)))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = ids.tobytes()
+        self.known.update((w, data[s:e]) for w, s, e in zip(words, [0, *(4 * starts).tolist()], (4 * ends).tolist()))
+
+    def _learn(self) -> None:
+        """Fill in the ids of all fresh words, by way of stems and marks for those that end in marks."""
+        known, plain, marked = self.known, [], []
+        fresh, known.fresh = known.fresh, {}
         for word in fresh:
             if word[-1] in _MARKS:
                 stem = word.rstrip(_MARKS)
@@ -74,32 +121,42 @@ class _WordIds:
                 # Other characters may join the marks, or change when they are lower-cased.
                 if last and last < "\u2000" and (last.isalpha() and len(last.lower()) == 1 or last.isdecimal()):
                     marked.append((word, stem, word[len(stem) :]))
-                    plain.add(stem)
-                    plain.add(marked[-1][2])
                     continue
-            plain.add(word)
-        self._encode([*plain.difference(self.known)])
+            plain.append(word)
+        own = {*plain}
+        for _, *parts in marked:
+            for part in parts:
+                if part not in own:
+                    known[part]  # noqa: B018 - becomes fresh where it is not known
+        parts, known.fresh = known.fresh, {}
+        self._encode([*plain, *parts])
         for word, stem, marks in marked:
-            self.known[word] = self.known[stem] + self.known[marks]
+            known[word] = known[stem] + known[marks]
+        for word, hole in fresh.items():
+            hole += known[word]
+        for some in (fresh, parts):  # too long to keep
+            for word in some:
+                if len(word) > WORD_BYTES:
+                    del known[word]
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 32):
-            raws = [(t or "").encode("utf-8", "replace").lower() for t in texts[at : at + 32]]
+        known = self.known
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            raws = [(t or "").encode("utf-8", "replace").lower() for t in some]
             split = [None if any(s in raw for s in self.special) else raw.split() for raw in raws]
-            fresh = set().union(*[w for w in split if w]).difference(self.known)
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = set().union(*[w for w in split if w])
-            if fresh:
-                self._learn(fresh)
-            for text, words in zip(texts[at : at + 32], split):
-                if words is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join(map(self.known.__getitem__, words))
-            for word in fresh:
-                if len(word) > WORD_BYTES:  # too long to keep
-                    self.known.pop(word, None)
+            met = [None if words is None else [*map(known.__getitem__, words)] for words in split]
+            if known.fresh:
+                self._learn()
+            for text, found in zip(some, met):
+                yield self._ids(text).tobytes() if found is None else b"".join(found)
+            known.age()
+
+
+@lru_cache(maxsize=1)
+def _word_ids(tokenizer_json: str) -> _WordIds:
+    """One per worker, so that its tasks load the tokenizer once and share what was encoded."""
+    return _WordIds(tokenizer_json)
 
 
 def token_pieces(
@@ -115,7 +172,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _WordIds(tokenizer_json), np.array([end_id], "<u4").tobytes()
+        words, end = _word_ids(tokenizer_json), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1).to_pylist())):
