@@ -14,7 +14,6 @@ zero gives 0) or "boolean".
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +46,11 @@ def _is(x: Column, value: float) -> Column:
     return F.when(x.isNotNull(), same)
 
 
+def is_nan(x: Column) -> Column:
+    """True for NaN, of a column of any type: only numbers can be."""
+    return F.coalesce(_is(x, NAN), F.lit(False))
+
+
 def _either_nan(x: Column, y: Column) -> Column:
     return _is(x, NAN) | _is(y, NAN)
 
@@ -111,11 +115,45 @@ def floor_divide(x, y, of="float"):
 
 
 def floor_divide_int(x, y):
-    """Exact floor division of integers; by zero it gives 0."""
-    y = F.when(y != 0, y)
-    rest = x % y
-    rest = F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
-    return F.coalesce(F.call_function("div", x - rest, y), F.lit(0).cast("bigint"))
+    """Exact floor division of integers; by zero it gives 0, and the least one by -1 itself."""
+    least, y = F.lit(-(2**63)), F.when(y != 0, y)
+    down = (x % y != 0) & ((x < 0) != (y < 0))
+    turned = F.when(x == least, x).otherwise(-x)
+    return F.when(y == -1, turned).otherwise(F.coalesce(F.call_function("div", x, y) - down.cast("bigint"), F.lit(0).cast("bigint")))
+
+
+def _with(x, y, body):
+    """``body`` of two columns that it uses often, each computed once."""
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda s: body(s["x"], s["y"])), 0)
+
+
+def multiply_int(x, y):
+    """Product of 64-bit integers modulo 2^64, as the integer loop wraps around."""
+    return _with(_int(x), _int(y), _multiply_int)
+
+
+def _multiply_int(x, y):
+    part = lambda v, i: F.shiftrightunsigned(v, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    a, b, sums = [part(x, i) for i in range(4)], [part(y, i) for i in range(4)], []
+    for k in range(4):
+        total = sum((a[i] * b[k - i] for i in range(1, k + 1)), a[0] * b[k])
+        sums.append(total + F.shiftrightunsigned(sums[-1], 16) if sums else total)
+    low, *rest = [s.bitwiseAND(F.lit(0xFFFF)) for s in sums]
+    for i, limb in enumerate(rest, 1):
+        low = low.bitwiseOR(F.shiftleft(limb, 16 * i))
+    return F.coalesce(F.try_multiply(x, y), low)
+
+
+def power_int(x, n):
+    """``x`` to the power of a positive integer modulo 2^64, by squaring."""
+    bits = F.sequence(F.lit(0), F.floor(F.log2(n.cast("double"))).cast("int") + 1)
+    start = F.struct(F.lit(1).cast("bigint").alias("done"), x.alias("square"))
+
+    def step(s, i):
+        bit = F.call_function("shiftright", n, i).bitwiseAND(F.lit(1).cast("bigint"))
+        return F.struct(F.when(bit == 1, _multiply_int(s["done"], s["square"])).otherwise(s["done"]).alias("done"), _multiply_int(s["square"], s["square"]).alias("square"))
+
+    return F.when(n == 1, x).otherwise(F.aggregate(bits, start, step, lambda s: s["done"]))
 
 
 def divmod(x, y, of="float"):  # noqa: A001
@@ -491,43 +529,43 @@ def right_shift(x, n):
     return F.call_function("shiftright", x.cast("bigint"), F.least(n, F.lit(63)).cast("int"))
 
 
-def gcd(x, y):
-    """Greatest common divisor, by Arrow batches: Spark has no such function."""
+#: Euclid's divisions of two 64-bit integers are at most so many.
+_DIVISIONS = 93
 
-    @F.pandas_udf("bigint")
-    def divisor(a: pd.Series, b: pd.Series) -> pd.Series:
-        import numpy as np
-        import pandas as pd
 
-        there = a.notna() & b.notna()
-        out = pd.Series(pd.NA, index=a.index, dtype="Int64")
-        out[there] = np.gcd(a[there].astype("int64"), b[there].astype("int64"))
-        return out
+def _magnitude(x):
+    """Absolute value; the least integer stays."""
+    return F.when((x < 0) & (x != -(2**63)), -x).otherwise(x)
 
-    return divisor(x.cast("bigint"), y.cast("bigint"))
 
+def gcd(x, y):
+    """Greatest common divisor, by Euclid; not negative but for the least integer."""
+    return _with(_int(x), _int(y), _gcd)
 
-def lcm(x, y):
-    """Least common multiple."""
 
-    @F.pandas_udf("bigint")
-    def multiple(a: pd.Series, b: pd.Series) -> pd.Series:
-        import numpy as np
-        import pandas as pd
+def _gcd(x, y):
+    start = F.struct(x.alias("a"), y.alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b")))
+    divided = F.aggregate(F.sequence(F.lit(1), F.lit(_DIVISIONS)), start, step, lambda s: _magnitude(s["a"]))
+    # Most often one divides the other.
+    return (
+        F.when(x.isNull() | y.isNull(), F.lit(None).cast("bigint")).when(y == 0, _magnitude(x)).when(x == 0, _magnitude(y))
+        .when(y % F.when(x != 0, x) == 0, _magnitude(x)).when(x % F.when(y != 0, y) == 0, _magnitude(y)).otherwise(divided)
+    )
 
-        there = a.notna() & b.notna()
-        out = pd.Series(pd.NA, index=a.index, dtype="Int64")
-        out[there] = np.lcm(a[there].astype("int64"), b[there].astype("int64"))
-        return out
 
-    return multiple(x.cast("bigint"), y.cast("bigint"))
+def lcm(x, y):
+    """Least common multiple modulo 2^64, 0 if either is 0."""
+    x, y = _int(x), _int(y)
+    divisor = gcd(x, y)
+    share = F.call_function("div", _magnitude(x), F.when(divisor != 0, divisor))
+    return F.when((x == 0) | (y == 0), F.lit(0).cast("bigint")).otherwise(multiply_int(share, _magnitude(y)))
 
 
 # --- classes of floats -------------------------------------------------------
 
 
-def isnan(x):
-    return F.coalesce(_is(x, NAN), F.lit(False))
+isnan = is_nan
 
 
 def isinf(x):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradespark.functions.numeric import floor, gcd, is_nan, multiply_int, power_int
+from gradespark.operators.folds import tree_reduce
+
 
 def _truth(x: Column) -> Column:
     return x.cast("double") != 0
@@ -28,18 +28,30 @@ REDUCTIONS = {
     "logical_xor": lambda x: _or_identity(F.bit_xor(_truth(x).cast("int")), 0) == 1,
     "maximum": lambda x: F.max(x),
     # NaN is Spark's largest value: max hands it on by itself, min must look for it.
-    "minimum": lambda x: F.when(F.bool_or(F.isnan(x.cast("double"))), F.lit(float("nan"))).otherwise(F.min(x)),
-    "fmax": lambda x: F.coalesce(F.max(F.when(~F.isnan(x.cast("double")), x)), F.max(x)),
+    # What is NaN is told apart for numbers only, so dates, times and intervals come through.
+    "minimum": lambda x: F.coalesce(F.max(F.when(is_nan(x), x)), F.min(x)),
+    "fmax": lambda x: F.coalesce(F.max(F.when(~is_nan(x), x)), F.max(x)),
     "fmin": lambda x: F.min(x),
     "hypot": lambda x: _or_identity(F.sqrt(F.sum(x.cast("double") * x)), 0.0),
 }
 
 
-def reduction(name: str, column: str) -> Column:
-    """Aggregate expression of one reduction, for use in ``agg``."""
+def reduction(name: str, column: str, of: str = "float") -> Column:
+    """Aggregate expression of one reduction, for use in ``agg``; sums of intervals are ``of="interval"``.
+
+    Extremes take columns of any ordered type. ``multiply`` goes through double: integers have ``product_reduce``.
+    """
+    if of == "interval" and name == "add":
+        return F.coalesce(F.sum(column), F.expr("interval '0' second"))
     return REDUCTIONS[name](F.col(column))
 
 
+def product_reduce(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys..., value): exact product of 64-bit integers, modulo 2^64 as integers wrap around."""
+    whole = rows.withColumn(column, F.col(column).cast("bigint"))
+    return tree_reduce(whole, keys, column, multiply_int, power_int)
+
+
 _WIDTH = 512  # exp(512) is still far from overflow
 
 
@@ -47,71 +59,37 @@ def logaddexp_reduce(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     """(keys..., value, value2): log of the summed exponentials, natural and to base 2, stable for any size.
 
     One pass: exponentials are summed relative to the multiple of 512 below
-    them, so a group shrinks to one row per task and multiple, and the few
-    multiples of a group are combined relative to the largest. NaN and
-    infinities are multiples of their own. An empty table without keys gives minus infinity.
+    them, so a task's rows shrink to one for each group and multiple. Of these
+    only the largest and the next one below it can still count, as exponentials
+    further down vanish beside them; two aggregates keep them, and no list of
+    multiples is ever built. NaN and infinities are multiples of their own. An
+    empty table without keys gives minus infinity.
     """
     inf = float("inf")
     x = F.col(column).cast("double")
     # Base 2 is the same with every number scaled, so each row counts for both.
     both = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), (x * scale).alias("x")) for b, scale in ((0, 1.0), (1, 0.6931471805599453))]))
     each = rows.select(*keys, both.alias("_e")).select(*keys, F.col("_e.base").alias("_base"), F.col("_e.x").alias("_x"))
-    odd = F.isnan("_x") | (F.abs("_x") == inf)
-    part = F.when(odd, F.col("_x")).otherwise((F.floor(F.col("_x") / _WIDTH) * _WIDTH).cast("double"))
+    odd_part = lambda x: F.isnan(x) | (F.abs(x) == inf)
+    odd = odd_part(F.col("_x"))
+    part = F.when(odd, F.col("_x")).otherwise(floor(F.col("_x") / _WIDTH) * float(_WIDTH))
     each = each.withColumn("_part", part).where("_x is not null")
     sums = each.groupBy(*keys, "_base", "_part").agg(F.sum(F.when(odd, 1.0).otherwise(F.exp(F.col("_x") - F.col("_part")))).alias("_sum"))
-    # NaN and infinity are the largest of all and decide alone.
-    by_base = sums.groupBy(*keys).agg(*[
-        F.collect_list(F.when(F.col("_base") == b, F.struct("_part", "_sum"))).alias(f"_parts{b}") for b in (0, 1)])
-
-    def value(parts: str, scale: float) -> Column:
-        top = F.array_max(F.transform(parts, lambda p: p["_part"]))
-        total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["_sum"] * F.exp(p["_part"] - top))
-        plain = (top + F.ln(total)) / scale
-        return F.when(top.isNull(), -inf).when(F.isnan(top) | (F.abs(top) == inf), top).otherwise(plain)
+    # Of two neighbouring multiples one is even and one odd, so the largest of either kind are all that is needed.
+    # NaN and infinity are the largest of all, count as even and decide alone.
+    even = F.when(odd_part(F.col("_part")), True).otherwise(F.pmod(F.col("_part") / _WIDTH, F.lit(2.0)) == 0)
+    largest = lambda b, kind: F.max(F.when((F.col("_base") == b) & (even if kind else ~even), F.struct("_part", "_sum")))
+    kinds = sums.groupBy(*keys).agg(*[largest(b, kind).alias(f"_{'even' if kind else 'odd'}{b}") for b in (0, 1) for kind in (True, False)])
 
-    return by_base.select(*keys, value("_parts0", 1.0).alias("value"), value("_parts1", 0.6931471805599453).alias("value2"))
+    def value(b: int, scale: float) -> Column:
+        one, two = F.col(f"_even{b}"), F.col(f"_odd{b}")
+        top = F.greatest(one["_part"], two["_part"])
+        total = sum((F.coalesce(k["_sum"] * F.exp(k["_part"] - top), F.lit(0.0)) for k in (one, two)), F.lit(0.0))
+        return F.when(top.isNull(), -inf).when(odd_part(top), top).otherwise((top + F.ln(total)) / scale)
 
-
-def _fold_gcd(key: str, sorted_by_key: bool):
-    """Batches of (key, value) to one number per key.
-
-    Without an order it is one number per key and batch. Sorted batches give
-    one per key: the last key of a batch waits for the next one.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
-
-        waiting = None
-        for batch in batches:
-            if waiting is not None:
-                batch = pd.concat([waiting, batch], ignore_index=True)
-            if batch.empty:
-                continue
-            codes, _ = pd.factorize(batch[key], use_na_sentinel=False)
-            order = np.argsort(codes, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-            folded = batch.iloc[order[starts]].assign(
-                value=np.gcd.reduceat(batch["value"].to_numpy()[order], starts)
-            )
-            if sorted_by_key:
-                folded, waiting = folded.iloc[:-1], folded.iloc[-1:]
-            yield folded
-        if waiting is not None:
-            yield waiting
-
-    return fold
+    return kinds.select(*keys, value(0, 1.0).alias("value"), value(1, 0.6931471805599453).alias("value2"))
 
 
 def gcd_reduce(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, value): greatest common divisor of each group.
-
-    Every batch is folded before the shuffle; behind it the sorted remainder
-    streams through, so no group is ever held in memory.
-    """
-    numbers = rows.where(F.col(column).isNotNull()).select(key, F.col(column).cast("bigint").alias("value"))
-    schema = f"`{key}` {dict(rows.dtypes)[key]}, value bigint"
-    partial = numbers.mapInPandas(_fold_gcd(key, False), schema)
-    return partial.repartition(key).sortWithinPartitions(key).mapInPandas(_fold_gcd(key, True), schema)
+    """(key, value): greatest common divisor of each group, by levels."""
+    return tree_reduce(rows.withColumn(column, F.col(column).cast("bigint")), [key], column, gcd)

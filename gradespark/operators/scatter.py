@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.functions.numeric import fmax, fmin, maximum, minimum
+from gradespark.functions.numeric import fmax, fmin, floor_divide, is_nan, maximum, minimum, multiply_int
+from gradespark.operators.folds import ordered_fold
+from gradespark.operators.reduce import product_reduce
 
-# A 64-bit number divided by this many factors of at least 2 is 0 or -1.
-_MAX_FACTORS = 63
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def scatter(target: DataFrame, updates: DataFrame, op: str) -> DataFrame:
-    """``target(idx, value)`` after all ``updates(idx, u)``; untouched rows stay."""
+def scatter(target: DataFrame, updates: DataFrame, op: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``target(idx, value)`` after all ``updates(idx, u, order...)``; untouched rows stay.
+
+    Only ``floor_divide`` depends on the order of the updates: that of the
+    ``order`` columns and then of ``u``. It is exact for integers (by zero it
+    gives 0) and follows the float loop for other numbers, of any sign.
+    """
     if op == "floor_divide":
-        return _floor_divide(target, updates)
+        whole = dict(target.dtypes)["value"] in _WHOLE and dict(updates.dtypes)["u"] in _WHOLE
+        of, kind = ("integer", "bigint") if whole else ("float", "double")
+        cast = target.select("idx", F.col("value").cast(kind).alias("value"))
+        return ordered_fold(cast, updates.withColumn("u", F.col("u").cast(kind)), order, lambda x, u: floor_divide(x, u, of))
     return scatter_all(target, updates, {"value": (op, "u")})
 
 
@@ -22,18 +31,22 @@ def scatter_all(target: DataFrame, updates: DataFrame, results: dict[str, tuple[
     """(idx, one column per result) for {name: (op, update column)}.
 
     All results share one aggregation of the updates, which come combined to
-    the target: a hot id costs one partial row per task.
+    the target: a hot id costs one partial row per task. Products of integers
+    wrap around modulo 2^64; they are folded by levels beside it.
     """
-    accumulated = updates.groupBy("idx").agg(
-        *[_combine(op, F.col(column)).alias(f"_acc_{name}") for name, (op, column) in results.items()]
-    )
-    return target.join(accumulated, "idx", "left").select(
-        "idx", *[_apply(op, F.col("value"), F.col(f"_acc_{name}")).alias(name) for name, (op, _) in results.items()]
+    types, whole = dict(updates.dtypes), dict(target.dtypes)["value"] in _WHOLE
+    exact = {name: column for name, (op, column) in results.items() if op == "multiply" and whole and types[column] in _WHOLE}
+    combined = [_combine(op, F.col(column)).alias(f"_acc_{name}") for name, (op, column) in results.items() if name not in exact]
+    joined = target.join(updates.groupBy("idx").agg(*combined), "idx", "left") if combined else target
+    for name, column in exact.items():
+        joined = joined.join(product_reduce(updates, column, "idx").withColumnRenamed("value", f"_acc_{name}"), "idx", "left")
+    return joined.select(
+        "idx", *[_apply("multiply_int" if name in exact else op, F.col("value"), F.col(f"_acc_{name}")).alias(name) for name, (op, _) in results.items()]
     )
 
 
 def _combine(op: str, u: Column) -> Column:
-    number = ~F.isnan(u.cast("double"))
+    number = ~is_nan(u)  # of dates, times and intervals every value is one
     if op in ("add", "subtract"):
         return F.sum(u)
     if op in ("multiply", "divide"):
@@ -42,7 +55,7 @@ def _combine(op: str, u: Column) -> Column:
         return F.max(u)
     if op == "minimum":
         # NaN is Spark's largest value, so min has to look for it.
-        return F.when(F.bool_or(~number), F.lit(float("nan"))).otherwise(F.min(u))
+        return F.coalesce(F.max(F.when(~number, u)), F.min(u))
     if op == "fmax":
         return F.coalesce(F.max(F.when(number, u)), F.max(u))
     if op == "fmin":
@@ -55,6 +68,7 @@ def _apply(op: str, value: Column, acc: Column) -> Column:
         "add": lambda: value + acc,
         "subtract": lambda: value - acc,
         "multiply": lambda: value * acc,
+        "multiply_int": lambda: multiply_int(value, acc),
         "divide": lambda: _divide(value.cast("double"), acc),
         "maximum": lambda: maximum(value, acc),
         "minimum": lambda: minimum(value, acc),
@@ -71,39 +85,3 @@ def _divide(x: Column, y: Column) -> Column:
         .when((x == 0) | F.isnan(x), F.lit(float("nan")))
         .otherwise(F.when(x > 0, inf).otherwise(-inf))
     )
-
-
-def _floor_divide(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """Repeated floor division of integers by divisors >= 0.
-
-    For positive divisors floor(floor(x/a)/b) = floor(x/(a*b)), so the order
-    does not matter. A zero divisor makes the entry 0. Of the divisors above 1
-    only 63 can still change a 64-bit number; the rank filter that keeps them
-    runs before the shuffle too. Negative divisors depend on the order and are
-    refused.
-    """
-    u = F.col("u").cast("bigint")
-    checked = updates.select(
-        "idx",
-        F.when(u < 0, F.raise_error(F.lit("floor_divide needs divisors >= 0"))).otherwise(u).alias("u"),
-    )
-    zeros = checked.groupBy("idx").agg(F.bool_or(F.col("u") == 0).alias("_zero"))
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy("u"))
-    factors = (
-        checked.where(F.col("u") > 1)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= _MAX_FACTORS)
-        .groupBy("idx")
-        .agg(F.collect_list("u").alias("_factors"))
-    )
-    divided = F.aggregate(
-        F.coalesce("_factors", F.array().cast("array<bigint>")),
-        F.col("value").cast("bigint"),
-        # Exact floor of an integer quotient: the remainder is taken off first.
-        lambda x, d: F.call_function("div", x - F.pmod(x, d), d),
-    )
-    return (
-        target.join(zeros, "idx", "left")
-        .join(factors, "idx", "left")
-        .select("idx", F.when(F.coalesce("_zero", F.lit(False)), F.lit(0).cast("bigint")).otherwise(divided).alias("value"))
-    )

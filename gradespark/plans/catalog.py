@@ -580,11 +580,19 @@ def mat_mul(spark, folder):
 # --- reductions and scatter updates ------------------------------------------
 
 
+def _days(interval):
+    """Whole days of an interval."""
+    return F.extract(F.lit("DAY"), interval).cast("bigint")
+
+
 @query
 def reduce_all(spark, folder):
-    rows = views.table(spark, folder, "lineitem").withColumn("growth", 1 + F.col("l_tax") / 1000)
+    # Keys whose products are odd, and so never vanish modulo 2^64.
+    rows = views.table(spark, folder, "lineitem").withColumns({
+        "growth": 1 + F.col("l_tax") / 1000, "whole": F.col("l_orderkey") * F.lit(4000000014) + 1,
+        "since": F.col("l_shipdate") - F.expr("timestamp_ntz '1995-01-01 00:00:00'")})
     one = lambda name, column: reduce.reduction(name, column).alias(name)
-    return rows.groupBy("l_returnflag").agg(
+    found = rows.groupBy("l_returnflag").agg(
         F.round(reduce.reduction("add", "l_extendedprice"), 2).alias("add"),
         F.round(reduce.reduction("multiply", "growth"), 6).alias("multiply"),
         one("bitwise_and", "l_orderkey"), one("bitwise_or", "l_orderkey"), one("bitwise_xor", "l_orderkey"),
@@ -592,7 +600,11 @@ def reduce_all(spark, folder):
         one("maximum", "l_quantity"), one("minimum", "l_quantity"),
         one("fmax", "l_extendedprice"), one("fmin", "l_extendedprice"),
         F.round(reduce.reduction("hypot", "l_quantity"), 4).alias("hypot"),
+        *[reduce.reduction(n, "l_shipdate").alias(f"{n}_date") for n in ("maximum", "minimum", "fmax", "fmin")],
+        *[_days(reduce.reduction(n, "since", "interval")).alias(f"{n}_interval") for n in ("add", "maximum", "minimum", "fmax", "fmin")],
     )
+    products = reduce.product_reduce(rows, "whole", "l_returnflag").withColumnRenamed("value", "multiply_whole")
+    return found.join(products, "l_returnflag")
 
 
 @query
@@ -626,15 +638,34 @@ def scatter_update(spark, folder):
     return done.select("idx", *[F.round(op, 6).alias(op) for op in columns])
 
 
+@query
+def scatter_types(spark, folder):
+    """Updates of times, intervals and 64-bit integers; part 1 gets a third of all of them."""
+    lines = views.table(spark, folder, "lineitem")
+    idx = F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(F.col("l_partkey")).cast("bigint").alias("idx")
+    start = F.expr("timestamp_ntz '1995-06-17 00:00:00'")
+    parts = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"))
+    updates = lines.select(idx, F.col("l_shipdate").alias("time"), (F.col("l_shipdate") - start).alias("since"), (F.col("l_orderkey") * 4000000014 + 1).alias("whole"))
+    times = scatter.scatter_all(parts.withColumn("value", start), updates, {f"{op}_date": (op, "time") for op in ("maximum", "minimum", "fmax", "fmin")})
+    spans = scatter.scatter_all(parts.withColumn("value", start - start), updates, {f"{op}_interval": (op, "since") for op in ("add", "subtract", "maximum", "minimum", "fmax", "fmin")})
+    whole = scatter.scatter_all(parts.withColumn("value", F.col("idx") * 2 + 1), updates, {"multiply_whole": ("multiply", "whole"), "maximum_whole": ("maximum", "whole"), "fmin_whole": ("fmin", "whole")})
+    spans = spans.select("idx", *[_days(F.col(c)).alias(c) for c in spans.columns if c != "idx"])
+    return times.join(spans, "idx").join(whole, "idx")
+
+
 @query
 def scatter_floor_divide(spark, folder):
-    target = views.table(spark, folder, "part").select(
-        F.col("p_partkey").alias("idx"), (F.col("p_partkey") * 1000003 - 900000000).alias("value")
-    )
-    updates = views.table(spark, folder, "lineitem").select(
-        F.col("l_partkey").alias("idx"), F.when(F.col("l_linenumber") > 5, 2).otherwise(1).alias("u")
-    )
-    return scatter.scatter(target, updates, "floor_divide")
+    """Divisors of either sign, whole and fractional, one after the other; part 1 gets a third of all updates."""
+    parts = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"))
+    idx = F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(F.col("l_partkey")).cast("bigint").alias("idx")
+    step = F.col("l_orderkey") % 5
+    whole = F.when(F.col("l_linenumber") == 2, -1).when(F.col("l_linenumber") > 4, F.when(step < 2, -2).otherwise(3)).otherwise(1).cast("bigint")
+    real = F.when(F.col("l_linenumber") == 2, F.when(step == 0, 0.25).otherwise(-0.5)).when(F.col("l_linenumber") == 3, 1.5).otherwise(-1.25 + step / 2)
+    lines = views.table(spark, folder, "lineitem").select(idx, "l_orderkey", "l_linenumber", whole.alias("whole"), real.alias("real"))
+    order = ("l_orderkey", "l_linenumber")
+    whole = scatter.scatter(parts.withColumn("value", F.col("idx") * 1000003 - 900000000), lines.withColumnRenamed("whole", "u"), "floor_divide", order)
+    real = scatter.scatter(parts.withColumn("value", F.col("idx") * 1000.5 - 90000), lines.withColumnRenamed("real", "u"), "floor_divide", order)
+    return whole.select("idx", F.col("value").alias("whole")).join(real.select("idx", F.col("value").alias("real")), "idx")
 
 
 # --- column functions --------------------------------------------------------

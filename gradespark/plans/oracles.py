@@ -422,12 +422,22 @@ select a.d i, b.d j, {rnd('sum(a.x * b.x)', 4)} as value from v_emb a join v_emb
 
 # --- reductions and scatter updates ------------------------------------------
 
-ORACLES["reduce_all"] = """select l_returnflag, round(sum(l_extendedprice), 2) add, round(product(1 + l_tax / 1000), 6) multiply,
+# Exact product of 64-bit integers modulo 2^64.
+_PRODUCT = ("list_reduce(list_prepend(1::uhugeint, list(((4000000014 * l_orderkey::hugeint + 1) % 18446744073709551616)::uhugeint)), "
+            "lambda x, y: (x * y) % 18446744073709551616::uhugeint)")
+_SIGNED = "cast(case when p >= 9223372036854775808 then p::hugeint - 18446744073709551616 else p::hugeint end as bigint)"
+
+ORACLES["reduce_all"] = f"""with p as (select l_returnflag, {_PRODUCT} p from lineitem group by 1)
+select * exclude (p), {_SIGNED} multiply_whole from p join (select l_returnflag, round(sum(l_extendedprice), 2) add, round(product(1 + l_tax / 1000), 6) multiply,
  bit_and(l_orderkey) bitwise_and, bit_or(l_orderkey) bitwise_or, bit_xor(l_orderkey) bitwise_xor,
  bool_and(l_linenumber <> 0) logical_and, bool_or(l_tax <> 0) logical_or,
  count(*) filter (where l_discount <> 0) % 2 = 1 logical_xor,
  max(l_quantity) maximum, min(l_quantity) minimum, max(l_extendedprice) fmax, min(l_extendedprice) fmin,
- round(sqrt(sum(l_quantity * l_quantity)), 4) hypot from lineitem group by l_returnflag"""
+ round(sqrt(sum(l_quantity * l_quantity)), 4) hypot,
+ max(l_shipdate) maximum_date, min(l_shipdate) minimum_date, max(l_shipdate) fmax_date, min(l_shipdate) fmin_date,
+ cast(trunc(sum(epoch_us(l_shipdate) - epoch_us(timestamp '1995-01-01')) / 86400000000) as bigint) add_interval,
+ {", ".join(f"cast(trunc({f}(epoch_us(l_shipdate) - epoch_us(timestamp '1995-01-01')) / 86400000000) as bigint) {n}_interval" for n, f in (("maximum", "max"), ("minimum", "min"), ("fmax", "max"), ("fmin", "min")))}
+ from lineitem group by l_returnflag) using (l_returnflag)"""
 
 ORACLES["reduce_logaddexp"] = """select l_returnflag, l_linestatus, round(ln(sum(exp(l_quantity))), 6) logaddexp,
  round(log2(sum(pow(2.0e0, l_quantity))), 6) logaddexp2 from lineitem group by 1, 2"""
@@ -443,9 +453,28 @@ select idx, {rnd('coalesce(v + s, v)', 6)} as add, {rnd('coalesce(v - s, v)', 6)
  {rnd('coalesce(v * f, v)', 6)} as multiply, {rnd('coalesce(v / f, v)', 6)} as divide, {rnd('greatest(v, hi)', 6)} as maximum,
  {rnd('least(v, lo)', 6)} as minimum, {rnd('greatest(v, hi)', 6)} as fmax, {rnd('least(v, lo)', 6)} as fmin from t"""
 
-ORACLES["scatter_floor_divide"] = """with u as (select l_partkey idx, count(*) filter (where l_linenumber > 5) n from lineitem group by l_partkey)
-select p_partkey idx, cast(floor((p_partkey * 1000003 - 900000000) / pow(2.0e0, least(coalesce(n, 0), 64))) as bigint) as value
-from part left join u on idx = p_partkey"""
+_HOT = "case when l_orderkey % 3 = 0 then 1 else l_partkey end"
+_SINCE = "epoch_us(l_shipdate) - epoch_us(timestamp '1995-06-17')"
+_WHOLE_DAYS = lambda x: f"cast(trunc(coalesce({x}, 0) / 86400000000) as bigint)"
+
+ORACLES["scatter_types"] = f"""with u as (select {_HOT} idx, max(l_shipdate) hi, min(l_shipdate) lo, sum({_SINCE}) s, max({_SINCE}) a, min({_SINCE}) b,
+  max(4000000014 * l_orderkey + 1) w, min(4000000014 * l_orderkey + 1) v, {_PRODUCT} f from lineitem group by 1),
+t as (select p_partkey idx, u.* exclude (idx), (coalesce(f, 1::uhugeint) * (2 * p_partkey + 1)::uhugeint) % 18446744073709551616::uhugeint p from part left join u on idx = p_partkey)
+select idx, greatest(hi, timestamp '1995-06-17') maximum_date, least(lo, timestamp '1995-06-17') minimum_date, greatest(hi, timestamp '1995-06-17') fmax_date,
+ least(lo, timestamp '1995-06-17') fmin_date, {_WHOLE_DAYS("s")} add_interval, {_WHOLE_DAYS("-s")} subtract_interval, {_WHOLE_DAYS("greatest(a, 0)")} maximum_interval,
+ {_WHOLE_DAYS("least(b, 0)")} minimum_interval, {_WHOLE_DAYS("greatest(a, 0)")} fmax_interval, {_WHOLE_DAYS("least(b, 0)")} fmin_interval,
+ {_SIGNED} multiply_whole, cast(greatest(w, 2 * idx + 1) as bigint) maximum_whole, cast(least(v, 2 * idx + 1) as bigint) fmin_whole from t"""
+
+# Quotients rounded down, one update after the other; remainders of doubles are exact.
+_DOWN = "case when y = 0 then 0 else (x - ((x % y) + y) % y) // y end"
+_DOWN_REAL = "round((x - x % y) / y) - case when x % y <> 0 and (x % y < 0) <> (y < 0) then 1 else 0 end"
+ORACLES["scatter_floor_divide"] = f"""with l as (select {_HOT} idx, l_orderkey, l_linenumber,
+  case when l_linenumber = 2 then -1 when l_linenumber > 4 then case when l_orderkey % 5 < 2 then -2 else 3 end else 1 end::bigint u,
+  case when l_linenumber = 2 then case when l_orderkey % 5 = 0 then 0.25 else -0.5 end when l_linenumber = 3 then 1.5 else -1.25 + (l_orderkey % 5) / 2 end::double r from lineitem),
+u as (select idx, list(u order by l_orderkey, l_linenumber, u) us from l group by 1), r as (select idx, list(r order by l_orderkey, l_linenumber, r) rs from l group by 1)
+select p_partkey idx, list_reduce(list_prepend((p_partkey * 1000003 - 900000000)::bigint, coalesce(us, [])), lambda x, y: {_DOWN})::bigint whole,
+ list_reduce(list_prepend((p_partkey * 1000.5 - 90000)::double, coalesce(rs, [])), lambda x, y: {_DOWN_REAL})::double as real
+from part left join u on u.idx = p_partkey left join r on r.idx = p_partkey"""
 
 
 # --- column functions --------------------------------------------------------

@@ -1,5 +1,6 @@
 """Operators on small hand-written tables, against brute force."""
 
+import datetime
 import datetime as dt
 import math
 import random
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradespark.functions import bits
-from gradespark.operators import attempts, bags, chat, configs, linalg, logs, matrix, metrics, ordering, reduce, scatter, suites, tasks
+from gradespark.functions import numeric as num
+from gradespark.operators import attempts, bags, chat, configs, folds, linalg, logs, matrix, metrics, ordering, reduce, scatter, suites, tasks
 
 
 def test_positions(spark):
@@ -351,6 +353,99 @@ def test_scatter_floor_divide(spark):
     assert [r.value for r in scatter.scatter(target, updates, "floor_divide").orderBy("idx").collect()] == want.tolist()
 
 
+@pytest.mark.parametrize("kind, chunks", [("bigint", 1), ("bigint", 9), ("double", 9)])
+def test_floor_divide_in_order_over_many_partitions(spark, kind, chunks):
+    """A hot id spans most partitions; the order of its updates decides."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    idx = np.where(rng.random(n) < 0.6, 4, rng.integers(0, 12, n))
+    whole = kind == "bigint"
+    u = rng.choice([1, -1, 1, 1, -2, 3], n) if whole else rng.choice([0.5, -1.0, 1.5, -0.75, 1.0, 2.0, -4.0], n)
+    base = rng.integers(-(2**62), 2**62, 12) if whole else rng.normal(size=12) * 1e6
+    if whole:
+        u[(idx == 4)] = rng.choice([1, -1], (idx == 4).sum())  # a long run that never comes to rest
+        u[np.flatnonzero(idx == 7)[3]], base[2], base[4] = 0, -(2**63), -(2**63)
+    want = base.copy()
+    with np.errstate(all="ignore"):
+        np.floor_divide.at(want, idx, u)
+    rows = [(int(i), k, u[k].item()) for k, i in enumerate(idx)] + [(None, 5, u[0].item()), (3, 17, None)]
+    updates = spark.createDataFrame(rows, f"idx int, at int, u {kind}").repartition(5)
+    target = spark.createDataFrame([(i, x.item()) for i, x in enumerate(base)] + [(99, None)], f"idx int, value {kind}")
+    of = "integer" if whole else "float"
+    done = folds.ordered_fold(target, updates, ("at",), lambda x, y: num.floor_divide(x, y, of), chunks).orderBy("idx").collect()
+    assert [r.value for r in done[:-1]] == want.tolist() and done[-1].value is None
+    again = scatter.scatter(target, updates, "floor_divide", ("at",)).orderBy("idx").collect()
+    assert again == done
+
+
+def test_fractions_are_divided_down(spark):
+    target = spark.createDataFrame([(1, 9.9), (2, 1.0), (3, -7.0), (4, 0.0)], "idx int, value double")
+    updates = spark.createDataFrame([(1, 0.5), (2, 0.0), (3, 2.0), (4, 0.0)], "idx int, u double")
+    one, two, three, four = (r.value for r in scatter.scatter(target, updates, "floor_divide").orderBy("idx").collect())
+    assert (one, two, three) == (19.0, float("inf"), -4.0) and math.isnan(four)
+
+
+def test_exact_products_and_divisors_of_hot_groups(spark):
+    rng = np.random.default_rng(10)
+    values = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 3000) | 1, np.full(2000, 3), np.full(1000, -1)])
+    keys = np.where(rng.random(len(values)) < 0.7, 1, rng.integers(0, 9, len(values)))
+    df = spark.createDataFrame([(int(k), int(v)) for k, v in zip(keys, values)] + [(1, None), (50, None), (60, 0)], "k int, v long").repartition(6)
+    got = {r.k: r.value for r in reduce.product_reduce(df, "v", "k").collect()}
+    with np.errstate(all="ignore"):
+        want = {int(k): int(np.multiply.reduce(values[keys == k])) for k in set(keys)}
+    assert got == want | {60: 0}
+    assert reduce.product_reduce(df.where("false"), "v", "k").collect() == []
+    multiples = df.withColumn("v", F.col("v") % 1000 * 12)
+    want = {}
+    for r in multiples.collect():
+        if r.v is not None:
+            want[r.k] = math.gcd(want.get(r.k, 0), r.v)
+    assert {r.k: r.value for r in reduce.gcd_reduce(multiples, "k", "v").collect()} == want
+    target = spark.createDataFrame([(1, 2**62 + 1)], "idx int, value long")
+    got = scatter.scatter(target, spark.createDataFrame([(1, 5), (1, 7)], "idx int, u long"), "multiply").first().value
+    assert got == ((2**62 + 1) * 35 + 2**63) % 2**64 - 2**63
+
+
+def test_integer_functions_at_the_ends(spark):
+    least = -(2**63)
+    ends = [least, least + 1, -1, 0, 1, 2, 6, -6, 2**62, 2**63 - 1, 10**12]
+    pairs = [(a, b) for a in ends for b in ends]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(num.gcd(a, b), num.lcm(a, b), num.multiply_int(a, b), num.floor_divide_int(a, b), num.power_int(a, F.pmod(b, F.lit(40)) + 1)).collect()
+    x, y = np.array(pairs).T
+    with np.errstate(all="ignore"):
+        want = zip(np.gcd(x, y).tolist(), np.lcm(x, y).tolist(), (x * y).tolist(), (x // y).tolist(), [(pow(p, q % 40 + 1, 2**64) + 2**63) % 2**64 - 2**63 for p, q in pairs])
+    assert [tuple(r) for r in got] == list(want)
+
+
+def test_extremes_and_sums_of_times_and_intervals(spark):
+    df = spark.sql("select * from values (1, date'2020-01-05', interval '3' day), (1, date'2020-01-02', interval '-1' day), (1, null, null), (2, null, null) as t(k, d, i)")
+    names = ("minimum", "maximum", "fmin", "fmax")
+    row = {r.k: r for r in df.groupBy("k").agg(*[reduce.reduction(n, c).alias(f"{n}_{c}") for n in names for c in "di"], reduce.reduction("add", "i", "interval").alias("sum")).collect()}
+    day = lambda n: datetime.timedelta(days=n)
+    assert [row[1][f"{n}_d"].day for n in names] == [2, 5, 2, 5] and [row[1][f"{n}_i"] for n in names] == [day(-1), day(3), day(-1), day(3)]
+    assert row[1]["sum"] == day(2) and row[2]["sum"] == day(0) and row[2]["minimum_d"] is None
+    target = spark.sql("select 1 as idx, timestamp'2020-01-01 00:00:00' as value")
+    done = scatter.scatter_all(target, spark.sql("select 1 as idx, interval '2' day as i union all select 1, interval '3' day"), {"add": ("add", "i"), "subtract": ("subtract", "i")}).first()
+    assert done.add == datetime.datetime(2020, 1, 6) and done.subtract == datetime.datetime(2019, 12, 27)
+
+
+def test_logaddexp_keeps_two_numbers_of_a_group(spark):
+    rng = np.random.default_rng(11)
+    values = np.concatenate([10.0 ** rng.uniform(-300, 300, 400), -(10.0 ** rng.uniform(-300, 300, 400)), np.arange(-3000, 3000, 7.5)])
+    df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "x double, k int").repartition(4)
+    found = reduce.logaddexp_reduce(df, "x", "k")
+    for r in found.collect():
+        own = values[np.arange(len(values)) % 3 == r.k]
+        assert np.isclose(r.value, np.logaddexp.reduce(own), rtol=1e-12) and np.isclose(r.value2, np.logaddexp2.reduce(own), rtol=1e-12)
+    small = reduce.logaddexp_reduce(df.where("abs(x) < 4000"), "x", "k")
+    for r in small.collect():
+        own = values[(np.arange(len(values)) % 3 == r.k) & (np.abs(values) < 4000)]
+        assert np.isclose(r.value, np.logaddexp.reduce(own), rtol=1e-12) and np.isclose(r.value2, np.logaddexp2.reduce(own), rtol=1e-12)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_run_suites(spark):
     cases = {
         "pass": ("def f(x): return x", ["assert f(1) == 1"], "humaneval", True, None),

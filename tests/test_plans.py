@@ -24,9 +24,13 @@ def test_no_cross_join_and_no_row_by_row_python(spark, name):
 
 
 def test_rank_filter_runs_before_the_shuffle(spark):
-    for name in ("pass_at_k", "scatter_floor_divide"):
-        plan = plan_of(entry.queries()[name](spark, FOLDER))
-        assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit .* Partial", plan), name
+    plan = plan_of(entry.queries()["pass_at_k"](spark, FOLDER))
+    assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit .* Partial", plan)
+
+
+@pytest.mark.parametrize("name", ["reduce_gcd", "fn_gcd_lcm", "reduce_all", "scatter_types", "scatter_floor_divide"])
+def test_folds_stay_in_the_jvm(spark, name):
+    assert not re.search("Python|Arrow|Pandas", plan_of(entry.queries()[name](spark, FOLDER)))
 
 
 def test_limit_is_a_top_k(spark):
