@@ -146,7 +146,7 @@ def learn(
     ``floor(sum / count)`` of the parts nearest to it, and leaves unused ones.
     """
     rows = _narrowed(vectors, id_col, vector_col, None)
-    first = rows.where(valid("vector", zero=True)).orderBy(F.asc_nulls_last("vec_id"), "vector").limit(entries).collect()
+    first = rows.where(valid("vector", zero=True)).orderBy(F.asc_nulls_last("vec_id"), "vector").head(entries)
     if not first:
         return None
     width = len(first[0].vector)
@@ -158,7 +158,7 @@ def learn(
         found = rows.select("vector").mapInArrow(_summing(books, width, scale), "part int, entry int, place int, total bigint, n bigint")
         totals = found.groupBy("part", "entry", "place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n"))
         books = books.copy()
-        for r in totals.collect():
+        for r in totals.agg(F.collect_list(F.struct("part", "entry", "place", "total", "n")).alias("all")).first()["all"]:
             books[r.part, r.entry, r.place] = int(r.total) // r.n
     return Codebooks(books, scale)
 
