@@ -33,6 +33,29 @@ def test_positions(spark):
     assert {r.o: r.running for r in ordering.with_running_sum(df, "v", "o").collect()} == sums
 
 
+def test_positions_over_many_buckets(spark, monkeypatch):
+    """Hot groups over few and many buckets, NULL keys, and no job before the result is asked for."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", None, "b", f"k{i % 40}"]), i, rng.random() * 10 - 5) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, v double").repartition(6)
+    tracker = spark.sparkContext.statusTracker()
+    for bounds in (4, 64, 4096):
+        monkeypatch.setattr(ordering, "_BOUNDS", bounds)
+        spark.sparkContext.setJobGroup(f"positions {bounds}", "")
+        index, pos = ordering.with_row_index(df, "o"), ordering.with_group_position(df, ["k"], "o")
+        running = ordering.with_running_sum(df, "o", "o")
+        assert not tracker.getJobIdsForGroup(f"positions {bounds}")
+        assert all(r.row_index == r.o for r in index.collect())
+        seen, want, total = Counter(), {}, 0
+        for k, o, _ in sorted(rows, key=lambda r: r[1]):
+            want[o], seen[k] = seen[k], seen[k] + 1
+        assert {r.o: r.pos for r in pos.collect()} == want
+        assert all(r.running == r.o * (r.o + 1) // 2 for r in running.collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert ordering.with_row_index(df.where("false"), "o").collect() == []
+
+
 def resolve(chain):
     made = [(a, c, ok) for a, c, ok, produced in sorted(chain) if produced]
     for _, code, ok in made:
