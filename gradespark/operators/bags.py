@@ -8,13 +8,14 @@ a hot bag to one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradespark.operators.ordering import with_running_sum
 
 BLOCK = 32
-_CHUNK = 1 << 16
+#: Bits of the width at which ranges and flat ids are cut.
+_STRETCH_BITS = 16
 
 
 def _checked(vector: Column, width: int) -> Column:
@@ -132,26 +133,6 @@ def bad_ids(elements: DataFrame, table: DataFrame) -> DataFrame:
     return elements.join(table.select("vec_id"), "vec_id", "left_anti")
 
 
-def _expand(ranges: DataFrame) -> DataFrame:
-    """(bag_id, pos, flat) for each bag's range [start, start + length).
-
-    A long range is cut into chunks first, and the chunks are spread before
-    they become rows, so one hot bag is no single task's work.
-    """
-    chunks = ranges.where(F.col("length") > 0).select(
-        "bag_id", "start", "length",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / _CHUNK))).alias("_c"),
-    )
-    # A fixed number of partitions: chunks are tiny rows, which adaptive
-    # execution would put into one task together.
-    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(n, "bag_id", "_c")
-    last = F.least(F.col("length"), (F.col("_c") + 1) * _CHUNK) - 1
-    return chunks.select(
-        "bag_id", "start", F.explode(F.sequence(F.col("_c") * _CHUNK, last)).alias("pos")
-    ).select("bag_id", "pos", (F.col("start") + F.col("pos")).alias("flat"))
-
-
 def ranges_from_lengths(lengths: DataFrame) -> DataFrame:
     """(bag_id, length) in bag order to (bag_id, start, length)."""
     return with_running_sum(lengths, "length", "bag_id", name="_end").select(
@@ -197,10 +178,29 @@ def ranges_from_offsets(offsets: DataFrame) -> DataFrame:
 
 
 def bag_elements(ranges: DataFrame, indices: DataFrame) -> DataFrame:
-    """Cut the flat ids (flat, vec_id) into (bag_id, pos, vec_id); a range beyond the ids is an error."""
-    cut = _expand(ranges).join(indices.withColumn("_here", F.lit(True)), "flat", "left")
-    there = F.when(F.col("_here"), F.col("vec_id")).otherwise(F.raise_error(F.concat(F.lit("no id at "), F.col("flat").cast("string"))))
-    return cut.select("bag_id", "pos", there.alias("vec_id"))
+    """Cut the flat ids (flat, vec_id) into (bag_id, pos, vec_id); a range with a place that has no id is an error.
+
+    An interval join by merging: ranges, which do not overlap, and ids are cut
+    at the same multiples of a fixed width and sorted together, and each id
+    belongs to the last range that began at or before it, if it has not ended.
+    A range is one row for each stretch of that width that it touches, not one
+    for each element, and a long one is spread over as many tasks.
+    """
+    stretch, width = lambda at: F.shiftright(at.cast("bigint"), _STRETCH_BITS), 1 << _STRETCH_BITS
+    end = F.col("start") + F.col("length")
+    pieces = ranges.where(F.col("length") > 0).withColumn("_stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(end - 1))))
+    first, last = F.greatest("start", F.col("_stretch") * width), F.least(end, (F.col("_stretch") + 1) * width)
+    none = F.lit(None)
+    opened = pieces.select("_stretch", first.alias("flat"), F.lit(0).alias("_kind"), none.cast(dict(indices.dtypes)["vec_id"]).alias("vec_id"),
+                           F.struct("bag_id", "start", first.alias("first"), last.alias("last")).alias("_range"))
+    ids = indices.select(stretch(F.col("flat")).alias("_stretch"), F.col("flat").cast("bigint").alias("flat"), F.lit(1).alias("_kind"), "vec_id", none.cast(opened.schema["_range"].dataType).alias("_range"))
+    within = Window.partitionBy("_stretch")
+    merged = opened.unionByName(ids).withColumn("_own", F.last("_range", ignorenulls=True).over(within.orderBy("flat", "_kind").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.where(F.col("flat") < F.col("_own.last"))
+    found = F.sum("_kind").over(Window.partitionBy("_stretch", F.col("_own.first")))
+    short = found < F.col("_own.last") - F.col("_own.first")
+    kind = F.when(short, F.raise_error(F.concat(F.lit("no id at some place from "), F.col("_own.first").cast("string")))).otherwise(F.col("_kind"))
+    return merged.withColumn("_kind", kind).where("_kind = 1").select("_own.bag_id", (F.col("flat") - F.col("_own.start")).alias("pos"), "vec_id")
 
 
 def check_ranges(ranges: DataFrame, indices: DataFrame, table: DataFrame) -> DataFrame:

@@ -39,3 +39,36 @@ def matmul(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """
     summed = pool(left.join(right, "k"), F.col("row"), width, key="i", weight=F.col("v"))
     return summed.select("i", F.posexplode("pooled").alias("j", "value"))
+
+
+#: Rows or columns of a tile.
+TILE = 256
+
+
+def matmul_tiled(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataFrame:
+    """([i,] [j,] value) of ``left([i,] k, v)`` times ``right(k, [j,] v)``; an operand without ``i`` or ``j`` is a vector.
+
+    Entries are dealt out to square tiles. A row of a left tile is sent once to
+    each tile of right columns, and a row of a right one once to each tile of
+    left rows, so what meets in one place is one row of either for one k: a k
+    that most entries have is spread over all pairs of tiles. Partial sums of a
+    pair come combined to the sum over k. A missing entry is 0; an i or j
+    without any entry has no row.
+    """
+    cut = lambda c: F.floor(F.col(c) / tile)
+    sides = []
+    for side, free in ((left, "i"), (right, "j")):
+        with_free = side if free in side.columns else side.withColumn(free, F.lit(0).cast("bigint"))
+        sides.append(with_free.groupBy(cut(free).alias(f"_{free}"), "k").agg(
+            F.collect_list(F.struct(F.col(free).alias("at"), F.col("v").cast("double").alias("v"))).alias(f"_row_{free}")))
+    a, b = sides
+
+    def to_tiles(rows: DataFrame, other: DataFrame, free: str) -> DataFrame:
+        ends = [other.agg(f(free).alias("t")).scalar() for f in (F.min, F.max)]
+        return rows.withColumns({"_from": ends[0], "_to": ends[1]}).where("_to is not null").withColumn(free, F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+
+    pairs = to_tiles(a, b, "_j").join(to_tiles(b, a, "_i"), ["_i", "_j", "k"])
+    products = F.flatten(F.transform("_row_i", lambda x: F.transform("_row_j", lambda y: F.struct(x["at"].alias("i"), y["at"].alias("j"), (x["v"] * y["v"]).alias("v")))))
+    sums = pairs.select(F.explode(products).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.v").alias("value"))
+    kept = [c for c, side in (("i", left), ("j", right)) if c in side.columns]
+    return sums.select(*kept, "value")

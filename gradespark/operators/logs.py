@@ -171,3 +171,18 @@ def method_stats(verdicts: DataFrame, order: Column | str = "line_no") -> DataFr
         .withColumn("pct", F.try_divide(F.col("passed") * 100.0, F.col("total_tests")))
         .withColumn("label", percent_label(F.col("passed"), F.col("total_tests")))
     )
+
+
+#: log2 of the registers of a sketch, and the relative standard error of its counts (1.04 / sqrt(registers)).
+_SKETCH_BITS = 14
+SKETCH_ERROR = 0.0082
+
+
+def test_sketches(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., tests): a sketch of the distinct tests of each group, of at most some kilobytes, to be kept and united later."""
+    return verdicts.groupBy(*keys).agg(F.hll_sketch_agg("test_name", F.lit(_SKETCH_BITS)).alias("tests"))
+
+
+def distinct_from_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., approx_tests): distinct tests of the united sketches, without the lines they were made of."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("tests")).alias("approx_tests"))

@@ -59,6 +59,17 @@ def log_lines(spark, folder):
     return logs.log_lines(views.documents(spark, folder).select("doc_id", "text"))
 
 
+@query
+def log_tests_sketched(spark, folder):
+    """Distinct tests of each method, exactly and from sketches by method and file that are united afterwards."""
+    lines = views.log(spark, folder).withColumn("file", F.col("line_no") % 4)
+    verdicts = logs.parse_verdicts(lines)
+    exact = verdicts.groupBy("method").agg(F.count_distinct("test_name").alias("tests"))
+    kept = logs.test_sketches(verdicts, "method", "file")
+    near = F.abs(F.col("approx_tests") - F.col("tests")) <= F.greatest(F.lit(1.0), 5 * logs.SKETCH_ERROR * F.col("tests"))
+    return exact.join(logs.distinct_from_sketches(kept, "method"), "method").select("method", "tests", near.alias("within_bound"))
+
+
 @query
 def log_methods(spark, folder):
     """Log lines named by file, through the method table and by the naming rule."""
@@ -577,6 +588,22 @@ def mat_mul(spark, folder):
     return linalg.matmul(left, right, DIM).select("i", "j", F.round("value", 4).alias("value"))
 
 
+@query
+def mat_mul_shapes(spark, folder):
+    """Products of a matrix or a vector with a matrix or a vector, by tiles."""
+    rows = views.embeddings(spark, folder)
+    entries = rows.select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("at", "v"))
+    vector = rows.select(F.col("vec_id").alias("k"), F.col("label").alias("v"))
+    left, right = {"matrix": entries.withColumnRenamed("at", "i"), "vector": vector}, {"matrix": entries.withColumnRenamed("at", "j"), "vector": vector}
+    parts = []
+    for x, a in left.items():
+        for y, b in right.items():
+            product = linalg.matmul_tiled(a, b, 24)
+            free = [(F.col(c) if c in product.columns else F.lit(None)).cast("int").alias(c) for c in ("i", "j")]
+            parts.append(product.select(F.lit(f"{x} {y}").alias("shape"), *free, F.round("value", 4).alias("value")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # --- reductions and scatter updates ------------------------------------------
 
 

@@ -284,6 +284,9 @@ select doc_id, cast(unnest(range(0, len(l))) as int) line_no, {strip('unnest(l)'
 
 ORACLES["log_methods"] = f"""with {V_LOG} select method, method by_rule, count(*) as lines from v_log group by method"""
 
+ORACLES["log_tests_sketched"] = f"""with {V_LOG}, {LAST}
+select method, count(distinct test_name) tests, true within_bound from v_verdicts group by method"""
+
 ORACLES["log_round_trip"] = f"""with {V_ATTEMPTS}
 select o_orderkey line_no, task_id test_name, cast(ok as int) passed,
   case when ok then null when error = 'SyntaxError' then 'SYNTAX ERROR' else error end error_type from v_attempts"""
@@ -420,6 +423,12 @@ select d j, {rnd('sum(x * label)', 4)} as value from v_emb join embeddings using
 ORACLES["mat_mul"] = f"""with {V_EMB}
 select a.d i, b.d j, {rnd('sum(a.x * b.x)', 4)} as value from v_emb a join v_emb b using (vec_id) group by a.d, b.d"""
 
+ORACLES["mat_mul_shapes"] = f"""with {V_EMB}, w as (select vec_id, any_value(label) y from embeddings group by vec_id)
+select 'matrix matrix' shape, a.d::int i, b.d::int j, {rnd('sum(a.x * b.x)', 4)} as value from v_emb a join v_emb b using (vec_id) group by a.d, b.d
+union all select 'matrix vector', a.d::int, null, {rnd('sum(a.x * y)', 4)} from v_emb a join w using (vec_id) group by a.d
+union all select 'vector matrix', null, a.d::int, {rnd('sum(a.x * y)', 4)} from v_emb a join w using (vec_id) group by a.d
+union all select 'vector vector', null, null, {rnd('sum(y::double * y)', 4)} from w"""
+
 # --- reductions and scatter updates ------------------------------------------
 
 # Exact product of 64-bit integers modulo 2^64.

@@ -305,10 +305,17 @@ def test_ranges(spark):
 
 
 def test_hot_range_is_cut(spark):
+    """A range over several stretches between short ones; no row for an element is made from a range."""
     n = (1 << 16) * 2 + 5
-    ranges = spark.createDataFrame([(7, 10, n)], "bag_id bigint, start bigint, length bigint")
-    row = bags._expand(ranges).agg(F.count("*"), F.min("flat"), F.max("flat"), F.countDistinct("pos")).first()
-    assert tuple(row) == (n, 10, n + 9, n)
+    ranges = spark.createDataFrame([(3, 0, 4), (4, 4, 0), (7, 10, n), (8, n + 10, 3), (9, n + 13, 1 << 16)], "bag_id bigint, start bigint, length bigint")
+    ids = spark.range(n + 13 + (1 << 16)).select(F.col("id").alias("flat"), (F.col("id") * 7).alias("vec_id"))
+    found = bags.bag_elements(ranges, ids)
+    rows = {r[0]: tuple(r)[1:] for r in found.groupBy("bag_id").agg(
+        F.count("*"), F.min("pos"), F.max("pos"), F.countDistinct("pos"), F.min("vec_id"), F.max("vec_id")).collect()}
+    assert rows == {b: (k, 0, k - 1, k, 7 * s, 7 * (s + k - 1)) for b, s, k in ((3, 0, 4), (7, 10, n), (8, n + 10, 3), (9, n + 13, 1 << 16))}
+    for missing in (10, 70_000, n + 9):
+        with pytest.raises(Exception, match="no id at"):
+            bags.bag_elements(ranges, ids.where(F.col("flat") != missing)).collect()
 
 
 def test_products(spark):
@@ -327,6 +334,33 @@ def test_products(spark):
     assert np.allclose([r.value for r in linalg.matvec(rows, v).orderBy("vec_id").collect()], b.sum(axis=1))
 
 
+@pytest.mark.parametrize("n, k, m, tile", [(7, 300, 5, 64), (None, 300, 5, 64), (7, 300, None, 64), (None, 300, None, 7), (1, 1, 1, 1), (4, 9, 8, 1000)])
+def test_product_of_tiles(spark, n, k, m, tile):
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(n or 1, k)), rng.normal(size=(k, m or 1))
+    rows = lambda x, names, drop: spark.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(x)], names).drop(*drop).repartition(5)
+    left = rows(a, "i long, k long, v double", [] if n else ["i"])
+    right = rows(b, "k long, j long, v double", [] if m else ["j"])
+    got = linalg.matmul_tiled(left, right, tile)
+    assert got.columns == ["i"] * bool(n) + ["j"] * bool(m) + ["value"]
+    want = a @ b
+    for r in got.collect():
+        assert np.isclose(r.value, want[r.i if n else 0, r.j if m else 0])
+    assert got.count() == want.size
+
+
+def test_sketches_of_tests_are_united_without_the_lines(spark):
+    rows = [(f"m{i % 3}", f"f{i % 5}", f"t{i % (900 + 300 * (i % 3))}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "method string, file string, test_name string")
+    kept = logs.test_sketches(df, "method", "file")
+    assert kept.count() == 15
+    for r in logs.distinct_from_sketches(kept, "method").collect():
+        exact = len({t for m, _, t in rows if m == r.method})
+        assert abs(r.approx_tests - exact) <= 5 * logs.SKETCH_ERROR * exact
+    everything = logs.distinct_from_sketches(kept).first().approx_tests
+    assert abs(everything - len({t for *_, t in rows})) <= 5 * logs.SKETCH_ERROR * len({t for *_, t in rows})
+
+
 def test_reductions(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1, 6.0), (1, 4.0), (2, nan), (2, 3.0)], "k int, x double")
