@@ -1,42 +1,45 @@
 """Document quality by co-training.
 
 Two logistic classifiers see a document from different sides: one its text,
-the other what is known about it (source, language, size). They start from the
-labelled sample; in each round each hands its confident guesses on unlabelled
-documents to the other. Both are calibrated on labelled documents that neither
-was fitted on, and a last small fit weighs the two views. Samples have stated
-bounds; every document is scored from its whole text.
+the other what is known about it (source, language, size). They start from a
+bounded sample of labelled documents. In each round tasks score all other
+documents by both views, and each view hands the other its surest guesses: the
+best of each class in each stratum of sources, so that rare sources get some
+too. Guesses are made anew in every round. Both views are calibrated on labelled documents that neither
+was fitted on, and a last small fit weighs them. Every document is scored from its whole text.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import map_texts, narrow
+from gradespark.llm.common import map_texts, narrow, settled
 
-#: Labelled and unlabelled documents to fit on.
-LABELLED, POOL = 4000, 4000
-ROUNDS = 4
-#: How sure a calibrated view must be to hand a guess on, and how many of each class it hands on a round.
-SURE, HANDED = 0.95, 200
+#: Labelled documents to fit on.
+LABELLED = 4000
+ROUNDS = 3
+#: How sure a calibrated view must be to hand a guess on, how many of each class it hands on a round for
+#: each stratum, and into how many strata sources are hashed.
+SURE, HANDED, STRATA = 0.95, 6, 64
 #: Share of the labelled sample that calibrates and fits nothing else.
 CALIBRATION = 0.3
 KEEP = 0.5
 
-_CLASSES, _SOURCES, _LANGS, _SIZES = 8, 64, 16, 32
-TEXT_WIDTH = _CLASSES**3 + 6
-META_WIDTH = _SOURCES + _LANGS + _SIZES
+#: Buckets of hashed letter trigrams; most sources and languages that the metadata view knows by name.
+_CLASSES, _LEXICAL, _SIZES, SOURCES, LANGS = 8, 256, 32, 255, 63
+TEXT_WIDTH = _CLASSES**3 + _LEXICAL + 6
 
 
 def text_features() -> Callable[[str], np.ndarray]:
-    """A function from a whole text to its text view: shapes of characters, and how much repeats."""
+    """A function from a whole text to its text view: shapes of characters, hashed letter trigrams, and how much repeats."""
     kind = np.full(65536, 7, np.uint16)
     for code in range(128):
         c = chr(code)
@@ -51,6 +54,9 @@ def text_features() -> Callable[[str], np.ndarray]:
         grams = shape[:-2] * 64 + shape[1:-1] * 8 + shape[2:] if len(shape) > 2 else np.zeros(0, np.uint16)
         x = np.zeros(TEXT_WIDTH)
         x[: _CLASSES**3] = np.sqrt(np.bincount(grams, minlength=_CLASSES**3) / max(1, len(grams)))
+        letters = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+        hashed = (letters[:-2] * np.uint32(2654435761) ^ letters[1:-1] * np.uint32(2246822519) ^ letters[2:] * np.uint32(3266489917)) >> np.uint32(11) if len(letters) > 2 else letters[:0]
+        x[_CLASSES**3 : -6] = np.sqrt(np.bincount(hashed % _LEXICAL, minlength=_LEXICAL) / max(1, len(hashed)))
         words, lines = text.split(), [s for s in text.splitlines() if s.strip()]
         half = words[len(words) // 2 :]
         x[-6:] = [
@@ -63,13 +69,26 @@ def text_features() -> Callable[[str], np.ndarray]:
     return features
 
 
-def meta_features(source: str | None, lang: str | None, size: int | None) -> np.ndarray:
-    """The metadata view: hashed source and language, and the order of magnitude of the size."""
-    x = np.zeros(META_WIDTH)
-    x[zlib.crc32((source or "").encode()) % _SOURCES] = 1
-    x[_SOURCES + zlib.crc32((lang or "").encode()) % _LANGS] = 1
-    x[_SOURCES + _LANGS + min(_SIZES - 1, int(size).bit_length() if size and size > 0 else 0)] = 1
-    return x
+def _names(values: list[str | None], most: int) -> dict[str | None, int]:
+    """Places of the most frequent values; 0 is left for those that were never seen."""
+    counts = Counter(values)
+    return {v: i for i, v in enumerate(sorted(counts, key=lambda v: (-counts[v], v is None, v or ""))[:most], 1)}
+
+
+@dataclass(frozen=True)
+class Metadata:
+    """The metadata view: sources and languages of the labelled documents by name, and the order of magnitude of the size."""
+
+    sources: dict[str | None, int]
+    langs: dict[str | None, int]
+
+    def features(self, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+        many = 1 + len(self.sources)
+        x = np.zeros(many + 1 + len(self.langs) + _SIZES)
+        x[self.sources.get(source, 0)] = 1
+        x[many + self.langs.get(lang, 0)] = 1
+        x[min(_SIZES - 1, int(size).bit_length() if size and size > 0 else 0) - _SIZES] = 1
+        return x
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -102,6 +121,7 @@ class Model:
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
     mix: np.ndarray
+    names: Metadata
 
     def views(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities by text, by metadata and by both."""
@@ -110,41 +130,39 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def co_train(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-    rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED,
-) -> Model:
-    """Fit both views on the labelled rows and on each other's confident guesses."""
+#: What a round hands on: for the metadata view and for the text view the guessed classes and both views' features.
+Handed = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, names: Metadata, choose: Callable[[Model], Handed], rounds: int = ROUNDS) -> Model:
+    """Fit both views on the labelled rows and on the guesses that ``choose`` finds by the model of the round before.
+
+    ``choose`` returns, for the text and for the metadata view, what the other one hands it: ``(classes, text features, metadata features)``.
+    """
     held = np.arange(len(y)) % round(1 / CALIBRATION) == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    fit_rows, check = ~held, held if held.any() else ~held
-    views, pools = (text, meta), (pool_text, pool_meta)
-    given: list[dict[int, float]] = [{}, {}]  # what each view got from the other
-
-    def fit(v: int) -> tuple[np.ndarray, tuple[float, float]]:
-        rows = list(given[v])
-        x = np.vstack([views[v][fit_rows], pools[v][rows]])
-        w = _logistic(x, np.concatenate([y[fit_rows], [given[v][r] for r in rows]]), 1.0)
-        return w, _calibrated(views[v][check] @ w, y[check])
-
-    for _ in range(rounds if len(pool_text) else 0):
-        found = []
-        for v in (0, 1):
-            w, (slope, offset) = fit(v)
-            p = _sigmoid(slope * (pools[v] @ w) + offset)
-            order = np.argsort(-p, kind="stable")
-            fresh = [r for r in order.tolist() if r not in given[1 - v]]
-            good = [(r, 1.0) for r in fresh[:handed] if p[r] >= sure]
-            found.append(good + [(r, 0.0) for r in fresh[::-1][:handed] if p[r] <= 1 - sure])
+    fit_rows, check, views = ~held, held if held.any() else ~held, (text, meta)
+
+    def fit(given: Handed | None) -> Model:
+        weights, scales = [], []
         for v in (0, 1):
-            given[1 - v].update(found[v])
-        if not any(found):
+            x, labels = views[v][fit_rows], y[fit_rows]
+            if given and len(given[v][0]):
+                x, labels = np.vstack([x, given[v][1 + v]]), np.concatenate([labels, given[v][0]])
+            weights.append(_logistic(x, labels, 1.0))
+            scales.append(_calibrated(views[v][check] @ weights[v], y[check]))
+        a, b = (views[v][check] @ weights[v] * scales[v][0] + scales[v][1] for v in (0, 1))
+        mix = _logistic(np.stack([a, b, np.ones_like(a)], axis=1), (y[check] * len(a) + 0.5) / (len(a) + 1), 0.05)
+        return Model(*weights, *scales, mix, names)
+
+    model = fit(None)
+    for _ in range(rounds):
+        given = choose(model)
+        if not any(len(g[0]) for g in given):
             break
-    (wt, st), (wm, sm) = fit(0), fit(1)
-    a, b = (views[v][check] @ w * s[0] + s[1] for v, (w, s) in enumerate(((wt, st), (wm, sm))))
-    mix = _logistic(np.stack([a, b, np.ones_like(a)], axis=1), (y[check] * len(a) + 0.5) / (len(a) + 1), 0.05)
-    return Model(wt, wm, st, sm, mix)
+        model = fit(given)
+    return model
 
 
 def _inputs(docs: DataFrame, id_col: str) -> DataFrame:
@@ -154,43 +172,101 @@ def _inputs(docs: DataFrame, id_col: str) -> DataFrame:
     })
 
 
-def _vectors(rows: DataFrame, bound: int) -> list:
-    """At most ``bound`` rows ``(doc_id, y, both views)``, made in tasks."""
+def _examples(rows: DataFrame, ids: DataFrame, *marks: str) -> list:
+    """``(doc_id, marks..., x, source, lang, n_chars)`` of the documents of ``ids (doc_id, marks...)``, the text view made in tasks.
+
+    ``ids`` are few. Of a document with several rows the least by these columns counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = text_features()
         for batch in batches:
-            d = batch.to_pydict()
-            both = [np.concatenate([features(t), meta_features(s, g, n)]).astype(np.float32).tobytes()
-                    for t, s, g, n in zip(d["text"], d["source"], d["lang"], d["n_chars"])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(both, pa.binary())], ["doc_id", "y", "x"])
+            x = pa.array([features(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            rest = [batch.column(c) for c in ("doc_id", "source", "lang", "n_chars")]
+            yield pa.RecordBatch.from_arrays([*rest, x], ["doc_id", "source", "lang", "n_chars", "x"])
+
+    some = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "text", "source", "lang", "n_chars")
+    made = map_texts(some, run, "doc_id bigint, source string, lang string, n_chars bigint, x binary")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "n_chars", "x")).alias("e"))
+    joined = one.join(F.broadcast(ids), "doc_id").select(F.struct("doc_id", *marks, "e.*").alias("r"))
+    found = joined.agg(F.collect_list("r").alias("all")).first()["all"]
+    return sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], *(r[m] for m in marks)))
+
 
-    got = map_texts(rows.select("doc_id", "y", "text", "source", "lang", "n_chars"), run, "doc_id bigint, y double, x binary").head(bound)
-    return sorted(got, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.x))
+def stratum_of(source: str | None) -> int:
+    """The stratum of a source; null is like an empty one."""
+    return zlib.crc32((source or "").encode()) % STRATA
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id") -> Model | float:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents, the first by a hash of their id.
+def _surest(free: DataFrame, model: Model, sure: float, handed: int) -> DataFrame:
+    """``(doc_id, view, y)``: what each view (0 text, 1 metadata) is surest of, over all of ``free``.
+
+    Tasks keep the best of each class and stratum that they have met, and the
+    best of these are taken; ties go by a hash of the id, then by the id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, best = text_features(), {}
+        for batch in batches:
+            ids, texts, sources, langs, sizes = (batch.column(c).to_pylist() for c in ("doc_id", "text", "source", "lang", "n_chars"))
+            scores = _scores(model, features, texts, sources, langs, sizes)
+            for doc, source, row in zip(ids, sources, scores.tolist()):
+                for view in (0, 1):
+                    for y, p in ((1, row[view]), (0, 1 - row[view])):
+                        if p >= sure:
+                            kept = best.setdefault((view, y, stratum_of(source)), {})
+                            kept[doc] = max(p, kept.get(doc, p))
+                            if len(kept) > 64 + 4 * handed:
+                                best[view, y, stratum_of(source)] = dict(sorted(kept.items(), key=_rank)[:handed])
+        out = [(*key, p, *_rank((doc, p))[1:]) for key, kept in best.items() for doc, p in sorted(kept.items(), key=_rank)[:handed]]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        columns = zip(*out) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["view", "y", "stratum", "p", "hash", "doc_id"])
+
+    met = map_texts(free, run, "view int, y int, stratum int, p double, hash bigint, doc_id bigint").groupBy("view", "y", "stratum", "hash", "doc_id").agg(F.max("p").alias("p"))
+    rank = F.row_number().over(Window.partitionBy("view", "y", "stratum").orderBy(F.desc("p"), "hash", "doc_id"))
+    return met.withColumn("_rank", rank).where(F.col("_rank") <= handed).select("doc_id", "view", "y")
+
+
+def _rank(found: tuple[int, float]) -> tuple[float, int, int]:
+    doc, p = found
+    return -p, zlib.crc32(str(doc).encode()), doc
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED, id_col: str = "doc_id"
+) -> Model | float:
+    """Fit on at most ``labelled`` labelled documents, the first by a hash of their id, and co-train over all others.
 
     A document with contradicting labels, a null label, a null id or no text
-    teaches nothing. If fewer than two classes are left there is no model, and the share
+    teaches nothing. Those beyond the bound count as unlabelled. A round hands on
+    at most ``2 * handed * STRATA`` documents for each view. If fewer than two classes are left there is no model, and the share
     of good labels (one of each added) is returned instead.
     """
     rows = _inputs(docs, id_col).where("doc_id is not null and text is not null and text <> ''")
     marks = narrow(labels, {"doc_id": F.col("doc_id").cast("bigint"), "y": F.col("quality").cast("double")}).where("doc_id is not null and y in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # Both lists of ids are cut to their bounds before they are broadcast.
-    few = marks.where("y = most").select("doc_id", "y").orderBy(*order).limit(labelled)
-    free = rows.select("doc_id").join(marks.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
-    got = _vectors(rows.join(F.broadcast(few), "doc_id"), labelled)
-    y = np.array([r.y for r in got])
+    # The list of ids is cut to its bound before it is broadcast, and written so that it stays the same.
+    few = settled(marks.where("y = most").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    got = _examples(rows, few, "y")
+    y = np.array([r["y"] for r in got])
     if len(set(y)) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
-    rest = _vectors(rows.join(F.broadcast(free.withColumn("y", F.lit(None).cast("double"))), "doc_id"), pool)
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(float)
-    u = np.stack([np.frombuffer(r.x, np.float32) for r in rest]).astype(float) if rest else np.zeros((0, x.shape[1]))
-    return co_train(x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], y, u[:, :TEXT_WIDTH], u[:, TEXT_WIDTH:])
+    names = Metadata(_names([r["source"] for r in got], SOURCES), _names([r["lang"] for r in got], LANGS))
+
+    def matrices(some: list) -> tuple[np.ndarray, np.ndarray]:
+        text = np.array([np.frombuffer(r["x"], np.float32) for r in some], float).reshape(len(some), TEXT_WIDTH)
+        meta = [names.features(r["source"], r["lang"], r["n_chars"]) for r in some]
+        return text, np.array(meta).reshape(len(some), -1)
+
+    free = rows.join(F.broadcast(few.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text", "source", "lang", "n_chars")
+
+    def choose(model: Model) -> Handed:
+        found = _examples(free, settled(_surest(free, model, sure, handed)), "view", "y")
+        by_view = [[r for r in found if r["view"] == v] for v in (1, 0)]  # each view learns from the other
+        return [(np.array([r["y"] for r in some], float), *matrices(some)) for some in by_view]
+
+    return co_train(*matrices(got), y, names, choose, rounds)
 
 
 def _scores(model: Model | float, features: Callable, texts: list, sources: list, langs: list, sizes: list) -> np.ndarray:
@@ -204,7 +280,7 @@ def _scores(model: Model | float, features: Callable, texts: list, sources: list
             out[rows] = model
         else:
             x = np.stack([features(texts[k]) for k in rows])
-            out[rows] = np.stack(model.views(x, np.stack([meta_features(sources[k], langs[k], sizes[k]) for k in rows])), axis=1)
+            out[rows] = np.stack(model.views(x, np.stack([model.names.features(sources[k], langs[k], sizes[k]) for k in rows])), axis=1)
     return out
 
 

@@ -119,7 +119,80 @@ def test_views_hand_guesses_to_each_other():
     two = np.hstack([(y[:, None] * 2 - 1) * 0.5 + rng.normal(0, 1, (3000, 30)), np.ones((3000, 1))])
     lab, pool, test = slice(0, 24), slice(24, 1500), slice(1500, 3000)
     right = []
+
+    def choose(model):
+        text, meta, _ = model.views(one[pool], two[pool])
+        found = []
+        for p in (meta, text):
+            order = np.argsort(-p, kind="stable")
+            rows = [(r, 1.0) for r in order[:200] if p[r] >= 0.9] + [(r, 0.0) for r in order[::-1][:200] if p[r] <= 0.1]
+            at = [r for r, _ in rows]
+            found.append((np.array([g for _, g in rows]), one[pool][at], two[pool][at]))
+        return found
+
     for rounds in (0, 4):
-        model = quality.co_train(one[lab], two[lab], y[lab], one[pool], two[pool], rounds=rounds, sure=0.9)
+        model = quality.co_train(one[lab], two[lab], y[lab], quality.Metadata({}, {}), choose, rounds=rounds)
         right.append(((two[test] @ model.meta_weights > 0) == (y[test] > 0.5)).mean())
     assert right[1] > right[0]
+
+
+def brute_learn(docs, labels, labelled, rounds, sure, handed):
+    """Co-training of plain rows ``(doc_id, text, source, lang, n_chars)``, all of them looked at in every round."""
+    marks = {}
+    for doc, y in labels:
+        marks.setdefault(doc, set()).add(y)
+    order = lambda doc: (zlib.crc32(str(doc).encode()), doc)
+    known = {d: float(*y) for d, y in marks.items() if len(y) == 1}
+    assert len(known) <= labelled
+    usable, features = {d[0]: d for d in docs if d[0] is not None and d[1]}, quality.text_features()
+    got = sorted((d for d in usable if d in known), key=order)
+    names = quality.Metadata(quality._names([usable[d][2] for d in got], quality.SOURCES), quality._names([usable[d][3] for d in got], quality.LANGS))
+    text = lambda ids: np.array([features(usable[d][1]).astype(np.float32) for d in ids], float).reshape(len(ids), -1)
+    meta = lambda ids: np.array([names.features(*usable[d][2:]) for d in ids]).reshape(len(ids), -1)
+    free, rounds_seen = [d for d in usable if d not in known], []
+
+    def choose(model):
+        exact = np.array([features(usable[d][1]) for d in free])
+        a, b, _ = model.views(exact, meta(free))
+        found = []
+        for p in (b, a):
+            best = {}
+            for d, q in zip(free, p):
+                for y, s in ((1, q), (0, 1 - q)):
+                    if s >= sure:
+                        best.setdefault((y, quality.stratum_of(usable[d][2])), []).append((-s, *order(d)))
+            pairs = sorted(((r[-1], y) for (y, _), rows in best.items() for r in sorted(rows)[:handed]), key=lambda r: (*order(r[0]), r[1]))
+            ids = [d for d, _ in pairs]
+            found.append((np.array([y for _, y in pairs], float), text(ids), meta(ids)))
+        rounds_seen.append({d for d in free for g in found for x in g[1] if np.array_equal(x, text([d])[0])})
+        return found
+
+    model = quality.co_train(text(got), meta(got), np.array([known[d] for d in got]), names, choose, rounds)
+    return model, rounds_seen
+
+
+def test_co_training_equals_brute_force_and_reaches_rare_sources(spark, marked):
+    docs, labels, _ = marked
+    rows = [(r.doc_id, r.text, r.source, r.lang, r.n_chars) for r in docs.select("doc_id", "text", "source", "lang", "n_chars").collect()]
+    counts = {r[0]: 0 for r in rows}
+    for r in rows:
+        counts[r[0]] += 1
+    rows = [r for r in rows if counts[r[0]] == 1 and r[0] is not None]
+    marks = [(r.doc_id, r.quality) for r in labels.collect() if r.quality in (0, 1)]
+    held = {d for d, _ in marks}
+    rare = [(90_000 + i, t, "rare", g, n) for i, (_, t, _, g, n) in enumerate([r for r in rows if r[1] and r[0] not in held][:12])]
+    rows += rare
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    given = {"rounds": 2, "sure": 0.8, "handed": 4}
+    model = quality.learn(df, labels, **given)
+    want, seen = brute_learn(rows, marks, 4000, **given)
+    assert np.allclose(model.text_weights, want.text_weights) and np.allclose(model.meta_weights, want.meta_weights)
+    assert np.allclose(model.mix, want.mix) and model.names == want.names
+    assert any(d >= 90_000 for some in seen for d in some)
+
+
+def test_metadata_by_name():
+    names = quality.Metadata(quality._names(["a", "b", "a", None], 2), quality._names(["de", "es"], 63))
+    assert names.sources == {"a": 1, "b": 2}
+    vectors = [names.features(s, g, 9).tolist() for s, g in (("a", "de"), ("b", "de"), ("a", "es"), ("never", None), (None, "fr"))]
+    assert len({tuple(v) for v in vectors}) == 4 and vectors[3] == vectors[4]
