@@ -82,9 +82,12 @@ class Metadata:
     sources: dict[str | None, int]
     langs: dict[str | None, int]
 
+    @property
+    def width(self) -> int:
+        return 2 + len(self.sources) + len(self.langs) + _SIZES
+
     def features(self, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
-        many = 1 + len(self.sources)
-        x = np.zeros(many + 1 + len(self.langs) + _SIZES)
+        many, x = 1 + len(self.sources), np.zeros(self.width)
         x[self.sources.get(source, 0)] = 1
         x[many + self.langs.get(lang, 0)] = 1
         x[min(_SIZES - 1, int(size).bit_length() if size and size > 0 else 0) - _SIZES] = 1
@@ -257,7 +260,7 @@ def learn(
     def matrices(some: list) -> tuple[np.ndarray, np.ndarray]:
         text = np.array([np.frombuffer(r["x"], np.float32) for r in some], float).reshape(len(some), TEXT_WIDTH)
         meta = [names.features(r["source"], r["lang"], r["n_chars"]) for r in some]
-        return text, np.array(meta).reshape(len(some), -1)
+        return text, np.array(meta, float).reshape(len(some), names.width)
 
     free = rows.join(F.broadcast(few.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text", "source", "lang", "n_chars")
 

@@ -191,6 +191,14 @@ def test_co_training_equals_brute_force_and_reaches_rare_sources(spark, marked):
     assert any(d >= 90_000 for some in seen for d in some)
 
 
+def test_views_that_are_sure_of_nothing(spark, marked):
+    docs, labels, _ = marked
+    none = quality.learn(docs, labels, sure=1.1)
+    assert np.allclose(none.text_weights, quality.learn(docs, labels, rounds=0).text_weights)
+    one = quality.learn(docs, labels, rounds=1, sure=0.999)
+    assert one.meta_weights.shape == (one.names.width,)
+
+
 def test_metadata_by_name():
     names = quality.Metadata(quality._names(["a", "b", "a", None], 2), quality._names(["de", "es"], 63))
     assert names.sources == {"a": 1, "b": 2}
