@@ -938,12 +938,14 @@ def fn_str_split_slice(spark, folder):
 
 @query
 def fn_str_class(spark, folder):
-    rows = views.documents(spark, folder).select("doc_id", metrics.tokens(F.col("text")).alias("words"))
+    # Words, and the runs of blanks between them, which are what isspace looks at.
+    runs = F.regexp_extract_all("text", F.lit("([ \\t\\r\\n]+|[^ \\t\\r\\n]+)"), F.lit(1))
+    rows = views.documents(spark, folder).select("doc_id", metrics.tokens(F.col("text")).alias("words"), runs.alias("runs"))
     flags = {
         "isalpha": strs.isalpha, "isdecimal": strs.isdecimal, "isdigit": strs.isdigit, "isnumeric": strs.isnumeric,
         "isalnum": strs.isalnum, "isspace": strs.isspace, "islower": strs.islower, "isupper": strs.isupper, "istitle": strs.istitle,
     }
-    counts = [F.size(F.filter("words", flag)).cast("bigint").alias(name) for name, flag in flags.items()]
+    counts = [F.size(F.filter("runs" if name == "isspace" else "words", flag)).cast("bigint").alias(name) for name, flag in flags.items()]
     return rows.select("doc_id", F.size("words").cast("bigint").alias("words"), *counts)
 
 

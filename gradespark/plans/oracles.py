@@ -591,14 +591,15 @@ select doc_id, case when p > 0 then left(t, p - 1) else t end head, case when p
  array_to_string(list_reverse(list_transform(range(1, n + 1), lambda i: array_extract(t, i))), '') slice_back_,
  replace(t, 'e', '<e>') replace_, regexp_replace(regexp_replace(t, 'e', chr(1)), 'e', '<e>').replace(chr(1), '<e>') replace_two_ from d"""
 
-ORACLES["fn_str_class"] = f"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '')) w from documents)
+ORACLES["fn_str_class"] = f"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '')) w from documents),
+ b as (select doc_id, len(regexp_extract_all(text, '[ \\t\\r\\n]+')) + len(list_filter(regexp_extract_all(text, '[^ \\t\\r\\n]+'), lambda t: regexp_matches(t, '^{WS}+$'))) as blanks from documents)
 select doc_id, count(w) words, count(*) filter (where regexp_matches(w, '^\\p{{L}}+$')) isalpha,
  count(*) filter (where regexp_matches(w, '^\\p{{Nd}}+$')) isdecimal, count(*) filter (where regexp_matches(w, '^[\\p{{Nd}}²³¹]+$')) isdigit,
  count(*) filter (where regexp_matches(w, '^\\p{{N}}+$')) isnumeric, count(*) filter (where regexp_matches(w, '^[\\p{{L}}\\p{{N}}]+$')) isalnum,
- cast(0 as bigint) isspace, count(*) filter (where lower(w) = w and upper(w) <> w) islower, count(*) filter (where upper(w) = w and lower(w) <> w) isupper,
+ any_value(blanks) isspace, count(*) filter (where lower(w) = w and upper(w) <> w) islower, count(*) filter (where upper(w) = w and lower(w) <> w) isupper,
  count(*) filter (where regexp_matches(w, '\\p{{Lu}}') and not regexp_matches(w, '[\\p{{Lu}}\\p{{Ll}}]\\p{{Lu}}')
    and not regexp_matches(w, '(?:^|[^\\p{{Lu}}\\p{{Ll}}])\\p{{Ll}}')) istitle
-from documents left join w using (doc_id) group by doc_id"""
+from b left join w using (doc_id) group by doc_id"""
 
 # --- syntax and suites: known by the way the completions are made ------------
 
