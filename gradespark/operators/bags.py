@@ -3,7 +3,8 @@
 The vectors of a bag are summed by plain ``sum`` aggregates, one per
 dimension, in blocks of 32 dimensions, which the JVM still compiles well. A bag element therefore stays one row
 per block on its way to the aggregation and map-side combine shrinks
-a hot bag to one partial row per task.
+a hot bag to one partial row per task. Elements that name the same vector
+in a bag are summed up before they meet it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ def pool(
     key: str = "bag_id",
     weight: Column | None = None,
     offset: Column | None = None,
+    count: Column | None = None,
+    unweighted: Column | None = None,
     mean: bool = False,
     bad: str = "raise",
 ) -> DataFrame:
@@ -43,21 +46,23 @@ def pool(
     ``mean`` divides by the number of elements, not by the sum of weights.
     A row without a vector or weight is an error; with ``bad="report"`` its
     group is NULL instead, and a column ``bad`` counts such rows.
+    A row may stand for ``count`` elements, ``unweighted`` of which have no weight.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     o = F.lit(0.0) if offset is None else offset.cast("double")
-    missing = vector.isNull() | w.isNull()
+    n = F.lit(1) if count is None else count
+    missing = F.when(vector.isNull(), n).otherwise(w.isNull().cast("bigint") if unweighted is None else unweighted)
     given = _checked(vector, block_size)
     if bad == "raise":
-        given = F.when(missing, F.raise_error(F.concat(F.lit("no vector or weight for an element of group "), F.col(key).cast("string")))).otherwise(given)
+        given = F.when(missing > 0, F.raise_error(F.concat(F.lit("no vector or weight for an element of group "), F.col(key).cast("string")))).otherwise(given)
     blocks = -(-block_size // BLOCK)
-    elements = rows.select(F.col(key), w.alias("_w"), o.alias("_o"), missing.cast("int").alias("_bad"), given.alias("_v"))
+    elements = rows.select(F.col(key), w.alias("_w"), o.alias("_o"), n.cast("bigint").alias("_n"), missing.alias("_bad"), given.alias("_v"))
     elements = elements.select(
-        key, "_w", "_o", "_bad",
+        key, "_w", "_o", "_n", "_bad",
         F.posexplode(F.array(*[F.slice("_v", b * BLOCK + 1, BLOCK) for b in range(blocks)])).alias("_block", "_v"),
     )
     sums = [F.sum(F.col("_w") * F.get("_v", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(min(block_size, BLOCK))]
-    summed = elements.groupBy(key, "_block").agg(F.count("*").alias("_n"), F.sum("_o").alias("_o"), F.sum("_bad").alias("bad"), *sums)
+    summed = elements.groupBy(key, "_block").agg(F.sum("_n").alias("_n"), F.sum("_o").alias("_o"), F.sum("_bad").alias("bad"), *sums)
     # Each block has exactly its own width, whatever is NULL in it.
     width = F.least(F.lit(BLOCK), F.lit(block_size) - F.col("_block") * BLOCK)
     values = F.slice(F.array(*[F.col(f"_s{i}") for i in range(len(sums))]), F.lit(1), width)
@@ -76,6 +81,17 @@ def pool(
     return summed.select(key, F.when(F.col("bad") == 0, total).alias("pooled"), "bad")
 
 
+def combined(elements: DataFrame, weight: Column | None = None) -> DataFrame:
+    """One row (bag_id, vec_id, weight, count, unweighted) for each vector of a bag.
+
+    Weights of repeated elements are summed here, so that each vector travels
+    once per bag. ``count`` says how many elements a row stands for, and
+    ``unweighted`` how many of them have no weight.
+    """
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    return elements.groupBy("bag_id", "vec_id").agg(F.sum(w).alias("weight"), F.count("*").alias("count"), F.count_if(w.isNull()).alias("unweighted"))
+
+
 def embedding_bag(
     elements: DataFrame,
     table: DataFrame,
@@ -93,8 +109,10 @@ def embedding_bag(
     The join is left to Spark, which broadcasts the vector table only where
     its measured size allows it.
     """
-    joined = elements.join(table.select("vec_id", "embedding"), "vec_id", "left")
-    pooled = pool(joined, F.col("embedding"), block_size, weight=weight, mean=mean, bad=bad)
+    joined = combined(elements, weight).join(table.select("vec_id", "embedding"), "vec_id", "left")
+    pooled = pool(
+        joined, F.col("embedding"), block_size, weight=F.col("weight"), count=F.col("count"), unweighted=F.col("unweighted"), mean=mean, bad=bad
+    )
     if bags is None:
         return pooled
     zeros = F.array_repeat(F.lit(0.0), block_size)
@@ -120,11 +138,11 @@ def quantized_bag(
     The scale joins the weight, and the bias is one number per element, added
     to every dimension: sum(w*(scale*q + bias)) = sum(w*scale*q) + sum(w*bias).
     """
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    joined = elements.join(table, "vec_id", "left").withColumn("_weight", w)
+    joined = combined(elements, weight).join(table.select("vec_id", "scale", "bias", "q"), "vec_id", "left")
     return pool(
-        joined, F.col("q"), block_size, mean=mean,
-        weight=F.col("_weight") * F.col("scale"), offset=F.col("_weight") * F.col("bias"),
+        joined, F.col("q"), block_size, mean=mean, count=F.col("count"),
+        unweighted=F.when(F.col("scale").isNull() | F.col("bias").isNull(), F.col("count")).otherwise(F.col("unweighted")),
+        weight=F.col("weight") * F.col("scale"), offset=F.col("weight") * F.col("bias"),
     )
 
 

@@ -187,8 +187,11 @@ def clean_completions(spark, folder):
 
 @query
 def extract_functions(spark, folder):
+    """Prompt and completion joined; a third of the prompts is empty, a third ends in an escaped line feed."""
+    doc = F.col("doc_id")
+    said = F.concat(F.lit("# document "), doc.cast("string"), F.when(doc % 3 == 1, "\\n").otherwise("\n"))
     rows = views.completions(spark, folder).select(
-        "doc_id", F.lit("").alias("prompt"), F.col("code").alias("completion"),
+        "doc_id", F.when(doc % 3 == 0, "").otherwise(said).alias("prompt"), F.col("code").alias("completion"),
         F.when(F.col("doc_id") % 10 == 9, "generation failed").alias("error"),
     )
     return tasks.testable_code(rows).select("doc_id", "code", "error")
@@ -295,6 +298,13 @@ def _runs(spark, folder):
     return counted.withColumn("pass_rate", share)
 
 
+def _config():
+    return F.struct(
+        F.lit(3).alias("iterations"), F.create_map(F.lit("top_k"), F.lit("40")).alias("generation_config"),
+        F.lit(None).cast("bigint").alias("limit"),
+    )
+
+
 @query
 def run_summary(spark, folder):
     return metrics.report(metrics.latest_runs(_runs(spark, folder).drop("month")))
@@ -303,11 +313,7 @@ def run_summary(spark, folder):
 @query
 def run_documents(spark, folder):
     """Result documents of each month as JSON text, read back into runs."""
-    config = F.struct(
-        F.lit(3).alias("iterations"), F.create_map(F.lit("top_k"), F.lit("40")).alias("generation_config"),
-        F.lit(None).cast("bigint").alias("limit"),
-    )
-    documents = results.to_documents(_runs(spark, folder).withColumn("config", config), {"model": "m"}, ["month"])
+    documents = results.to_documents(_runs(spark, folder).withColumn("config", _config()), {"model": "m"}, ["month"])
     written = documents.select("month", F.to_json(F.struct("metadata", "benchmark_results")).alias("document"))
     runs = results.runs_of(results.parse_results(written))
     return runs.select(
@@ -420,7 +426,7 @@ def suite_files(spark, folder):
 
 @query
 def run_files(spark, folder):
-    """A detailed run and the results of all benchmarks as files, read back."""
+    """A detailed run, and a result document of each benchmark and month, as files that are read back."""
     path = _new_folder(spark)
     verdicts = views.attempts(spark, folder).select("task_id", "method", "ok")
     summary = verdicts.agg(F.count("*").alias("total_examples"), F.count_if("ok").alias("passed_examples"))
@@ -429,7 +435,11 @@ def run_files(spark, folder):
     detail = spark.read.schema("task_id string, method string, ok boolean").json(f"{path}/detailed_results")
     whole = spark.read.schema("summary struct<total_examples:bigint,passed_examples:bigint>, benchmark_config struct<iterations:int>").json(f"{path}/summary")
     counts = detail.groupBy("method").agg(F.count("*").alias("total_examples"), F.count_if("ok").alias("passed_examples"))
-    return counts.unionByName(whole.select(F.lit("all").alias("method"), "summary.total_examples", "summary.passed_examples"))
+    results.save_results(_runs(spark, folder).withColumn("config", _config()), f"{path}/results", {"model": "m"})
+    runs = results.runs_of(results.load_results(spark, f"{path}/results"))
+    name = F.concat_ws(" ", "benchmark", F.date_format("timestamp", "yyyy-MM"), F.col("config.generation_config")["top_k"], F.round("pass_rate", 3).cast("string"))
+    saved = runs.select(name.alias("method"), "total_examples", "passed_examples")
+    return counts.unionByName(whole.select(F.lit("all").alias("method"), "summary.total_examples", "summary.passed_examples")).unionByName(saved)
 
 
 # --- embedding bags ----------------------------------------------------------

@@ -183,7 +183,8 @@ ORACLES["clean_completions"] = f"""with {V_COMPLETIONS},
 select doc_id, replace(replace({strip('t')}, '\\n', chr(10)), '\\t', chr(9)) code from e"""
 
 ORACLES["extract_functions"] = f"""with {V_COMPLETIONS},
- a as (select doc_id, case when doc_id % 10 = 9 then 'generation failed' end err, replace(code, '\\n', chr(10)) t from v_completions),
+ a as (select doc_id, case when doc_id % 10 = 9 then 'generation failed' end err,
+   replace(concat(case doc_id % 3 when 0 then '' when 1 then concat('# document ', doc_id, '\\n') else concat('# document ', doc_id, chr(10)) end, code), '\\n', chr(10)) t from v_completions),
  b as (select doc_id, err, regexp_replace(t, '(?s:if{WS}+__name__{WS}*=={WS}*[''"]__main__[''"]{WS}*:.*)', '') t from a),
  c as (select doc_id, err, regexp_replace(t, 'import{WS}+doctest{WS}*\\n{WS}*doctest\\.testmod\\(\\)', '', 'g') t from b),
  d as (select doc_id, err, {strip(fences('t'))} t from c)
@@ -631,7 +632,8 @@ select 'humaneval' suite, task_id, prompt, [test] tests from v_tasks where cast(
 union all select 'mbpp', task_id, text, test_list from v_mbpp where id % 4 = 0
 union all select 'custom', case when p_partkey % 4 = 0 then 'test' else 'train' end, cast(count(*) as varchar), [] from part group by 1, 2"""
 
-ORACLES["run_files"] = """with r as (select *, o_orderstatus = 'F' ok from orders)
+ORACLES["run_files"] = """with r as (select *, o_orderstatus = 'F' ok from orders), {1}
 select method, total_examples, passed_examples from (
  select {0} as method, count(*) total_examples, count(*) filter (where ok) passed_examples from r group by 1
- union all select 'all', count(*), count(*) filter (where ok) from r)""".format(method_of("o_orderkey"))
+ union all select 'all', count(*), count(*) filter (where ok) from r)
+ union all select concat_ws(' ', benchmark, strftime("month", '%Y-%m'), '40', cast(round(pass_rate, 3) as varchar)), total_examples, passed_examples from v_runs""".format(method_of("o_orderkey"), V_RUNS)

@@ -574,3 +574,17 @@ def test_bags_report_or_refuse_what_is_missing(spark):
         bags.ranges_from_offsets(gap).collect()
     with pytest.raises(Exception, match="no id at"):
         bags.bag_elements(bags.ranges_from_offsets(gap.where("bag_no < 3")), spark.createDataFrame([(0, 5)], "flat long, vec_id long")).collect()
+
+
+def test_repeated_elements_of_a_bag(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [10.0, 20.0])], "vec_id long, embedding array<double>")
+    rows = [(1, 0, 2.0)] * 50 + [(1, 1, -1.0), (2, 0, 1.0), (2, 0, None), (3, 7, 1.0), (3, 7, None), (3, 0, None), (4, None, 1.0)]
+    elements = spark.createDataFrame(rows, "bag_id long, vec_id long, weight double")
+    assert bags.combined(elements, F.col("weight")).where("bag_id < 3").count() == 3
+    got = sorted(map(tuple, bags.embedding_bag(elements, table, 2, weight=F.col("weight"), mean=True, bad="report").collect()))
+    assert got == [(1, [90 / 51, 180 / 51], 0), (2, None, 1), (3, None, 3), (4, None, 1)]
+    codes = spark.createDataFrame([(0, 2.0, 1.0, [1, 2]), (1, None, 0.0, [1, 1])], "vec_id long, scale double, bias double, q array<int>")
+    assert bags.quantized_bag(elements.where("bag_id = 1 and vec_id = 0"), codes, 2, weight=F.col("weight")).first().pooled == [300.0, 500.0]
+    for bad in ("bag_id = 1", "bag_id = 2"):
+        with pytest.raises(Exception, match="no vector or weight"):
+            bags.quantized_bag(elements.where(bad), codes, 2, weight=F.col("weight")).collect()

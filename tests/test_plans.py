@@ -58,6 +58,13 @@ def test_one_shuffle_for_chains_and_conversations(spark):
     assert sum("text:" in line for line in plan.splitlines() if "ReadSchema" in line) == 1
 
 
+@pytest.mark.parametrize("name", ["bag_sum", "bag_weighted", "bag_mean", "bag_quantized", "bag_half", "bag_lengths"])
+def test_elements_are_combined_before_they_meet_their_vectors(spark, name):
+    tree = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    vectors = next(i for i, line in enumerate(tree) if "Join LeftOuter" in line and "vec_id" in line)
+    assert any(re.search(r"Aggregate \[bag_id#\d+L?, vec_id#\d+L?\]", line) for line in tree[vectors + 1 :])
+
+
 def test_package_stays_within_its_rules():
     text = "\n".join(p.read_text(encoding="utf8") for p in PACKAGE.rglob("*.py"))
     for word in ("localCheckpoint", "crossJoin", ".toPandas(", ".collect()", ".sample("):
