@@ -22,7 +22,7 @@ from gradespark.llm.common import map_texts, narrow, settled
 
 UNKNOWN = "und"
 FEATURES = 4096
-#: Training documents in all (about so many, never twice as many; shared out evenly over the languages), and at least for each language.
+#: Training documents in all (about so many, never more than twice as many; shared out evenly over the languages), and at least for each language where these fit.
 SAMPLE, LEAST = 1600, 20
 #: Share of the training documents that set the slopes of the scores and train no machine.
 CALIBRATION = 0.25
@@ -173,22 +173,26 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on about ``sample`` documents, never more than twice as many, chosen by a hash of their id.
 
-    Each language gets the same share of the sample, ``LEAST`` documents at least.
+    Each language gets the same share of the sample: ``LEAST`` documents or more
+    while that many fit into twice the sample, fewer with more languages. Where
+    even one of each would not fit, languages with the fewest documents are not learned.
 
     Documents that are held out, have no id, no language or no letter are not learned from.
     """
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "text": F.col(text_col).cast("string"), "lang": F.col(lang_col).cast("string")})
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    counts = settled(rows.groupBy("lang").agg(F.count("*").alias("_all")))
+    most = 2 * sample
+    counts = settled(rows.groupBy("lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "lang").limit(most))
     kinds = counts.count()
     if not kinds:
         return None
-    each = max(LEAST, sample // kinds)
+    each = max(sample // kinds, min(LEAST, most // kinds))
     # A language's share of its documents, by a hash of the id; no text is shuffled and none is gathered by language.
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = rows.select("doc_id", "lang").join(counts, "lang").where(part < F.lit(float(each)) / F.col("_all")).select("doc_id").distinct()
-    most = 2 * each * kinds
-    chosen = rows.join(F.broadcast(ids.limit(most)), "doc_id").select("doc_id", "text", "lang")
+    # The order makes the cut the same on every run; repeated ids can bring more rows than ids.
+    order = F.xxhash64("doc_id")
+    chosen = rows.join(F.broadcast(ids.orderBy(order, "doc_id").limit(most)), "doc_id").join(counts.select("lang"), "lang", "left_semi").select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile = letter_profile()
@@ -198,7 +202,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
                 [pa.array([d for d, *_ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.string()),
                  pa.array([p.astype(np.float32).tobytes() for *_, p in found], pa.binary())], ["doc_id", "lang", "profile"])
 
-    got = map_texts(chosen, run, "doc_id bigint, lang string, profile binary").head(most)
+    got = map_texts(chosen, run, "doc_id bigint, lang string, profile binary").orderBy(order, "doc_id", "lang", "profile").head(most)
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.profile))
     if not got:
         return None

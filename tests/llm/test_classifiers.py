@@ -56,6 +56,20 @@ def test_language_without_examples_and_stage(spark, docs):
     assert language.identify(docs.limit(0), None).collect() == []
 
 
+def test_bound_of_the_training_rows(spark, monkeypatch):
+    """300 languages and repeated ids stay within twice the sample; the same rows are taken whatever the order of the table."""
+    rows = [(i, f"{chr(97 + i % 300 % 26)}{chr(97 + i % 300 // 26)} lan", f"l{i % 300:03}") for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:900] + [(7, f"twice {k}", "l007") for k in range(900)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, names: seen.append((x.tobytes(), names)))
+    for sample, least in ((1600, 300), (200, 300), (100, 150)):
+        for table in (df.repartition(3), df.orderBy(F.desc("text"))):
+            language.learn(table, sample=sample)
+        (a, names), (b, again) = seen[-2:]
+        assert a == b and names == again and len(names) <= 2 * sample
+        assert len(set(names)) > 0.5 * least
+
+
 def test_stage_drops_languages_never_learned(spark, docs):
     rng = random.Random(6)
     alphabets = {"cyrillic": "абвгдежзиклмнопрст", "kana": "かきくけこさしすせそたちつてと"}
