@@ -29,6 +29,8 @@ REVISIT_BYTES = 0
 ARCHIVE_BYTES = 256 << 20
 #: Records closer than GAP are read together, up to SPAN bytes at once.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Bytes of archives for one reader.
+SPLIT = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, payload_digest string, record_type string"
@@ -128,14 +130,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     return settled(marked.mapInArrow(run, INDEX)).withColumn("file", F.concat(F.lit(f"{root}/"), "file"))
 
 
-def read_records(index: DataFrame, with_payload: bool = False, gap: int = GAP, span: int = SPAN) -> DataFrame:
+def read_records(index: DataFrame, with_payload: bool = False, gap: int = GAP, span: int = SPAN, split: int = SPLIT) -> DataFrame:
     """The records that ``index`` names: page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload].
 
     Length and digest are those of the full payload, for revisits too; their
     ``payload`` is null. Any selection of index rows may be read; a row given
-    twice is read twice.
+    twice is read twice. A reader gets about ``split`` bytes of archives, or
+    less where the cluster has more cores than there are such shares.
     """
-    chosen = index.select("file", "offset", "length", "url").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    chosen = index.select("file", "offset", "length", "url")
+    # The small index says how much is to be read; its own size would not.
+    total = chosen.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    readers = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // split))
+    chosen = chosen.repartitionByRange(readers, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         systems, stream, opened = {}, None, None

@@ -1,4 +1,5 @@
 import gzip
+import re
 from collections import defaultdict
 
 import pytest
@@ -62,3 +63,13 @@ def test_damage_is_found(spark):
 
 def test_empty_table(spark):
     assert warc.read_records(warc.write_archives(frame(spark, []))).collect() == []
+
+
+def test_readers_follow_the_bytes(spark):
+    index = warc.write_archives(frame(spark))
+    cores = spark.sparkContext.defaultParallelism
+    readers = lambda df: int(re.search(r"rangepartitioning\([^)]*, (\d+)\)", df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())[1])
+    assert readers(warc.read_records(index)) == cores
+    total = index.agg({"length": "sum"}).first()[0]
+    assert readers(warc.read_records(index, split=10)) == -(-total // 10) > cores
+    assert sorted((tuple(r) for r in warc.read_records(index, split=10).collect()), key=str) == want()
