@@ -28,6 +28,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints of one band value that one task compares; more are dealt out as pairs of tiles.
 TILE = 8192
+#: Neighbours that make a node a hub of its own treatment, and the most such nodes.
+HUB, HUBS = 1024, 50_000
 _STEP = 512
 
 
@@ -207,29 +209,46 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return tiles.mapInArrow(lambda it: _tile_links(it, radius), "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _with_least(pairs: DataFrame, hub: int) -> DataFrame:
+    """``pairs`` with ``m``, the smallest ``lo`` of their ``hi``.
+
+    A ``hi`` with more than ``hub`` rows is no key of the shuffle: its minimum
+    is one row, which is broadcast, and its pairs are spread by their ``lo``.
+    """
+    least = pairs.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).withColumnRenamed("hi", "u")
+    hubs = least.where(F.col("n") > hub).select(F.col("u").alias("_hub"), F.col("m").alias("_m"))
+    rest = least.where(F.col("n") <= hub).select(F.col("u").alias("_u"), F.col("m").alias("_r"))
+    found = pairs.join(F.broadcast(hubs), F.col("hi") == F.col("_hub"), "left")
+    found = found.withColumn("_key", F.when(F.col("_hub").isNull(), F.col("hi")).otherwise(F.xxhash64("lo")))
+    found = found.join(rest, F.col("_key") == F.col("_u"), "left")
+    return found.select("hi", "lo", F.coalesce("_m", "_r").alias("m"))
+
+
+def components(edges: DataFrame, rounds: int = 60, hubs: int = HUBS, hub: int = HUB) -> DataFrame:
     """``(node, root)`` of every node of the edges ``(a, b)``: the smallest node it reaches.
 
     Each round points the neighbours of a node at the smallest of them, first
     the larger ones, then the smaller ones, until nothing changes; a node with
-    very many neighbours is reduced to one row per task before its shuffle.
+    very many neighbours is reduced to one row per task before its shuffle, and
+    its neighbours learn the smallest from a broadcast. Of p pairs, each of
+    them counted from both of its ends, fewer than ``hubs`` nodes can have more
+    than 2 p / ``hubs`` neighbours, which bounds the broadcast; nodes with at
+    most ``hub`` neighbours are never taken for one.
     """
     pairs = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
+    before, size = None, pairs.count()
     for _ in range(rounds):
+        limit = max(hub, 2 * size // hubs)
         both = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m"))
-        large = both.join(least, F.col("hi") == F.col("u")).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m")
-        joined = large.join(small, F.col("hi") == F.col("u"))
-        down = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = settled(down.unionByName(small.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
+        large = _with_least(both, limit).where("lo > hi").select(F.col("lo").alias("hi"), F.least("hi", "m").alias("lo"))
+        joined = _with_least(large.where("hi <> lo").distinct(), limit)
+        # Of each node the pair with the smallest stays; the others lead from their own end to it.
+        pairs = settled(joined.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).distinct())
         # Stable once no node points twice and no root points on.
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if before == now:
             break
-        before = now
+        before, size = now, now[0]
     else:
         raise RuntimeError(f"classes did not settle in {rounds} rounds")
     roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()

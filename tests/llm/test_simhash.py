@@ -75,6 +75,16 @@ def test_long_chain_is_one_class(spark):
     assert member == {i: 0 for i in range(201)} | {400: 400, 500: 400}
 
 
+@pytest.mark.parametrize("given", [{}, {"hub": 2}, {"hub": 0, "hubs": 10}])
+def test_hubs_are_spread(spark, given):
+    rng = random.Random(3)
+    edges = [(1, i) for i in range(2, 3000)] + [(9000, i) for i in range(5000, 6000)] + [(2999, 9000)] + [(7000 + i, 7001 + i) for i in range(0, 90, 2)] + [(-4, 8000), (8000, -9)]
+    rng.shuffle(edges)
+    member = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges + edges[:50], "a long, b long"), **given).collect()}
+    want = {i: 1 for i in [*range(1, 3000), *range(5000, 6000), 9000]} | {n: n - n % 2 for n in range(7000, 7090)} | {n: -9 for n in (-9, -4, 8000)}
+    assert member == want
+
+
 def test_empty_table_and_stage(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_classes(df).collect() == []
