@@ -232,6 +232,20 @@ def _micros(interval: Column) -> Column:
     return F.unix_micros(F.timestamp_micros(F.lit(0)) + interval)
 
 
+def interval_micros(interval: Column) -> Column:
+    """A day-time interval in microseconds, as a decimal that leaves room for sums; the same in every time zone."""
+    whole = interval.cast("interval day to second")
+    part = lambda unit: F.extract(F.lit(unit), whole)
+    hours = part("DAY").cast("bigint") * 24 + part("HOUR")
+    micros = (hours * 60 + part("MINUTE")) * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+    return micros.cast("decimal(20,0)")
+
+
+def micros_interval(micros: Column) -> Column:
+    """The interval of a whole number of microseconds; raises where no interval is as long."""
+    return F.expr("interval '0.000001' second") * micros
+
+
 def divide_interval(x, y):
     """How often an interval fits into another one."""
     return divide(_micros(x), _micros(y))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.functions.numeric import floor, gcd, is_nan, multiply_int, power_int
+from gradespark.functions.numeric import floor, gcd, interval_micros, is_nan, micros_interval, multiply_int, power_int
 from gradespark.operators.folds import tree_reduce
 
 
@@ -39,10 +39,13 @@ REDUCTIONS = {
 def reduction(name: str, column: str, of: str = "float") -> Column:
     """Aggregate expression of one reduction, for use in ``agg``; sums of intervals are ``of="interval"``.
 
+    An interval holds 64 bits of microseconds, some 290,000 years, which the sum of a large table may exceed:
+    ``of="micros"`` gives the exact sum as a decimal number of microseconds.
     Extremes take columns of any ordered type. ``multiply`` goes through double: integers have ``product_reduce``.
     """
-    if of == "interval" and name == "add":
-        return F.coalesce(F.sum(column), F.expr("interval '0' second"))
+    if of in ("interval", "micros") and name == "add":
+        total = F.coalesce(F.sum(interval_micros(F.col(column))), F.lit(0))
+        return total if of == "micros" else micros_interval(total)
     return REDUCTIONS[name](F.col(column))
 
 

@@ -622,6 +622,11 @@ def _days(interval):
     return F.extract(F.lit("DAY"), interval).cast("bigint")
 
 
+def _days_of(micros):
+    """Whole days of exact microseconds: the sum of the intervals of a large table is longer than any interval."""
+    return F.call_function("div", micros, F.lit(86_400_000_000).cast("decimal(11,0)"))
+
+
 @query
 def reduce_all(spark, folder):
     # Keys whose products are odd, and so never vanish modulo 2^64.
@@ -638,7 +643,8 @@ def reduce_all(spark, folder):
         one("fmax", "l_extendedprice"), one("fmin", "l_extendedprice"),
         F.round(reduce.reduction("hypot", "l_quantity"), 4).alias("hypot"),
         *[reduce.reduction(n, "l_shipdate").alias(f"{n}_date") for n in ("maximum", "minimum", "fmax", "fmin")],
-        *[_days(reduce.reduction(n, "since", "interval")).alias(f"{n}_interval") for n in ("add", "maximum", "minimum", "fmax", "fmin")],
+        _days_of(reduce.reduction("add", "since", "micros")).alias("add_interval"),
+        *[_days(reduce.reduction(n, "since", "interval")).alias(f"{n}_interval") for n in ("maximum", "minimum", "fmax", "fmin")],
     )
     products = reduce.product_reduce(rows, "whole", "l_returnflag").withColumnRenamed("value", "multiply_whole")
     return found.join(products, "l_returnflag")

@@ -588,3 +588,16 @@ def test_repeated_elements_of_a_bag(spark):
     for bad in ("bag_id = 1", "bag_id = 2"):
         with pytest.raises(Exception, match="no vector or weight"):
             bags.quantized_bag(elements.where(bad), codes, 2, weight=F.col("weight")).collect()
+
+
+def _long_spans(spark):
+    """300,000 intervals of 7 years: some 2.1 million years, where an interval holds 292,000. Also their sum in microseconds."""
+    return spark.range(300_000).select(F.lit(1).alias("idx"), F.expr("interval '2555 00:00:00.000001' day to second").alias("i")), 300_000 * (2555 * 86_400_000_000 + 1)
+
+
+def test_sums_of_intervals_beyond_any_interval(spark):
+    rows, micros = _long_spans(spark)
+    total = lambda rows, of: rows.agg(reduce.reduction("add", "i", of).alias("sum")).first()["sum"]
+    assert total(rows, "micros") == micros and total(rows.limit(0), "micros") == 0
+    # Sums that end within an interval may leave it on the way.
+    assert total(rows.unionByName(rows.select("idx", (-F.col("i")).alias("i"))), "interval") == datetime.timedelta(0)
