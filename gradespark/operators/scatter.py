@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.functions.numeric import fmax, fmin, floor_divide, is_nan, maximum, minimum, multiply_int
+from gradespark.functions.numeric import fmax, fmin, floor_divide, interval_micros, is_nan, maximum, micros_interval, minimum, multiply_int
 from gradespark.operators.folds import ordered_fold
 from gradespark.operators.reduce import product_reduce
 
@@ -32,22 +32,36 @@ def scatter_all(target: DataFrame, updates: DataFrame, results: dict[str, tuple[
 
     All results share one aggregation of the updates, which come combined to
     the target: a hot id costs one partial row per task. Products of integers
-    wrap around modulo 2^64; they are folded by levels beside it.
+    wrap around modulo 2^64; they are folded by levels beside it. Of intervals
+    added to intervals, ``add_micros`` and ``subtract_micros`` give the exact
+    microseconds as a decimal, also where no interval is as long.
     """
     types, whole = dict(updates.dtypes), dict(target.dtypes)["value"] in _WHOLE
     exact = {name: column for name, (op, column) in results.items() if op == "multiply" and whole and types[column] in _WHOLE}
-    combined = [_combine(op, F.col(column)).alias(f"_acc_{name}") for name, (op, column) in results.items() if name not in exact]
+    summed = ("add", "subtract", "add_micros", "subtract_micros")
+    spans = {name: types[column] for name, (op, column) in results.items() if op in summed and types[column].startswith("interval") and "month" not in types[column] and "year" not in types[column]}
+    combined = [
+        _combine(op, interval_micros(F.col(column)) if name in spans else F.col(column)).alias(f"_acc_{name}")
+        for name, (op, column) in results.items() if name not in exact
+    ]
     joined = target.join(updates.groupBy("idx").agg(*combined), "idx", "left") if combined else target
     for name, column in exact.items():
         joined = joined.join(product_reduce(updates, column, "idx").withColumnRenamed("value", f"_acc_{name}"), "idx", "left")
-    return joined.select(
-        "idx", *[_apply("multiply_int" if name in exact else op, F.col("value"), F.col(f"_acc_{name}")).alias(name) for name, (op, _) in results.items()]
-    )
+
+    def result(name: str, op: str) -> Column:
+        value, acc = F.col("value"), F.col(f"_acc_{name}")
+        if op.endswith("_micros"):
+            return _apply(op.removesuffix("_micros"), interval_micros(value), acc)
+        if name in spans:
+            acc = micros_interval(acc).cast(spans[name])
+        return _apply("multiply_int" if name in exact else op, value, acc)
+
+    return joined.select("idx", *[result(name, op).alias(name) for name, (op, _) in results.items()])
 
 
 def _combine(op: str, u: Column) -> Column:
     number = ~is_nan(u)  # of dates, times and intervals every value is one
-    if op in ("add", "subtract"):
+    if op in ("add", "subtract", "add_micros", "subtract_micros"):
         return F.sum(u)
     if op in ("multiply", "divide"):
         return F.product(u)

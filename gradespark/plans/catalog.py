@@ -690,9 +690,10 @@ def scatter_types(spark, folder):
     parts = views.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"))
     updates = lines.select(idx, F.col("l_shipdate").alias("time"), (F.col("l_shipdate") - start).alias("since"), (F.col("l_orderkey") * 4000000014 + 1).alias("whole"))
     times = scatter.scatter_all(parts.withColumn("value", start), updates, {f"{op}_date": (op, "time") for op in ("maximum", "minimum", "fmax", "fmin")})
-    spans = scatter.scatter_all(parts.withColumn("value", start - start), updates, {f"{op}_interval": (op, "since") for op in ("add", "subtract", "maximum", "minimum", "fmax", "fmin")})
+    ops = {"add": "add_micros", "subtract": "subtract_micros", "maximum": "maximum", "minimum": "minimum", "fmax": "fmax", "fmin": "fmin"}
+    spans = scatter.scatter_all(parts.withColumn("value", start - start), updates, {f"{name}_interval": (op, "since") for name, op in ops.items()})
     whole = scatter.scatter_all(parts.withColumn("value", F.col("idx") * 2 + 1), updates, {"multiply_whole": ("multiply", "whole"), "maximum_whole": ("maximum", "whole"), "fmin_whole": ("fmin", "whole")})
-    spans = spans.select("idx", *[_days(F.col(c)).alias(c) for c in spans.columns if c != "idx"])
+    spans = spans.select("idx", *[(_days_of if ops[c.removesuffix("_interval")].endswith("_micros") else _days)(F.col(c)).alias(c) for c in spans.columns if c != "idx"])
     return times.join(spans, "idx").join(whole, "idx")
 
 

@@ -601,3 +601,12 @@ def test_sums_of_intervals_beyond_any_interval(spark):
     assert total(rows, "micros") == micros and total(rows.limit(0), "micros") == 0
     # Sums that end within an interval may leave it on the way.
     assert total(rows.unionByName(rows.select("idx", (-F.col("i")).alias("i"))), "interval") == datetime.timedelta(0)
+
+
+def test_scatter_of_intervals_beyond_any_interval(spark):
+    rows, micros = _long_spans(spark)
+    target, day = spark.sql("select 1 as idx, interval '1' day as value union all select 2, interval '1' day"), 86_400_000_000
+    done = scatter.scatter_all(target, rows, {"add": ("add_micros", "i"), "subtract": ("subtract_micros", "i"), "top": ("maximum", "i")}).orderBy("idx").collect()
+    assert [(r.add, r.subtract, r.top.days) for r in done] == [(day + micros, day - micros, 2555), (day, day, 1)]
+    both = rows.unionByName(rows.select("idx", (-F.col("i")).alias("i")))
+    assert scatter.scatter_all(target, both, {"value": ("add", "i")}).orderBy("idx").first().value == datetime.timedelta(days=1)
