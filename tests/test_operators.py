@@ -610,3 +610,16 @@ def test_scatter_of_intervals_beyond_any_interval(spark):
     assert [(r.add, r.subtract, r.top.days) for r in done] == [(day + micros, day - micros, 2555), (day, day, 1)]
     both = rows.unionByName(rows.select("idx", (-F.col("i")).alias("i")))
     assert scatter.scatter_all(target, both, {"value": ("add", "i")}).orderBy("idx").first().value == datetime.timedelta(days=1)
+
+
+def test_only_code_that_runs_gets_a_process_and_none_sees_another(spark):
+    pid = "import os, sys; raise ValueError('%d %s' % (os.getpid(), hasattr(sys, 'left')))"
+    codes = [pid, *["x = ("] * 60, "import sys; sys.left = 1", "-" * 100000 + "1", "import os; os.kill(os.getppid(), 9)", pid, *["x = '" + "q" * 200000] * 3, pid, "y = 1"]
+    rows = spark.createDataFrame([(i, c, [], "generic", "f") for i, c in enumerate(codes)], "id int, code string, tests array<string>, suite string, entry_point string")
+    got = [r for r in suites.run_suites(rows.coalesce(1).sortWithinPartitions("id"), ["id"], partitions=1, allow_exec=True).orderBy("id").collect()]
+    first, second, third = (got[i].error.split() for i in (0, 64, 68))
+    assert [r.error_type for r in got[1:61]] == ["SyntaxError"] * 60 and got[61].passed and got[-1].passed
+    assert first[1] == second[1] == third[1] == "False" and len({first[0], second[0], third[0]}) == 3
+    assert not got[62].passed and got[63].error_type == "ProcessError"
+    # A process for each error of syntax would lie between these.
+    assert (int(second[0]) - int(first[0])) % (1 << 22) < 40
