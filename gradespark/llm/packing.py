@@ -35,7 +35,7 @@ TIGHT = 0.98
 #: Underfull bins that the local search tries to empty before it gives up.
 TRIES = 12
 #: Words whose ids a worker remembers at least and twice as many at most, their greatest length in bytes, and texts looked at together.
-REMEMBERED, WORD_BYTES, TOGETHER = 100_000, 64, 64
+REMEMBERED, WORD_BYTES, TOGETHER = 200_000, 64, 64
 #: ASCII marks that the tokenizer never joins to a letter or digit before them.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -112,3 +112,13 @@ def test_word_ids_equal_the_tokenizer(texts):
     shared.known.clear()
     found = [np.frombuffer(b, "<u4").tolist() for b in shared.texts(joined)]
     assert found == [shared.tokenizer.encode(t, add_special_tokens=False).ids for t in joined]
+
+
+def test_words_of_a_rich_vocabulary_are_encoded_once(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf8") as file:
+        words = packing._WordIds(file.read())
+    texts, encoded = [" ".join(f"w{i}x{at}" for i in range(100)) for at in range(1800)], []
+    encode = words._encode
+    monkeypatch.setattr(words, "_encode", lambda new: (encoded.append(len(new)), encode(new)))
+    first = list(words.texts(texts))
+    assert sum(encoded) == 180_000 and list(words.texts(texts)) == first and sum(encoded) == 180_000
