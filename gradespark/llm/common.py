@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator, Mapping
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,9 +71,27 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
         try:
             yield from run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Give what Arrow and the C library hold free back to the system; neither does so by itself."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(learn: Callable) -> Callable:
+    """``learn``, a fit on rows brought to the driver, after which the driver is as small as before."""
+
+    @wraps(learn)
+    def wrapped(*args, **kwargs):
+        try:
+            return learn(*args, **kwargs)
+        finally:
+            release()
 
     return wrapped

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import map_texts, narrow, settled
+from gradespark.llm.common import map_texts, narrow, released, settled
 
 UNKNOWN = "und"
 FEATURES = 4096
@@ -170,6 +170,7 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+@released
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on about ``sample`` documents, never more than twice as many, chosen by a hash of their id.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradespark.llm.common import map_texts, narrow, settled
+from gradespark.llm.common import map_texts, narrow, released, settled
 
 #: Labelled documents to fit on.
 LABELLED = 4000
@@ -236,6 +236,7 @@ def _rank(found: tuple[int, float]) -> tuple[float, int, int]:
     return -p, zlib.crc32(str(doc).encode()), doc
 
 
+@released
 def learn(
     docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED, id_col: str = "doc_id"
 ) -> Model | float:

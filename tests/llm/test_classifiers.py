@@ -218,3 +218,16 @@ def test_metadata_by_name():
     assert names.sources == {"a": 1, "b": 2}
     vectors = [names.features(s, g, 9).tolist() for s, g in (("a", "de"), ("b", "de"), ("a", "es"), ("never", None), (None, "fr"))]
     assert len({tuple(v) for v in vectors}) == 4 and vectors[3] == vectors[4]
+
+
+def test_learning_gives_the_drivers_memory_back(spark, monkeypatch):
+    from gradespark.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert language.learn(docs) is None and calls == [1]
+    assert quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == 0.5 and calls == [1, 1]
+    with pytest.raises(AttributeError):
+        language.learn(None)
+    assert calls == [1, 1, 1]
