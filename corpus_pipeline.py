@@ -29,7 +29,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-copies (five-word shingles, a Jaccard similarity of 0.8) the document with the smallest id stays."""
+    """Of each class of near-copies (five-word shingles, a Jaccard similarity of 0.8) the document with the smallest id stays.
+
+    SimHash links and MinHash bands say which texts are compared.
+    """
     return simhash.one_of_each_class(docs, nearcopies.jaccard_classes(docs))
 
 

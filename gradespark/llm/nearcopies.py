@@ -1,10 +1,13 @@
-"""Classes of near-copies by the Jaccard similarity of their word shingles.
+"""Classes of near-copies by SimHash and the Jaccard similarity of their word shingles.
 
 Every whole text becomes its set of hashed shingles; equal sets are merged.
-MinHash bands propose candidates: two sets of similarity 0.8 share no band one
-time in some 10 million. Sets that bands connect are then compared exactly, all
-with all, in tiles of bounded size; only sets of neighbouring sizes meet, for
-others cannot reach the similarity. A tile returns one edge per linked set.
+Candidates are sets whose SimHash fingerprints link (``simhash.links``, tiles
+of fingerprints). A similarity of 0.8 means about ten differing bits, more than
+tiles can compare in a large table, so MinHash bands propose candidates too:
+two sets of similarity 0.8 share no band one time in some 10 million. Sets that
+links or bands connect are then compared exactly, all with all, in tiles of
+bounded size; only sets of neighbouring sizes meet, for others cannot reach the
+similarity. A tile returns one edge per linked set.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradespark.llm.common import map_texts, narrow, settled
-from gradespark.llm.simhash import SEED, _Classes, components
+from gradespark.llm.simhash import RADIUS, SEED, _Classes, components, links, majority
 
 WORDS = 5
 LEAST = 0.8
@@ -54,16 +57,32 @@ def _bands(found: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, node, size, bands)``, one row per input row."""
+    """``(doc_id, node, size, fp, bands)``, one row per input row; ``fp`` is the SimHash fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             values = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                      pa.array([majority(s.astype(">u8").tobytes()) for s in sets], pa.int64()),
                       pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", "node", "size", "fp", "bands"])
 
-    return map_texts(docs, run, "doc_id bigint, node bigint, size int, bands array<bigint>")
+    return map_texts(docs, run, "doc_id bigint, node bigint, size int, fp bigint, bands array<bigint>")
+
+
+def simhash_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges ``(a, b)`` that connect all rows ``(node, fp)`` whose fingerprints link; a fingerprint is a node of its own in them."""
+    near = settled(links(nodes.select("fp").distinct(), radius))
+    repeated = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    linked = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(repeated).distinct()
+    return near.unionByName(nodes.join(linked, "fp").select(F.col("node").alias("a"), F.col("fp").alias("b")))
+
+
+def minhash_edges(nodes: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that connect all rows ``(node, bands)`` with a band in common."""
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    heads = banded.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return banded.join(heads, ["band", "value"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def _compare(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -106,23 +125,25 @@ def _tile_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
         yield edges()
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(
+    docs: DataFrame, words: int = WORDS, least: float = LEAST, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
+) -> DataFrame:
     """``(doc_id, component_id)``, one row per input row.
 
     ``component_id`` is the smallest id among all rows that this one reaches
     over links of at least ``least``, the shared share of all shingles of two
     texts. Texts with fewer words than a shingle are one shingle; texts without
-    a word only equal each other. Null ids never name a class.
+    a word only equal each other. Null ids never name a class. Texts are
+    compared if their fingerprints differ in at most ``radius`` bits or if they
+    share a band.
     """
     rows = narrow(docs, {"doc_id": F.col(id_col).cast("bigint"), "text": F.col(text_col).cast("string")})
     signed = settled(_signed(rows, words))
-    nodes = settled(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    heads = banded.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = components(banded.join(heads, ["band", "value"]).where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    nodes = settled(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    candidates = components(simhash_edges(nodes.where("size > 0").select("node", "fp"), radius).unionByName(minhash_edges(nodes)))
     # Sets whose sizes differ by more than a factor 1 / least cannot link, so only neighbouring classes of sizes meet.
     step = F.floor(F.log(F.col("size")) / F.lit(float(-np.log(least)) if least < 1 else 1e-9)).cast("bigint")
-    found = settled(candidates.join(nodes.drop("bands"), "node").select("node", "root", "first", step.alias("step")))
+    found = settled(candidates.join(nodes.drop("fp", "bands"), "node").select("node", "root", "first", step.alias("step")))
     of_root = found.groupBy("root", "step").agg(F.count("*").alias("n")).groupBy("root").agg(
         F.sum("n").alias("all"), F.collect_list(F.struct("step", F.ceil(F.col("n") / tile).cast("int").alias("parts"))).alias("steps"))
     dealt = found.join(of_root, "root")
@@ -145,8 +166,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, t
     tiles = dealt.join(again, F.col("node") == F.col("_node")).select("root", "node", "own", F.explode("others").alias("other"), "found")
     tiles = tiles.select("root", F.to_json(F.least("own", "other")).alias("low"), F.to_json(F.greatest("own", "other")).alias("high"), "node", "found")
     tiles = tiles.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    links = map_texts(tiles, lambda it: _tile_links(it, least), "a bigint, b bigint").distinct()
-    member = settled(components(links).withColumnRenamed("node", "_node"))
+    linked = map_texts(tiles, lambda it: _tile_links(it, least), "a bigint, b bigint").distinct()
+    member = settled(components(linked).withColumnRenamed("node", "_node"))
     rooted = nodes.join(member, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = settled(rooted.join(smallest, "root").select(F.col("node").alias("_of"), "component_id"))

@@ -33,6 +33,13 @@ HUB, HUBS = 1024, 50_000
 _STEP = 512
 
 
+def majority(hashes: bytes) -> int:
+    """The bits that more than half of the hashes have (64 bits each, big-endian), as a signed long; 0 for none."""
+    count = len(hashes) // 8
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(count, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > count).tobytes(), "big", signed=True)
+
+
 def _text_fingerprint(text: str | None, words: int) -> int:
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
@@ -44,9 +51,7 @@ def _text_fingerprint(text: str | None, words: int) -> int:
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[: count - 1]]]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(found)) - 1 :])])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(count, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > count).tobytes(), "big", signed=True)
+    return majority(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(found)) - 1 :])]))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,5 +75,48 @@ def test_stage_drops_copies_with_changed_words(spark):
     assert simhash.one_of_each_class(df).count() > len(kept)
 
 
+def test_fingerprints_propose_what_bands_miss(spark):
+    rng, rows = random.Random(6), []
+    for i in range(40):
+        text = " ".join("w%d" % rng.randrange(5000) for _ in range(120))
+        rows += [(i, text), (100 + i, changed(rng, text, 7))]  # a similarity of about 0.55, where one pair in eight or so shares no band
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, want = ([tuple(r) for r in nearcopies.jaccard_classes(df, least=0.5, radius=r).collect()] for r in (3, 27)), brute(rows, least=0.5)
+    bands, fingerprints = (sorted(f, key=str) for f in found)
+    assert fingerprints == want != bands
+
+
+@pytest.mark.parametrize("radius", [3, 8])
+def test_linked_fingerprints_are_candidates(spark, radius):
+    rng, nodes = random.Random(7), []
+    for i in range(60):
+        fp = rng.getrandbits(64)
+        for k in range(rng.choice([1, 2, 5])):
+            nodes.append((i * 10 + k, fp - (1 << 64) if fp >> 63 else fp))
+            for _ in range(rng.choice([0, 1, 3, 7])):
+                fp ^= 1 << rng.randrange(64)
+    root = {n: n for n, _ in nodes}
+    for n, a in nodes:
+        for m, b in nodes:
+            if n < m and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius and root[n] != root[m]:
+                root = {x: root[n] if r == root[m] else r for x, r in root.items()}
+    want, found = {}, {}
+    for n, r in root.items():
+        want.setdefault(r, set()).add(n)
+    edges = nearcopies.simhash_edges(spark.createDataFrame(nodes, "node long, fp long").repartition(3), radius)
+    for r in simhash.components(edges).where("node between 0 and 1000").collect():
+        found.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+
+
+def test_stage_compares_linked_fingerprints(spark, monkeypatch):
+    rng, seen = random.Random(4), []
+    text = " ".join("w%d" % rng.randrange(5000) for _ in range(2000))
+    df = spark.createDataFrame([(1, text), (2, changed(rng, text, 1)), (3, text[::-1]), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "links", lambda *a, **k: seen.append(simhash.links(*a, **k)) or seen[-1])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()) == [1, 3, 4]
+    assert [edges.count() for edges in seen] == [1]  # the two texts with one word changed
+
+
 def test_empty_table(spark):
     assert nearcopies.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
