@@ -29,6 +29,8 @@ CALIBRATION = 0.25
 #: The score a text needs to count as identified: so much, or less if more than a share of the calibration documents had none so high.
 NEEDED, MISSED = 0.95, 0.005
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+#: An entry of a profile on its way to the driver; places count down, so that bytes sort as those of the whole profile.
+_ENTRY = np.dtype([("back", ">u2"), ("value", "<f4")])
 
 
 def letter_profile() -> Callable[[str | None], np.ndarray | None]:
@@ -60,17 +62,40 @@ def letter_profile() -> Callable[[str | None], np.ndarray | None]:
     return profile
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, sweeps: int = 12) -> np.ndarray:
-    """Weights (the last one is the offset) of a squared-hinge machine, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    norms, alpha, w = np.einsum("ij,ij->i", x, x, dtype=float) + 0.5 / cost, np.zeros(len(x)), np.zeros(x.shape[1])
+def packed(profile: np.ndarray) -> bytes:
+    """The entries of a profile that are not 0, in single precision."""
+    single = profile.astype(np.float32)
+    places = np.flatnonzero(single)
+    out = np.empty(len(places), _ENTRY)
+    out["back"], out["value"] = FEATURES - 1 - places, single[places]
+    return out.tobytes()
+
+
+def unpacked(profiles: list[bytes]) -> np.ndarray:
+    """Packed profiles as rows, in single precision, with a last column of ones."""
+    x = np.zeros((len(profiles), FEATURES + 1), np.float32)
+    for row, found in zip(x, profiles):
+        entries = np.frombuffer(found, _ENTRY)
+        row[FEATURES - 1 - entries["back"].astype(np.int64)] = entries["value"]
+    x[:, -1] = 1
+    return x
+
+
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, sweeps: int = 12) -> np.ndarray:
+    """Weights (the last one is the offset) of a squared-hinge machine on some rows of ``x``, by dual coordinate descent.
+
+    The last column of ``x`` is 1; ``y`` has a value for each of ``rows``. No row is copied.
+    """
+    norms = np.array([np.einsum("j,j->", x[r], x[r], dtype=float) for r in rows]) + 0.5 / cost
+    alpha, w = np.zeros(len(rows)), np.zeros(x.shape[1])
     rng = np.random.default_rng(0)
     for _ in range(sweeps):
-        for i in rng.permutation(len(x)):
-            step = y[i] * (x[i] @ w) - 1 + 0.5 / cost * alpha[i]
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            step = y[i] * (row @ w) - 1 + 0.5 / cost * alpha[i]
             new = max(alpha[i] - step / norms[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
     return w
 
@@ -130,7 +155,7 @@ def _families(centres: np.ndarray) -> list[list[int]]:
 
 
 def fit(x: np.ndarray, languages: list[str]) -> Model | None:
-    """Fit families, machines and slopes; None without any example."""
+    """Fit families, machines and slopes to rows of profiles with a last column of ones; None without any example."""
     names = sorted(set(languages))
     if not names:
         return None
@@ -139,20 +164,19 @@ def fit(x: np.ndarray, languages: list[str]) -> Model | None:
     for n in range(len(names)):
         if not (of[~held] == n).any():
             held[of == n] = False
-    families = _families(np.array([x[of == n].mean(0) for n in range(len(names))]))
+    families = _families(np.array([x[of == n, :-1].mean(0) for n in range(len(names))]))
     family_of = np.array([next(f for f, m in enumerate(families) if n in m) for n in range(len(names))])
     pairs = [p for m in families for p in combinations(m, 2)]
-    tx, ty, hx, hy = x[~held], of[~held], x[held], of[held]
+    train, hx, hy = np.flatnonzero(~held), x[held], of[held]
     sign = lambda positive: np.where(positive, 1.0, -1.0)
-    width = x.shape[1] + 1
+    width = x.shape[1]
     family_weights = np.zeros((width, len(families)))
     if len(families) > 1:
-        family_weights = np.stack([linear_svm(tx, sign(family_of[ty] == f)) for f in range(len(families))], axis=1)
+        family_weights = np.stack([linear_svm(x, train, sign(family_of[of[train]] == f)) for f in range(len(families))], axis=1)
     pair_weights, margins, truth = np.zeros((width, len(pairs))), [], []
-    hx = np.hstack([hx, np.ones((len(hx), 1), hx.dtype)])
     for k, (a, b) in enumerate(pairs):
-        rows, shown = np.isin(ty, (a, b)), np.isin(hy, (a, b))
-        pair_weights[:, k] = linear_svm(tx[rows], sign(ty[rows] == a))
+        rows, shown = train[np.isin(of[train], (a, b))], np.isin(hy, (a, b))
+        pair_weights[:, k] = linear_svm(x, rows, sign(of[rows] == a))
         margins.append(hx[shown] @ pair_weights[:, k])
         truth.append(sign(hy[shown] == a))
     outer = hx @ family_weights
@@ -201,13 +225,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             found = [(d, n, p) for d, n, t in zip(*(batch.column(c).to_pylist() for c in (0, 2, 1))) if (p := profile(t)) is not None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, *_ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.string()),
-                 pa.array([p.astype(np.float32).tobytes() for *_, p in found], pa.binary())], ["doc_id", "lang", "profile"])
+                 pa.array([packed(p) for *_, p in found], pa.binary())], ["doc_id", "lang", "profile"])
 
-    got = map_texts(chosen, run, "doc_id bigint, lang string, profile binary").orderBy(order, "doc_id", "lang", "profile").head(most)
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.profile))
-    if not got:
-        return None
-    return fit(np.stack([np.frombuffer(r.profile, np.float32) for r in got]), [r.lang for r in got])
+    # The first rows meet in a task; only they go to the driver, packed and as Arrow.
+    got = map_texts(chosen, run, "doc_id bigint, lang string, profile binary").orderBy(order, "doc_id", "lang", "profile").limit(most).toArrow()
+    found = sorted(zip(*(c.to_pylist() for c in got.columns)), key=lambda r: (zlib.crc32(str(r[0]).encode()), *r))
+    return fit(unpacked([p for *_, p in found]), [n for _, n, _ in found])
 
 
 def _predicted(model: Model | None, profile: Callable, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -32,6 +32,8 @@ SURE, HANDED, STRATA = 0.95, 6, 64
 #: Share of the labelled sample that calibrates and fits nothing else.
 CALIBRATION = 0.3
 KEEP = 0.5
+#: Rows of a fit that are in double precision at a time.
+_STEP = 256
 
 #: Buckets of hashed letter trigrams; most sources and languages that the metadata view knows by name.
 _CLASSES, _LEXICAL, _SIZES, SOURCES, LANGS = 8, 256, 32, 255, 63
@@ -99,12 +101,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Weights of a logistic fit with a penalty, by Newton steps."""
+    """Weights of a logistic fit with a penalty, by Newton steps; sums are in double precision and go by blocks of rows."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad, curve = ridge * w, ridge * np.eye(len(w))
+        for at in range(0, len(x), _STEP):
+            rows = x[at : at + _STEP].astype(float)
+            p = _sigmoid(rows @ w)
+            grad += rows.T @ (p - y[at : at + _STEP])
+            curve += (rows * (p * (1 - p) + 1e-6)[:, None]).T @ rows
+        step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -191,9 +197,10 @@ def _examples(rows: DataFrame, ids: DataFrame, *marks: str) -> list:
     some = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "text", "source", "lang", "n_chars")
     made = map_texts(some, run, "doc_id bigint, source string, lang string, n_chars bigint, x binary")
     one = made.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "n_chars", "x")).alias("e"))
-    joined = one.join(F.broadcast(ids), "doc_id").select(F.struct("doc_id", *marks, "e.*").alias("r"))
-    found = joined.agg(F.collect_list("r").alias("all")).first()["all"]
-    return sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], *(r[m] for m in marks)))
+    found = one.join(F.broadcast(ids), "doc_id").select("doc_id", *marks, "e.*").toArrow()
+    columns = {c: found.column(c).to_pylist() for c in found.column_names}
+    order = sorted(range(found.num_rows), key=lambda k: (zlib.crc32(str(columns["doc_id"][k]).encode()), columns["doc_id"][k], *(columns[m][k] for m in marks)))
+    return [{c: columns[c][k] for c in columns} for k in order]
 
 
 def stratum_of(source: str | None) -> int:
@@ -259,9 +266,11 @@ def learn(
     names = Metadata(_names([r["source"] for r in got], SOURCES), _names([r["lang"] for r in got], LANGS))
 
     def matrices(some: list) -> tuple[np.ndarray, np.ndarray]:
-        text = np.array([np.frombuffer(r["x"], np.float32) for r in some], float).reshape(len(some), TEXT_WIDTH)
-        meta = [names.features(r["source"], r["lang"], r["n_chars"]) for r in some]
-        return text, np.array(meta, float).reshape(len(some), names.width)
+        # In single precision, as the text view comes and as the metadata view is exact.
+        text, meta = np.empty((len(some), TEXT_WIDTH), np.float32), np.empty((len(some), names.width), np.float32)
+        for k, r in enumerate(some):
+            text[k], meta[k] = np.frombuffer(r.pop("x"), np.float32), names.features(r["source"], r["lang"], r["n_chars"])
+        return text, meta
 
     free = rows.join(F.broadcast(few.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text", "source", "lang", "n_chars")
 
